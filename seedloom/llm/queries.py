@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_filter, warc
-from .common import table
+from . import exact_dedup, language, lz, mixing, packing, simhash, toxicity, url_filter, warc
+from .common import id_remainder, table
 from .sql import ORACLES
 
 RULES = (
@@ -20,6 +20,32 @@ RULES = (
 )
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz.compared_in_order(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    model = language.fitted(docs.where(~held_out).select("lang", "text"))
+    return language.predicted(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("languages")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -34,6 +60,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.fitted(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic"))
+    return toxicity.scored(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pages named by the document that their url's last number gives, and that document's label: bad if of low quality or toxic."""
     number = F.try_to_number(F.nullif(F.regexp_extract(url_filter.path_of(F.col("url")), r"/([0-9]{1,18})[^/]*/?$", 1), F.lit("")), F.lit("9" * 18))
@@ -49,9 +82,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lz_fingerprint": op1_lz_fingerprint,
+    "op3_packing": op3_packing,
+    "op4_language_id": op4_language_id,
+    "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
+    "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
 }
 
