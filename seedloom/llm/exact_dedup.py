@@ -25,21 +25,25 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+#: A state folder keeps its number of partitions for life, so that number follows the rows first
+#: logged and not the session's shuffle partitions: each partition is a database of its own.
+STATE_PARTITIONS, STATE_ROWS, LEAST_PARTITIONS = "spark.sql.streaming.internal.stateStore.partitions", 1_000_000, 12
 
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _followed(spark: SparkSession, log: str, schema: str, decisions: str, state: str) -> None:
+def _followed(spark: SparkSession, log: str, schema: str, decisions: str, state: str, partitions: int) -> None:
     """Bring the keyed state up to the end of the log; changed keys go to ``decisions``, a folder per batch."""
 
     def emit(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{decisions}/batch={number}")
 
-    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    settings = SETTINGS | {STATE_PARTITIONS: str(partitions)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        for k, v in SETTINGS.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         seen = spark.readStream.schema(schema).parquet(log)
         keyed = seen.groupBy("digest").agg(
@@ -74,7 +78,9 @@ class DedupState:
     def add(self, rows: DataFrame) -> None:
         """``rows``: doc_id, text, _file, _row (see ``located``)."""
         self.logged(rows).write.mode("append").parquet(f"{self.folder}/log")
-        _followed(self.spark, f"{self.folder}/log", self.SCHEMA, f"{self.folder}/decisions", f"{self.folder}/state")
+        # A folder that has a state keeps its partitions: Spark reads them from the folder's own log.
+        partitions = max(LEAST_PARTITIONS, -(-self.log().count() // STATE_ROWS))
+        _followed(self.spark, f"{self.folder}/log", self.SCHEMA, f"{self.folder}/decisions", f"{self.folder}/state", partitions)
 
     def logged(self, rows: DataFrame) -> DataFrame:
         text = F.coalesce(F.col("text"), F.lit(""))
