@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, lz, mixing, packing, simhash, toxicity, url_filter, warc
+from . import attention, exact_dedup, language, lz, mixing, packing, simhash, toxicity, url_filter, warc
 from .common import id_remainder, table
 from .sql import ORACLES
 
@@ -30,6 +30,12 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.compared_in_order(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = (id_remainder(F.col("doc_id"), 7) == 2).alias("held_out")
+    return attention.scored(docs.select("doc_id", held_out, "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
@@ -83,6 +89,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
+    "op2_attention_lm": op2_attention_lm,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
