@@ -80,3 +80,21 @@ def located(docs: DataFrame, label: str, columns: Sequence[str] | None = None) -
     return as_scan(docs, label).select(
         *kept, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
+
+
+def shielded(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``used`` under names that can't clash with an operator's own, and the names to give back."""
+    names = {c: c if c in used else f"_kept{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def unshielded(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+def without(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of a plain file scan that are at none of ``places`` (_file, _row), with their own columns."""
+    where = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    names = {c: f"_kept{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *where)
+    return unshielded(rows.join(places, ["_file", "_row"], "left_anti"), names)

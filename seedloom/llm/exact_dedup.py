@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_scan, located, scratch, stored
+from .common import as_scan, located, scratch, stored, without
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SETTINGS = {
@@ -168,5 +168,4 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     docs = as_scan(docs, "dedup-input")
     dropped = stored(dedup(docs).where(~F.col("kept")).select("_file", "_row"), "dedup-dropped")
-    rows = located(docs, "dedup-input")
-    return rows.join(dropped, ["_file", "_row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(docs, dropped)

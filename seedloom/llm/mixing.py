@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, word_count
+from .common import shielded, stored, unshielded, word_count
 
 #: Rows that a bucket of the shuffled order holds on average, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
@@ -135,6 +135,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs``, with all its columns, as often as it is taken."""
-    run = mix(docs, keep=docs.columns, **options).where("times > 0")
+    rows, names = shielded(docs, "doc_id", "source", "text")
+    run = mix(rows, keep=rows.columns, **options).where("times > 0")
     copies = run.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unshielded(copies, names)

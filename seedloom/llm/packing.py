@@ -7,7 +7,6 @@ meet and are packed again, and so on up a tree whose last round is one small gro
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -17,49 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .subwords import word_ids
 
 #: Splits, then groups, that meet in a round.
 FAN_IN = 8
 #: Sequences that a group hands on at most, the emptiest; fuller ones are finished as they are.
 MOST_OPEN = 4096
-#: Words that a task's tokenizer remembers at once.
-MOST_WORDS = 200_000
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, open boolean, part int"
 NAMES = [x.split()[0] for x in PACKED.split(", ")]
 
 
-class WordIds:
-    """Ids of a text as little-endian unsigned 32-bit bytes, word by word.
-
-    The tokenizer never joins what white space parts, so the ids of a text are those of its words in
-    turn; each distinct word is encoded once while it is remembered.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known, new = {}, list(words)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for w, e in zip(some, coded):
-                self.known[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            self.learn(set(words))
-            return b"".join([self.known[w] for w in words])
-
-
 def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
     """Bins of item numbers: longest first, each into the fullest bin that still takes it."""
     bins: list[list[int]] = []
@@ -96,13 +62,13 @@ def packed_locally(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: i
     """docs (doc_id, text) -> pieces in the bins of their input split."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = WordIds(tokenizer), TaskContext.get().partitionId()
+        coder, part = word_ids(tokenizer), TaskContext.get().partitionId()
         last, full = end.to_bytes(4, "little"), 0
         tails: list[tuple] = []
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist()):
-                ids = coder.ids(text or b"") + last
+                ids = coder.of_text(text or b"") + last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     row = (doc_id, k, at // 4, len(own) // 4, zlib.crc32(own))
