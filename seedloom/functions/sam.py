@@ -7,6 +7,7 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 #: Bits of the FLAG field, and the score of a read without an alignment.
 PAIRED, PROPER, UNMAPPED, MATE_UNMAPPED, REVERSED, MATE_REVERSED, FIRST, SECOND, SECONDARY = 1, 2, 4, 8, 16, 32, 64, 128, 256
@@ -62,9 +63,7 @@ def md_of(read: str, ref: str) -> tuple[str, int]:
     return "".join(out), edits
 
 
-@F.pandas_udf("struct<aln_read: string, aln_ref: string, cigar: string, md: string, edits: int>")
-def described(read: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    """An alignment with its gaps moved left, its CIGAR, MD and number of edits; nulls for null."""
+def _described(read: pd.Series, ref: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(read, ref):
         if a is None or b is None:
@@ -75,6 +74,12 @@ def described(read: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["aln_read", "aln_ref", "cigar", "md", "edits"]).astype({"edits": "Int32"})
 
 
+def described(read: Column, ref: Column) -> Column:
+    """An alignment with its gaps moved left, its CIGAR, MD and number of edits; nulls for null."""
+    fields = [StructField(n, StringType()) for n in ("aln_read", "aln_ref", "cigar", "md")]
+    return F.pandas_udf(_described, StructType([*fields, StructField("edits", IntegerType())]))(read, ref)
+
+
 def flag(paired: Column, proper: Column, mapped: Column, mate_mapped: Column, reverse: Column, mate_reverse: Column, end_no: Column, secondary: Column) -> Column:
     """FLAG of a record; what concerns the mate counts for pairs only."""
     bit = lambda c, n: F.when(c, n).otherwise(0)
