@@ -246,6 +246,54 @@ def gapped_constrained(read: str, window: str, mask: str, offset: int, s: Scorin
     return score, start, a + middle + a2, r + under + r2
 
 
+def gapped_color(colors: str, window: str, s: Scoring) -> tuple[int, int, str, str]:
+    """(score, start, aligned bases, aligned reference) of colours (digits, from base A) in a nucleotide window, with gaps.
+
+    A cell has a score for each base that the read may have reached. A base of the read pays for its colour, and for being unlike the reference or for
+    its gap; a deletion leaves the read where it is. Of equal paths a diagonal step wins, then a deletion, then the lesser base.
+    """
+    c = [int(x) if x in "0123" else 4 for x in colors]
+    w, n = codes_of(window), len(colors)
+    m, step = len(w), np.arange(4)[:, None] ^ np.arange(4)[None, :]
+    best, down, across = (np.full((n + 1, m + 1, 4), LOW, np.int64) for _ in range(3))
+    best[0, :, 0] = 0
+    steps = s.gap_extend * np.arange(m + 1)[:, None]
+    paid = [np.where(step == x, s.color_match, s.color_mismatch) for x in c]
+    like = np.where(w[:, None] == np.arange(4), s.nt_match, s.nt_mismatch)
+    for i in range(1, n + 1):
+        reached = lambda t: (t[:, :, None] + paid[i - 1]).max(axis=1)  # noqa: B023, E731  over the bases before
+        moved = reached(best[i - 1])
+        diagonal = np.full((m + 1, 4), LOW, np.int64)
+        diagonal[1:] = moved[:-1] + like
+        down[i] = np.maximum(reached(down[i - 1]) + s.gap_extend, moved + s.gap_open)
+        entry = np.maximum(diagonal, down[i])
+        run = np.maximum.accumulate(entry - steps, axis=0)
+        across[i, 1:] = run[:-1] + steps[:-1] + s.gap_open
+        best[i] = np.maximum(entry, across[i])
+    col, base = divmod(int(best[n].argmax()), 4)
+    score, row, state, a, r = int(best[n, col, base]), n, "s", [], []
+    while row > 0:
+        if state == "s":
+            if col > 0 and best[row, col, base] == (before := best[row - 1, col - 1] + paid[row - 1][:, base]).max() + like[col - 1, base]:
+                a.append("ACGT"[base])
+                r.append(window[col - 1])
+                row, col, base = row - 1, col - 1, int(before.argmax())
+                continue
+            state = "h" if col > 0 and best[row, col, base] == across[row, col, base] else "v"
+        elif state == "h":
+            stays = across[row, col - 1, base] + s.gap_extend >= best[row, col - 1, base] + s.gap_open
+            a.append("-")
+            r.append(window[col - 1])
+            col, state = col - 1, "h" if stays else "s"
+        else:
+            a.append("ACGT"[base])
+            r.append("-")
+            going, opened = down[row - 1, col] + paid[row - 1][:, base], best[row - 1, col] + paid[row - 1][:, base]
+            stays = going.max() + s.gap_extend >= opened.max() + s.gap_open
+            row, base, state = row - 1, int((going if stays else opened).argmax()), "v" if stays else "s"
+    return score, col, "".join(reversed(a)), "".join(reversed(r))
+
+
 def aligned(candidates: DataFrame, s: Scoring = Scoring(), space: str = "nt", gaps: bool = True, constrained: bool = True, offset: int = 20) -> DataFrame:
     """candidates (read_id, end_no, contig, strand, read, mask, window, window_start, window_offset) -> read_id, end_no and an alignment each.
 
@@ -275,7 +323,9 @@ def aligned(candidates: DataFrame, s: Scoring = Scoring(), space: str = "nt", ga
                     x = rows[i]
                     mask = x["mask"] if constrained else None
                     side = min(offset, max(0, x["window_offset"]))
-                    if space == "color":
+                    if space == "color" and gaps:
+                        found[i] = gapped_color(x["read"], x["window"], s)
+                    elif space == "color":
                         if (hit := ungapped_color(x["read"], x["window"], mask, 0, s)) is not None:
                             n = len(x["read"])
                             found[i] = (hit[0], hit[1], hit[2], x["window"][hit[1] : hit[1] + n])

@@ -214,6 +214,34 @@ def test_color_kernel_against_all_readings():
         assert align.ungapped_color(colors, window, None, 0, s)[0] == brute_color(colors, window, s)
 
 
+def brute_gapped_color(colors, window, s):
+    """The best score over all readings of the colours, each aligned as bases by the textbook."""
+    from itertools import product
+
+    plain, best = align.Scoring(), None
+    for bases in product(range(4), repeat=len(colors)):
+        paid = sum(s.color_match if str(a) == b else s.color_mismatch for a, b in zip(align.colors_of(np.array(bases)), colors))
+        total = paid + gotoh("".join("acgt"[b] for b in bases), window, plain)
+        best = total if best is None else max(best, total)
+    return best
+
+
+def test_gapped_color_kernel_against_all_readings():
+    rng, s = random.Random(6), align.Scoring()
+    for _ in range(25):
+        window = genome(rng.randint(5, 9), rng.random())
+        bases = list(align.codes_of(window[1:]))
+        if rng.random() < 0.5 and len(bases) > 3:
+            del bases[2]
+        colors = "".join(map(str, align.colors_of(np.array(bases[:5]))))
+        colors = colors[:-1] + rng.choice("0123")
+        score, start, a, r = align.gapped_color(colors, window, s)
+        assert score == brute_gapped_color(colors, window, s)
+        read = a.replace("-", "")
+        paid = sum(s.color_match if str(x) == y else s.color_mismatch for x, y in zip(align.colors_of(align.codes_of(read)), colors))
+        assert paid + rescored(a.lower(), r, s) == score and window[start:].startswith(r.replace("-", ""))
+
+
 def test_reads_find_their_place(spark):
     ref = {1: genome(3000, 11), 2: genome(2000, 12)}
     places = [(1, 100, "+"), (1, 2000, "-"), (2, 1, "+"), (2, 1950, "-")]
