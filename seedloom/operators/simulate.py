@@ -76,3 +76,47 @@ def better_set(spark: SparkSession, candidates: list[str], size: int, read_lengt
         found = {c: seed_accuracy(spark, [*chosen, c], read_length, errors).agg(F.max("found")).first()[0] for c in rest}
         chosen.append(max(rest, key=lambda c: found[c]))
     return chosen
+
+
+def _changed(windows: DataFrame, mask: str, kind: str) -> DataFrame:
+    """windows (..., window): each with one change of a kind at each place that counts."""
+    places = F.array(*[F.lit(i) for i, c in enumerate(mask) if c == "1"])
+    bases = F.array(*[F.lit(b) for b in "acgt"])
+    w, n = F.col("window"), len(mask)
+    each = windows.withColumn("_p", F.explode(places))
+    left, right = F.substring(w, F.lit(1), F.col("_p")), F.substring(w, F.col("_p") + 1, F.lit(n + 1))
+    if kind == "insertion":  # the read has a base too many
+        return each.withColumn("window", F.concat(left, F.substring(w, F.col("_p") + 2, F.lit(n + 1)))).drop("_p")
+    each = each.withColumn("_b", F.explode(bases))
+    rest = F.substring(right, 2, n + 1) if kind == "mismatch" else right
+    return each.withColumn("window", F.substring(F.concat(left, F.col("_b"), rest), F.lit(1), F.lit(n))).drop("_p", "_b")
+
+
+def seed_variants(windows: DataFrame, mask: str, mismatches: int = 0, insertions: int = 0, deletions: int = 0) -> DataFrame:
+    """windows (..., window: bases of a read from a seed's place on, one more for each insertion allowed) -> all that so many changes
+    make of them, once each: up to ``mismatches`` bases changed at the mask's 1s, or up to so many bases of the read left out, or added."""
+    cut = windows.withColumn("window", F.substring("window", 1, len(mask)))
+    found = [cut]
+    step = cut
+    for _ in range(mismatches):
+        step = _changed(step, mask, "mismatch").distinct()
+        found.append(step)
+    for kind, times in (("insertion", insertions), ("deletion", deletions)):
+        step = windows
+        for _ in range(times):
+            step = _changed(step, mask, kind).distinct()
+            found.append(step.withColumn("window", F.substring("window", 1, len(mask))))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.where(F.length("window") == len(mask)).distinct()
+
+
+def random_mask(size: int, width: int, seed: int = 0) -> str:
+    """A mask of ``width`` with ``size`` ones, its ends among them; the same for the same seed."""
+    from random import Random
+
+    if not 2 <= size <= width:
+        raise ValueError("a mask has two ones or more, and no more than places")
+    inner = Random(f"{seed} {size} {width}").sample(range(1, width - 1), size - 2)
+    return "".join("1" if i in (0, width - 1) or i in inner else "0" for i in range(width))

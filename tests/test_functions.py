@@ -107,3 +107,18 @@ def test_seed_sets(spark):
     got = {r.masks: (r.found, r.profiles) for r in simulate.seed_accuracy(spark, ["111", "1011"], 6, 1).collect()}
     assert got == {1: (6, 6), 2: (6, 6)}
     assert simulate.better_set(spark, ["111111", "11"], 1, 6, 1) == ["11"]
+
+
+def test_seed_variants(spark):
+    w = spark.createDataFrame([(1, "acgta")], "read_id long, window string")
+    got = lambda **k: {r.window for r in simulate.seed_variants(w, "1101", **k).collect()}
+    assert got() == {"acgt"}
+    want = {"acgt"[:p] + b + "acgt"[p + 1 :] for p in (0, 1, 3) for b in "acgt"}
+    assert got(mismatches=1) == want and len(got(mismatches=2)) == len({x[:p] + b + x[p + 1 :] for x in want for p in (0, 1, 3) for b in "acgt"})
+    assert got(insertions=1) == {"acgt", "cgta", "agta", "acga"}
+    assert got(deletions=1) == {"acgt"} | {("acgta"[:p] + b + "acgta"[p:])[:4] for p in (0, 1, 3) for b in "acgt"}
+
+
+def test_random_mask():
+    m = simulate.random_mask(5, 9, 3)
+    assert len(m) == 9 and m.count("1") == 5 and m[0] == m[-1] == "1" and m == simulate.random_mask(5, 9, 3)
