@@ -12,12 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-
 #: Hashes that a fingerprint keeps, and the seed of the hash.
 KEEP, SEED = 128, 7
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -96,33 +93,39 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for n, t in (x.split() for x in RESULT.split(", "))])
-#: While parts are unjoined: which part a row ends or begins, and that row's text.
-PART = pa.schema([*ARROW, ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
-PART_DDL = f"{RESULT}, part int, edge string, text string"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order: results of all but the last, and the texts of the first and the last, which other parts' neighbours need."""
-    part, before, rows = TaskContext.get().partitionId(), None, []
-
-    def edge(kind: str, p: Parsed) -> tuple:
-        return (p.doc_id, len(p.text), None, text_of(p.own), None, None, None, part, kind, p.text)
-
+    """Results of rows in order. A part's last row is lent by the next part: it ends its neighbour's work and has no result here."""
+    before, part, rows = None, None, []
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            now = Parsed(doc_id, text or "")
-            rows.append((*before.result(now.text, now.own), part, None, None) if before else edge("first", now))
-            before = now
+        for own, lent, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("part", "lent", "doc_id", "text")]):
+            if lent and (before is None or own != part):
+                continue  # another row of the lent id
+            now = Parsed(doc_id, text)
+            if before is not None and own == part:
+                rows.append(before.result(now.text, now.own))
+            before, part = (None if lent else now), own
             if len(rows) >= 500:
-                yield _batch(rows, PART)
+                yield _batch(rows, ARROW)
                 rows = []
-    yield _batch([*rows, *([edge("last", before)] if before else [])], PART)
+    yield _batch(rows, ARROW)
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [Parsed(r["doc_id"], r["text"]).result(r["next_text"], array_of(r["next_fingerprint"])) for r in b.to_pylist()]
-        yield _batch(rows, ARROW)
+def _placed(doc_id: Column, bounds: list[int]) -> Column:
+    """How many of the descending ``bounds`` are above an id, by bisection; all for a null id."""
+    n = len(bounds)
+    every = F.lit(bounds).cast("array<long>")
+    span = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+
+    def halved(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        above = F.try_element_at(every, mid + 1) > doc_id
+        go = acc["lo"] < acc["hi"]
+        return F.struct(F.when(go & above, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(go & ~above, mid).otherwise(acc["hi"]).alias("hi"))
+
+    steps = F.array(*[F.lit(k) for k in range(max(1, n.bit_length()))])
+    return F.when(doc_id.isNull(), n).otherwise(F.aggregate(steps, span, halved)["lo"]) if n else F.lit(0)
 
 
 def compared_in_order(docs: DataFrame) -> DataFrame:
@@ -131,20 +134,29 @@ def compared_in_order(docs: DataFrame) -> DataFrame:
     The edited text has its last third (rounded down) replaced by as many code points, or all, of the next
     document, by descending doc_id; the next of the last is the first.
 
+    Ids are cut into parts of about equal size; the first document of a part is lent to the part before
+    it, so that texts are shuffled once and every pair meets in a task.
+
     * A null text is empty; the fingerprint of an empty text is empty, and like another empty one.
     * Null ids come last; rows that repeat an id come in the order of their texts, and rows equal in both are alike.
     * A single document is its own next. An empty table gives no rows.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("hash")]
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    bounds = sorted({int(x) for x in found}, reverse=True)
+    # One row a part: its first id.
+    firsts = dict(ids.groupBy(_placed(F.col("doc_id"), bounds).alias("part")).agg(F.max("doc_id").alias("first")).toArrow().select(["part", "first"]).to_pandas().itertuples(index=False, name=None))
+    used = sorted(firsts)
+    first_of = [None if firsts.get(k) is None or firsts[k] != firsts[k] else int(firsts[k]) for k in range(len(bounds) + 1)]
+    to = {k: used[i - 1] for i, k in enumerate(used)}
+    lent_to = [to.get(k, 0) for k in range(len(bounds) + 1)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("hash", F.xxhash64("text"))
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
-    done = stored(placed.mapInArrow(_neighbours, PART_DDL), "lz-parts")
-    # The parts' edges: two rows a part.
-    firsts = done.where("edge = 'first'").select("part", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
-    parts = done.where("edge = 'first'").select("part")
-    begin = F.min("part").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    following = parts.select("part", F.coalesce(F.lead("part").over(Window.partitionBy(F.lit(0)).orderBy("part")), begin).alias("next"))
-    lasts = done.where("edge = 'last'").select("part", "doc_id", "text").join(following, "part")
-    pairs = lasts.join(firsts.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "next_text", "next_fingerprint")
-    return done.where("edge is null").select(*ARROW.names).union(pairs.mapInArrow(_joined, RESULT))
+    rows = rows.withColumn("own", _placed(F.col("doc_id"), bounds))
+    leads = F.col("doc_id").eqNullSafe(F.element_at(F.lit(first_of).cast("array<long>") if any(x is not None for x in first_of) else F.array(*[F.lit(None).cast("long") for _ in first_of]), F.col("own") + 1))
+    here = F.struct(F.col("own").alias("part"), F.lit(False).alias("lent"))
+    there = F.struct(F.element_at(F.lit(lent_to).cast("array<int>"), F.col("own") + 1).alias("part"), F.lit(True).alias("lent"))
+    dealt = rows.select("doc_id", "text", F.inline(F.when(leads, F.array(here, there)).otherwise(F.array(here))))
+    order = [F.col("part"), F.col("lent"), F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
+    placed = dealt.repartitionByRange("part").sortWithinPartitions(*order)
+    return placed.select("part", "lent", "doc_id", "text").mapInArrow(_neighbours, RESULT)
