@@ -14,7 +14,7 @@ from seedloom.llm.common import id_remainder, shielded, stored, table, unshielde
 from seedloom.llm.queries import tokenizer_path
 
 #: A document stays if its leading language has at least this proportion.
-LEAST_PROPORTION = 0.5
+LEAST_PROPORTION = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
