@@ -8,6 +8,7 @@ set of languages grows while the likelihood gains more than a penalty per langua
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,7 @@ def _symbols() -> bytes:
 
 
 SYMBOLS = _symbols()
+LETTER = re.compile(rb"[A-Za-z]")
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -46,10 +48,8 @@ def trigrams(text: bytes) -> np.ndarray:
 
 
 def has_letter(text: bytes) -> bool:
-    symbols = text.translate(SYMBOLS)
-    if not symbols.strip(b"\0"):
-        return False
-    return any(1 <= c <= 26 for c in symbols) if len(symbols) < 64 else True if max(symbols) < 32 else any(c.isalpha() for c in text.decode("utf-8", "replace"))
+    """Whether any character is a letter, of whatever script."""
+    return bool(LETTER.search(text)) or (max(text, default=0) > 127 and any(c.isalpha() for c in text.decode("utf-8", "replace")))
 
 
 @dataclass

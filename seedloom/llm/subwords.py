@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: Words that a worker remembers: those of late, and as many of before.
-MOST_WORDS = 300_000
+MOST_WORDS = 500_000
 #: Words encoded in one string.
 JOINED = 512
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -25,11 +25,14 @@ from .common import stored
 INSULTS = ("bastard", "bitch", "clown", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "pig", "scum", "shit", "stupid", "trash", "vermin", "worthless")
 #: Patterns that vote from the start.
 PATTERNS = (r"(?i)\byou(?:'re| are) (?:an? )?(?:\w+ )?(?:idiot|moron|loser|clown|fool)", r"(?i)\bshut up\b", r"(?i)\bgo (?:to hell|die)\b", r"(?:\b[A-Z]{3,}\W+){8}")
+#: Fits of the label model: after each but the last, voters' weights are set by how they go together within a class.
+PHASES = 3
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that may vote.
 STEMS = (4, 5, 6, 7)
-#: Parameters of the fit: rows of the bounded samples, voters, documents a voter must be seen in, its least share of toxic ones.
-SAMPLE, MOST_VOTERS, LEAST_SEEN, LEAST_RATE = 20_000, 600, 6, 0.75
+#: Parameters of the fit: labelled rows that choose the voters, rows that the models are fitted to, voters, documents a voter must be
+#: seen in, its least share of toxic ones.
+LABELLED, SAMPLE, MOST_VOTERS, LEAST_SEEN, LEAST_RATE = 40_000, 20_000, 600, 6, 0.75
 
 
 def features(text: str) -> tuple[set[str], list[set[str]]]:
@@ -98,83 +101,96 @@ def chosen_voters(counted: DataFrame, share: float) -> Voters:
     return Voters(voting, stems, PATTERNS)
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """votes (documents, voters) of 0/1; known: 1, 0, or -1 where there is no label -> posteriors, and rates and weights.
+def label_model(votes: np.ndarray, times: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """votes (patterns, voters) of 0/1; times each pattern occurs; known: the share of toxic ones among its labelled rows, or -1 if it has none
+    -> posteriors, and rates and weights.
 
-    Labels start the posteriors and are then left out, so that the posterior of each row is what the votes say.
+    Labels start the posteriors and are then left out, so that the posterior of each pattern is what its votes say.
     """
-    n, m = votes.shape
-    q = np.where(known >= 0, known, votes.any(axis=1)).astype(np.float64)
-    weight = np.ones(m)
-    for r in range(rounds):
-        prior = min(max((q.sum() + 1) / (n + 2), 1e-4), 0.5)
-        on = (q @ votes + 0.5) / (q.sum() + 1)
-        off = ((1 - q) @ votes + 0.02) / ((1 - q).sum() + 1)
-        on, off = np.clip(on, 1e-5, 1 - 1e-5), np.clip(off, 1e-6, 1 - 1e-6)
-        if r % 10 == 0:
-            rest = (votes - (q[:, None] * on + (1 - q)[:, None] * off)).astype(np.float32)
+    q = np.where(known >= 0, known, votes.any(axis=1)).astype(np.float32)
+    times = times.astype(np.float32)
+    weight = np.ones(votes.shape[1], np.float32)
+    on = off = weight
+    for phase in range(PHASES):
+        for _ in range(rounds):
+            toxic, clean = q * times, (1 - q) * times
+            prior = min(max(float((toxic.sum() + 1) / (times.sum() + 2)), 1e-4), 0.5)
+            on = np.clip((toxic @ votes + 0.5) / (toxic.sum() + 1), 1e-5, 1 - 1e-5)
+            off = np.clip((clean @ votes + 0.02) / (clean.sum() + 1), 1e-6, 1 - 1e-6)
+            # A voter that is silent says little: most documents of either class have none of its words.
+            said = weight * (np.log(on) - np.log(off))
+            silent = weight * (np.log1p(-on) - np.log1p(-off))
+            z = np.log(prior / (1 - prior)) + votes @ said + (1 - votes) @ silent
+            before, q = q, (1 / (1 + np.exp(-np.clip(z, -40, 40)))).astype(np.float32)
+            if np.abs(q - before).max() < 1e-4:
+                break
+        if phase < PHASES - 1:
+            rest = (votes - (q[:, None] * on + (1 - q)[:, None] * off)) * np.sqrt(times)[:, None]
             size = np.sqrt((rest**2).sum(axis=0) + 1e-9)
-            together = np.abs(rest.T @ rest) / np.outer(size, size)
+            together = (rest.T @ rest) / np.outer(size, size)
             np.fill_diagonal(together, 0)
             weight = 1 / (1 + np.where(together > 0.2, together, 0).sum(axis=1))
-        # A voter that is silent says little: most documents of either class have none of its words.
-        said = weight * (np.log(on) - np.log(off))
-        silent = weight * (np.log1p(-on) - np.log1p(-off))
-        z = np.log(prior / (1 - prior)) + votes @ said + (1 - votes) @ silent
-        new = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        if np.abs(new - q).max() < 1e-4:
-            q = new
-            break
-        q = new
     return q, {"on": on, "off": off, "weight": weight}
 
 
-def linear(votes: np.ndarray, target: np.ndarray, steps: int = 400, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def linear(votes: np.ndarray, times: np.ndarray, target: np.ndarray, steps: int = 400, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets by full-batch Adam; features are the votes and log(1 + their number)."""
     x = np.hstack([votes, np.log1p(votes.sum(axis=1, keepdims=True))]).astype(np.float32)
-    w, b = np.zeros(x.shape[1]), 0.0
+    share = (times / times.sum()).astype(np.float32)
+    w, b = np.zeros(x.shape[1], np.float32), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
-        g, gb = x.T @ (p - target) / len(x) + ridge * w, float((p - target).mean())
+        p = 1 / (1 + np.exp(-np.clip(x @ w + np.float32(b), -40, 40)))
+        off = (p - target) * share
+        g, gb = x.T @ off + ridge * w, float(off.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c, d = 1 - 0.9**t, 1 - 0.99**t
-        w -= rate * (m / c) / (np.sqrt(v / d) + 1e-8)
+        w = w - rate * (m / c) / (np.sqrt(v / d) + 1e-8)
         b -= rate * (mb / c) / (np.sqrt(vb / d) + 1e-8)
     return w, b
 
 
-def _bounded(rows: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows at most, by a hash of the id: the same rows whatever the partitions."""
-    n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+def _share(n: int, most: int) -> int:
+    """Of a million hash values, how many to keep so that about ``most`` of n rows stay."""
+    return 1_000_000 if n <= most else int(1_000_000 * most / n)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """docs (doc_id, text) and labels (doc_id, toxic) to learn from. All labelled rows count towards the choice of voters;
-    the label model and the classifier see about ``sample`` rows at most, which is also what reaches the driver."""
+def _hashed(seed: int) -> Column:
+    """A number below a million from the id, the same whatever the partitions."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1_000_000))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, sample: int = SAMPLE) -> Classifier:
+    """docs (doc_id, text) and labels (doc_id, toxic) to learn from.
+
+    About ``labelled`` labelled rows at most choose the voters, and about ``sample`` rows at most, labelled or not, fit the
+    models; so the labels that every task gets have a bounded size, and no text leaves its place. Patterns of votes reach the driver.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    # Ids and labels are small beside texts: the texts stay where they are once Spark has counted the labels.
-    labelled = docs.where("text is not null").join(known, "doc_id")
-    totals = known.join(docs.select("doc_id"), "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
-    counted = stored(feature_counts(labelled), "toxicity-features")
-    voters = chosen_voters(counted, (totals["t"] or 0) / max(totals["n"], 1))
-    sampled = _bounded(docs.select("doc_id", "text"), sample).join(known, "doc_id", "left")
+    known = stored(known, "toxicity-labels")
+    chosen = stored(known.where(_hashed(11) < _share(known.count(), labelled)), "toxicity-chosen")
+    totals = chosen.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    counted = stored(feature_counts(docs.where("text is not null").join(F.broadcast(chosen), "doc_id")), "toxicity-features")
+    voters = chosen_voters(counted, totals["t"] / max(totals["n"], 1))
+    part = _hashed(13) < _share(max(docs.count(), known.count()), sample)
+    sampled = docs.where(part).select("doc_id", "text").join(F.broadcast(known.where(part)), "doc_id", "left")
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = [voters.votes(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("toxic"), pa.array(v, pa.list_(pa.int32()))], names=["doc_id", "toxic", "votes"])
+            v = [sorted(voters.votes(t or "")) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(v, pa.list_(pa.int32()))], names=["toxic", "votes"])
 
-    rows = sampled.select("doc_id", "text", "toxic").mapInArrow(voted, "doc_id long, toxic int, votes array<int>").toArrow().sort_by("doc_id")
-    votes = np.zeros((rows.num_rows, voters.size), np.float32)
-    for i, v in enumerate(rows.column("votes").to_pylist()):
-        votes[i, v] = 1
-    if not len(votes):
+    rows = sampled.select("text", "toxic").mapInArrow(voted, "toxic int, votes array<int>")
+    patterns = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("known")).orderBy("votes").toArrow()
+    if not patterns.num_rows:
         return Classifier(voters, np.zeros(voters.size + 1), -4.0)
-    toxic = np.array([-1 if t is None else t for t in rows.column("toxic").to_pylist()])
-    posterior, _ = label_model(votes, toxic)
-    w, b = linear(votes, posterior)
+    votes = np.zeros((patterns.num_rows, voters.size), np.float32)
+    for i, v in enumerate(patterns.column("votes").to_pylist()):
+        votes[i, v] = 1
+    times = patterns.column("n").to_numpy()
+    share = np.array([-1.0 if x is None else x for x in patterns.column("known").to_pylist()])
+    posterior, _ = label_model(votes, times, share)
+    w, b = linear(votes, times, posterior)
     return Classifier(voters, w, b)
 
 
