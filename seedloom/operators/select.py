@@ -123,17 +123,16 @@ def erfc(x: Column) -> Column:
     return total * F.exp(-x * x)
 
 
-def scored_pairs(alignments: DataFrame, insert: InsertSize, mismatch: int = -150, same_strand: bool = True, first_before_second: bool = True) -> DataFrame:
-    """``pairs`` with ``pair_score``: the ends' scores less what an unlikely distance or strand costs."""
+def scored_pairs(alignments: DataFrame, insert: InsertSize, match: int = 50, mismatch: int = -150, same_strand: bool = True, first_before_second: bool = True) -> DataFrame:
+    """``pairs`` with ``pair_score``: the ends' scores less what an unlikely distance or strand costs, in units of what a mismatch loses."""
     p = pairs(alignments)
     d = distance(F.col("position_1"), F.col("position_2"), F.col("strand_1"), first_before_second)
     far = F.lit(MOST_DEVIATIONS)
     z = far if insert.deviation is None else F.least(F.abs(d - insert.mean) / insert.deviation, far)
     off = strand_differs(F.col("strand_1"), F.col("strand_2"), same_strand) | (F.col("contig_1") != F.col("contig_2"))
     z = F.when(off, far).otherwise(z)
-    cost = (mismatch * -F.log10(erfc(z * math.sqrt(0.5))) + 0.499).cast("int")
-    # A mismatch's score is negative, and so is the cost that it scales.
-    return p.withColumn("pair_score", F.col("score_1") + F.col("score_2") + cost)
+    cost = ((match - mismatch) * -F.log10(erfc(z * math.sqrt(0.5))) + 0.499).cast("int")
+    return p.withColumn("pair_score", F.col("score_1") + F.col("score_2") - cost)
 
 
 def best_pairs(scored: DataFrame, match_score: int, read_length: Column | None = None, random_best: bool = False, seed: int = 0) -> DataFrame:

@@ -90,6 +90,8 @@ PAIRED = f"""{REF}, {HALVES}, {matching(SECOND_MASK, '', 'halves', 64)},
 a AS MATERIALIZED (SELECT read_id, end_no, contig, position::BIGINT AS position, strand, (50 * len(offsets) - 400)::INT AS score FROM cals)"""
 UNIQUE = "b AS (SELECT * FROM (SELECT *, rank() OVER w AS r, count(*) OVER (PARTITION BY read_id, end_no, score) AS same FROM a WINDOW w AS (PARTITION BY read_id, end_no ORDER BY score DESC)) WHERE r = 1 AND same = 1)"
 BOTH = "p AS (SELECT x.read_id, x.contig AS contig_1, x.position AS position_1, x.strand AS strand_1, x.score AS score_1, y.contig AS contig_2, y.position AS position_2, y.strand AS strand_2, y.score AS score_2 FROM {0} x JOIN {0} y ON x.read_id = y.read_id AND x.end_no = 1 AND y.end_no = 2)"
+#: Fixed value: erfc(3 / sqrt(2)), the chance of over three standard deviations.
+FAR = "0.0026997960632601866::DOUBLE"
 AHEAD = "CASE WHEN strand_1 = '+' THEN position_2 - position_1 ELSE position_1 - position_2 END"
 
 ORACLES: dict[str, str] = {
@@ -143,7 +145,7 @@ SELECT read_id, contig, position, strand, score, (CASE WHEN score < best OR n1 >
     "mapped_ends": f"WITH {PAIRED}, {UNIQUE} SELECT mapped, count(*) AS reads FROM (SELECT h.read_id, count(b.end_no) AS mapped FROM halves h LEFT JOIN b ON h.read_id = b.read_id AND h.end_no = b.end_no GROUP BY h.read_id) GROUP BY mapped",
     "pair_distances": f"WITH {PAIRED}, {UNIQUE}, {BOTH.format('b')} SELECT read_id, ({AHEAD})::BIGINT AS distance FROM p WHERE contig_1 = contig_2 AND strand_1 = strand_2 AND abs({AHEAD}) <= 20000",
     "insert_size": f"WITH {PAIRED}, {UNIQUE}, {BOTH.format('b')}, d AS (SELECT {AHEAD} AS d FROM p WHERE contig_1 = contig_2 AND strand_1 = strand_2 AND abs({AHEAD}) <= 20000) SELECT count(*) AS n, avg(d) AS mean, min(d)::BIGINT AS least, max(d)::BIGINT AS most FROM d",
-    "pair_scores": f"""WITH {PAIRED}, {BOTH.format('a')}, s AS (SELECT *, score_1 + score_2 - CASE WHEN strand_1 <> strand_2 OR contig_1 <> contig_2 OR abs(({AHEAD}) - 100.0) / 50.0 >= 3 THEN 385 ELSE NULL END AS off FROM p)
+    "pair_scores": f"""WITH {PAIRED}, {BOTH.format('a')}, s AS (SELECT *, score_1 + score_2 - CASE WHEN strand_1 <> strand_2 OR contig_1 <> contig_2 OR abs(({AHEAD}) - 100.0) / 50.0 >= 3 THEN trunc((50 + 150) * -log10({FAR}) + 0.499::DOUBLE)::INT ELSE NULL END AS off FROM p)
 SELECT read_id, contig_1, position_1, contig_2, position_2, off AS pair_score FROM s WHERE off IS NOT NULL""",
     "score_distribution": f"WITH {SCORED} SELECT n_cals, (trunc((least(greatest(score, -2000), 2000) + 2000)::DOUBLE / 10))::INT AS bucket, count(*) AS alignments FROM (SELECT *, count(*) OVER (PARTITION BY read_id, end_no) AS n_cals FROM a) GROUP BY ALL",
     "key_distribution": f"WITH {REF}, {seeds('111111')}, n AS (SELECT key, count(*) AS forward FROM idx GROUP BY key) SELECT n.key, n.forward, n.forward + CASE WHEN n.key = {TURN.format('n.key')} THEN 0 ELSE coalesce(m.forward, 0) END AS both FROM n LEFT JOIN n m ON m.key = {TURN.format('n.key')}",

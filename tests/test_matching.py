@@ -307,6 +307,8 @@ def test_choice_and_quality(spark):
 def test_pairs(spark):
     a = scored_frame(spark, [(1, 1, 1, 100, "+", 10), (1, 2, 1, 200, "+", 10), (1, 2, 1, 5000, "+", 10), (2, 1, 1, 5, "+", 9)])
     rows = select.scored_pairs(a, select.InsertSize(100.0, 10.0))
+    # Over three deviations off costs 200 * -log10(erfc(3 / sqrt(2))).
+    assert {r.position_2: r.pair_score for r in rows.collect()} == {200: 20, 5000: 20 - 514}
     best = select.best_pairs(rows, 50).collect()
     assert [(r.position_1, r.position_2) for r in best] == [(100, 200)] and best[0].pair_score == 20
     assert select.insert_size(select.distances(a)) == select.InsertSize()
