@@ -351,6 +351,29 @@ def test_lm_counts_and_base_scores(spark, monkeypatch):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_lm_slots_and_successors_cover_all_rows(spark, monkeypatch):
+    """However few windows are sampled to train on."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["the", "cat", "sat", "zyzzyva", "on", "mats"], k=rng.randint(0, 90)))) for i in range(40)] + [(40, None)]
+    tokenizer = tokenizer_path("byte_bpe_50k.json")
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    monkeypatch.setattr(attention, "SAMPLE", 1)
+    monkeypatch.setattr(attention, "trained", lambda *a: None)
+    model = attention.fitted(docs, attention.word_counts(docs), tokenizer, sum(len((t or "").split()) + 1 for _, t in rows))
+    coder = subwords.word_ids(tokenizer, lead=True)
+    texts = [[*np.frombuffer(coder.of_words((t or "").encode().split()), "<u4").tolist(), attention.END] for _, t in rows]
+    n = Counter(i for t in texts for i in t)
+    common = [attention.END] + sorted(n.keys() - {attention.END}, key=lambda i: (-n[i], i))
+    assert [int(model.slot[i]) for i in common] == list(range(len(common)))
+    pairs = np.zeros((attention.SLOTS, attention.SLOTS))
+    for t in texts:
+        for x, y in zip([attention.END, *t], t):
+            pairs[model.slot[x], model.slot[y]] += 1
+    ids = np.array([n[i] for i in range(attention.VOCABULARY)], float)
+    whole = attention.fresh(model.slot, ids, pairs)
+    assert np.allclose(model.direct, whole.direct) and np.allclose(model.direct_group, whole.direct_group) and np.allclose(model.rare, whole.rare)
+
+
 def small_model(seed=0):
     rng = np.random.default_rng(seed)
     slot = np.full(attention.VOCABULARY, attention.OTHER, np.int16)
