@@ -1,29 +1,27 @@
-"""Best-fit packing of documents into sequences, by hierarchical residual packing.
+"""Best-fit packing of documents into sequences, over the whole corpus at once.
 
-Each input split packs its own pieces by best fit, longest first. Sequences that are nearly
-full are finished; the others are items for the next round, in which a few splits' leftovers
-meet and are packed again, and so on up a tree whose last round is one small group.
+Pieces of one length are alike, so best fit needs only how many there are of each length, of which there are at
+most ``capacity``. It is told from these counts, in runs of sequences that are filled alike, and each piece finds its
+sequence by its length and its number among the pieces of that length.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 from .subwords import word_ids
 
-#: Splits, then groups, that meet in a round.
-FAN_IN = 8
-#: Sequences that a group hands on at most, the emptiest; fuller ones are finished as they are.
-MOST_OPEN = 4096
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, open boolean, part int"
-NAMES = [x.split()[0] for x in PACKED.split(", ")]
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
@@ -48,82 +46,80 @@ def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def least_fill(capacity: int, level: int) -> int:
-    """A sequence this full is finished in round ``level``: 31/32 first, then 15/16, and half from the fifth on, when at most one bin a group goes on."""
-    return capacity - (capacity >> max(1, 5 - level))
-
-
-def _open(fills: list[int], capacity: int, level: int) -> set[int]:
-    under = sorted((f, b) for b, f in enumerate(fills) if f < least_fill(capacity, level))
-    return {b for _, b in under[:MOST_OPEN]}
-
-
-def packed_locally(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0) -> DataFrame:
-    """docs (doc_id, text) -> pieces in the bins of their input split."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Runs:
+    """Pieces in order of falling length, in runs: the first piece, its sequence, what lies in that before it, pieces a sequence."""
+
+    first: dict[int, int]  # of each length
+    at: np.ndarray
+    sequence: np.ndarray
+    base: np.ndarray
+    each: np.ndarray
+
+    def places(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequences and offsets of pieces by length and number among those of that length."""
+        kinds, which = np.unique(lengths, return_inverse=True)
+        piece = np.array([self.first[int(n)] for n in kinds], np.int64)[which] + ranks
+        run = np.searchsorted(self.at, piece, side="right") - 1
+        k = piece - self.at[run]
+        return self.sequence[run] + k // self.each[run], self.base[run] + k % self.each[run] * lengths
+
+
+def best_fit_runs(counts: dict[int, int], capacity: int) -> Runs:
+    """What ``best_fit`` does, for ``counts`` of pieces by length."""
+    room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # runs of sequences (first, how many) by what they still take
+    some = 0  # bit r is set if a sequence has room r
+    first, runs, done, new = {}, [], 0, 0
+    for n in sorted(counts, reverse=True):
+        first[n], left = done, counts[n]
+        while left:
+            fits = some >> n
+            if fits:
+                r = n + (fits & -fits).bit_length() - 1
+                begin, many = room[r].pop()
+                if not room[r]:
+                    some ^= 1 << r
+            else:
+                r, begin, many = capacity, new, -(-left // (capacity // n))
+                new += many
+            # A sequence takes all it can before the next, since it is then the fullest that still takes one.
+            each = r // n
+            whole = min(many, left // each)
+            for k, held in ((whole, each), (min(1, many - whole), left - whole * each)):
+                if k and held:
+                    runs.append((done, begin, capacity - r, held))
+                    room[r - held * n].append((begin, k))
+                    some |= 1 << (r - held * n)
+                    done, left, begin, many = done + k * held, left - k * held, begin + k, many - k
+            if many:
+                room[r].append((begin, many))
+                some |= 1 << r
+    return Runs(first, *(np.array(c, np.int64) for c in (zip(*runs) if runs else [[]] * 4)))
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0) -> DataFrame:
+    """docs (doc_id, text) -> pieces, numbered by length within each input split (part, rank)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = word_ids(tokenizer), TaskContext.get().partitionId()
-        last, full = end.to_bytes(4, "little"), 0
-        tails: list[tuple] = []
+        last, seen = end.to_bytes(4, "little"), [0] * (capacity + 1)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist()):
                 ids = coder.of_text(text or b"") + last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
-                    row = (doc_id, k, at // 4, len(own) // 4, zlib.crc32(own))
-                    if len(own) == 4 * capacity:
-                        rows.append((*row, part << 32 | full, 0, capacity, False, part))
-                        full += 1
-                    else:
-                        tails.append(row)
-            yield _batch(rows)
-        bins = best_fit([t[3] for t in tails], capacity)
-        fills = [sum(tails[i][3] for i in b) for b in bins]
-        open_ = _open(fills, capacity, 0)
-        rows = []
-        for b, (items, fill) in enumerate(zip(bins, fills)):
-            offset = 0
-            for i in items:
-                rows.append((*tails[i], part << 32 | (full + b), offset, fill, b in open_, part))
-                offset += tails[i][3]
-        yield _batch(rows)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(packed, PACKED)
-
-
-TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-ARROW = pa.schema([(n, TYPES[t]) for n, t in (x.split() for x in PACKED.split(", "))])
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[] for _ in NAMES]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW)], schema=ARROW)
-
-
-def merged(bins: DataFrame, level: int, capacity: int, last: bool) -> DataFrame:
-    """Open bins of ``FAN_IN`` groups of the last round, each an item with its fill, packed again."""
-
-    def packed(key: tuple, rows: pa.Table) -> pa.Table:
-        group = key[0].as_py()
-        members: dict[int, list[dict]] = {}
-        for r in rows.sort_by([("bin", "ascending"), ("offset", "ascending")]).to_pylist():
-            members.setdefault(r["bin"], []).append(r)
-        items = sorted(members, key=lambda b: (-members[b][0]["fill"], b))
-        packs = best_fit([members[b][0]["fill"] for b in items], capacity)
-        fills = [sum(members[items[i]][0]["fill"] for i in p) for p in packs]
-        open_ = set() if last else _open(fills, capacity, level)
-        out = []
-        for n, (pack, fill) in enumerate(zip(packs, fills)):
-            base = 0
-            for i in pack:
-                for r in members[items[i]]:
-                    out.append((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], level << 56 | group << 32 | n, base + r["offset"], fill, n in open_, group))
-                base += members[items[i]][0]["fill"]
-        return pa.Table.from_batches([_batch(out)])
-
-    grouped = bins.withColumn("group", F.floor(F.col("part") / FAN_IN).cast("int"))
-    return grouped.groupBy("group").applyInArrow(packed, PACKED)
+                    n = len(own) // 4
+                    rows.append((doc_id, k, at // 4, n, zlib.crc32(own), part, seen[n]))
+                    seen[n] += 1
+            columns = list(zip(*rows)) if rows else [[] for _ in ARROW]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW)], schema=ARROW)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+
+
+TYPES = {"long": pa.int64(), "int": pa.int32()}
+ARROW = pa.schema([(n, TYPES[t]) for n, t in (x.split() for x in PIECES.split(", "))])
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0) -> DataFrame:
@@ -132,13 +128,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0) ->
     * A document is its ids and ``end``; a null or empty text is ``end`` alone. Only documents longer than
       ``capacity`` are cut, into pieces of that length and a last one that may be shorter.
     * Repeated rows are packed as often as they occur. Ids may be null or equal; an empty table gives no rows.
+    * The driver gets one count for each length.
     """
-    now = stored(packed_locally(docs, tokenizer, capacity, end), "pack-0")
-    done, level = now.where(~F.col("open")), 0
-    groups = (now.agg(F.max("part")).first()[0] or 0) + 1
-    waiting = now.where("open")
-    while not waiting.isEmpty():
-        level, groups = level + 1, -(-groups // FAN_IN)
-        now = stored(merged(waiting, level, capacity, groups == 1), f"pack-{level}")
-        done, waiting = done.union(now.where(~F.col("open"))), now.where("open")
-    return done.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    now = stored(pieces(docs, tokenizer, capacity, end), "pack-pieces")
+    counts = stored(now.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
+    every = counts.groupBy("length").agg(F.sum("n").alias("n")).toArrow()
+    runs = best_fit_runs(dict(zip(every.column("length").to_pylist(), every.column("n").to_pylist())), capacity)
+    shared = docs.sparkSession.sparkContext.broadcast(runs)
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    numbered = now.join(counts.select("part", "length", before.alias("before")), ["part", "length"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [x.split()[0] for x in PACKED.split(", ")]
+        for b in batches:
+            sequence, offset = shared.value.places(b.column("length").to_numpy(), b.column("number").to_numpy())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept[:-2]], pa.array(sequence), pa.array(offset)], names=kept)
+
+    return numbered.withColumn("number", F.col("before") + F.col("rank")).mapInArrow(placed, PACKED)

@@ -116,6 +116,34 @@ def test_packing_keeps_every_token(spark, splits, capacity):
     assert len(sequences) <= (1.02 if capacity == 2048 else 1.05) * least + 2
 
 
+def test_best_fit_of_counts():
+    rng = random.Random(6)
+    for capacity, n in [(10, 40), (64, 500), (100, 3000), (7, 1)]:
+        lengths = [rng.choice([rng.randint(1, capacity), rng.randint(1, 3)]) for _ in range(n)]
+        runs, seen, rows = packing.best_fit_runs(Counter(lengths), capacity), Counter(), {}
+        ranks = []
+        for x in lengths:
+            ranks.append(seen[x])
+            seen[x] += 1
+        for x, b, o in zip(lengths, *runs.places(np.array(lengths), np.array(ranks))):
+            rows.setdefault(int(b), []).append((int(o), x))
+        for items in rows.values():
+            ends = [0, *np.cumsum([x for _, x in sorted(items)]).tolist()]
+            assert [o for o, _ in sorted(items)] == ends[:-1] and ends[-1] <= capacity
+        want = packing.best_fit(lengths, capacity)
+        assert Counter(tuple(sorted(x for _, x in i)) for i in rows.values()) == Counter(tuple(sorted(lengths[i] for i in b)) for b in want)
+
+
+def test_packing_meets_over_all_splits(spark, monkeypatch):
+    """Documents of which no two fit together, in some splits, and short ones that fill them, in others."""
+    monkeypatch.setattr(packing, "MOST_OPEN", 4, raising=False)
+    rows = [(i, "d " * (39 if i < 120 else 23)) for i in range(240)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartitionByRange(6, "doc_id")
+    got = packing.pack(docs, tokenizer_path(), 64).collect()
+    assert sorted(r.length for r in got) == [24] * 120 + [40] * 120
+    assert len({r.sequence_id for r in got}) == 120
+
+
 def test_packing_nothing(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokenizer_path()).count() == 0
 
