@@ -52,15 +52,15 @@ class Scoring:
         return self.nt_match + (self.color_match if space == "color" else 0)
 
 
-def chunks(reference: DataFrame, size: int = 4096, overlap: int = 1024) -> DataFrame:
-    """reference (contig, seq) -> contig, chunk (from 0), start (from 1), seq of ``size + overlap`` bases at most."""
+def chunks(reference: DataFrame, size: int = 4096) -> DataFrame:
+    """reference (contig, seq) -> contig, chunk (from 0), start (from 1), seq of ``size`` bases at most."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for contig, seq in zip(b.column("contig").to_pylist(), b.column("seq").to_pylist()):
                 seq = seq or ""
                 at = list(range(0, len(seq), size))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([contig] * len(at), pa.int64()), pa.array(list(range(len(at))), pa.int32()), pa.array([a + 1 for a in at], pa.int64()), pa.array([seq[a : a + size + overlap] for a in at], pa.string())],
+                    [pa.array([contig] * len(at), pa.int64()), pa.array(list(range(len(at))), pa.int32()), pa.array([a + 1 for a in at], pa.int64()), pa.array([seq[a : a + size] for a in at], pa.string())],
                     names=["contig", "chunk", "start", "seq"],
                 )
 
@@ -72,13 +72,20 @@ def fetched(cals: DataFrame, pieces: DataFrame, offset: int = 20, size: int = 40
     in the read's direction; and ``window_start``, its first place, and ``window_offset``, where the read would begin in it."""
     lo = F.greatest(F.col("position") - offset, F.lit(1))
     placed = cals.withColumn("_lo", lo.cast("long")).withColumn("_n", (F.col("position") + F.col("length") + offset - lo).cast("int"))
-    placed = placed.withColumn("chunk", F.floor((F.col("_lo") - 1) / size).cast("int"))
-    joined = placed.join(pieces, ["contig", "chunk"])
-    forward = F.substring(F.col("seq"), (F.col("_lo") - F.col("start") + 1).cast("int"), F.col("_n"))
+    # A window may touch any number of chunks, each of which gives what it holds of it.
+    own, end, stop = placed.columns, F.col("_lo") + F.col("_n"), F.col("start") + size
+    first, last = (F.floor((c - 1) / size).cast("int") for c in (F.col("_lo"), end - 1))
+    touched = placed.withColumn("chunk", F.explode(F.sequence(first, F.greatest(first, last)))).join(pieces, ["contig", "chunk"])
+    begin = F.greatest(F.col("_lo"), F.col("start"))
+    part = F.substring(F.col("seq"), (begin - F.col("start") + 1).cast("int"), (F.least(end, stop) - begin).cast("int"))
+    grouped = touched.groupBy(*own).agg(F.sort_array(F.collect_set(F.struct("chunk", part.alias("part")))).alias("_parts"), F.count(F.lit(1)).alias("_rows"))
+    again = F.explode(F.array_repeat(F.lit(0), (F.col("_rows") / F.size("_parts")).cast("int")))  # candidates that repeat
+    joined = grouped.withColumn("_again", again).withColumn("_forward", F.array_join(F.transform("_parts", lambda p: p["part"]), ""))
+    forward = F.col("_forward")
     window = F.when(F.col("strand") == "-", reverse_complement(forward)).otherwise(forward)
     before = F.col("position") - F.col("_lo")
     after = F.length(forward) - before - F.col("length")
-    return joined.withColumn("window", window).withColumn("window_offset", F.when(F.col("strand") == "-", after).otherwise(before).cast("int")).withColumn("window_start", F.col("_lo")).drop("_lo", "_n", "chunk", "start", "seq")
+    return joined.withColumn("window", window).withColumn("window_offset", F.when(F.col("strand") == "-", after).otherwise(before).cast("int")).withColumn("window_start", F.col("_lo")).drop("_lo", "_n", "_parts", "_rows", "_again", "_forward")
 
 
 def is_exact(read: Column, window: Column, window_offset: Column) -> Column:

@@ -30,7 +30,7 @@ def align_reads(
     """reads (read_id, end_no, seq) on reference (contig, seq): the chosen alignments, with mapq."""
     index, frequency = index_of(reference, mask)
     cals, ends = match(reads, index, frequency, mask, options)
-    pieces = align.chunks(reference, chunk, 1024)
+    pieces = align.chunks(reference, chunk)
     found = align.local_align(with_mask(cals, mask), reads, pieces, scoring, gaps, constrained, offset, options.max_matches, chunk)
     end = reads.select("read_id", "end_no", F.length("seq").alias("_length")).join(ends.select("read_id", "end_no", "max_reached"), ["read_id", "end_no"])
     scored = align.mapping_quality(found.join(end, ["read_id", "end_no"]), F.lit(float(scoring.nt_match)), F.col("_length"), F.greatest(F.col("max_reached"), F.lit(0)))

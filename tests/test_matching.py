@@ -335,3 +335,19 @@ def test_stream_matches_once(spark, tmp_path):
         match_stream(stream, index, key_frequency(index), mask, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {r.read_id for r in rows} == {*range(5), *range(10, 15)} and len(rows) == len({(r.read_id, r.position, r.strand) for r in rows})
+
+
+def test_windows_of_long_reads_cross_chunks(spark):
+    rng = random.Random(12)
+    text = "".join(rng.choices("acgt", k=10_000))
+    places = [(1, 3000, "+"), (2, 4090, "-"), (3, 4096, "+"), (4, 4097, "+"), (5, 1, "-"), (6, 7990, "+"), (7, 9000, "-"), (3, 4096, "+")]
+    cals = spark.createDataFrame([(i, 1, 5, p, s, 5500 if i == 1 else 2000) for i, p, s in places], "read_id long, end_no int, contig long, position int, strand string, length int")
+    pieces = align.chunks(spark.createDataFrame([(5, text)], "contig long, seq string"))
+    got = sorted((r.read_id, r.window, r.window_start, r.window_offset) for r in align.fetched(cals, pieces).collect())
+    want = []
+    for i, p, strand in places:
+        n, lo = 5500 if i == 1 else 2000, max(p - 20, 1)
+        w = text[lo - 1 : p + n + 19]
+        turned = w[::-1].translate(str.maketrans("acgt", "tgca"))
+        want.append((i, turned if strand == "-" else w, lo, len(w) - (p - lo) - n if strand == "-" else p - lo))
+    assert got == sorted(want)
