@@ -366,7 +366,7 @@ def lm_rows(n=60):
 
 def test_lm_counts_and_base_scores(spark, monkeypatch):
     monkeypatch.setattr(attention, "TOP_WORDS", 3)
-    monkeypatch.setattr(attention, "EPOCHS", 1)
+    monkeypatch.setattr(attention, "ROUNDS", 1)
     rows = lm_rows()
     got = attention.scored(spark.createDataFrame(rows, "doc_id long, held_out boolean, text string"), tokenizer_path("byte_bpe_50k.json")).collect()
     tokens = lambda t: [*(t or "").translate({ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}).split(), None]
@@ -385,8 +385,8 @@ def test_lm_slots_and_successors_cover_all_rows(spark, monkeypatch):
     rows = [(i, " ".join(rng.choices(["the", "cat", "sat", "zyzzyva", "on", "mats"], k=rng.randint(0, 90)))) for i in range(40)] + [(40, None)]
     tokenizer = tokenizer_path("byte_bpe_50k.json")
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    monkeypatch.setattr(attention, "SAMPLE", 1)
-    monkeypatch.setattr(attention, "trained", lambda *a: None)
+    monkeypatch.setattr(attention, "SHARD", 1)
+    monkeypatch.setattr(attention, "trained", lambda m, sample: m.p)
     model = attention.fitted(docs, attention.word_counts(docs), tokenizer, sum(len((t or "").split()) + 1 for _, t in rows))
     coder = subwords.word_ids(tokenizer, lead=True)
     texts = [[*np.frombuffer(coder.of_words((t or "").encode().split()), "<u4").tolist(), attention.END] for _, t in rows]
@@ -412,19 +412,21 @@ def small_model(seed=0):
 
 
 def test_windows_score_each_place_once():
-    lengths = np.array([1, 5, 32, 33, 56, 57, 200])
-    own, first, scored = attention.windows(lengths)
+    lengths = np.array([1, 5, 48, 49, 64, 65, 200])
+    own, places, real, scored = attention.windows(lengths)
     start = np.cumsum(lengths) - lengths
     seen = Counter()
-    for o, f, s in zip(own, first, scored):
+    for o, place, r, s in zip(own, places, real, scored):
         for k in np.nonzero(s)[0]:
-            seen[int(o), int(f + k - start[o])] += 1
-            assert k >= attention.OVERLAP or f == start[o]
+            at = int(place[attention.OVERLAP + k] - start[o])
+            seen[int(o), at] += 1
+            assert min(at, attention.OVERLAP) <= r[: attention.OVERLAP + k].sum()
     assert seen == Counter({(i, k): 1 for i, n in enumerate(lengths) for k in range(n)})
 
 
 def test_model_is_a_distribution_and_causal():
     m, rng = small_model()
+    m.settled()
     x = rng.integers(0, 41, (1, attention.WINDOW))
     a = m.attended(x)[0]
     every = np.arange(attention.SLOTS)
@@ -432,13 +434,43 @@ def test_model_is_a_distribution_and_causal():
         lp = m.log_probability(np.repeat(a[t : t + 1], attention.SLOTS, axis=0), np.full(attention.SLOTS, x[0, t]), every)
         assert abs(np.exp(lp).sum() - 1) < 1e-4
     later = x.copy()
-    later[0, 20:] = 0
+    later[0, attention.OVERLAP + 20 :] = 0
     assert np.allclose(m.attended(later)[0, :20], a[:20], atol=1e-6)
     assert abs(np.exp(m.rare[m.slot == attention.OTHER]).sum() - 1) < 1e-6
 
 
+def lm_brute(m, ids):
+    """Natural logarithm of a text's probability, one place after another in plain Python, from the parameters of a model that isn't settled."""
+    heads, key, value, p = attention.HEADS, attention.KEY, attention.VALUE, {k: v.astype(float).tolist() for k, v in m.p.items()}
+    slots = [int(m.slot[attention.END]), *[int(m.slot[i]) for i in ids], int(m.slot[attention.END])]
+    total = 0.0
+    for t, target in enumerate(slots[1:]):
+        first = max(0, t // attention.STEP * attention.STEP - attention.OVERLAP)  # where the window begins that scores t
+        out = []
+        for h in range(heads):
+            q = p["q"][slots[t]][h * key : (h + 1) * key]
+            weights = [math.exp(sum(a * b for a, b in zip(q, p["k"][slots[j]][h * key : (h + 1) * key])) + p["r"][h][t - j]) for j in range(first, t + 1)]
+            for c in range(value):
+                out.append(sum(w * p["v"][slots[j]][h * value + c] for w, j in zip(weights, range(first, t + 1))) / sum(weights))
+        group = [sum(a * p["wg"][c][g] for c, a in enumerate(out)) + p["cg"][0] * float(m.direct_group[slots[t], g]) for g in range(attention.GROUPS)]
+        own = target // attention.MEMBERS
+        member = [sum(a * p["wm"][own][c][k] for c, a in enumerate(out)) + p["cm"][0] * float(m.direct[own, slots[t], k]) for k in range(attention.MEMBERS)]
+        total += group[own] - math.log(sum(map(math.exp, group))) + member[target % attention.MEMBERS] - math.log(sum(map(math.exp, member)))
+        total += float(m.rare[ids[t]]) if target == attention.OTHER else 0.0
+    return total
+
+
+def test_lm_scores_against_a_plain_forward_pass():
+    m, rng = small_model(4)
+    m.p = {k: v + rng.normal(0, 0.2, v.shape).astype(np.float32) for k, v in m.p.items()}
+    texts = [rng.integers(0, 60, n).astype("<u4") for n in (0, 1, 47, 48, 49, 70, 130)]
+    want = [lm_brute(m, [int(i) for i in t]) for t in texts]
+    assert np.allclose(m.settled().scores(texts, chunk=2), want, rtol=1e-4)
+
+
 def test_batches_don_t_change_scores():
     m, rng = small_model(3)
+    m.settled()
     texts = [rng.integers(0, 60, n).astype("<u4") for n in (0, 1, 30, 31, 32, 100, 333)]
     together = m.scores(texts, chunk=3)
     assert np.allclose(together, [m.scores([t])[0] for t in texts], rtol=1e-5)
@@ -446,10 +478,12 @@ def test_batches_don_t_change_scores():
 
 def test_gradient():
     m, rng = small_model(1)
-    x, y = rng.integers(0, 41, (3, attention.WINDOW)), rng.integers(0, 41, (3, attention.WINDOW))
-    inside = rng.random((3, attention.WINDOW)) < 0.8
+    x, y = rng.integers(0, 41, (3, attention.WINDOW)), rng.integers(0, 41, (3, attention.STEP))
+    y[rng.random(y.shape) < 0.2] = attention.GONE
+    x[0, :9], x[1, 60:] = attention.GONE, attention.GONE
+    y[1, 60 - attention.OVERLAP :] = attention.GONE
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    _, grad = attention._gradient(m, x, y, inside)
+    _, grad = attention._gradient(m, x, y)
     for name, value in m.p.items():
         for _ in range(4):
             at = tuple(rng.integers(0, n) for n in value.shape)
@@ -457,9 +491,9 @@ def test_gradient():
                 at = (int(rng.choice(x.ravel())), at[1])
             old, e = value[at], 1e-4
             value[at] = old + e
-            up, _ = attention._gradient(m, x, y, inside)
+            up, _ = attention._gradient(m, x, y)
             value[at] = old - e
-            down, _ = attention._gradient(m, x, y, inside)
+            down, _ = attention._gradient(m, x, y)
             value[at] = old
             assert abs((up - down) / (2 * e) - grad[name][at]) < 1e-4 + 0.01 * abs(grad[name][at]), name
 
@@ -470,10 +504,43 @@ def test_training_learns_what_is_far():
     x = rng.integers(0, 10, (600, attention.WINDOW + 1))
     for t in range(3, attention.WINDOW + 1):
         x[:, t] = (x[:, t - 3] + 1) % 10
-    losses = attention.trained(m, x[:, :-1], x[:, 1:], np.ones((600, attention.WINDOW), bool), epochs=60)
+    state, losses = attention.started(m.p), []
+    for number in range(15):
+        state, loss = attention.one_round(m, state, x[:, :-1], x[:, 1 + attention.OVERLAP :], number, 15)
+        losses.append(loss)
     assert losses[-1] < 0.6 * losses[0]
 
 
+def test_lm_shards_are_averaged(spark, monkeypatch):
+    monkeypatch.setattr(attention, "ROUNDS", 1)
+    m, rng = small_model(5)
+    rows = [(s, [attention.VOCABULARY] * attention.OVERLAP + [attention.END] + rng.integers(0, 40, attention.STEP).tolist()) for s in (0, 0, 1)]
+    got = attention.trained(m, spark.createDataFrame(rows, "shard int, ids array<int>").repartition(3))
+    ends = []
+    for s in (0, 1):
+        x, y = attention.targets(np.array(sorted(r for own, r in rows if own == s)), m.slot)
+        ends.append(attention.parameters(attention.one_round(m, attention.started(m.p), x, y, 0, 1)[0]))
+    for k in got:
+        assert np.allclose(got[k], (ends[0][k] + ends[1][k]) / 2, atol=1e-6), k
+
+
+def test_lm_long_words_repeated_rows_and_no_rows(spark, monkeypatch):
+    """Long words are met by their digest, and have the same counts and scores whether common or not; rows that repeat score alike."""
+    monkeypatch.setattr(attention, "ROUNDS", 1)
+    long, other = "z" * 5000, "y" * 300
+    rows = [(1, False, f"{long} a {long} b"), (1, False, f"{long} a {long} b"), (2, False, f"a {other}"), (3, True, f"{long} {other} {'x' * 400} a")]
+    frame = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string")
+    path = tokenizer_path("byte_bpe_50k.json")
+    seen = []
+    for most in (2, 100):
+        monkeypatch.setattr(attention, "TOP_WORDS", most)
+        got = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 3)) for r in attention.scored(frame, path).collect())
+        assert got[0] == got[1] and len(got) == 4
+        seen.append(got)
+    assert seen[0] == seen[1] and seen[0][3][1:4] == (5, 4, 13)
+    assert attention.scored(frame.where("false"), path).count() == 0
+
+
 def test_lm_nothing_to_learn_from(spark):
     rows = spark.createDataFrame([(1, True, "a b"), (2, None, None)], "doc_id long, held_out boolean, text string")
     got = {r.doc_id: r for r in attention.scored(rows, tokenizer_path("byte_bpe_50k.json")).collect()}
