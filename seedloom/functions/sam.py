@@ -125,7 +125,7 @@ def base_quality(first: Column, second: Column, first_error: Column, second_erro
 def records(alignments: DataFrame, ends: DataFrame, contigs: DataFrame, tags: str = "") -> DataFrame:
     """SAM records. alignments: read_id, end_no, contig, position, strand, score, mapq, aln_read, aln_ref; ends: read_id, name, end_no, seq, qual; contigs: contig, name.
 
-    An end without an alignment has a record at its mate's place. The best alignment of an end is its first. Reads of over two ends give none.
+    ``proper``, where alignments have it, tells proper pairs. An end without an alignment has a record at its mate's place. The best alignment of an end is its first. Reads of over two ends give none.
     """
     few = ends.withColumn("_ends", F.count(F.lit(1)).over(Window.partitionBy("read_id"))).where("_ends <= 2")
     order = Window.partitionBy("read_id", "end_no").orderBy(F.col("score").desc(), "contig", "position", "strand")
@@ -137,7 +137,7 @@ def records(alignments: DataFrame, ends: DataFrame, contigs: DataFrame, tags: st
     )
     rows = rows.join(mate, ["read_id", "end_no"], "left")
     mapped, mated, paired = F.col("position").isNotNull(), F.col("_mpos").isNotNull(), F.col("_ends") == 2
-    together = mapped & mated & (F.col("contig") == F.col("_mcontig"))
+    together = F.coalesce(mapped & mated & (F.col("contig") == F.col("_mcontig")), F.lit(False))
     absent = F.lit("*")
     tag = lambda name, kind, c: F.concat(F.lit(f"\t{name}:{kind}:"), c.cast("string"))
     extra = F.concat(
@@ -149,7 +149,7 @@ def records(alignments: DataFrame, ends: DataFrame, contigs: DataFrame, tags: st
 
     fields = [
         F.col("name"),
-        flag(paired, F.lit(False), mapped, mated, F.coalesce(reverse, F.lit(False)), F.coalesce(F.col("_mstrand") == "-", F.lit(False)), F.col("end_no"), F.coalesce(F.col("_hit") > 1, F.lit(False))),
+        flag(paired, together & F.coalesce(F.col("proper"), F.lit(False)) if "proper" in alignments.columns else F.lit(False), mapped, mated, F.coalesce(reverse, F.lit(False)), F.coalesce(F.col("_mstrand") == "-", F.lit(False)), F.col("end_no"), F.coalesce(F.col("_hit") > 1, F.lit(False))),
         F.coalesce("_rname", F.when(paired, F.col("_mname")), absent),
         F.coalesce("position", F.when(paired, F.col("_mpos")), F.lit(0)),
         F.coalesce("mapq", F.lit(0)),

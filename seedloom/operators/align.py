@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import reverse_complement
+from ..functions.bases import bases_of_colors, normalised_color_read, reverse_complement
+from ..storage import stored
 
 LOW = -(1 << 27)
 ALIGNMENT = "contig long, position long, strand string, score int, aln_read string, aln_ref string"
@@ -52,17 +53,22 @@ class Scoring:
         return self.nt_match + (self.color_match if space == "color" else 0)
 
 
+#: Chunks of an output batch.
+CHUNKS = 1024
+
+
 def chunks(reference: DataFrame, size: int = 4096) -> DataFrame:
     """reference (contig, seq) -> contig, chunk (from 0), start (from 1), seq of ``size`` bases at most."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for contig, seq in zip(b.column("contig").to_pylist(), b.column("seq").to_pylist()):
                 seq = seq or ""
-                at = list(range(0, len(seq), size))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([contig] * len(at), pa.int64()), pa.array(list(range(len(at))), pa.int32()), pa.array([a + 1 for a in at], pa.int64()), pa.array([seq[a : a + size] for a in at], pa.string())],
-                    names=["contig", "chunk", "start", "seq"],
-                )
+                for first in range(0, len(seq), size * CHUNKS):
+                    at = list(range(first, min(first + size * CHUNKS, len(seq)), size))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([contig] * len(at), pa.int64()), pa.array([a // size for a in at], pa.int32()), pa.array([a + 1 for a in at], pa.int64()), pa.array([seq[a : a + size] for a in at], pa.string())],
+                        names=["contig", "chunk", "start", "seq"],
+                    )
 
     return reference.select(F.col("contig").cast("long").alias("contig"), "seq").mapInArrow(cut, "contig long, chunk int, start long, seq string")
 
@@ -232,25 +238,28 @@ def gapped(reads: list[str], windows: list[str], s: Scoring) -> list[tuple[int,
     return out
 
 
-def gapped_constrained(read: str, window: str, mask: str, offset: int, s: Scoring) -> tuple[int, int, str, str]:
-    """As ``gapped``, for a path that goes along the diagonal at ``offset`` from the first 1 of ``mask`` to its last. A mask without a 1 doesn't bind."""
-    first, last = mask.find("1"), mask.rfind("1")
-    if first < 0 or offset < 0 or offset + last >= len(window):
-        return gapped([read], [window], s)[0]
-    low, column = [_bytes(x.lower())[None] for x in (read, window)], offset + first
-    score, a, r, start = 0, "", "", column
-    if first:
-        m = _filled(low[0][:, :first], low[1][:, :column], s, False)
-        score = int(m[0][first, 0, column])
-        a, r, start = _traced(m, 0, read[:first], window[:column], first, column, s, False)
-    middle, under = read[first:last], window[column : offset + last]
-    score += sum(s.nt_match if x.lower() == y.lower() else s.nt_mismatch for x, y in zip(middle, under))
-    rest, after = read[last:], window[offset + last :]
-    m = _filled(low[0][:, last:], low[1][:, offset + last :], s, True)
-    col = 1 + int(m[0][len(rest), 0, 1:].argmax())
-    score += int(m[0][len(rest), 0, col])
-    a2, r2, _ = _traced(m, 0, rest, after, len(rest), col, s, True)
-    return score, start, a + middle + a2, r + under + r2
+def gapped_constrained(reads: list[str], windows: list[str], first: int, last: int, offset: int, s: Scoring) -> list[tuple[int, int, str, str]]:
+    """As ``gapped``, for paths that go along the diagonal at ``offset`` from place ``first`` of the read, the first 1 of its mask, to ``last``, the last.
+
+    All reads are of one length, and all windows, and their masks begin and end alike. Where the diagonal isn't in the window, or there is no 1 (``first`` below 0), nothing binds.
+    """
+    if first < 0 or offset < 0 or offset + last >= len(windows[0]):
+        return gapped(reads, windows, s)
+    low = [np.stack([_bytes(x.lower()) for x in xs]) for xs in (reads, windows)]
+    column = offset + first
+    before = _filled(low[0][:, :first], low[1][:, :column], s, False) if first else None
+    middle = np.where(low[0][:, first:last] == low[1][:, column : offset + last], s.nt_match, s.nt_mismatch).sum(axis=1)
+    behind = _filled(low[0][:, last:], low[1][:, offset + last :], s, True)
+    ends, out = behind[0][-1], []
+    for b, (read, window) in enumerate(zip(reads, windows)):
+        score, a, r, start = int(middle[b]), "", "", column
+        if before is not None:
+            score += int(before[0][first, b, column])
+            a, r, start = _traced(before, b, read[:first], window[:column], first, column, s, False)
+        col = 1 + int(ends[b, 1:].argmax())
+        a2, r2, _ = _traced(behind, b, read[last:], window[offset + last :], len(read) - last, col, s, True)
+        out.append((score + int(ends[b, col]), start, a + read[first:last] + a2, r + window[column : offset + last] + r2))
+    return out
 
 
 def gapped_color(colors: str, window: str, s: Scoring) -> tuple[int, int, str, str]:
@@ -321,10 +330,15 @@ def aligned(candidates: DataFrame, s: Scoring = Scoring(), space: str = "nt", ga
             for shape, members in shapes.items():
                 if not shape[0] or not shape[1]:
                     continue
-                if gaps and not constrained and space == "nt":
-                    for at in range(0, len(members), 64):
-                        some = members[at : at + 64]
-                        found.update(zip(some, gapped([rows[i]["read"] for i in some], [rows[i]["window"] for i in some], s)))
+                if gaps and space == "nt":
+                    alike: dict[tuple, list[int]] = {}  # those whose paths are bound alike
+                    for i in members:
+                        x = rows[i]
+                        alike.setdefault((x["mask"].find("1"), x["mask"].rfind("1"), x["window_offset"]) if constrained else (-1, -1, 0), []).append(i)
+                    for (first, last, at_), own in alike.items():
+                        for at in range(0, len(own), 64):
+                            some = own[at : at + 64]
+                            found.update(zip(some, gapped_constrained([rows[i]["read"] for i in some], [rows[i]["window"] for i in some], first, last, at_, s)))
                     continue
                 for i in members:
                     x = rows[i]
@@ -336,8 +350,6 @@ def aligned(candidates: DataFrame, s: Scoring = Scoring(), space: str = "nt", ga
                         if (hit := ungapped_color(x["read"], x["window"], mask, 0, s)) is not None:
                             n = len(x["read"])
                             found[i] = (hit[0], hit[1], hit[2], x["window"][hit[1] : hit[1] + n])
-                    elif gaps:
-                        found[i] = gapped_constrained(x["read"], x["window"], mask, x["window_offset"], s)
                     elif (hit := ungapped(x["read"], x["window"], mask, side if mask is None else 0, s)) is not None:
                         n = len(x["read"])
                         found[i] = (*hit, x["read"], x["window"][hit[1] : hit[1] + n])
@@ -352,20 +364,26 @@ def aligned(candidates: DataFrame, s: Scoring = Scoring(), space: str = "nt", ga
     return candidates.select(*keep, "read", "mask", "window", "window_start", "window_offset").mapInArrow(scored, out_schema)
 
 
-def local_align(cals: DataFrame, reads: DataFrame, pieces: DataFrame, s: Scoring = Scoring(), gaps: bool = True, constrained: bool = True, offset: int = 20, max_matches: int = 384, size: int = 4096) -> DataFrame:
+def local_align(
+    cals: DataFrame, reads: DataFrame, pieces: DataFrame, s: Scoring = Scoring(), gaps: bool = True, constrained: bool = True, offset: int = 20, max_matches: int = 384, size: int = 4096, space: str = "nt"
+) -> DataFrame:
     """Candidates with mask -> alignments, one per (end, contig, position, strand, score). Ends with over ``max_matches`` candidates are passed over.
 
-    Exact placements don't enter the kernels.
+    Exact placements don't enter the kernels. In colour space reads are an adaptor's base and colours; they are aligned to bases, as those bases that their colours lead to.
     """
     n = F.count(F.lit(1)).over(Window.partitionBy("read_id", "end_no"))
     few = cals.withColumn("_n", n).where(F.col("_n") <= max_matches).drop("_n")
-    whole = fetched(few.join(reads.select("read_id", "end_no", F.col("seq").alias("read")), ["read_id", "end_no"]), pieces, offset, size)
-    exact = is_exact(F.col("read"), F.col("window"), F.col("window_offset"))
+    seq = F.col("seq")
+    if space == "color":
+        seq = F.translate(F.substring(normalised_color_read(seq), F.lit(2), F.length(seq)), ".", "4")
+    whole = stored(fetched(few.join(reads.select("read_id", "end_no", seq.alias("read")), ["read_id", "end_no"]), pieces, offset, size), "windows")
+    own = bases_of_colors(F.col("read")) if space == "color" else F.col("read")
+    exact = is_exact(own, F.col("window"), F.col("window_offset"))
     settled = whole.where(exact).select(
-        "read_id", "end_no", "contig", F.col("position").cast("long").alias("position"), "strand", (F.length("read") * s.nt_match).cast("int").alias("score"), F.col("read").alias("aln_read"),
+        "read_id", "end_no", "contig", F.col("position").cast("long").alias("position"), "strand", (F.length("read") * s.best(space)).cast("int").alias("score"), own.alias("aln_read"),
         F.substring(F.col("window"), F.col("window_offset") + 1, F.length("read")).alias("aln_ref"),
     )
-    return distinct_alignments(settled.unionByName(aligned(whole.where(~exact), s, "nt", gaps, constrained, offset)))
+    return distinct_alignments(settled.unionByName(aligned(whole.where(~exact), s, space, gaps, constrained, offset)))
 
 
 def distinct_alignments(alignments: DataFrame) -> DataFrame:

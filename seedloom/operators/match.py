@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import mask_of
-from .seeds import Mask, read_keys
+from ..functions.bases import mask_of, within
+from ..storage import stored
+from .seeds import Mask, Sought, bin_of, key_frequency, read_keys, seeds
 
 END = ["read_id", "end_no"]
 PLACE = [*END, "contig", "position", "strand"]
@@ -23,6 +24,7 @@ class MatchOptions:
     key_miss_fraction: float = 1.0
     strands: str = "+-"
     offsets: tuple[int, ...] | None = None
+    space: str = "nt"
 
 
 def key_hits(keys: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -52,9 +54,15 @@ def placed(hits: DataFrame, index: DataFrame, mask: Mask, options: MatchOptions)
     Very common keys go before the join: it makes at most ``max_key_matches`` rows of a key.
     """
     few = hits.where((F.col("n") > 0) & (F.col("hits") <= options.max_key_matches)).select(*END, "length", "offset", "strand", "key")
-    joined = few.join(index.select("key", "contig", "pos"), "key")
+    return _places(few.join(index.select("key", "contig", "pos"), "key"), mask, options)
+
+
+def _places(joined: DataFrame, mask: Mask, options: MatchOptions) -> DataFrame:
+    # A colour lies between two bases: forward, the read begins a base before its first usable colour; backward, it ends one before the window's first.
+    color = options.space == "color"
+    forward = F.col("pos") - F.col("offset") - (1 if color else 0)
     backward = F.col("pos") + (mask.width + F.col("offset")) - F.col("length")
-    position = F.when(F.col("strand") == "+", F.col("pos") - F.col("offset")).otherwise(backward)
+    position = F.when(F.col("strand") == "+", forward).otherwise(backward)
     return joined.select(*END, "length", "offset", "strand", "contig", position.alias("position"))
 
 
@@ -73,13 +81,47 @@ def capped(cals: DataFrame, flags: DataFrame, max_matches: int) -> tuple[DataFra
 
 
 def match(reads: DataFrame, index: DataFrame, frequency: DataFrame, mask: Mask, options: MatchOptions = MatchOptions()) -> tuple[DataFrame, DataFrame]:
-    """(candidates, ends): places of reads (read_id, end_no, seq) by one index, and the state of each end with a key."""
-    hits = key_hits(read_keys(reads, mask, options.offsets, options.strands), frequency)
-    return capped(united(placed(hits, index, mask, options)), end_flags(hits, options).select(*END, "max_reached"), options.max_matches)
+    """(candidates, ends): places of reads (read_id, end_no, seq) by one index, and the state of each end with a key.
+
+    Keys with their hits, and candidates, are written between the steps: both are read twice.
+    """
+    return _matched(read_keys(reads, mask, options.offsets, options.strands, options.space), index, frequency, mask, options)
+
 
+def _matched(keys: DataFrame, index: DataFrame, frequency: DataFrame, mask: Mask, options: MatchOptions) -> tuple[DataFrame, DataFrame]:
+    hits = stored(key_hits(keys, frequency), "hits")
+    cals = stored(united(placed(hits, index, mask, options)), "candidates")
+    return capped(cals, end_flags(hits, options).select(*END, "max_reached"), options.max_matches)
 
-def with_mask(cals: DataFrame, mask: Mask) -> DataFrame:
-    return cals.withColumn("mask", mask_of(F.col("offsets"), F.col("length"), mask.text, F.col("strand")))
+
+#: Distinct keys of reads that may go to every task (8 bytes each); more are joined.
+MOST_SOUGHT = 1 << 20
+
+
+def sought_seeds(keys: DataFrame, reference: DataFrame, mask: Mask, repeat_masker: bool = False, space: str = "nt") -> DataFrame:
+    """The seeds of ``reference`` whose key is among ``keys``: the reference is scanned once, and other seeds don't leave the scan.
+
+    Up to MOST_SOUGHT distinct keys are counted and sent to every task; if there are more, seeds and keys meet in a join.
+    """
+    distinct = keys.select("key").distinct()
+    few = distinct.limit(MOST_SOUGHT + 1).toArrow()
+    if few.num_rows <= MOST_SOUGHT:
+        shared = reference.sparkSession.sparkContext.broadcast(Sought(few.column("key").to_numpy()))
+        return seeds(reference, mask, repeat_masker, shared, space)
+    return seeds(reference, mask, repeat_masker, None, space).join(distinct, "key", "left_semi").select("contig", "pos", "key")
+
+
+def match_reference(reads: DataFrame, reference: DataFrame, mask: Mask, options: MatchOptions = MatchOptions(), repeat_masker: bool = False) -> tuple[DataFrame, DataFrame]:
+    """As ``match``, for a reference (contig, seq) without a stored index: only seeds that the reads ask for are kept and counted."""
+    keys = stored(read_keys(reads, mask, options.offsets, options.strands, options.space), "read-keys")
+    index = stored(sought_seeds(keys, reference, mask, repeat_masker, options.space), "sought")
+    return _matched(keys, index, key_frequency(index), mask, options)
+
+
+def with_mask(cals: DataFrame, mask: Mask, space: str = "nt") -> DataFrame:
+    """Candidates with ``mask``: which places of the read their seeds cover. In colour space offset 0 is the second colour, so places are one on."""
+    offsets = F.transform("offsets", lambda o: o + 1) if space == "color" else F.col("offsets")
+    return cals.withColumn("mask", mask_of(offsets, F.col("length"), mask.text, F.col("strand")))
 
 
 def merged(parts: list[tuple[DataFrame, DataFrame]], max_matches: int) -> tuple[DataFrame, DataFrame]:
@@ -104,6 +146,16 @@ def with_fallback(reads: DataFrame, main: tuple[DataFrame, DataFrame], second) -
     return cals.unionByName(more), kept.unionByName(more_ends)
 
 
+def placed_by_bin(keys: DataFrame, index: DataFrame, mask: Mask, options: MatchOptions) -> DataFrame:
+    """``placed`` rows where each bin of the index (seeds with ``bin``) is searched by itself: a key meets its own bin alone, whose number
+    both sides have, so that a stored index is read only in the bins that reads ask for; hits are those within the bin."""
+    binned = keys.withColumn("bin", bin_of(F.col("key"), mask))
+    n = index.groupBy("bin", "key").agg(F.count(F.lit(1)).alias("n"))
+    hits = binned.join(n, ["bin", "key"]).withColumn("hits", F.sum("n").over(Window.partitionBy(*END, "offset", "bin")))
+    few = hits.where(F.col("hits") <= options.max_key_matches).select("bin", *END, "length", "offset", "strand", "key")
+    return _places(few.join(index.select("bin", "key", "contig", "pos"), ["bin", "key"]), mask, options)
+
+
 def merged_bins(rows: DataFrame, max_key_matches: int) -> DataFrame:
     """placed rows of all bins together: a place stays with the offsets whose hits over all bins are few enough."""
     hits = F.count(F.lit(1)).over(Window.partitionBy(*END, "offset"))
@@ -112,8 +164,6 @@ def merged_bins(rows: DataFrame, max_key_matches: int) -> DataFrame:
 
 def in_range(cals: DataFrame, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
     """Candidates that begin within the inclusive range of (contig, position)."""
-    from ..functions.bases import within
-
     return cals.where(within(F.col("contig"), F.col("position"), start, end))
 
 

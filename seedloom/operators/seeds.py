@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,13 @@ def _table() -> np.ndarray:
 CODES = _table()
 
 
+def color_codes(codes: np.ndarray, before: int = 0) -> np.ndarray:
+    """Codes of the colours of bases, each against the one before it (``before``, A, at the first): 4 where either is no base, 8 more where either is lower case."""
+    last = np.concatenate([[np.uint8(before)], codes[:-1]])
+    unknown, repeat = (last | codes) & 4, (last | codes) & 8
+    return np.where(unknown, 4, (last ^ codes) & 3).astype(np.uint8) | repeat
+
+
 def _keys(codes: np.ndarray, places: Sequence[int], n: int, repeats: bool) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the windows that start at each of the first n codes, and which of them are valid."""
     keys, bad = np.zeros(n, np.int64), np.zeros(n, bool)
@@ -78,27 +86,69 @@ def _keys(codes: np.ndarray, places: Sequence[int], n: int, repeats: bool) -> tu
     return keys, ~bad
 
 
-def seeds(reference: DataFrame, mask: Mask, repeat_masker: bool = False) -> DataFrame:
-    """reference (contig long, seq) -> contig, pos (from 1), key: each window whose key has no N (nor, with ``repeat_masker``, a lower-case base)."""
+#: Bits of a key's hash that tell quickly that it isn't sought.
+QUICK = 22
+
+
+def _hashed(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - QUICK)
+
+
+class Sought:
+    """A set of keys, as a sorted array and a table of hash bits that settles nearly all others."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.quick = np.unique(keys), np.zeros(1 << QUICK, bool)
+        self.quick[_hashed(self.keys)] = True
+
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        """Places of ``keys`` whose key is sought."""
+        at = np.nonzero(self.quick[_hashed(keys)])[0]
+        if not len(at) or not len(self.keys):
+            return at[:0]
+        found = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        return at[self.keys[found] == keys[at]]
+
+
+def seeds(reference: DataFrame, mask: Mask, repeat_masker: bool = False, sought: Broadcast | None = None, space: str = "nt") -> DataFrame:
+    """reference (contig long, seq) -> contig, pos (from 1), key: each window whose key has no N (nor, with ``repeat_masker``, a lower-case base).
+
+    With ``sought`` (a broadcast ``Sought``) only windows of those keys leave the scan. With ``space`` "color", ``seq`` is still bases, and keys are of
+    their colours; a colour is a repeat where either of its bases is.
+    """
     width, places = mask.width, mask.places
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for contig, seq in zip(b.column("contig").to_pylist(), b.column("seq").cast(pa.large_binary()).to_pylist()):
                 codes = CODES[np.frombuffer(seq or b"", np.uint8)]
+                if space == "color":
+                    codes = color_codes(codes)
                 for at in range(0, len(codes) - width + 1, BATCH):
                     n = min(BATCH, len(codes) - width + 1 - at)
                     keys, good = _keys(codes[at:], places, n, repeat_masker)
-                    pos = np.nonzero(good)[0]
+                    if sought is None:
+                        pos = np.nonzero(good)[0]
+                    else:
+                        pos = sought.value.among(keys)
+                        pos = pos[good[pos]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), contig, np.int64)), pa.array((pos + at + 1).astype(np.int32)), pa.array(keys[pos])], names=["contig", "pos", "key"])
 
     return reference.select(F.col("contig").cast("long").alias("contig"), "seq").mapInArrow(cut, "contig long, pos int, key long")
 
 
-def read_keys(reads: DataFrame, mask: Mask, offsets: Sequence[int] | None = None, strands: str = "+-") -> DataFrame:
+#: Code of each byte of a colour read; '.' and anything else is 4.
+DIGITS = np.full(256, 4, np.uint8)
+DIGITS[list(b"0123")] = range(4)
+
+
+def read_keys(reads: DataFrame, mask: Mask, offsets: Sequence[int] | None = None, strands: str = "+-", space: str = "nt") -> DataFrame:
     """reads (read_id, end_no, seq) -> read_id, end_no, length, offset (from 0), strand, key.
 
     The key of the reverse strand is that of the window's reverse complement. ``offsets``: which windows; all if None.
+
+    With ``space`` "color", ``seq`` is an adaptor's base and colours. The first colour hangs on the adaptor and is left out, so offset 0 is the second
+    one; ``length`` counts all colours, which are as many as the read's bases. A reverse key is that of the window's colours turned round.
     """
     width, places = mask.width, mask.places
     turned = [width - 1 - p for p in places]
@@ -107,18 +157,19 @@ def read_keys(reads: DataFrame, mask: Mask, offsets: Sequence[int] | None = None
         for b in batches:
             out: list[tuple] = []
             for read_id, end_no, seq in zip(b.column("read_id").to_pylist(), b.column("end_no").to_pylist(), b.column("seq").cast(pa.large_binary()).to_pylist()):
-                codes = CODES[np.frombuffer(seq or b"", np.uint8)]
+                text = np.frombuffer(seq or b"", np.uint8)
+                codes, length = (CODES[text], len(text)) if space == "nt" else (DIGITS[text[2:]], max(len(text) - 1, 0))
                 n = len(codes) - width + 1
                 if n < 1:
                     continue
-                other = np.where(codes & 4, codes, 3 - (codes & 3))
+                other = np.where(codes & 4, codes, 3 - (codes & 3)) if space == "nt" else codes
                 for strand, (c, at) in (("+", (codes, places)), ("-", (other, turned))):
                     if strand in strands:
                         keys, good = _keys(c, at, n, False)
                         if offsets is not None:
                             good &= np.isin(np.arange(n), offsets)
                         where = np.nonzero(good)[0]
-                        out.append((np.full(len(where), read_id), np.full(len(where), end_no), np.full(len(where), len(codes)), where, np.full(len(where), strand), keys[where]))
+                        out.append((np.full(len(where), read_id), np.full(len(where), end_no), np.full(len(where), length), where, np.full(len(where), strand), keys[where]))
             if out:
                 columns = [np.concatenate(x) for x in zip(*out)]
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
@@ -146,11 +197,21 @@ def in_region(index: DataFrame, mask: Mask, start: tuple[int, int], end: tuple[i
     return index.where((first >= at(start)) & (last <= at(end)))
 
 
+#: Places are told apart by bins of 2**EXON_BIN bases when they are joined with ranges.
+EXON_BIN = 12
+
+
 def in_exons(index: DataFrame, mask: Mask, exons: DataFrame) -> DataFrame:
-    """Windows that lie wholly inside one of ``exons`` (contig, start, end; inclusive)."""
-    e = exons.select(F.col("contig").cast("long").alias("contig"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    inside = (index["contig"] == e["contig"]) & (index["pos"] >= e["_start"]) & (index["pos"] + (mask.width - 1) <= e["_end"])
-    return index.join(e, inside, "left_semi")
+    """Windows that lie wholly inside one of ``exons`` (contig, start, end; inclusive).
+
+    An exon stands in each bin of places that it touches, so windows meet only the exons near them, and a contig's many don't share one key.
+    """
+    bin_ = lambda c: F.shiftright(c.cast("long"), EXON_BIN)
+    e = exons.where("end >= start").select(F.col("contig").cast("long").alias("contig"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    e = e.withColumn("_bin", F.explode(F.sequence(bin_(F.col("_start")), bin_(F.col("_end")))))
+    w = index.withColumn("_bin", bin_(F.col("pos")))
+    inside = (w["contig"] == e["contig"]) & (w["_bin"] == e["_bin"]) & (w["pos"] >= e["_start"]) & (w["pos"] + (mask.width - 1) <= e["_end"])
+    return w.join(e, inside, "left_semi").drop("_bin")
 
 
 def checked_exons(exons: DataFrame) -> DataFrame:
@@ -166,24 +227,59 @@ def key_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def write_index(index: DataFrame, mask: Mask, path: str, index_no: int = 1) -> None:
-    """The index as Parquet, in bins by the first bases of its keys and sorted by key, with its frequencies and layout beside it."""
+def clamped(header: tuple[int, int], start: tuple[int, int], end: tuple[int, int], last_length: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    """A region held to a reference whose first and last contigs are ``header`` and whose last contig has ``last_length`` bases: zeros stand for its ends."""
+    first, last = header
+    low = max(start, (first, 1)) if start[0] > 0 else (first, 1)
+    high = min(end, (last, last_length)) if end[0] > 0 else (last, last_length)
+    if low > high:
+        raise ValueError("a region has to begin before it ends")
+    return low, high
+
+
+META = "index_no int, mask string, depth int, hash_width int, space string, start_contig long, start_pos long, end_contig long, end_pos long"
+
+
+def write_index(index: DataFrame, mask: Mask, path: str, index_no: int = 1, space: str = "nt") -> None:
+    """The index as Parquet, in bins by the first bases of its keys and sorted by key, with its frequencies and layout beside it.
+
+    Bins are ranges of keys, and a bin's seeds are dealt to several files where they are many.
+    """
     binned = index.withColumn("index_no", F.lit(index_no)).withColumn("bin", bin_of(F.col("key"), mask))
-    binned.repartition("bin").sortWithinPartitions("bin", "key").write.mode("append").partitionBy("index_no", "bin").parquet(f"{path}/seeds")
-    key_frequency(index).withColumn("index_no", F.lit(index_no)).write.mode("append").partitionBy("index_no").parquet(f"{path}/frequency")
+    binned.repartitionByRange("key").sortWithinPartitions("bin", "key").write.mode("append").partitionBy("index_no", "bin").parquet(f"{path}/seeds")
     spark = index.sparkSession
-    spark.createDataFrame([(index_no, mask.text, mask.depth, mask.hash_width)], "index_no int, mask string, depth int, hash_width int").write.mode("append").parquet(f"{path}/meta")
+    kept = spark.read.parquet(f"{path}/seeds").where(F.col("index_no") == index_no)
+    key_frequency(kept).withColumn("index_no", F.lit(index_no)).write.mode("append").partitionBy("index_no").parquet(f"{path}/frequency")
+    place = F.struct(F.col("contig").cast("long").alias("contig"), F.col("pos").cast("long").alias("pos"))
+    span = kept.agg(F.min(place).alias("a"), F.max(place).alias("b")).first()
+    at = [*(span["a"] or (0, 0)), *(span["b"] or (0, 0))]
+    spark.createDataFrame([(index_no, mask.text, mask.depth, mask.hash_width, space, *at)], META).write.mode("append").parquet(f"{path}/meta")
 
 
 def read_index(spark, path: str, index_no: int = 1) -> tuple[DataFrame, DataFrame, Mask]:
+    """(seeds with their bin, key frequencies, mask) of an index as ``write_index`` leaves it."""
     meta = spark.read.parquet(f"{path}/meta").where(F.col("index_no") == index_no).first()
+    if meta is None:
+        raise ValueError(f"no index {index_no} at {path}")
     mask = Mask(meta["mask"], meta["depth"], meta["hash_width"])
     part = lambda name: spark.read.parquet(f"{path}/{name}").where(F.col("index_no") == index_no).drop("index_no")
     return part("seeds"), part("frequency"), mask
 
 
+def read_indexes(spark, path: str, numbers: Sequence[int] | None = None) -> list[tuple[DataFrame, DataFrame, Mask]]:
+    """The indexes of these numbers (see ``bases.number_list``), or all that are there, in order. They have to be compatible."""
+    meta = spark.read.parquet(f"{path}/meta")
+    there = [r["index_no"] for r in meta.select("index_no").distinct().orderBy("index_no").collect()]
+    wanted = there if numbers is None else list(numbers)
+    if missing := sorted(set(wanted) - set(there)):
+        raise ValueError(f"no index {missing} at {path}")
+    if not compatible(meta.where(F.col("index_no").isin(wanted)).select("space")):
+        raise ValueError("indexes of different spaces")
+    return [read_index(spark, path, n) for n in wanted]
+
+
 def compatible(meta: DataFrame) -> bool:
     """Whether indexes (index_no, space, start_contig, start_pos, end_contig, end_pos) cover the same region in the same space."""
-    kinds = ["space", "start_contig", "start_pos", "end_contig", "end_pos"]
+    kinds = [k for k in ("space", "start_contig", "start_pos", "end_contig", "end_pos") if k in meta.columns]
     row = meta.agg(*[F.min(k).eqNullSafe(F.max(k)).alias(k) for k in kinds]).first()
     return all(row[k] for k in kinds)

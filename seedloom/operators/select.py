@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,11 @@ class InsertSize:
     deviation: float | None = None
 
 
+def drawn(seed: int, *columns: str) -> Column:
+    """A hash of a row that orders equals at random, the same in each run."""
+    return F.md5(F.concat_ws(" ", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
+
+
 def ranked(alignments: DataFrame) -> DataFrame:
     """Alignments with ``rank`` by score within their end, ``best`` (how many share the best) and ``n``."""
     end = Window.partitionBy(*END)
@@ -50,7 +56,7 @@ def chosen(alignments: DataFrame, algorithm: int = 3, random_best: bool = False,
         raise ValueError("algorithm is 0 to 4")
     if not random_best:
         return r.where("rank = 1 and best = 1").drop(*drop)
-    order = Window.partitionBy(*END).orderBy(F.xxhash64(F.lit(seed), *END, "contig", "position", "strand"), "contig", "position", "strand")
+    order = Window.partitionBy(*END).orderBy(drawn(seed, *END, "contig", "position", "strand"), "contig", "position", "strand")
     one = r.where("rank = 1").withColumn("pick", F.row_number().over(order)).where("pick = 1")
     return one.withColumn("mapq", F.when(F.col("best") > 1, 0).otherwise(F.col("mapq"))).drop("pick", *drop)
 
@@ -72,6 +78,11 @@ def found_reads(ends: DataFrame, kept: DataFrame) -> DataFrame:
     return ends.select(*END).distinct().join(has, END, "left").groupBy("read_id").agg(F.count(F.lit(1)).alias("ends"), F.count("_has").alias("mapped"))
 
 
+def kept_found(ends: DataFrame, kept: DataFrame, found: DataFrame) -> DataFrame:
+    """ends (read_id, end_no) -> the alignments ``kept`` of reads that have any end in ``found``; a read without one loses all."""
+    return kept.join(found.select("read_id").distinct(), "read_id", "left_semi").join(ends.select(*END).distinct(), END, "left_semi")
+
+
 def mapped_ends(ends: DataFrame, kept: DataFrame) -> DataFrame:
     """mapped, reads: reads by the number of their ends that are placed."""
     return found_reads(ends, kept).groupBy("mapped").agg(F.count(F.lit(1)).alias("reads"))
@@ -87,9 +98,9 @@ def distance(position_a: Column, position_b: Column, strand_a: Column, first_bef
     return ahead if first_before_second else -ahead
 
 
-def pairs(alignments: DataFrame) -> DataFrame:
-    """Every alignment of end 1 with every one of end 2 of its read; a read's few candidates, not a product of tables."""
-    columns = ["contig", "position", "strand", "score"]
+def pairs(alignments: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Every alignment of end 1 with every one of end 2 of its read; a read's few candidates, not a product of tables. ``more``: columns to keep of both."""
+    columns = ["contig", "position", "strand", "score", *more]
     one = alignments.where("end_no = 1").select("read_id", *[F.col(c).alias(f"{c}_1") for c in columns])
     two = alignments.where("end_no = 2").select("read_id", *[F.col(c).alias(f"{c}_2") for c in columns])
     return one.join(two, "read_id")
@@ -123,9 +134,9 @@ def erfc(x: Column) -> Column:
     return total * F.exp(-x * x)
 
 
-def scored_pairs(alignments: DataFrame, insert: InsertSize, match: int = 50, mismatch: int = -150, same_strand: bool = True, first_before_second: bool = True) -> DataFrame:
+def scored_pairs(alignments: DataFrame, insert: InsertSize, match: int = 50, mismatch: int = -150, same_strand: bool = True, first_before_second: bool = True, more: Sequence[str] = ()) -> DataFrame:
     """``pairs`` with ``pair_score``: the ends' scores less what an unlikely distance or strand costs, in units of what a mismatch loses."""
-    p = pairs(alignments)
+    p = pairs(alignments, more)
     d = distance(F.col("position_1"), F.col("position_2"), F.col("strand_1"), first_before_second)
     far = F.lit(MOST_DEVIATIONS)
     z = far if insert.deviation is None else F.least(F.abs(d - insert.mean) / insert.deviation, far)
@@ -135,7 +146,7 @@ def scored_pairs(alignments: DataFrame, insert: InsertSize, match: int = 50, mis
     return p.withColumn("pair_score", F.col("score_1") + F.col("score_2") - cost)
 
 
-def best_pairs(scored: DataFrame, match_score: int, read_length: Column | None = None, random_best: bool = False, seed: int = 0) -> DataFrame:
+def best_pairs(scored: DataFrame, match_score: int, read_length: Column, random_best: bool = False, seed: int = 0) -> DataFrame:
     """The best pair of each read with its mapq; reads whose best pairs tie are dropped, or one is picked with mapq 0."""
     w = Window.partitionBy("read_id")
     r = scored.withColumn("_top", F.max("pair_score").over(w))
@@ -144,12 +155,11 @@ def best_pairs(scored: DataFrame, match_score: int, read_length: Column | None =
     best = r.where("pair_score = _top")
     alone = F.col("_next").isNull()
     second, others = F.when(alone, F.col("score_2")).otherwise(F.col("_next")), F.when(alone, 1).otherwise(F.col("_n2"))
-    length = F.lit(100) if read_length is None else read_length
-    q = (F.lit(0.2) * 250.0 / (match_score * length) / others * (F.col("pair_score") - second + 1) + 0.99999).cast("int")
+    q = (F.lit(0.2) * 250.0 / (match_score * read_length) / others * (F.col("pair_score") - second + 1) + 0.99999).cast("int")
     mapq = F.when(F.col("_n1") > 1, 0).otherwise(F.greatest(F.least(q, F.lit(255)), F.lit(1)))
     best = best.withColumn("mapq", mapq.cast("int"))
     if random_best:
-        order = F.xxhash64(F.lit(seed), "read_id", "contig_1", "position_1", "strand_1", "contig_2", "position_2", "strand_2")
+        order = drawn(seed, "read_id", "contig_1", "position_1", "strand_1", "contig_2", "position_2", "strand_2")
         best = best.withColumn("_pick", F.row_number().over(w.orderBy(order, "contig_1", "position_1", "contig_2", "position_2"))).where("_pick = 1").drop("_pick")
     else:
         best = best.where("_n1 = 1")

@@ -58,15 +58,15 @@ def read_keys(mask: str, name: str = "rk", reads: str = "reads") -> str:
     )
 
 
-def matching(mask: str = MASK, tag: str = "", reads: str = "reads", k: int = K, most: int = 384) -> str:
-    """Tables cals and ends, with ``tag`` after their names."""
+def matching(mask: str = MASK, tag: str = "", reads: str = "reads", k: int = K, most: int = 384, keys: str = "", forward: int = 0) -> str:
+    """Tables cals and ends, with ``tag`` after their names. ``keys``: other SQL for the tables of seeds and of read keys; ``forward``: what forward places lose."""
     i, r, w = f"idx{tag}", f"rk{tag}", len(mask)
-    return f"""{seeds(mask, i)}, {read_keys(mask, r, reads)},
+    return f"""{keys or f"{seeds(mask, i)}, {read_keys(mask, r, reads)}"},
 freq{tag} AS (SELECT key, count(*) AS n FROM {i} GROUP BY key),
 hits{tag} AS MATERIALIZED (SELECT {r}.*, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY read_id, end_no, off) AS hits FROM {r} LEFT JOIN freq{tag} USING (key)),
 flag{tag} AS (SELECT read_id, end_no, count(*) FILTER (hits > {k}) AS missed, count(*) AS keys FROM (SELECT DISTINCT read_id, end_no, off, hits FROM hits{tag}) GROUP BY ALL),
 placed{tag} AS MATERIALIZED (SELECT h.read_id, h.end_no, h.len, h.off, h.strand, i.contig,
-   CASE WHEN h.strand = '+' THEN i.pos - h.off ELSE i.pos + {w} + h.off - h.len END AS position
+   CASE WHEN h.strand = '+' THEN i.pos - h.off - {forward} ELSE i.pos + {w} + h.off - h.len END AS position
    FROM hits{tag} h JOIN {i} i USING (key) WHERE h.hits <= {k}),
 u{tag} AS MATERIALIZED (SELECT read_id, end_no, contig, position, strand, max(len) AS len, list_sort(list(DISTINCT off)) AS offsets FROM placed{tag} GROUP BY read_id, end_no, contig, position, strand),
 ends{tag} AS MATERIALIZED (SELECT f.read_id, f.end_no, f.missed, f.keys, CASE WHEN coalesce(c.n, 0) > {most} THEN -1 ELSE trunc(255 * (missed::DOUBLE / keys))::INT END AS max_reached, coalesce(c.n, 0) AS n
@@ -90,9 +90,32 @@ PAIRED = f"""{REF}, {HALVES}, {matching(SECOND_MASK, '', 'halves', 64)},
 a AS MATERIALIZED (SELECT read_id, end_no, contig, position::BIGINT AS position, strand, (50 * len(offsets) - 400)::INT AS score FROM cals)"""
 UNIQUE = "b AS (SELECT * FROM (SELECT *, rank() OVER w AS r, count(*) OVER (PARTITION BY read_id, end_no, score) AS same FROM a WINDOW w AS (PARTITION BY read_id, end_no ORDER BY score DESC)) WHERE r = 1 AND same = 1)"
 BOTH = "p AS (SELECT x.read_id, x.contig AS contig_1, x.position AS position_1, x.strand AS strand_1, x.score AS score_1, y.contig AS contig_2, y.position AS position_2, y.strand AS strand_2, y.score AS score_2 FROM {0} x JOIN {0} y ON x.read_id = y.read_id AND x.end_no = 1 AND y.end_no = 2)"
-#: Fixed value: erfc(3 / sqrt(2)), the chance of over three standard deviations.
-FAR = "0.0026997960632601866::DOUBLE"
 AHEAD = "CASE WHEN strand_1 = '+' THEN position_2 - position_1 ELSE position_1 - position_2 END"
+#: The error function's complement as in ``select.erfc``, of z / sqrt(2).
+Z = f"CASE WHEN strand_1 <> strand_2 OR contig_1 <> contig_2 THEN 3.0::DOUBLE ELSE least(abs(({AHEAD})::DOUBLE - 100.0::DOUBLE) / 50.0::DOUBLE, 3.0::DOUBLE) END"
+T = "(1.0::DOUBLE / (1.0::DOUBLE + 0.3275911::DOUBLE * x))"
+ERFC = f"((((1.061405429::DOUBLE * {T} + -1.453152027::DOUBLE) * {T} + 1.421413741::DOUBLE) * {T} + -0.284496736::DOUBLE) * {T} + 0.254829592::DOUBLE) * {T} * exp(-x * x)"
+PAIRS = f"""{PAIRED}, {BOTH.format('a')}, z AS (SELECT *, ({Z}) * sqrt(0.5::DOUBLE) AS x FROM p),
+ps AS MATERIALIZED (SELECT read_id, contig_1, position_1, strand_1, score_1, contig_2, position_2, strand_2, score_2, (score_1 + score_2 - trunc(200 * -log10({ERFC}) + 0.499::DOUBLE)::INT)::INT AS pair_score FROM z)"""
+
+COLOR_MASK = "11110111101111"
+#: Colours: a place's against the one before it, A before the first; a reference's seeds and a read's keys are cut from these strings.
+COLORS = "array_to_string([xor(strpos('acgt', substr({0}, (i + 1)::BIGINT, 1)) - 1, CASE WHEN i = 0 THEN 0 ELSE strpos('acgt', substr({0}, i::BIGINT, 1)) - 1 END) FOR i IN range(length({0}))], '')"
+COLOR_REF = f"cref AS MATERIALIZED (SELECT contig, {COLORS.format('seq')} AS seq FROM ref)"
+
+
+def color_keys(mask: str = COLOR_MASK) -> str:
+    """idx and rk in colours. Reads are colours from base A; the first is left out, so the window at offset o begins with colour o + 2."""
+    w = len(mask)
+    return (
+        f"{COLOR_REF}, {seeds(mask, 'idx', 'cref')}, creads AS MATERIALIZED (SELECT read_id, end_no, length(seq) AS len, substr({COLORS.format('seq')}, 2) AS seq FROM reads), "
+        f"rk_w AS (SELECT read_id, end_no, len, unnest(range(0, length(seq) - {w} + 1)) AS off, seq FROM creads WHERE length(seq) >= {w}), "
+        f"rk_t AS (SELECT *, reverse(substr(seq, (off + 1)::BIGINT, {w})) AS back FROM rk_w), "
+        f"rk AS MATERIALIZED (SELECT read_id, end_no, len, off, '+' AS strand, {key(mask, 'seq', '(off + 1)')} AS key FROM rk_t UNION ALL SELECT read_id, end_no, len, off, '-', {key(mask, 'back', '1')} FROM rk_t)"
+    )
+
+
+COLORED = f"{REF}, {READS}, {matching(COLOR_MASK, keys=color_keys(), forward=1)}"
 
 ORACLES: dict[str, str] = {
     "encode_reference": "SELECT doc_id AS contig, length(s)::INT AS length, md5(s) AS digest FROM (SELECT doc_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), 'UuRYMKWSBDHVrymkwsbdhv', 'TtNNNNNNNNNNnnnnnnnnnn') AS s FROM documents)",
@@ -110,7 +133,7 @@ SELECT lane, name, turn, "group", row_number() OVER (PARTITION BY lane, "group"
     "seed_bins": f"WITH {REF}, {seeds(MASK)} SELECT (4 * (strpos('acgt', substr(key, 1, 1)) - 1) + strpos('acgt', substr(key, 2, 1)) - 1)::INT AS bin, count(*) AS seeds FROM idx GROUP BY ALL",
     "exon_seeds": f"WITH {REF}, {seeds(MASK)}, x AS (SELECT contig, length(seq) // 4 + 1 AS s, length(seq) // 2 AS e FROM ref) SELECT idx.contig, count(*) AS seeds FROM idx JOIN x ON idx.contig = x.contig AND pos >= s AND pos + {len(MASK)} - 1 <= e GROUP BY idx.contig",
     "region_seeds": f"WITH {REF}, {seeds(MASK)} SELECT contig, count(*) AS seeds FROM idx WHERE (contig > 10 OR (contig = 10 AND pos >= 100)) AND (contig < 90 OR (contig = 90 AND pos + {len(MASK)} - 1 <= 500)) GROUP BY contig",
-    "truncated_keys": f"WITH {REF}, {seeds('11110111101')} SELECT key, count(*) AS seeds FROM idx GROUP BY key HAVING count(*) >= 200",
+    "truncated_keys": f"WITH {REF}, {seeds('11110111101')} SELECT key, count(*) AS seeds FROM idx GROUP BY key",
     "key_counts": f"WITH {REF}, {seeds(MASK)} SELECT times, count(*) AS keys FROM (SELECT key, count(*) AS times FROM idx GROUP BY key) GROUP BY times",
     "seed_join": f"WITH {REF}, {READS}, {matching()} SELECT read_id, end_no, contig, position::INT AS position, strand, len(offsets)::INT AS seeds FROM cals",
     "end_flags": f"WITH {REF}, {READS}, {matching(k=2, most=4)} SELECT read_id, end_no, missed, keys, max_reached, (CASE WHEN max_reached < 0 THEN 0 ELSE n END)::BIGINT AS cals FROM ends",
@@ -145,8 +168,36 @@ SELECT read_id, contig, position, strand, score, (CASE WHEN score < best OR n1 >
     "mapped_ends": f"WITH {PAIRED}, {UNIQUE} SELECT mapped, count(*) AS reads FROM (SELECT h.read_id, count(b.end_no) AS mapped FROM halves h LEFT JOIN b ON h.read_id = b.read_id AND h.end_no = b.end_no GROUP BY h.read_id) GROUP BY mapped",
     "pair_distances": f"WITH {PAIRED}, {UNIQUE}, {BOTH.format('b')} SELECT read_id, ({AHEAD})::BIGINT AS distance FROM p WHERE contig_1 = contig_2 AND strand_1 = strand_2 AND abs({AHEAD}) <= 20000",
     "insert_size": f"WITH {PAIRED}, {UNIQUE}, {BOTH.format('b')}, d AS (SELECT {AHEAD} AS d FROM p WHERE contig_1 = contig_2 AND strand_1 = strand_2 AND abs({AHEAD}) <= 20000) SELECT count(*) AS n, avg(d) AS mean, min(d)::BIGINT AS least, max(d)::BIGINT AS most FROM d",
-    "pair_scores": f"""WITH {PAIRED}, {BOTH.format('a')}, s AS (SELECT *, score_1 + score_2 - CASE WHEN strand_1 <> strand_2 OR contig_1 <> contig_2 OR abs(({AHEAD}) - 100.0) / 50.0 >= 3 THEN trunc((50 + 150) * -log10({FAR}) + 0.499::DOUBLE)::INT ELSE NULL END AS off FROM p)
-SELECT read_id, contig_1, position_1, contig_2, position_2, off AS pair_score FROM s WHERE off IS NOT NULL""",
+    "pair_scores": f"WITH {PAIRS} SELECT read_id, contig_1, position_1, strand_1, contig_2, position_2, strand_2, pair_score FROM ps",
+    "proper_pairs": f"WITH {PAIRED}, {BOTH.format('a')} SELECT read_id, contig_1, position_1, strand_1, contig_2, position_2, strand_2, contig_1 = contig_2 AND strand_1 = strand_2 AND ({AHEAD}) BETWEEN 0 AND 250 AS proper FROM p",
+    "best_pairs": f"""WITH {PAIRS}, b1 AS (SELECT *, max(pair_score) OVER (PARTITION BY read_id) AS top FROM ps),
+b2 AS (SELECT *, max(CASE WHEN pair_score < top THEN pair_score END) OVER (PARTITION BY read_id) AS nxt FROM b1),
+b3 AS (SELECT *, count(*) FILTER (pair_score = top) OVER (PARTITION BY read_id) AS n1, count(*) FILTER (pair_score = nxt) OVER (PARTITION BY read_id) AS n2 FROM b2)
+SELECT read_id, contig_1, position_1, strand_1, contig_2, position_2, strand_2, pair_score,
+  greatest(least(trunc(0.2::DOUBLE * 250.0::DOUBLE / (50 * 40) / (CASE WHEN nxt IS NULL THEN 1 ELSE n2 END) * (pair_score - coalesce(nxt, score_2) + 1) + 0.99999::DOUBLE)::INT, 255), 1)::INT AS mapq
+FROM b3 WHERE pair_score = top AND n1 = 1""",
+    "random_best": f"""WITH {SCORED}, b AS (SELECT *, max(score) OVER (PARTITION BY read_id, end_no) AS best FROM a),
+c AS (SELECT *, count(*) OVER (PARTITION BY read_id, end_no) AS same, row_number() OVER (PARTITION BY read_id, end_no ORDER BY md5('0 ' || read_id || ' ' || end_no || ' ' || contig || ' ' || position || ' ' || strand), contig, position, strand) AS pick FROM b WHERE score = best)
+SELECT read_id, contig, position, strand, score, (CASE WHEN same > 1 THEN 0 ELSE 1 END)::INT AS mapq FROM c WHERE pick = 1""",
+    "one_strand": f"""WITH {REF}, {READS}, {seeds(MASK)}, {read_keys(MASK)}, f AS (SELECT key, count(*) AS n FROM idx GROUP BY key),
+h AS (SELECT rk.* FROM rk JOIN f USING (key) WHERE strand = '-' AND n <= {K})
+SELECT read_id, end_no, contig, (pos + {len(MASK)} + off - len)::INT AS position, '-' AS strand, count(DISTINCT off)::INT AS seeds FROM h JOIN idx USING (key) GROUP BY ALL""",
+    "color_seed_scan": f"WITH {REF}, {COLOR_REF}, {seeds(COLOR_MASK, 'idx', 'cref')} SELECT substr(key, 1, 3) AS prefix, count(*) AS seeds, count(DISTINCT key) AS keys, min(pos)::INT AS first, max(pos)::INT AS last FROM idx GROUP BY ALL",
+    "color_seed_join": f"WITH {COLORED} SELECT read_id, end_no, contig, position::INT AS position, strand, len(offsets)::INT AS seeds FROM cals",
+    "color_cal_masks": f"WITH {COLORED}, x AS (SELECT read_id, end_no, contig, position, strand, len, [o + 1 FOR o IN offsets] AS offsets FROM cals) SELECT read_id, end_no, contig, position::INT AS position, strand, {mask_text(COLOR_MASK)} AS mask FROM x",
+    "color_exact": f"""WITH {COLORED}
+SELECT c.read_id, c.contig, c.position::INT AS position, c.strand FROM cals c JOIN ref ON c.contig = ref.contig JOIN reads r ON c.read_id = r.read_id
+WHERE c.position >= 1 AND CASE WHEN c.strand = '-' THEN {TURN.format('substr(ref.seq, c.position::BIGINT, c.len)')} ELSE substr(ref.seq, c.position::BIGINT, c.len) END = r.seq""",
+    "tandem_repeats": f"""WITH {REF}, s AS MATERIALIZED (SELECT contig, seq, length(seq) AS n FROM ref),
+pos AS (SELECT contig, seq, n, u, unnest(range(1, n - u + 1)) AS i FROM s, range(1, 7) AS x(u) WHERE n > u),
+eq AS (SELECT contig, u, i FROM pos WHERE substr(seq, i::BIGINT, 1) = substr(seq, (i + u)::BIGINT, 1)),
+isl AS (SELECT contig, u, i, i - row_number() OVER (PARTITION BY contig, u ORDER BY i) AS g FROM eq),
+run AS (SELECT contig, u, i, max(i) OVER (PARTITION BY contig, u, g) - i + 1 AS ahead FROM isl),
+own AS (SELECT contig, u, i, u * (1 + ahead // u) AS len FROM run WHERE u * (1 + ahead // u) >= 12 AND u * (1 + ahead // u) > u),
+best AS (SELECT contig, i, arg_min(u, len * -10 + u) AS u, max(len) AS len FROM own GROUP BY contig, i),
+prev AS (SELECT *, lag(i) OVER w AS pi, lag(u) OVER w AS pu, lag(len) OVER w AS pl FROM best WINDOW w AS (PARTITION BY contig ORDER BY i))
+SELECT prev.contig, i::BIGINT AS start, (i + len - 1)::BIGINT AS stop, len::BIGINT AS length, u::INT AS unit_length, substr(seq, i::BIGINT, u::BIGINT) AS unit
+FROM prev JOIN s ON prev.contig = s.contig WHERE pi IS NULL OR (NOT (i = pi + 1 AND u = pu AND len = pl) AND i + len - 1 > pi + pl - 1)""",
     "score_distribution": f"WITH {SCORED} SELECT n_cals, (trunc((least(greatest(score, -2000), 2000) + 2000)::DOUBLE / 10))::INT AS bucket, count(*) AS alignments FROM (SELECT *, count(*) OVER (PARTITION BY read_id, end_no) AS n_cals FROM a) GROUP BY ALL",
     "key_distribution": f"WITH {REF}, {seeds('111111')}, n AS (SELECT key, count(*) AS forward FROM idx GROUP BY key) SELECT n.key, n.forward, n.forward + CASE WHEN n.key = {TURN.format('n.key')} THEN 0 ELSE coalesce(m.forward, 0) END AS both FROM n LEFT JOIN n m ON m.key = {TURN.format('n.key')}",
     "key_histogram": f"WITH {REF}, {seeds('111111111111')} SELECT times, count(*) AS keys FROM (SELECT least(key, {TURN.format('key')}) AS k, count(*) AS times FROM idx GROUP BY ALL) GROUP BY times",
@@ -169,3 +220,6 @@ f AS (SELECT e.a, e.b, e.c, min(n) FILTER (coalesce(substr(mask, (a - o + 1)::BI
 SELECT n AS masks, count(*) AS profiles, count(*) FILTER (first <= n) AS found FROM f, (SELECT n FROM m) GROUP BY n""",
 }
 ORACLES["match_stream"] = ORACLES["cal_masks"]
+#: However the index is stored or split, the places are the same.
+ORACLES["stored_index_join"] = ORACLES["seed_join"]
+ORACLES["binned_join"] = f"""WITH {REF}, {READS}, {matching()} SELECT read_id, end_no, contig, position::INT AS position, strand, len(offsets)::INT AS seeds FROM u"""

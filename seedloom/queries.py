@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 from .functions import bases, sam
 from .operators import align, select, simulate, stats
 from .operators import match as m
-from .operators.seeds import Mask, bin_of, in_exons, in_region, key_frequency, key_text, seeds
-from .oracles import CYCLE, K, LETTERS, MASK, SECOND_MASK
-from .plans.workflow import align_reads
+from .operators.seeds import Mask, bin_of, in_exons, in_region, key_frequency, key_text, read_index, seeds, write_index
+from .oracles import COLOR_MASK, CYCLE, K, LETTERS, MASK, SECOND_MASK
+from .plans.workflow import align_reads, scored_alignments
+from .plans.workflow import paired_alignments as pairs_of
 from .sources import sequences
-from .streaming.matching import match_stream
+from .storage import scratch, stored
+from .streaming import matching
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SEED, SECOND = Mask(MASK), Mask(SECOND_MASK)
+COLOR = Mask(COLOR_MASK)
+INSERT = select.InsertSize(100.0, 50.0)
 
 
 def query(f: Query) -> Query:
@@ -59,8 +63,8 @@ def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str, mask: Mask = SEED, rows: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    index = seeds(reference(spark, sf_dir), mask)
-    return m.match(reads(spark, sf_dir) if rows is None else rows, index, key_frequency(index), mask, m.MatchOptions(max_key_matches=options.pop("k", K), **options))
+    rows = reads(spark, sf_dir) if rows is None else rows
+    return m.match_reference(rows, reference(spark, sf_dir), mask, m.MatchOptions(max_key_matches=options.pop("k", K), **options))
 
 
 def scored(spark: SparkSession, sf_dir: str, mask: Mask = SEED, rows: DataFrame | None = None, **options) -> DataFrame:
@@ -150,7 +154,7 @@ def region_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def truncated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = SEED.truncated(9)
-    n = key_frequency(seeds(reference(spark, sf_dir), short)).where("n >= 200")
+    n = key_frequency(seeds(reference(spark, sf_dir), short))
     return n.select(key_text(F.col("key"), short.size).alias("key"), F.col("n").alias("seeds"))
 
 
@@ -165,11 +169,67 @@ def seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cals.select("read_id", "end_no", "contig", "position", "strand", F.size("offsets").alias("seeds"))
 
 
+@query
+def one_strand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places on the reverse strand alone; a key's hits are then those of that strand."""
+    cals, _ = matched(spark, sf_dir, strands="-")
+    return cals.select("read_id", "end_no", "contig", "position", "strand", F.size("offsets").alias("seeds"))
+
+
+@query
+def stored_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads against an index that is built, written and read again."""
+    path = scratch(spark, "index")
+    write_index(seeds(reference(spark, sf_dir), Mask(MASK, depth=2)), Mask(MASK, depth=2), path)
+    index, frequency, mask = read_index(spark, path)
+    cals, _ = m.match(reads(spark, sf_dir), index, frequency, mask, m.MatchOptions(max_key_matches=K))
+    return cals.select("read_id", "end_no", "contig", "position", "strand", F.size("offsets").alias("seeds"))
+
+
+def color_matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Reads as an adaptor's A and colours, against the colours of the reference."""
+    rows = reads(spark, sf_dir).select("read_id", "end_no", F.concat(F.lit("A"), bases.colors(F.col("seq"))).alias("seq"))
+    return m.match_reference(rows, reference(spark, sf_dir), COLOR, m.MatchOptions(max_key_matches=K, space="color"))
+
+
+@query
+def color_seed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix = F.translate(key_text(F.shiftright("key", 2 * (COLOR.size - 3)), 3), "acgt", "0123")
+    rows = seeds(reference(spark, sf_dir), COLOR, space="color").groupBy(prefix.alias("prefix"), "key").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    return rows.groupBy("prefix").agg(F.sum("n").alias("seeds"), F.count(F.lit(1)).alias("keys"), F.min("lo").alias("first"), F.max("hi").alias("last"))
+
+
+@query
+def color_seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return color_matched(spark, sf_dir)[0].select("read_id", "end_no", "contig", "position", "strand", F.size("offsets").alias("seeds"))
+
+
+@query
+def color_cal_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.with_mask(color_matched(spark, sf_dir)[0], COLOR, "color").select("read_id", "end_no", "contig", "position", "strand", "mask")
+
+
+@query
+def color_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates whose colours lead to the reference's own bases."""
+    rows = reads(spark, sf_dir).select("read_id", "end_no", bases.bases_of_colors(bases.colors(F.col("seq"))).alias("read"))
+    found = align.fetched(color_matched(spark, sf_dir)[0].join(rows, m.END), align.chunks(reference(spark, sf_dir)))
+    return found.where(align.is_exact(F.col("read"), F.col("window"), F.col("window_offset"))).select("read_id", "contig", "position", "strand")
+
+
+@query
+def color_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from colour reads to chosen alignments in bases."""
+    rows = reads(spark, sf_dir).select("read_id", "end_no", F.concat(F.lit("A"), bases.colors(F.col("seq"))).alias("seq"))
+    return align_reads(rows, reference(spark, sf_dir), COLOR, m.MatchOptions(max_key_matches=K, space="color"), gaps=False, constrained=False, algorithm=4)
+
+
 @query
 def end_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = seeds(reference(spark, sf_dir), SEED)
     options = m.MatchOptions(max_key_matches=2, max_matches=4)
-    hits = m.key_hits(m.read_keys(reads(spark, sf_dir), SEED), key_frequency(index))
+    keys = stored(m.read_keys(reads(spark, sf_dir), SEED), "read-keys")
+    index = stored(m.sought_seeds(keys, reference(spark, sf_dir), SEED), "sought")
+    hits = stored(m.key_hits(keys, key_frequency(index)), "hits")
     flags = m.end_flags(hits, options)
     _, ends = m.capped(m.united(m.placed(hits, index, SEED, options)), flags, options.max_matches)
     return flags.drop("max_reached").join(ends, m.END)
@@ -199,9 +259,23 @@ def secondary_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def merged_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = seeds(reference(spark, sf_dir), SEED)
-    hits = m.key_hits(m.read_keys(reads(spark, sf_dir), SEED), key_frequency(index))
-    rows = m.merged_bins(m.placed(hits, index, SEED, m.MatchOptions(max_key_matches=K)), 2)
+    """Each of the 16 bins of a stored index is searched by itself; the places of all are merged with fewer hits allowed."""
+    mask, path = Mask(MASK, depth=2), scratch(spark, "index")
+    keys = stored(m.read_keys(reads(spark, sf_dir), mask), "read-keys")
+    write_index(m.sought_seeds(keys, reference(spark, sf_dir), mask), mask, path)
+    index, _, mask = read_index(spark, path)
+    rows = m.merged_bins(m.placed_by_bin(keys, index, mask, m.MatchOptions(max_key_matches=K)), 2)
+    return rows.select(*m.PLACE, F.size("offsets").alias("seeds"))
+
+
+@query
+def binned_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places by a binned index, merged with the hits that an index without bins allows: what that would find."""
+    mask, path = Mask(MASK, depth=2), scratch(spark, "index")
+    keys = stored(m.read_keys(reads(spark, sf_dir), mask), "read-keys")
+    write_index(m.sought_seeds(keys, reference(spark, sf_dir), mask), mask, path)
+    index, _, mask = read_index(spark, path)
+    rows = m.merged_bins(m.placed_by_bin(keys, index, mask, m.MatchOptions(max_key_matches=K)), K)
     return rows.select(*m.PLACE, F.size("offsets").alias("seeds"))
 
 
@@ -277,16 +351,19 @@ def insert_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that are as far from expected as counts: their scores less the most that a distance costs."""
-    rows = select.scored_pairs(paired(spark, sf_dir), select.InsertSize(100.0, 50.0))
-    ahead = select.distance(F.col("position_1"), F.col("position_2"), F.col("strand_1"))
-    far = (F.col("strand_1") != F.col("strand_2")) | (F.col("contig_1") != F.col("contig_2")) | (F.abs(ahead - 100.0) / 50.0 >= 3)
-    return rows.where(far).select("read_id", "contig_1", "position_1", "contig_2", "position_2", "pair_score")
+    rows = select.scored_pairs(paired(spark, sf_dir), INSERT)
+    return rows.select("read_id", "contig_1", "position_1", "strand_1", "contig_2", "position_2", "strand_2", "pair_score")
+
+
+@query
+def proper_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = select.pairs(paired(spark, sf_dir))
+    return rows.select("read_id", "contig_1", "position_1", "strand_1", "contig_2", "position_2", "strand_2", select.proper(rows, INSERT).alias("proper"))
 
 
 @query
 def best_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = select.scored_pairs(paired(spark, sf_dir), select.InsertSize(100.0, 50.0))
+    rows = select.scored_pairs(paired(spark, sf_dir), INSERT)
     return select.best_pairs(rows, 50, F.lit(40)).select("read_id", "contig_1", "position_1", "strand_1", "contig_2", "position_2", "strand_2", "pair_score", "mapq")
 
 
@@ -393,18 +470,28 @@ def sam_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def match_stream_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
+def paired_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = halves(spark, sf_dir).withColumn("name", F.concat(F.lit("read"), F.col("read_id").cast("string"))).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+    contigs = reference(spark, sf_dir).select("contig", F.concat(F.lit("contig"), F.col("contig").cast("string")).alias("name"))
+    return sam.records(stored(paired_alignments(spark, sf_dir), "pairs"), ends, contigs)
+
+
+@query
+def paired_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from the two ends of reads to their best pairs."""
+    ends = halves(spark, sf_dir)
+    found = scored_alignments(ends, reference(spark, sf_dir), SECOND, m.MatchOptions(max_key_matches=64), constrained=False, offset=10)
+    return pairs_of(found, ends, insert=INSERT)
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    import uuid
 
-    folder = f"{base}/match-{uuid.uuid4().hex}"
+def match_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "match")
     reads(spark, sf_dir).write.parquet(f"{folder}/reads")
-    index = seeds(reference(spark, sf_dir), SEED)
+    write_index(seeds(reference(spark, sf_dir), SEED), SEED, f"{folder}/index")
+    index, frequency, _ = read_index(spark, f"{folder}/index")
     stream = spark.readStream.schema("read_id long, end_no int, seq string").parquet(f"{folder}/reads")
-    match_stream(stream, index, key_frequency(index), SEED, f"{folder}/out", f"{folder}/state", m.MatchOptions(max_key_matches=K)).awaitTermination()
+    matching.match_stream(stream, index, frequency, SEED, f"{folder}/out", f"{folder}/state", m.MatchOptions(max_key_matches=K)).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("read_id", "end_no", "contig", "position", "strand", "mask")
 
 
-QUERIES["match_stream"] = QUERIES.pop("match_stream_")
+QUERIES["match_stream"] = match_stream

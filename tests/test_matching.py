@@ -172,7 +172,7 @@ def test_gapped_kernel_is_the_textbook_one():
         assert score == gotoh(read, ref, s) == rescored(a, r, s)
         assert a.replace("-", "") == read and ref[start:].startswith(r.replace("-", ""))
         mask = "".join(rng.choice("01") for _ in read)
-        c = align.gapped_constrained(read, ref, mask, at, s)
+        c = align.gapped_constrained([read], [ref], mask.find("1"), mask.rfind("1"), at, s)[0]
         assert c[0] <= score and c[2].replace("-", "") == read and rescored(c[2], c[3], s) <= score
 
 
@@ -309,7 +309,7 @@ def test_pairs(spark):
     rows = select.scored_pairs(a, select.InsertSize(100.0, 10.0))
     # Over three deviations off costs 200 * -log10(erfc(3 / sqrt(2))).
     assert {r.position_2: r.pair_score for r in rows.collect()} == {200: 20, 5000: 20 - 514}
-    best = select.best_pairs(rows, 50).collect()
+    best = select.best_pairs(rows, 50, F.lit(100)).collect()
     assert [(r.position_1, r.position_2) for r in best] == [(100, 200)] and best[0].pair_score == 20
     assert select.insert_size(select.distances(a)) == select.InsertSize()
 
