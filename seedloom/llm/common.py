@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Sequence
 
@@ -11,33 +9,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch, stored
+
+__all__ = ["scratch", "stored"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a run of anything but space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder name under the shared checkpoint folder of the session.
-
-    The session's ``spark.checkpoint.dir`` is used; where it is unset (tests, a
-    notebook) a folder below the system's temporary one is set as the session's.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = path or scratch(spark, label)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,6 +63,11 @@ def located(docs: DataFrame, label: str, columns: Sequence[str] | None = None) -
     )
 
 
+def apart(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` without the columns that an operator gives itself: its own take their place."""
+    return docs.drop(*[c for c in docs.columns if c.lower() in own])
+
+
 def shielded(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with all columns but ``used`` under names that can't clash with an operator's own, and the names to give back."""
     names = {c: c if c in used else f"_kept{i}" for i, c in enumerate(docs.columns)}

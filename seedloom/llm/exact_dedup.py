@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,12 +77,22 @@ class DedupState:
         self.folder = folder or scratch(spark, "dedup")
 
     def add(self, rows: DataFrame) -> None:
-        """``rows``: doc_id, text, _file, _row (see ``located``)."""
+        """``rows``: doc_id, text, _file, _row (see ``located``). Rows whose place is logged already aren't counted again, so an ``add`` that failed may be repeated."""
+        if self.begun():
+            rows = rows.join(self.log().select("_file", "_row"), ["_file", "_row"], "left_anti")
         self.logged(rows).write.mode("append").parquet(f"{self.folder}/log")
         # A folder that has a state keeps its partitions: Spark reads them from the folder's own log.
         partitions = max(LEAST_PARTITIONS, -(-self.log().count() // STATE_ROWS))
         _followed(self.spark, f"{self.folder}/log", self.SCHEMA, f"{self.folder}/decisions", f"{self.folder}/state", partitions)
 
+    def begun(self) -> bool:
+        """Whether the folder has a log."""
+        try:
+            self.spark.read.parquet(f"{self.folder}/log")
+        except AnalysisException:
+            return False
+        return True
+
     def logged(self, rows: DataFrame) -> DataFrame:
         text = F.coalesce(F.col("text"), F.lit(""))
         return rows.select(self.digest(text).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), "_file", "_row")

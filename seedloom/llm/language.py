@@ -18,11 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType
 
-#: Trigrams of 64 symbols. The model holds MOST_LANGUAGES times this many numbers at most.
-TRIGRAMS, MOST_LANGUAGES = 1 << 18, 100
+from .common import apart
+
+#: Trigrams of 64 symbols. The model has a row for each that was seen, and one for all others, of a number a language.
+TRIGRAMS = 1 << 18
 #: What each trigram is counted besides; rounds of expectation-maximisation; the gain that a
-#: language more must bring, in logarithms of the number of trigrams.
-ALPHA, ROUNDS, PENALTY = 0.05, 12, 3.0
+#: language more must bring, in logarithms of the number of trigrams; the least share in the mixture of all languages with which
+#: one is tried.
+ALPHA, ROUNDS, PENALTY, LEAST_SHARE = 0.05, 12, 3.0, 0.02
+#: Bytes of a text that are looked at together.
+PIECE = 1 << 20
 UNKNOWN = "und"
 
 
@@ -47,6 +52,20 @@ def trigrams(text: bytes) -> np.ndarray:
     return codes[s[1:-1] != 0]
 
 
+def trigram_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of a text, and how often each occurs. Of a long text a piece at a time is held, with a byte more on either side."""
+    if len(text) <= PIECE:
+        return np.unique(trigrams(text), return_counts=True)
+    n = np.zeros(TRIGRAMS, np.int64)
+    for at in range(0, len(text), PIECE):
+        symbols = text[max(at - 1, 0) : at + PIECE + 1].translate(SYMBOLS)
+        s = np.frombuffer((b"" if at else b"\0") + symbols + (b"\0" if at + PIECE >= len(text) else b""), np.uint8).astype(np.int32)
+        codes = (s[:-2] << 12) | (s[1:-1] << 6) | s[2:]
+        n += np.bincount(codes[s[1:-1] != 0], minlength=TRIGRAMS)
+    codes = np.nonzero(n)[0]
+    return codes, n[codes]
+
+
 def has_letter(text: bytes) -> bool:
     """Whether any character is a letter, of whatever script."""
     return bool(LETTER.search(text)) or (max(text, default=0) > 127 and any(c.isalpha() for c in text.decode("utf-8", "replace")))
@@ -55,7 +74,8 @@ def has_letter(text: bytes) -> bool:
 @dataclass
 class Model:
     languages: list[str]
-    likely: np.ndarray  # (TRIGRAMS, languages)
+    row: np.ndarray  # of each trigram; the last row is that of trigrams that weren't seen
+    likely: np.ndarray  # (rows, languages)
     log: np.ndarray
 
 
@@ -68,11 +88,8 @@ def counts(labelled: DataFrame) -> DataFrame:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist()):
                 if lang not in sums:
                     sums[lang] = np.zeros(TRIGRAMS, np.int64)
-                codes = trigrams(text)
-                if len(codes) > TRIGRAMS // 8:
-                    sums[lang] += np.bincount(codes, minlength=TRIGRAMS)
-                else:
-                    np.add.at(sums[lang], codes, 1)
+                codes, n = trigram_counts(text)
+                sums[lang][codes] += n
         for lang, n in sums.items():
             at = np.nonzero(n)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "code", "n"])
@@ -85,21 +102,22 @@ def fitted(labelled: DataFrame) -> Model:
     """The trigram distributions of the languages of ``labelled``; at most languages times trigrams rows reach the driver."""
     summed = counts(labelled).toArrow()
     languages = sorted(set(summed.column("lang").to_pylist()))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    n = np.zeros((TRIGRAMS, len(languages)))
-    at = np.array([languages.index(x) for x in summed.column("lang").to_pylist()], np.int64)
-    if len(at):
-        n[summed.column("code").to_numpy(), at] = summed.column("n").to_numpy()
+    seen = np.unique(summed.column("code").to_numpy())
+    row = np.full(TRIGRAMS, len(seen), np.int32)
+    row[seen] = np.arange(len(seen))
+    n = np.zeros((len(seen) + 1, len(languages)))
+    number = {x: i for i, x in enumerate(languages)}
+    if languages:
+        n[row[summed.column("code").to_numpy()], [number[x] for x in summed.column("lang").to_pylist()]] = summed.column("n").to_numpy()
     likely = (n + ALPHA) / (n.sum(axis=0) + ALPHA * TRIGRAMS) if languages else n
-    return Model(languages, likely.astype(np.float32), np.log(likely).astype(np.float32))
+    return Model(languages, row, likely.astype(np.float32), np.log(likely).astype(np.float32))
 
 
-def _mixture(likely: np.ndarray, start: np.ndarray, rounds: int) -> np.ndarray:
-    """Proportions of the columns of ``likely`` (trigrams, languages) that maximise the likelihood of its rows."""
-    share = start
+def _mixture(likely: np.ndarray, times: np.ndarray, start: np.ndarray, rounds: int) -> np.ndarray:
+    """Proportions of the columns of ``likely`` (trigrams, languages) that maximise the likelihood of its rows, each of which counts ``times``."""
+    share, total = start, times.sum()
     for _ in range(rounds):
-        new = share * (likely.T @ (1.0 / (likely @ share))) / len(likely)
+        new = share * (likely.T @ (times / (likely @ share))) / total
         if np.abs(new - share).max() < 1e-3:
             return new
         share = new
@@ -107,28 +125,33 @@ def _mixture(likely: np.ndarray, start: np.ndarray, rounds: int) -> np.ndarray:
 
 
 def infer(text: bytes, model: Model) -> tuple[str, float, dict[str, float]]:
-    """The leading language, its proportion among all, and the selected languages with their proportions."""
-    codes = trigrams(text)
+    """The leading language, its proportion among all, and the selected languages with their proportions.
+
+    Languages are tried in order of their proportion among all, of equals the first by name, down to LEAST_SHARE. Equal
+    likelihoods leave the first by name in the lead.
+    """
+    codes, n = trigram_counts(text)
     k = len(model.languages)
     if not k or not len(codes) or not has_letter(text):
         return UNKNOWN, 0.0, {}
-    single = model.log[codes].sum(axis=0, dtype=np.float64)
+    rows, times = model.row[codes], n.astype(np.float32)
+    single = n @ model.log[rows].astype(np.float64)
     first = int(single.argmax())
     if k == 1:
         return model.languages[0], 1.0, {model.languages[0]: 1.0}
-    likely = model.likely[codes]
-    share = _mixture(likely, np.full(k, 1 / k, np.float32), ROUNDS)
+    likely = model.likely[rows]
+    share = _mixture(likely, times, np.full(k, 1 / k, np.float32), ROUNDS)
     chosen, best, parts = [first], single[first], np.ones(1, np.float32)
-    for other in np.argsort(-share):
+    for other in np.argsort(-share, kind="stable"):
         if other == first:
             continue
-        if share[other] < 0.02:
+        if share[other] < LEAST_SHARE:
             break
         some = [*chosen, int(other)]
         own = likely[:, some]
-        mixed = _mixture(own, np.maximum(share[some], 1e-3) / np.maximum(share[some], 1e-3).sum(), ROUNDS)
-        gained = float(np.log(own @ mixed).sum(dtype=np.float64))
-        if gained - best < PENALTY * math.log(len(codes) + 1):
+        mixed = _mixture(own, times, np.maximum(share[some], 1e-3) / np.maximum(share[some], 1e-3).sum(), ROUNDS)
+        gained = float(n @ np.log(own @ mixed).astype(np.float64))
+        if gained - best < PENALTY * math.log(n.sum() + 1):
             break
         chosen, best, parts = some, gained, mixed
     lead = chosen[int(parts.argmax())]
@@ -139,8 +162,10 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """docs with ``text``: the other columns, lang_pred, score and languages (the selected set with proportions).
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if no language was learned.
-    Only the text is looked at. Texts of any length are read whole. An empty table gives no rows.
+    Only the text is looked at. Texts of any length are read whole. Rows that repeat have the same result. An empty table gives no rows.
+    Columns of ``docs`` called lang_pred, score or languages give way to the operator's.
     """
+    docs = apart(docs, "lang_pred", "score", "languages")
     rest = [c for c in docs.columns if c != "text"]
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double").add("languages", MapType(StringType(), DoubleType()))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -84,7 +84,8 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, outcomes = page_outcomes(spark, sf_dir)
-    return url_filter.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+    found = url_filter.judge(pages, outcomes, RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("rate", 6).alias("rate"), F.round("bound", 6).alias("bound"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

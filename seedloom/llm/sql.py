@@ -44,12 +44,17 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM q
 """
 
-URL_FILTER = r"""
+#: Suffixes of two labels, as in ``url_filter``.
+TWO = "('ac.uk', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.ar', 'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'com.tw', 'gov.uk', 'ne.jp', 'net.au', 'or.jp', 'org.au', 'org.uk')"
+
+URL_FILTER = rf"""
 WITH a AS (SELECT page_id,
     translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
-p AS (SELECT *, TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})[^/]*/?$', 1), '') AS BIGINT) AS item,
-    regexp_extract(host, '([^.]*)$', 1) AS suffix, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain FROM a),
+p AS (SELECT *, TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})[^/]*/?$', 1), '') AS BIGINT) AS item,
+    regexp_extract(host, '([^.]*[.])?[^.]*$') IN {TWO} AS two,
+    CASE WHEN two THEN regexp_extract(host, '([^.]*[.])?[^.]*$') ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix,
+    CASE WHEN two THEN regexp_extract(host, '([^.]*[.]){{0,2}}[^.]*$') ELSE regexp_extract(host, '([^.]*[.])?[^.]*$') END AS domain FROM a),
 l AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
 h AS (SELECT host, any_value(suffix) AS suffix, any_value(domain) AS domain, count(bad) AS n, coalesce(sum(bad), 0) AS bad
       FROM p LEFT JOIN l ON p.item = l.doc_id GROUP BY host),
@@ -66,13 +71,13 @@ h0 AS (SELECT host, h.n, h.bad, rate AS mean FROM h JOIN d USING (domain)),
 hk AS (SELECT 1 / least(greatest(coalesce(sum(n * power(bad / n - mean, 2) - mean * (1 - mean)) / nullif(sum((n - 1) * mean * (1 - mean)), 0), 0.001), 0.001), 0.5) - 1 AS k
        FROM h0 WHERE n > 0),
 r AS (SELECT host, (bad + k * mean) / (n + k) AS rate, n, k FROM h0, hk),
-v AS (SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) > 0.5 AS blocked FROM r),
+v AS (SELECT host, rate, rate - 1.645::DOUBLE * sqrt(rate * (1 - rate) / (n + k + 1)) AS bound FROM r),
 rules(rule, rh, rp, what) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
     ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
-m AS (SELECT page_id, host, path, max({'n': length(rule), 'rule': rule, 'what': what}) AS best
+m AS (SELECT page_id, host, path, max({{'n': length(rule), 'rule': rule, 'what': what}}) AS best
       FROM p LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id, host, path)
 SELECT page_id, m.host, path, CASE WHEN best.n IS NOT NULL THEN best.rule END AS rule,
-       coalesce(best.what, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(best.what, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 6) AS rate, round(bound, 6) AS bound
 FROM m JOIN v ON m.host = v.host
 """
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import apart, stored
 
 #: Words of insult that vote from the start.
 INSULTS = ("bastard", "bitch", "clown", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "pig", "scum", "shit", "stupid", "trash", "vermin", "worthless")
@@ -79,7 +79,7 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 words, stems = features(text or "")
-                own = [f"0{w}" for w in words if len(w) < 40] + [f"{k}{s}" for k, some in zip(STEMS, stems) for s in some]
+                own = [f"0{w}" for w in words] + [f"{k}{s}" for k, some in zip(STEMS, stems) for s in some]
                 n.update(own)
                 if toxic:
                     bad.update(own)
@@ -150,6 +150,21 @@ def linear(votes: np.ndarray, times: np.ndarray, target: np.ndarray, steps: int
     return w, b
 
 
+def calibrated(scores: np.ndarray, labelled: np.ndarray, toxic: np.ndarray) -> float:
+    """The log odds from which on calling rows toxic has the best F1 on labelled rows: scores by pattern, and its labelled and toxic rows. 0 without toxic rows.
+
+    Posteriors of a label model are right in order rather than in size; the limit lies between the last pattern that is taken and the next.
+    """
+    if not toxic.sum():
+        return 0.0
+    order = np.argsort(-scores, kind="stable")
+    z, n, bad = scores[order], np.cumsum(labelled[order]), np.cumsum(toxic[order])
+    last = np.append(z[1:] < z[:-1], True)  # a limit parts only different scores
+    f1 = np.where(last, 2 * bad / np.maximum(n + toxic.sum(), 1), -1)
+    k = int(f1.argmax())
+    return float(z[k] - 1e-6 if k + 1 == len(z) else (z[k] + z[k + 1]) / 2)
+
+
 def _share(n: int, most: int) -> int:
     """Of a million hash values, how many to keep so that about ``most`` of n rows stay."""
     return 1_000_000 if n <= most else int(1_000_000 * most / n)
@@ -164,7 +179,8 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, sample:
     """docs (doc_id, text) and labels (doc_id, toxic) to learn from.
 
     About ``labelled`` labelled rows at most choose the voters, and about ``sample`` rows at most, labelled or not, fit the
-    models; so the labels that every task gets have a bounded size, and no text leaves its place. Patterns of votes reach the driver.
+    models (rows without a label too, so the label model sees a bounded share of all); so the labels that every task gets have a bounded size, and no text
+    leaves its place. Patterns of votes reach the driver. The labels of those rows also set the limit: see ``calibrated``.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = stored(known, "toxicity-labels")
@@ -181,7 +197,7 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, sample:
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(v, pa.list_(pa.int32()))], names=["toxic", "votes"])
 
     rows = sampled.select("text", "toxic").mapInArrow(voted, "toxic int, votes array<int>")
-    patterns = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("known")).orderBy("votes").toArrow()
+    patterns = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("known"), F.count("toxic").alias("labelled")).orderBy("votes").toArrow()
     if not patterns.num_rows:
         return Classifier(voters, np.zeros(voters.size + 1), -4.0)
     votes = np.zeros((patterns.num_rows, voters.size), np.float32)
@@ -191,15 +207,18 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, sample:
     share = np.array([-1.0 if x is None else x for x in patterns.column("known").to_pylist()])
     posterior, _ = label_model(votes, times, share)
     w, b = linear(votes, times, posterior)
-    return Classifier(voters, w, b)
+    labelled = patterns.column("labelled").to_numpy().astype(float)
+    z = votes @ w[:-1] + w[-1] * np.log1p(votes.sum(axis=1)) + b
+    return Classifier(voters, w, b - calibrated(z, labelled, labelled * np.maximum(share, 0)))
 
 
 def scored(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs with ``text``: the other columns, score (0 to 1) and predicted (1 from 0.5 on).
 
     Only the text is looked at; a null text is scored as the empty one. Texts of any length are read whole. Equal texts
-    have equal scores. An empty table gives no rows.
+    have equal scores. An empty table gives no rows. Columns of ``docs`` called score or predicted give way to the operator's.
     """
+    docs = apart(docs, "score", "predicted")
     rest = [c for c in docs.columns if c != "text"]
     schema = docs.select(*rest).schema.add("score", "double").add("predicted", "integer")
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -39,7 +39,7 @@ class Rule:
         return "/" + self.rule.partition("/")[2]
 
 
-#: More rules than this belong in a table of their own; the list is a literal of the plan.
+#: More rules than this go into a table of their own, which pages are joined with; fewer are a literal of the plan.
 MOST_RULES = 10_000
 
 
@@ -66,8 +66,6 @@ def domain_of(host: Column) -> Column:
 
 def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """The longest rule that fits, as struct (length, rule, verdict), or null. Of equally long ones, the last by code point."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
     if not rules:
         return F.lit(None).cast("struct<length: int, rule: string, verdict: string>")
     by_host: dict[str, list[Rule]] = {}
@@ -86,6 +84,22 @@ def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return best
 
 
+def matched_by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """pages (host, path, ...) with ``best`` as ``matched_rule`` has it, for any number of rules (rule, verdict): each distinct host and path meets the rules
+    of its host and of the domains above it in a join."""
+    rule = F.col("rule")
+    own = rules.where(rule.isNotNull()).select(
+        F.lower(F.substring_index(rule, "/", 1)).alias("_at"),
+        F.concat(F.lit("/"), F.when(F.contains(rule, F.lit("/")), F.substring(rule, F.instr(rule, F.lit("/")) + 1, F.length(rule))).otherwise("")).alias("_path"),
+        F.struct(F.length(rule).alias("length"), rule.alias("rule"), F.col("verdict").cast("string").alias("verdict")).alias("_best"),
+    )
+    labels = F.split(F.col("host"), r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    named = pages.select("host", "path").distinct().withColumn("_at", F.explode(above))
+    best = named.join(own, "_at").where(F.startswith(F.col("path"), F.col("_path"))).groupBy("host", "path").agg(F.max("_best").alias("best"))
+    return pages.join(best, ["host", "path"], "left")
+
+
 def _strength(groups: DataFrame, low: float, high: float) -> float:
     """Prior strength from rows (n, bad, prior mean): 1/rho - 1 for the moment estimate of the correlation rho within a group."""
     within = F.col("mean") * (1 - F.col("mean"))
@@ -122,11 +136,11 @@ def reputation(hosts: DataFrame, z: float = 1.645, least_rho: float = 0.001, mos
 
 
 def judge(
-    pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], limit: float = 0.5, z: float = 1.645, least_rho: float = 0.001, most_rho: float = 0.5
+    pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] | DataFrame, limit: float = 0.5, z: float = 1.645, least_rho: float = 0.001, most_rho: float = 0.5
 ) -> DataFrame:
     """pages: page_id, url, item (what ``outcomes`` calls the page); outcomes: item, bad (0/1; any number of rows an item).
 
-    Returns page_id, host, path, rule, verdict, rate, bound for each row of ``pages``.
+    Returns page_id, host, path, rule, verdict, rate, bound for each row of ``pages``. ``rules`` may be a table (rule, verdict).
 
     * A null url, or one without ``://``, has an empty host and path: no rule but those for
       the empty host fit, and its reputation is that of all such pages.
@@ -137,11 +151,11 @@ def judge(
     known = outcomes.where("bad is not null and item is not null").groupBy("item").agg(F.max("bad").cast("long").alias("bad"))
     hosts = parsed.join(known, "item", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     known_hosts = stored(reputation(hosts, z, least_rho, most_rho), "reputation")
-    best = matched_rule(F.col("host"), F.col("path"), rules)
+    if not isinstance(rules, DataFrame) and len(rules) > MOST_RULES:
+        rules = pages.sparkSession.createDataFrame([(r.rule, r.verdict) for r in rules], "rule string, verdict string")
+    named = parsed.drop("item").join(known_hosts, "host", "left")
     by_method = F.when(F.col("bound") > limit, "block").otherwise("allow")
     return (
-        parsed.drop("item")
-        .join(known_hosts, "host", "left")
-        .withColumn("best", best)
+        (matched_by_join(named, rules) if isinstance(rules, DataFrame) else named.withColumn("best", matched_rule(F.col("host"), F.col("path"), rules)))
         .select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), by_method).alias("verdict"), "rate", "bound")
     )

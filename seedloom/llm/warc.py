@@ -8,7 +8,9 @@ so a folder may be local, on HDFS or in an object store.
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import io
 import uuid
 from collections.abc import Iterator
@@ -101,6 +103,8 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
         self.target_bytes = int(options.get("partitionbytes", 64 << 20))
+        self.verify = options.get("verify", "false").lower() == "true"
+        self.skip = options.get("malformed", "fail").lower() == "skip"
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -145,15 +149,29 @@ class WarcReader(DataSourceReader):
             with store.open_input_stream(path, compression=None) as raw:
                 buffered = io.BufferedReader(raw, 1 << 16)
                 stream = gzip.GzipFile(fileobj=buffered) if path.endswith(".gz") else buffered
-                while (fields := headers(stream)) is not None:
-                    length = int(fields.get(LENGTH.lower(), 0))
-                    if not self.wanted(fields) or not self.payload:
-                        _passed(stream, length)
-                        body = None
-                    else:
-                        body = stream.read(length)
-                    if self.wanted(fields):
-                        yield self.row(fields, length, body)
+                try:
+                    yield from self.records(stream)
+                except (ValueError, EOFError, OSError) as error:
+                    if not self.skip:
+                        raise ValueError(f"{path}: {error}") from error
+
+    def records(self, stream) -> Iterator[tuple]:
+        """Records of an archive, until one that is malformed: a length that is no number, or a payload that ends early, or differs from its digest."""
+        while (fields := headers(stream)) is not None:
+            length, wanted, body = int(fields.get(LENGTH.lower(), 0)), self.wanted(fields), None
+            if length < 0:
+                raise ValueError("a length below 0")
+            if not wanted or not (self.payload or self.verify):
+                _passed(stream, length)
+            else:
+                body = stream.read(length)
+                if len(body) < length:
+                    raise ValueError("a payload ends early")
+                digest = fields.get(DIGEST.lower()) or ""
+                if self.verify and fields.get(TYPE.lower()) != "revisit" and digest.startswith("sha1:") and digest[5:] != base64.b32encode(hashlib.sha1(body).digest()).decode():
+                    raise ValueError("a payload differs from its digest")
+            if wanted:
+                yield self.row(fields, length, body if self.payload else None)
 
     def row(self, fields: dict[str, str], length: int, body: bytes | None) -> tuple:
         full = fields.get(FULL_LENGTH.lower())
@@ -178,8 +196,8 @@ class WarcWriter(DataSourceWriter):
     A task writes to a name of its own attempt; only what tasks committed gets its final name.
     """
 
-    def __init__(self, options: dict, names: list[str]):
-        self.path, self.names = options["path"], names
+    def __init__(self, options: dict, names: list[str], overwrite: bool = False):
+        self.path, self.names, self.overwrite = options["path"], names, overwrite
         self.suffix = ".warc" if options.get("compression", "gzip") == "none" else ".warc.gz"
 
     def write(self, rows: Iterator) -> Written:
@@ -209,7 +227,13 @@ class WarcWriter(DataSourceWriter):
         return record_bytes(fields, body)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, _ = _opened(self.path)
+        store, root = _opened(self.path)
+        if self.overwrite:
+            from pyarrow import fs
+
+            for x in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
+                if x.is_file and x.base_name.endswith((".warc", ".warc.gz")):
+                    store.delete_file(x.path)
         for m in messages:
             if m is not None and m.path:
                 store.move(m.staged, m.path)
@@ -222,7 +246,8 @@ class WarcWriter(DataSourceWriter):
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").load(folder)``; options: payload (true/false), partitionBytes. Writing: compression (gzip/none)."""
+    """``spark.read.format("warc").load(folder)``; options: payload (true/false), partitionBytes, verify (true: payloads are held
+    against their digests), malformed (fail, or skip: the rest of an archive after a malformed record is left out). Writing: compression (gzip/none)."""
 
     @classmethod
     def name(cls) -> str:
@@ -235,7 +260,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options, schema.names)
+        return WarcWriter(self.options, schema.names, overwrite)
 
 
 def registered(spark) -> None:

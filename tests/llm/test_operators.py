@@ -180,9 +180,79 @@ def test_language_edges(spark):
     assert language.predicted(rows.where("false"), model).count() == 0
 
 
+def language_brute(text, rows):
+    """Leading language and its share by plain Python, from labelled (lang, text)."""
+
+    def codes(s):
+        code = lambda b: b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 32 + (b & 31) if b >= 128 else 0
+        x = [0, *[code(b) for b in s.encode()], 0]
+        return [tuple(x[i - 1 : i + 2]) for i in range(1, len(x) - 1) if x[i]]
+
+    seen = {}
+    for lang, s in rows:
+        seen.setdefault(lang, Counter()).update(codes(s))
+    names, own = sorted(seen), codes(text)
+    p = {c: [(seen[z][c] + language.ALPHA) / (seen[z].total() + language.ALPHA * language.TRIGRAMS) for z in names] for c in set(own)}
+
+    def em(which, share):
+        for _ in range(language.ROUNDS):
+            new = [0.0] * len(which)
+            for c in own:
+                parts = [share[j] * p[c][z] for j, z in enumerate(which)]
+                for j, x in enumerate(parts):
+                    new[j] += x / sum(parts) / len(own)
+            done, share = max(abs(x - y) for x, y in zip(new, share)) < 1e-3, new
+            if done:
+                break
+        return share
+
+    gain = lambda which, share: sum(math.log(sum(s * p[c][z] for s, z in zip(share, which))) for c in own)
+    every = em(range(len(names)), [1 / len(names)] * len(names))
+    first = max(range(len(names)), key=lambda z: (gain([z], [1.0]), -z))
+    chosen, best, parts = [first], gain([first], [1.0]), [1.0]
+    for z in sorted(range(len(names)), key=lambda z: -every[z]):
+        if z == first:
+            continue
+        if every[z] < language.LEAST_SHARE:
+            break
+        some = [*chosen, z]
+        total = sum(max(every[k], 1e-3) for k in some)
+        mixed = em(some, [max(every[k], 1e-3) / total for k in some])
+        if gain(some, mixed) - best < language.PENALTY * math.log(len(own) + 1):
+            break
+        chosen, best, parts = some, gain(some, mixed), mixed
+    return names[chosen[parts.index(max(parts))]], every[chosen[parts.index(max(parts))]], {names[z]: s for z, s in zip(chosen, parts)}
+
+
+def test_language_against_plain_python(spark):
+    docs, words = languages(spark, 60)
+    rows = [(r.lang, r.text) for r in docs.collect()]
+    model, rng = language.fitted(docs), random.Random(3)
+    for n in range(12):
+        text = " ".join(rng.choices(words["en"], k=n * 3) + rng.choices(words["fr"], k=30 - n * 2) + rng.choices(words["de"], k=n % 3 * 8) + ["Ünseen"])
+        lang, score, shares = language.infer(text.encode(), model)
+        want = language_brute(text, rows)
+        assert lang == want[0] and abs(score - want[1]) < 1e-3 and shares.keys() == want[2].keys()
+        assert all(abs(shares[k] - want[2][k]) < 1e-3 for k in shares)
+
+
+def test_language_pieces_ties_repeats_and_many_languages(spark, monkeypatch):
+    text = ("the quick été 漢字 fox, 12 " * 40).encode()
+    whole = language.trigram_counts(text)
+    for piece in (1, 7, 64, len(text) - 1):
+        monkeypatch.setattr(language, "PIECE", piece)
+        assert all(np.array_equal(a, b) for a, b in zip(language.trigram_counts(text), whole))
+    tied = language.fitted(spark.createDataFrame([("b", "same words"), ("a", "same words")], "lang string, text string"))
+    rows = spark.createDataFrame([(1, "same", "x"), (1, "same", "x")], "doc_id long, text string, score string")
+    got = language.predicted(rows, tied).collect()
+    assert [r.lang_pred for r in got] == ["a", "a"] and got[0] == got[1] and abs(got[0].score - 0.5) < 1e-6
+    many = language.fitted(spark.createDataFrame([(f"l{i:03}", f"{chr(97 + i % 26)}{chr(97 + i // 26)}q " * 20) for i in range(130)], "lang string, text string"))
+    assert language.infer(b"cbq cbq cbq cbq", many)[0] == "l028"
+
+
 def test_mixture_is_the_likeliest():
     likely = np.random.default_rng(1).random((400, 2)).astype(np.float32)
-    share = language._mixture(likely, np.full(2, 0.5, np.float32), 200)
+    share = language._mixture(likely, np.ones(len(likely), np.float32), np.full(2, 0.5, np.float32), 200)
     grid = max(np.linspace(0, 1, 2001), key=lambda p: np.log(likely @ np.array([p, 1 - p])).sum())
     assert abs(share[0] - grid) < 0.02
 
@@ -545,3 +615,79 @@ def test_lm_nothing_to_learn_from(spark):
     rows = spark.createDataFrame([(1, True, "a b"), (2, None, None)], "doc_id long, held_out boolean, text string")
     got = {r.doc_id: r for r in attention.scored(rows, tokenizer_path("byte_bpe_50k.json")).collect()}
     assert got[1].n_tokens == 3 and got[1].n_known == 0 and got[2].n_tokens == 1 and got[1].train_tokens == 0
+
+
+# Edges that several operators share
+
+
+def test_toxicity_limit_has_the_best_f1():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        z = np.round(rng.normal(0, 2, 12), 1)
+        n, = rng.integers(0, 5, (1, 12)).astype(float)
+        bad = np.minimum(n, rng.integers(0, 5, 12))
+        f1 = lambda limit: 2 * bad[z >= limit].sum() / max(n[z >= limit].sum() + bad.sum(), 1)  # noqa: B023, E731
+        if bad.sum():
+            assert f1(toxicity.calibrated(z, n, bad)) == max(f1(x) for x in z)
+    assert toxicity.calibrated(np.ones(3), np.ones(3), np.zeros(3)) == 0
+
+
+def test_toxicity_scores_against_plain_python(spark):
+    voters = toxicity.Voters({"bad": 0, "idiot": 1}, [{"zorg": 2}, {}, {}, {}], (r"(?i)\bshut up\b",))
+    weights = [1.5, -0.5, 2.0, 0.25, 0.75]
+    model = toxicity.Classifier(voters, np.array(weights), -1.0)
+    texts = ["Bad bad day", "zorgich zorg IDIOT", "you Shut Up, zorgung bad", "", None, "zorg"]
+    rows = spark.createDataFrame([(i, t, 7) for i, t in enumerate([*texts, *texts])], "doc_id long, text string, predicted int")
+    got = {}
+    for r in toxicity.scored(rows, model).collect():
+        got.setdefault(r.doc_id % 6, set()).add((round(r.score, 9), r.predicted))
+    for i, t in enumerate(texts):
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        votes = [k for k, on in enumerate(["bad" in words, "idiot" in words, any(w.startswith("zorg") and len(w) > 4 for w in words), "shut up" in (t or "").lower()]) if on]
+        p = 1 / (1 + math.exp(-(sum(weights[k] for k in votes) + weights[4] * math.log1p(len(votes)) - 1.0)))
+        assert got[i] == {(round(p, 9), int(p >= 0.5))}
+
+
+def test_many_rules_are_joined(spark, monkeypatch):
+    urls = ["http://a.example.org/en/1/x", "http://example.org/en/1?q", "http://b.org/z", "http://x.com/de/2", "nothing", None, "http://a.example.org/en/1/x"]
+    pages = spark.createDataFrame([(i, u, i) for i, u in enumerate(urls)], "page_id long, url string, item long")
+    outcomes = spark.createDataFrame([], "item long, bad int")
+    few = sorted(map(repr, url_filter.judge(pages, outcomes, RULES).collect()))
+    monkeypatch.setattr(url_filter, "MOST_RULES", 1)
+    assert sorted(map(repr, url_filter.judge(pages, outcomes, RULES).collect())) == few
+
+
+def test_url_reputation_blocks_in_the_query(spark, tmp_path):
+    from seedloom.llm.queries import op10_url_filter
+
+    bad = [(i, f"http://bad.net/p/{i}", "") for i in range(30)] + [(99, "http://bad.net/other", "")]
+    good = [(100 + i, f"http://good.net/p/{100 + i}", "") for i in range(30)]
+    spark.createDataFrame(bad + good, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    marks = [(i, 0, 0) for i in range(30)] + [(100 + i, 1, 0) for i in range(30)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.page_id: r for r in op10_url_filter(spark, str(tmp_path)).collect()}
+    assert all((got[i].verdict, got[i].rule) == ("block" if i < 100 else "allow", None) for i in got)
+    assert got[99].rate > got[99].bound > 0.5 > got[100].rate
+
+
+def test_warc_malformed_verified_and_overwritten(spark, tmp_path):
+    warc.registered(spark)
+    pages = spark.createDataFrame([(1, "u1", "one"), (2, "u2", "two two"), (3, "u3", None)], "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    for _ in range(2):
+        warc.records(pages.coalesce(1)).write.format("warc").option("compression", "none").mode("overwrite").save(folder)
+    read = lambda **o: spark.read.format("warc").options(**o).load(folder)
+    assert read(verify="true").count() == 3
+    (path,) = (tmp_path / "w").glob("*.warc")
+    data = path.read_bytes()
+    path.write_bytes(data.replace(b"two two", b"two twx"))
+    with pytest.raises(Exception, match="differs from its digest"):
+        read(verify="true").collect()
+    assert read(verify="true", malformed="skip").count() == 1 and read().count() == 3
+    path.write_bytes(data[: data.index(b"two two") + 3])
+    with pytest.raises(Exception, match="ends early"):
+        read().collect()
+    assert [r.payload for r in read(malformed="skip").collect()] == ["one"]
+    path.write_bytes(data.replace(b"Content-Length: 7", b"Content-Length: x"))
+    with pytest.raises(Exception, match="invalid literal"):
+        read().collect()
