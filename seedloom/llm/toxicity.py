@@ -151,7 +151,7 @@ def linear(votes: np.ndarray, times: np.ndarray, target: np.ndarray, steps: int
 
 
 def calibrated(scores: np.ndarray, labelled: np.ndarray, toxic: np.ndarray) -> float:
-    """The log odds from which on calling rows toxic has the best F1 on labelled rows: scores by pattern, and its labelled and toxic rows. 0 without toxic rows.
+    """The log odds from which on calling rows toxic has the best F-measure on labelled rows, with precision counting 1.4 times as much as recall: scores by pattern, and its labelled and toxic rows. 0 without toxic rows.
 
     Posteriors of a label model are right in order rather than in size; the limit lies between the last pattern that is taken and the next.
     """
@@ -160,8 +160,8 @@ def calibrated(scores: np.ndarray, labelled: np.ndarray, toxic: np.ndarray) -> f
     order = np.argsort(-scores, kind="stable")
     z, n, bad = scores[order], np.cumsum(labelled[order]), np.cumsum(toxic[order])
     last = np.append(z[1:] < z[:-1], True)  # a limit parts only different scores
-    f1 = np.where(last, 2 * bad / np.maximum(n + toxic.sum(), 1), -1)
-    k = int(f1.argmax())
+    measure = np.where(last, 1.5 * bad / np.maximum(n + 0.5 * toxic.sum(), 1e-9), -1)
+    k = int(measure.argmax())
     return float(z[k] - 1e-6 if k + 1 == len(z) else (z[k] + z[k + 1]) / 2)
 
 
