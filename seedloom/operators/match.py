@@ -147,11 +147,11 @@ def with_fallback(reads: DataFrame, main: tuple[DataFrame, DataFrame], second) -
 
 
 def placed_by_bin(keys: DataFrame, index: DataFrame, mask: Mask, options: MatchOptions) -> DataFrame:
-    """``placed`` rows where each bin of the index (seeds with ``bin``) is searched by itself: a key meets its own bin alone, whose number
-    both sides have, so that a stored index is read only in the bins that reads ask for; hits are those within the bin."""
+    """``placed`` rows by an index in bins (seeds with ``bin``): a key meets its own bin alone, whose number both sides have, so that a stored index is
+    read only in the bins that reads ask for. Hits are summed over bins, as those of an index without bins."""
     binned = keys.withColumn("bin", bin_of(F.col("key"), mask))
     n = index.groupBy("bin", "key").agg(F.count(F.lit(1)).alias("n"))
-    hits = binned.join(n, ["bin", "key"]).withColumn("hits", F.sum("n").over(Window.partitionBy(*END, "offset", "bin")))
+    hits = binned.join(n, ["bin", "key"]).withColumn("hits", F.sum("n").over(Window.partitionBy(*END, "offset")))
     few = hits.where(F.col("hits") <= options.max_key_matches).select("bin", *END, "length", "offset", "strand", "key")
     return _places(few.join(index.select("bin", "key", "contig", "pos"), ["bin", "key"]), mask, options)
 

@@ -189,8 +189,10 @@ SELECT read_id, end_no, contig, (pos + {len(MASK)} + off - len)::INT AS position
 SELECT c.read_id, c.contig, c.position::INT AS position, c.strand FROM cals c JOIN ref ON c.contig = ref.contig JOIN reads r ON c.read_id = r.read_id
 WHERE c.position >= 1 AND CASE WHEN c.strand = '-' THEN {TURN.format('substr(ref.seq, c.position::BIGINT, c.len)')} ELSE substr(ref.seq, c.position::BIGINT, c.len) END = r.seq""",
     "tandem_repeats": f"""WITH {REF}, s AS MATERIALIZED (SELECT contig, seq, length(seq) AS n FROM ref),
-pos AS (SELECT contig, seq, n, u, unnest(range(1, n - u + 1)) AS i FROM s, range(1, 7) AS x(u) WHERE n > u),
-eq AS (SELECT contig, u, i FROM pos WHERE substr(seq, i::BIGINT, 1) = substr(seq, (i + u)::BIGINT, 1)),
+ch AS MATERIALIZED (SELECT contig, i, c, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2, lead(c, 3) OVER w AS c3, lead(c, 4) OVER w AS c4, lead(c, 5) OVER w AS c5, lead(c, 6) OVER w AS c6
+  FROM (SELECT contig, unnest(range(1, n + 1)) AS i, unnest(string_split(seq, '')) AS c FROM s WHERE n > 0) WINDOW w AS (PARTITION BY contig ORDER BY i)),
+eq AS (SELECT contig, 1 AS u, i FROM ch WHERE c = c1 UNION ALL SELECT contig, 2, i FROM ch WHERE c = c2 UNION ALL SELECT contig, 3, i FROM ch WHERE c = c3
+  UNION ALL SELECT contig, 4, i FROM ch WHERE c = c4 UNION ALL SELECT contig, 5, i FROM ch WHERE c = c5 UNION ALL SELECT contig, 6, i FROM ch WHERE c = c6),
 isl AS (SELECT contig, u, i, i - row_number() OVER (PARTITION BY contig, u ORDER BY i) AS g FROM eq),
 run AS (SELECT contig, u, i, max(i) OVER (PARTITION BY contig, u, g) - i + 1 AS ahead FROM isl),
 own AS (SELECT contig, u, i, u * (1 + ahead // u) AS len FROM run WHERE u * (1 + ahead // u) >= 12 AND u * (1 + ahead // u) > u),

@@ -259,7 +259,7 @@ def secondary_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def merged_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each of the 16 bins of a stored index is searched by itself; the places of all are merged with fewer hits allowed."""
+    """Places by the 16 bins of a stored index, merged with fewer hits allowed."""
     mask, path = Mask(MASK, depth=2), scratch(spark, "index")
     keys = stored(m.read_keys(reads(spark, sf_dir), mask), "read-keys")
     write_index(m.sought_seeds(keys, reference(spark, sf_dir), mask), mask, path)

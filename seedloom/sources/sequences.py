@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import colors, normalised, reverse_complement
+from ..storage import stored
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """contig (from 1, in file order), name (up to white space), seq (lines joined, U as T, ambiguity as N)."""
     records = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
     body = F.regexp_replace("value", "^>", "")
-    rows = records.select(F.monotonically_increasing_id().alias("_at"), F.regexp_extract(body, r"^([^\s]*)", 1).alias("name"), normalised(F.regexp_replace(F.regexp_extract(body, r"(?s)^[^\n]*\n?(.*)$", 1), r"\s", "")).alias("seq"))
+    # Within a file, records of one split follow each other: file, where the split begins, and the record's number in it give file order.
+    where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    rows = records.select(where.alias("_at"), F.regexp_extract(body, r"^([^\s]*)", 1).alias("name"), normalised(F.regexp_replace(F.regexp_extract(body, r"(?s)^[^\n]*\n?(.*)$", 1), r"\s", "")).alias("seq"))
     # Contigs are few beside bases: they are numbered on their places alone.
     numbers = rows.select("_at").withColumn("contig", F.row_number().over(Window.orderBy("_at")).cast("long"))
     return rows.join(numbers, "_at").select("contig", "name", "seq")
@@ -74,9 +77,17 @@ def grouped_ends(rows: DataFrame, order: Sequence[str], partition: Sequence[str]
 
 
 def numbered(rows: DataFrame, order: Sequence[str], start: int, end: int) -> DataFrame:
-    """Rows ``start`` to ``end`` (from 1, inclusive) in order, with their number n: a top-k, cut before it is numbered."""
-    first = rows.orderBy(*order).limit(end)
-    return first.withColumn("n", F.row_number().over(Window.orderBy(*order)).cast("long")).where(F.col("n") >= start)
+    """Rows ``start`` to ``end`` (from 1, inclusive) in order, with their number n.
+
+    Rows are dealt by ranges of ``order`` and numbered within each; only the number of rows before each part is gathered. Rows equal in ``order`` are
+    numbered in any order.
+    """
+    dealt = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    near = dealt.join(F.broadcast(before.where(F.col("_before") < end)), "_part")  # a row for each part
+    return near.withColumn("n", (F.col("_before") + own).cast("long")).drop("_part", "_before").where(F.col("n").between(start, end))
 
 
 def color_reads(bases: DataFrame, qualities: DataFrame) -> DataFrame:
@@ -129,3 +140,50 @@ def match_lines(cals: DataFrame, ends: DataFrame) -> DataFrame:
     per_end = ends.join(listed, ["read_id", "end_no"], "left").select("read_id", "name", "end_no", end.alias("t"))
     whole = per_end.groupBy("read_id", "name").agg(F.sort_array(F.collect_list(F.struct("end_no", "t"))).alias("e"))
     return whole.select("read_id", F.concat_ws("\n", F.concat_ws("\t", "name", F.size("e").cast("string")), F.array_join(F.transform("e", lambda x: x["t"]), "\n")).alias("line"))
+
+
+def _alternating(rows: DataFrame, least: int) -> DataFrame:
+    """read_id, f (fields of the first line), ends (fields of each further one) of records that are a line of at least ``least`` fields and one for each end."""
+    lines = F.split("line", "\n")
+    return rows.select("read_id", F.split(lines[0], "\t").alias("f"), F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.split(x, "\t")).alias("ends")).where(F.size("f") >= least)
+
+
+def read_match_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, ends) of records (read_id, line) as ``match_lines`` makes them."""
+    ends = _alternating(rows, 2).select("read_id", F.col("f")[0].alias("name"), F.posexplode("ends").alias("end_no", "e")).withColumn("end_no", F.col("end_no") + 1)
+    state = ends.select("read_id", "name", "end_no", F.col("e")[0].alias("seq"), F.col("e")[1].alias("qual"), F.col("e")[2].cast("int").alias("max_reached"))
+    n = F.col("e")[3].cast("int")
+    place = lambda i, k: F.element_at("e", 5 + 4 * i + k)
+    places = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+        place(i, 0).cast("long").alias("contig"), place(i, 1).cast("int").alias("position"), place(i, 2).alias("strand"), place(i, 3).alias("mask"))))
+    return ends.select("read_id", "end_no", F.inline(places)), state
+
+
+def alignment_lines(alignments: DataFrame, ends: DataFrame) -> DataFrame:
+    """Alignments as lines of text: name and number of ends, then for each end its read, quality, and its alignments: contig, position, strand, score,
+    mapping quality, and the two aligned strings."""
+    fields = ["contig", "position", "strand", "score", "mapq", "aln_read", "aln_ref"]
+    text = F.concat_ws("\t", *[F.col(c).cast("string") for c in fields])
+    listed = alignments.groupBy("read_id", "end_no").agg(F.sort_array(F.collect_list(F.struct("contig", "position", "strand", text.alias("t")))).alias("a"))
+    joined = ends.join(listed, ["read_id", "end_no"], "left")
+    lines = F.concat_ws("\t", "seq", "qual", F.greatest(F.coalesce(F.size("a"), F.lit(0)), F.lit(0)).cast("string"), F.array_join(F.transform("a", lambda p: p["t"]), "\t"))
+    whole = joined.select("read_id", "name", "end_no", lines.alias("t")).groupBy("read_id", "name").agg(F.sort_array(F.collect_list(F.struct("end_no", "t"))).alias("e"))
+    return whole.select("read_id", F.concat_ws("\n", F.concat_ws("\t", "name", F.size("e").cast("string")), F.array_join(F.transform("e", lambda x: x["t"]), "\n")).alias("line"))
+
+
+def read_alignment_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alignments, ends) of records (read_id, line) as ``alignment_lines`` makes them."""
+    ends = _alternating(rows, 2).select("read_id", F.col("f")[0].alias("name"), F.posexplode("ends").alias("end_no", "e")).withColumn("end_no", F.col("end_no") + 1)
+    n = F.col("e")[2].cast("int")
+    field = lambda i, k: F.element_at("e", 4 + 7 * i + k)
+    kinds = [("contig", "long"), ("position", "long"), ("strand", "string"), ("score", "int"), ("mapq", "int"), ("aln_read", "string"), ("aln_ref", "string")]
+    found = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(*[field(i, k).cast(kind).alias(name) for k, (name, kind) in enumerate(kinds)])))
+    return ends.select("read_id", "end_no", F.inline(found)), ends.select("read_id", "name", "end_no", F.col("e")[0].alias("seq"), F.col("e")[1].alias("qual"))
+
+
+def offsets(text: str) -> list[int]:
+    """Numbers between commas that rise from 0 or more."""
+    found = [int(x) for x in text.split(",")]
+    if any(a >= b for a, b in zip([-1, *found], found)):
+        raise ValueError("offsets have to rise from 0")
+    return found

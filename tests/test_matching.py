@@ -351,3 +351,124 @@ def test_windows_of_long_reads_cross_chunks(spark):
         turned = w[::-1].translate(str.maketrans("acgt", "tgca"))
         want.append((i, turned if strand == "-" else w, lo, len(w) - (p - lo) - n if strand == "-" else p - lo))
     assert got == sorted(want)
+
+
+def test_sought_seeds_are_those_of_the_keys(spark, monkeypatch):
+    rng = random.Random(4)
+    ref = spark.createDataFrame([(i, "".join(rng.choices("acgtN", k=400))) for i in range(5)], "contig long, seq string")
+    rows = spark.createDataFrame([(1, 1, "acgtacgtacgt"), (2, 1, "ttttttttgaca")], "read_id long, end_no int, seq string")
+    mask = Mask("11011")
+    keys = read_keys(rows, mask)
+    want = sorted(map(tuple, seeds(ref, mask).join(keys.select("key").distinct(), "key", "left_semi").select("contig", "pos", "key").collect()))
+    assert want
+    for most in (1 << 20, 1):
+        monkeypatch.setattr(m, "MOST_SOUGHT", most)
+        assert sorted(map(tuple, m.sought_seeds(keys, ref, mask).collect())) == want
+
+
+def test_color_seeds_and_places(spark):
+    """A read cut from either strand, as colours from an adaptor, is found where it was cut."""
+    rng = random.Random(6)
+    text = "".join(rng.choices("acgt", k=900)) + "N" + "".join(rng.choices("acgt", k=100))
+    ref = spark.createDataFrame([(7, text)], "contig long, seq string")
+    turned = lambda x: x[::-1].translate(str.maketrans("acgt", "tgca"))
+    colors_of = lambda x: "".join(str("acgt".index(a) ^ "acgt".index(b)) for a, b in zip("a" + x, x))
+    rows = [(at, 1, "A" + colors_of(cut if at % 2 else turned(cut))) for at in (1, 100, 333, 500, 801) for cut in [text[at - 1 : at + 39]]]
+    options = m.MatchOptions(space="color")
+    cals, _ = m.match_reference(spark.createDataFrame(rows, "read_id long, end_no int, seq string"), ref, Mask("111110111111"), options)
+    got = {(r.read_id, r.position, r.strand) for r in cals.collect()}
+    assert {(at, at, "+" if at % 2 else "-") for at in (1, 100, 333, 500, 801)} <= got
+    lower = spark.createDataFrame([(1, "ACGTacGTACGTACGT")], "contig long, seq string")
+    assert [r.pos for r in seeds(lower, Mask("111"), True, space="color").orderBy("pos").collect()] == [1, 2, *range(8, 15)]
+
+
+def test_binned_index_is_the_unsplit_one(spark, tmp_path):
+    rng = random.Random(5)
+    ref = spark.createDataFrame([(i, "".join(rng.choices("acgt", k=500))) for i in range(4)], "contig long, seq string")
+    rows = spark.createDataFrame([(1, 1, "".join(rng.choices("acgt", k=60))), (2, 1, "acacacacacacacac")], "read_id long, end_no int, seq string")
+    mask = Mask("1110111", depth=2)
+    write_index(seeds(ref, mask), mask, str(tmp_path / "i"), 3)
+    index, frequency, same = read_index(spark, str(tmp_path / "i"), 3)
+    keys = read_keys(rows, mask)
+    plain = m.united(m.placed(m.key_hits(keys, key_frequency(seeds(ref, mask))), seeds(ref, mask), mask, m.MatchOptions()))
+    binned = m.merged_bins(m.placed_by_bin(keys, index, same, m.MatchOptions()), 8)
+    assert sorted(map(repr, binned.select(plain.columns).collect())) == sorted(map(repr, plain.collect())) != []
+    from seedloom.operators.seeds import read_indexes
+
+    assert len(read_indexes(spark, str(tmp_path / "i"))) == 1
+    with pytest.raises(ValueError):
+        read_indexes(spark, str(tmp_path / "i"), [1])
+
+
+def test_region_is_clamped():
+    from seedloom.operators.seeds import clamped
+
+    assert clamped((1, 9), (0, 0), (0, 0), 50) == ((1, 1), (9, 50))
+    assert clamped((1, 9), (2, 5), (12, 7), 50) == ((2, 5), (9, 50))
+    with pytest.raises(ValueError):
+        clamped((1, 9), (5, 1), (4, 1), 50)
+
+
+def test_lines_come_back(spark):
+    from seedloom.sources import sequences
+
+    ends = spark.createDataFrame([(1, "a", 1, "acgt", "IIII", 3), (1, "a", 2, "ttt", "III", -1), (2, "b", 1, "gg", "II", 0)], "read_id long, name string, end_no int, seq string, qual string, max_reached int")
+    cals = spark.createDataFrame([(1, 1, 5, 9, "+", "1101"), (1, 1, 5, 2, "-", "1011"), (2, 1, 6, 1, "+", "11")], "read_id long, end_no int, contig long, position int, strand string, mask string")
+    back, state = sequences.read_match_lines(sequences.match_lines(cals, ends))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, cals.collect()))
+    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, ends.collect()))
+    found = spark.createDataFrame([(1, 2, 5, 9, "+", 40, 7, "acg-t", "acgtt"), (1, 2, 5, 3, "-", 30, 0, "acgt", "acgt")], "read_id long, end_no int, contig long, position long, strand string, score int, mapq int, aln_read string, aln_ref string")
+    back, state = sequences.read_alignment_lines(sequences.alignment_lines(found, ends))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, found.collect()))
+    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, ends.drop("max_reached").collect()))
+    assert sequences.offsets("0,3,10") == [0, 3, 10]
+    for bad in ("3,3", "-1", "5,2"):
+        with pytest.raises(ValueError):
+            sequences.offsets(bad)
+
+
+def test_numbers_of_many_parts(spark):
+    from seedloom.sources import sequences
+
+    rows = spark.range(1000).selectExpr("id * 7919 % 1009 AS v").repartition(9)
+    got = sorted((r.n, r.v) for r in sequences.numbered(rows, ["v"], 17, 400).collect())
+    assert got == list(enumerate(sorted(i * 7919 % 1009 for i in range(1000)), 1))[16:400]
+
+
+def test_windows_in_exons(spark):
+    index = spark.createDataFrame([(1, p, 0) for p in range(1, 9000, 37)], "contig long, pos int, key long")
+    exons = [(1, 5, 4200), (1, 4000, 4100), (1, 8190, 8999), (1, 50, 40), (2, 1, 9000)]
+    got = sorted(r.pos for r in in_exons(index, Mask("1101"), spark.createDataFrame(exons, "contig long, start long, end long")).collect())
+    assert got == [p for p in range(1, 9000, 37) if any(c == 1 and a <= p and p + 3 <= b for c, a, b in exons)]
+
+
+def test_untested_helpers(spark):
+    from seedloom.operators import stats
+    from seedloom.operators.seeds import checked_exons, compatible
+
+    meta = spark.createDataFrame([(1, "nt", 1), (2, "nt", 1)], "index_no int, space string, start_contig long")
+    assert compatible(meta) and not compatible(meta.union(spark.createDataFrame([(3, "color", 1)], meta.schema)))
+    exons = spark.createDataFrame([(1, 1, 5), (1, 5, 9), (1, 20, 10), (2, 1, 2)], "contig long, start long, end long")
+    assert sorted(r.start for r in checked_exons(exons).collect()) == [5, 20]
+    assert tuple(stats.against_expected(spark.createDataFrame([(1, 2), (2, 2), (5, 2), (4, 2)], "score int, expected int")).first()) == (1, 1, 2)
+    best = align.best_only(spark.createDataFrame([(1, 1, 5), (1, 1, 7), (1, 2, 3)], "read_id long, end_no int, score int"))
+    assert sorted(r.score for r in best.collect()) == [3, 7]
+
+
+def test_pairs_have_the_proper_bit(spark):
+    """Two ends cut 100 apart come back as a proper pair, and their records say so."""
+    from seedloom.functions import sam
+    from seedloom.plans.workflow import paired_alignments, scored_alignments
+
+    rng = random.Random(12)
+    text = "".join(rng.choices("acgt", k=800))
+    ref = spark.createDataFrame([(1, text)], "contig long, seq string")
+    rows = [(1, 1, text[100:140]), (1, 2, text[200:240]), (2, 1, text[300:340]), (2, 2, text[700:740]), (3, 1, text[500:540]), (3, 2, "".join(rng.choices("acgt", k=40)))]
+    reads = spark.createDataFrame(rows, "read_id long, end_no int, seq string")
+    found = paired_alignments(scored_alignments(reads, ref, Mask("1" * 14)), reads, insert=select.InsertSize(100.0, 20.0))
+    got = {(r.read_id, r.end_no): (r.position, r.proper) for r in found.collect()}
+    assert got == {(1, 1): (101, True), (1, 2): (201, True), (2, 1): (301, False), (2, 2): (701, False), (3, 1): (501, False)}
+    ends = reads.withColumn("name", F.col("read_id").cast("string")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+    lines = sam.records(found, ends, spark.createDataFrame([(1, "c")], "contig long, name string")).collect()
+    flags = {(r.read_id, r.end_no): int(r.line.split("\t")[1]) for r in lines}
+    assert flags == {(1, 1): 67, (1, 2): 131, (2, 1): 65, (2, 2): 129, (3, 1): 73, (3, 2): 133}
