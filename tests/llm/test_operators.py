@@ -79,6 +79,15 @@ def test_remembered_words_may_be_forgotten(monkeypatch):
         assert coder.of_text(text.encode()) == b"".join(fresh.of_text(w.encode()) for w in text.split())
 
 
+def test_words_with_marks_are_as_the_tokenizer_has_them():
+    from tokenizers import Tokenizer
+
+    t, coder = Tokenizer.from_file(tokenizer_path()), subwords.WordIds(tokenizer_path())
+    words = ["don't", "don't.", "x's,", "a.b", "abc,", "abc", "...", "é,", "e\u0301,", "abc\u0301.", "\u0130.", "\ufb1d.", "\u0958,", "\u212b,", "1.", "a1.", "A|>", "word'", "한국어.", "<|endoftext|>."]
+    for word in words:
+        assert coder.of_text(word.encode()) == np.array(t.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), word
+
+
 def test_best_fit():
     assert packing.best_fit([], 10) == []
     assert packing.best_fit([6, 5, 4, 5], 10) == [[0, 2], [1, 3]]
@@ -134,6 +143,44 @@ def test_best_fit_of_counts():
         assert Counter(tuple(sorted(x for _, x in i)) for i in rows.values()) == Counter(tuple(sorted(lengths[i] for i in b)) for b in want)
 
 
+def test_steps_of_a_node():
+    rng = random.Random(8)
+    for capacity, n, least in [(64, 300, 63), (64, 300, 0), (100, 2000, 95), (10, 1, 10)]:
+        counts = Counter(rng.randint(1, capacity) for _ in range(n))
+        done, onward, seen = {}, {}, Counter()
+        for length, first, pieces, each, base, sequence, settled, next_ in packing.node_steps(counts, capacity, least):
+            assert first == seen[length]  # runs of a length follow one another
+            seen[length] += pieces
+            for k in range(pieces):
+                if settled:
+                    done.setdefault(sequence + k // each, []).append((base + k % each * length, length))
+                else:
+                    onward.setdefault(length, []).append(next_ + k)
+        assert seen == counts
+        for items in done.values():
+            ends = [0, *np.cumsum([x for _, x in sorted(items)]).tolist()]
+            assert [o for o, _ in sorted(items)] == ends[:-1] and least <= ends[-1] <= capacity
+        assert all(v == list(range(len(v))) for v in onward.values()) and (least or not onward)
+
+
+@pytest.mark.parametrize("fan_in", [2, 64])
+def test_packing_in_rounds(spark, monkeypatch, fan_in):
+    """A third of all documents in copies of one length, of which no two fit together, over many splits and rounds."""
+    monkeypatch.setattr(packing, "FAN_IN", fan_in)
+    rng = random.Random(3)
+    rows = [(i, "d " * (39 if i % 3 == 0 else rng.randint(0, 63))) for i in range(600)]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(9), tokenizer_path(), 64).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == sorted((i, t.count("d") + 1) for i, t in rows)
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for items in sequences.values():
+        ends = [0, *np.cumsum([x for _, x in sorted(items)]).tolist()]
+        assert [o for o, _ in sorted(items)] == ends[:-1] and ends[-1] <= 64
+    best = len(packing.best_fit([r.length for r in got], 64))
+    assert best <= len(sequences) <= 1.02 * best, (best, len(sequences))
+
+
 def test_packing_meets_over_all_splits(spark, monkeypatch):
     """Documents of which no two fit together, in some splits, and short ones that fill them, in others."""
     monkeypatch.setattr(packing, "MOST_OPEN", 4, raising=False)
