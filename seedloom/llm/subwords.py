@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import os
+import unicodedata
+from collections.abc import Iterable
 
 import numpy as np
 
 #: Words that a worker remembers: those of late, and as many of before.
 MOST_WORDS = 500_000
+#: ASCII marks but the apostrophe, which may begin an ending.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words encoded in one string.
 JOINED = 512
 
 
+def _letters(word: str) -> bool:
+    """Whether the tokenizer, too, sees nothing but letters: some fall into a letter and a mark."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordIds:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
@@ -63,9 +72,10 @@ class WordIds:
                 start = end
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
+        """Remember ``words``, which are all those of a text; its memory may begin anew."""
+        new: Iterable[bytes] = words.difference(self.known)
         if len(self.known) + len(new) > MOST_WORDS:
-            self.before, self.known, new = self.known, {}, list(words)
+            self.before, self.known, new = self.known, {}, words
         fresh = []
         for w in new:
             if (ids := self.before.get(w)) is None:
@@ -75,19 +85,28 @@ class WordIds:
         if self.lead:
             self._together(fresh)
         else:
-            # Only a word of letters alone is sure to be one piece before its subwords are found.
-            alone = [w.decode("utf-8", "replace").isalpha() for w in fresh]
-            self._together([w for w, a in zip(fresh, alone) if a])
-            self._single([w for w, a in zip(fresh, alone) if not a])
+            self._by_letters(fresh)
+
+    def _by_letters(self, words: list[bytes]) -> None:
+        """Only a word of letters alone is sure to be one piece before its subwords are found; ASCII marks after it are pieces of their own."""
+        alone, rest, parted = [], [], []
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if not _letters(stem.decode("utf-8", "replace")):
+                rest.append(w)
+            elif len(stem) == len(w):
+                alone.append(w)
+            else:
+                parted.append((w, stem, w[len(stem) :]))
+        known = self.known
+        self._together([*alone, *{s for _, s, _ in parted}.difference(known, alone)])
+        self._single([*rest, *{m for _, _, m in parted}.difference(known, rest)])
+        for w, stem, marks in parted:
+            known[w] = known[stem] + known[marks]
 
     def of_words(self, words: list[bytes]) -> bytes:
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self.learn(set(words))
-            known = self.known
-            return b"".join([known[w] for w in words])
+        self.learn(set(words))
+        return b"".join(map(self.known.__getitem__, words))
 
     def of_text(self, text: bytes) -> bytes:
         """bytes split at space and tab to carriage return alone."""
