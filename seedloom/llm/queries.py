@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, exact_dedup, language, lz, mixing, packing, simhash, toxicity, url_filter, warc
+from . import attention, divergence, exact_dedup, importance, language, lz, mixing, packing, simhash, token_files, toxicity, url_filter, warc
 from .common import id_remainder, table
 from .sql import ORACLES
 
@@ -88,6 +88,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", F.round("rate", 6).alias("rate"), F.round("bound", 6).alias("bound"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = importance.resampled(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.digests(token_files.round_trip(docs, tokenizer_path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
     "op2_attention_lm": op2_attention_lm,
@@ -99,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
+    "op11_importance": op11_importance,
+    "op12_divergence": op12_divergence,
+    "op13_token_files": op13_token_files,
 }
 
 

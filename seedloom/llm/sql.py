@@ -81,9 +81,58 @@ SELECT page_id, m.host, path, CASE WHEN best.n IS NOT NULL THEN best.rule END AS
 FROM m JOIN v ON m.host = v.host
 """
 
+#: CRC-32 of each distinct word, byte by byte and bit by bit: the polynomial is a fixed value.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT FOR i IN range(octet_length(encode(w)))]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+IMPORTANCE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT doc_id, unnest(ws) AS w FROM d),
+dn AS (SELECT w, count(*) AS n FROM dw GROUP BY w),
+bn AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY w),
+h AS (SELECT w, {CRC32} % 10000 AS k FROM (SELECT w FROM dn UNION SELECT w FROM bn)),
+s AS (SELECT k, sum(n) AS n FROM dn JOIN h USING (w) GROUP BY k),
+t AS (SELECT k, sum(n) AS n FROM bn JOIN h USING (w) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s)::DOUBLE + 10000)
+          / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0)::DOUBLE + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (k)),
+m AS (SELECT doc_id, sum(gain)::DOUBLE AS total, count(*) AS n FROM dw JOIN h USING (w) JOIN g USING (k) GROUP BY doc_id),
+f AS (SELECT d.doc_id, len(ws)::BIGINT AS n_features, CASE WHEN len(ws) = 0 THEN 0 ELSE floor(total / n)::BIGINT END AS weight,
+          ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS hash FROM d LEFT JOIN m ON d.doc_id = m.doc_id),
+c AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((hash::DOUBLE + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM f),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM c WHERE n_features >= 20)
+SELECT c.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank
+FROM c LEFT JOIN r ON c.doc_id = r.doc_id
+"""
+
+DIVERGENCE = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+o AS (SELECT lang, source, doc_id, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+lt AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+gt AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+          1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(gt.total, 0) + 2 * v) AS p, 1 + (1000000000::HUGEINT * (k.n + 2)) // (lt.total + 2 * v) AS q
+      FROM g JOIN k ON g.lang = k.lang JOIN lt ON g.lang = lt.lang LEFT JOIN gt ON g.lang = gt.lang AND g.source = gt.source
+      LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+pr AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0)::BIGINT AS value
+       FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN p x ON a.lang = x.lang AND a.source = x.source LEFT JOIN p y ON b.lang = y.lang AND b.source = y.source AND x.term = y.term
+       GROUP BY ALL),
+te AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pr UNION ALL SELECT lang, source, 'term', item, value FROM te)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 10
+"""
+
 ORACLES = {
     "op6_mixing": MIXING,
     "op7_exact_dedup": EXACT_DEDUP,
     "op8_warc": WARC,
     "op10_url_filter": URL_FILTER,
+    "op11_importance": IMPORTANCE,
+    "op12_divergence": DIVERGENCE,
 }
