@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from .common import scratch, stored
+from .common import located, scratch
 
 MAGIC = b"LOOMBITS"
 MANIFEST = "_manifest.json"
@@ -496,12 +496,22 @@ def chunk_ids(path: str) -> ChunkIds:
 TOGETHER = 1 << 20
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text of docs in ascending order of doc_id over partitions and within them; nulls last.
+
+    Rows of one id are told apart by their texts' hash and where they lie, so that a range may end between them: an id that many rows have isn't one task's.
+    """
+    rows = located(docs, "token-texts", ["doc_id", "text"])
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("_file", "_row").alias("_at"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("_at")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+
+
 def encoded(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, ids (with ``end`` after them), and ``at``, which tells rows apart. A null text is empty."""
+    """docs (doc_id, text) -> doc_id, start (0), ids (with ``end`` after them), row by row. A null text is empty."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, last = chunk_ids(tokenizer), end.to_bytes(4, "little")
-        at = TaskContext.get().partitionId() << 40
         for b in batches:
             names, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
             begin, size = 0, 0
@@ -510,26 +520,23 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
                 if size < TOGETHER and i + 1 < len(texts):
                     continue
                 ids = [x + last for x in coder.of_texts(texts[begin : i + 1])]
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(names[begin : i + 1], pa.int64()), pa.array(ids, pa.binary()), pa.array(range(at, at + n), pa.int64())], names=["doc_id", "ids", "at"])
-                at, begin, size = at + n, i + 1, 0
+                yield _rows(names[begin : i + 1], [0] * len(ids), ids)
+                begin, size = i + 1, 0
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, ids binary, at long")
+    return docs.mapInArrow(cut, SCHEMA)
 
 
 def write_ids(rows: DataFrame, path: str, vocabulary: int, **options) -> None:
-    """Write rows (doc_id, ids, at) to files in ascending doc_id order."""
+    """Write rows (doc_id, start, ids) to files in the order in which they lie."""
     registered(rows.sparkSession)
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("ids"), F.col("at")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.select("doc_id", F.lit(0).cast("long").alias("start"), "ids").write.format("token_ids").options(vocabulary=vocabulary, **options).mode("append").save(path)
+    rows.select("doc_id", "start", "ids").write.format("token_ids").options(vocabulary=vocabulary, **options).mode("append").save(path)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int = 0, **options) -> DataFrame:
     """Encode docs (doc_id, text), write their ids to ``folder`` in ascending doc_id order, and read the files: doc_id, start, ids.
 
-    * Texts are encoded once, where they lie; only ids are dealt by ranges of doc_id. Rows of one id are told apart by their ids' hash and
-      where they were read, so that a range may end between them: an id that many rows have isn't one task's.
+    * Texts are dealt by ranges of doc_id and encoded where they arrive: an id takes more room than the text it stands for until it is packed, so nothing
+      but texts is shuffled and nothing but files is written.
     * A null or empty text is ``end`` alone. Null doc_ids come last. An empty table makes no file but the manifest, and gives no rows.
     * A special token's name in a text is that token, as the tokenizer takes it by default.
     * Other columns of ``docs`` aren't read.
@@ -537,8 +544,7 @@ def round_trip(docs: DataFrame, tokenizer: str, folder: str | None = None, end:
     spark = docs.sparkSession
     registered(spark)
     folder = folder or scratch(spark, "token-ids")
-    vocabulary = max(chunk_ids(tokenizer).size, end + 1)
-    write_ids(stored(encoded(docs, tokenizer, end), "encoded"), folder, vocabulary, **options)
+    write_ids(encoded(in_order(docs), tokenizer, end), folder, max(chunk_ids(tokenizer).size, end + 1), **options)
     return spark.read.format("token_ids").load(folder)
 
 
