@@ -146,9 +146,10 @@ def compared_in_order(docs: DataFrame) -> DataFrame:
     found = ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
     bounds = sorted({int(x) for x in found}, reverse=True)
     # One row a part: its first id.
-    firsts = dict(ids.groupBy(_placed(F.col("doc_id"), bounds).alias("part")).agg(F.max("doc_id").alias("first")).toArrow().select(["part", "first"]).to_pandas().itertuples(index=False, name=None))
+    found = ids.groupBy(_placed(F.col("doc_id"), bounds).alias("part")).agg(F.max("doc_id").alias("first")).toArrow()
+    firsts = dict(zip(found.column("part").to_pylist(), found.column("first").to_pylist()))
     used = sorted(firsts)
-    first_of = [None if firsts.get(k) is None or firsts[k] != firsts[k] else int(firsts[k]) for k in range(len(bounds) + 1)]
+    first_of = [firsts.get(k) for k in range(len(bounds) + 1)]
     to = {k: used[i - 1] for i, k in enumerate(used)}
     lent_to = [to.get(k, 0) for k in range(len(bounds) + 1)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
