@@ -74,7 +74,8 @@ def probability(n: Column, total: Column, kept: Column) -> Column:
 
 def gap(p: Column, q: Column) -> Column:
     """floor((p - q)**2 / (p + q)) of probabilities as above: at most 10**18 is divided."""
-    return F.call_function("div", (p - q) * (p - q), p + q)
+    off = (p - q).cast("long")
+    return F.call_function("div", off * off, p + q)
 
 
 def postings(counts: DataFrame, least_docs: int) -> DataFrame:

@@ -23,9 +23,8 @@ from .common import apart
 #: Trigrams of 64 symbols. The model has a row for each that was seen, and one for all others, of a number a language.
 TRIGRAMS = 1 << 18
 #: What each trigram is counted besides; rounds of expectation-maximisation; the gain that a
-#: language more must bring, in logarithms of the number of trigrams; the least share in the mixture of all languages with which
-#: one is tried.
-ALPHA, ROUNDS, PENALTY, LEAST_SHARE = 0.05, 12, 3.0, 0.02
+#: language more must bring, in logarithms of the number of trigrams.
+ALPHA, ROUNDS, PENALTY = 0.05, 12, 3.0
 #: Bytes of a text that are looked at together.
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -127,8 +126,9 @@ def _mixture(likely: np.ndarray, times: np.ndarray, start: np.ndarray, rounds: i
 def infer(text: bytes, model: Model) -> tuple[str, float, dict[str, float]]:
     """The leading language, its proportion among all, and the selected languages with their proportions.
 
-    Languages are tried in order of their proportion among all, of equals the first by name, down to LEAST_SHARE. Equal
-    likelihoods leave the first by name in the lead.
+    The set begins with the likeliest language alone. Of all others, that which makes the text likeliest joins, as long as it gains the penalty or more;
+    no share is too small for it. The likelihood is concave, so its slope towards a language bounds what that one can gain, and those that
+    can't gain the penalty aren't tried. Equal likelihoods leave the first by name in the lead.
     """
     codes, n = trigram_counts(text)
     k = len(model.languages)
@@ -139,21 +139,22 @@ def infer(text: bytes, model: Model) -> tuple[str, float, dict[str, float]]:
     first = int(single.argmax())
     if k == 1:
         return model.languages[0], 1.0, {model.languages[0]: 1.0}
-    likely = model.likely[rows]
+    likely, total = model.likely[rows], float(n.sum())
     share = _mixture(likely, times, np.full(k, 1 / k, np.float32), ROUNDS)
-    chosen, best, parts = [first], single[first], np.ones(1, np.float32)
-    for other in np.argsort(-share, kind="stable"):
-        if other == first:
-            continue
-        if share[other] < LEAST_SHARE:
+    chosen, best, parts, needed = [first], single[first], np.ones(1, np.float32), PENALTY * math.log(total + 1)
+    while len(chosen) < k:
+        slope = likely.T @ (times / (likely[:, chosen] @ parts)) - total
+        slope = np.maximum(slope, slope[chosen].max())  # what the chosen ones' own proportions may still gain
+        slope[chosen] = -math.inf
+        tried = []
+        for other in np.nonzero(slope >= needed)[0].tolist():
+            some = [*chosen, other]
+            own, start = likely[:, some], np.maximum(share[some], 1e-3)
+            mixed = _mixture(own, times, start / start.sum(), ROUNDS)
+            tried.append((float(n @ np.log(own @ mixed).astype(np.float64)), -other, some, mixed))
+        if not tried or (found := max(tried, key=lambda x: x[:2]))[0] - best < needed:
             break
-        some = [*chosen, int(other)]
-        own = likely[:, some]
-        mixed = _mixture(own, times, np.maximum(share[some], 1e-3) / np.maximum(share[some], 1e-3).sum(), ROUNDS)
-        gained = float(n @ np.log(own @ mixed).astype(np.float64))
-        if gained - best < PENALTY * math.log(n.sum() + 1):
-            break
-        chosen, best, parts = some, gained, mixed
+        best, _, chosen, parts = found
     lead = chosen[int(parts.argmax())]
     return model.languages[lead], float(min(1.0, max(0.0, share[lead]))), {model.languages[c]: float(p) for c, p in zip(chosen, parts)}
 

@@ -42,6 +42,13 @@ def test_lz_against_brute_force(spark, n):
     assert sorted(got, key=str) == sorted(lz_brute(rows), key=str)
 
 
+def test_lz_keeps_rows_of_large_ids_beside_null_ones(spark):
+    """Parts of null ids alone don't make the other parts' first ids inexact."""
+    rows = [((1 << 60) + 3 * i, f"text {i}") for i in range(40)] + [(None, "none"), (None, None)]
+    got = [tuple(r) for r in lz.compared_in_order(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted(lz_brute(rows), key=str)
+
+
 def test_lz_phrases():
     assert lz.phrases("aababcab", set()) == (["a", "ab", "abc"], "ab")
     known = set()
@@ -257,17 +264,17 @@ def language_brute(text, rows):
     every = em(range(len(names)), [1 / len(names)] * len(names))
     first = max(range(len(names)), key=lambda z: (gain([z], [1.0]), -z))
     chosen, best, parts = [first], gain([first], [1.0]), [1.0]
-    for z in sorted(range(len(names)), key=lambda z: -every[z]):
-        if z == first:
-            continue
-        if every[z] < language.LEAST_SHARE:
+    while len(chosen) < len(names):
+        tried = []
+        for z in set(range(len(names))) - set(chosen):
+            some = [*chosen, z]
+            total = sum(max(every[k], 1e-3) for k in some)
+            mixed = em(some, [max(every[k], 1e-3) / total for k in some])
+            tried.append((gain(some, mixed), -z, some, mixed))
+        found = max(tried)
+        if found[0] - best < language.PENALTY * math.log(len(own) + 1):
             break
-        some = [*chosen, z]
-        total = sum(max(every[k], 1e-3) for k in some)
-        mixed = em(some, [max(every[k], 1e-3) / total for k in some])
-        if gain(some, mixed) - best < language.PENALTY * math.log(len(own) + 1):
-            break
-        chosen, best, parts = some, gain(some, mixed), mixed
+        best, _, chosen, parts = found
     return names[chosen[parts.index(max(parts))]], every[chosen[parts.index(max(parts))]], {names[z]: s for z, s in zip(chosen, parts)}
 
 
@@ -297,6 +304,16 @@ def test_language_pieces_ties_repeats_and_many_languages(spark, monkeypatch):
     assert language.infer(b"cbq cbq cbq cbq", many)[0] == "l028"
 
 
+def test_a_small_share_is_told_by_the_penalty_alone(spark):
+    """A hundredth of a long text is another language's: no share is too small to be selected if it gains more than the penalty."""
+    docs, words = languages(spark, 60)
+    model, rng = language.fitted(docs), random.Random(4)
+    text = " ".join(rng.choices(words["de"], k=9900) + rng.choices(words["en"], k=100))
+    lang, _, shares = language.infer(text.encode(), model)
+    assert lang == "de" and set(shares) == {"de", "en"} and 0.002 < shares["en"] < 0.03
+    assert set(language.infer(" ".join(rng.choices(words["de"], k=9900)).encode(), model)[2]) == {"de"}
+
+
 def test_mixture_is_the_likeliest():
     likely = np.random.default_rng(1).random((400, 2)).astype(np.float32)
     share = language._mixture(likely, np.ones(len(likely), np.float32), np.full(2, 0.5, np.float32), 200)
