@@ -36,7 +36,7 @@ SCHEMA = "doc_id long, start long, ids binary"
 #: Ids of a block, and the most ids and documents of a file: what a task holds at once is a block, a document and a footer.
 BLOCK, FILE_IDS, FILE_DOCS = 1 << 16, 1 << 26, 1 << 20
 #: Words that a worker remembers (those of late, and as many of before), and, about, chunks.
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
 
 
 # Packing
@@ -295,14 +295,16 @@ def _rows(names: list, starts: list, ids: list) -> pa.RecordBatch:
 
 
 class TokenWriter(DataSourceArrowWriter):
-    """Rows (doc_id, ids) in the order in which tasks and their rows come; a new file begins where one is full.
+    """Rows (doc_id, ids), or (doc_id, text) to be encoded, in the order in which tasks and their rows come; a new file begins where one is full.
 
     A file's name is its attempt's own, and the manifest, written last, names those of the tasks that committed.
     """
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
-        self.width = width_of(int(options["vocabulary"]))
+        self.tokenizer, self.end = options.get("tokenizer"), int(options.get("end", 0))
+        size = options.get("vocabulary") or max(chunk_ids(self.tokenizer).size, self.end + 1)
+        self.width = width_of(int(size))
         self.block, self.file_ids, self.file_docs = int(options.get("block", BLOCK)), int(options.get("fileids", FILE_IDS)), int(options.get("filedocs", FILE_DOCS))
         if self.width > 32:
             raise ValueError("a vocabulary has up to 2**32 ids")
@@ -316,9 +318,9 @@ class TokenWriter(DataSourceArrowWriter):
             size = {"name": name, **now.close()}
             files.append({**size, "bytes": store.get_file_info(f"{root}/{name}").size})
 
-        for b in batches:
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
-                ids = np.frombuffer(ids or b"", "<u4")
+        for b in batches if self.tokenizer is None else encoded_batches(batches, self.tokenizer, self.end):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), b.column("ids")):
+                ids = np.frombuffer(ids.as_py() or b"", "<u4")
                 if now is not None and (now.ids + len(ids) > self.file_ids or len(now.names) >= self.file_docs):
                     closed()
                     now = None
@@ -354,7 +356,8 @@ class TokenWriter(DataSourceArrowWriter):
 class TokenSource(DataSource):
     """``spark.read.format("token_ids").load(folder)``: doc_id, start (ids of all documents before it), ids (unsigned 32-bit, little-endian).
 
-    Writing takes rows doc_id, ids (and ignores start); options: vocabulary (number of ids; needed), block (ids), fileIds, fileDocs. Append puts files behind those there.
+    Writing takes rows doc_id, ids with the option vocabulary (number of ids), or rows doc_id, text with the options tokenizer (path) and end (id
+    after each text); others: block (ids), fileIds, fileDocs. Append puts files behind those there.
     Reading: partitionBytes. Filters on doc_id are pushed down.
     """
 
@@ -507,36 +510,36 @@ def in_order(docs: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
+def encoded_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int) -> Iterator[pa.RecordBatch]:
+    """Batches with doc_id and text -> doc_id, start (0), ids (with ``end`` after them), row by row. A null text is empty."""
+    coder, last = chunk_ids(tokenizer), end.to_bytes(4, "little")
+    for b in batches:
+        names, texts, some, size = b.column("doc_id").to_pylist(), b.column("text"), [], 0
+        for i in range(b.num_rows):
+            some.append(texts[i].as_py() or "")
+            size += len(some[-1])
+            if size >= TOGETHER or i + 1 == b.num_rows:
+                ids = [x + last for x in coder.of_texts(some)]
+                yield _rows(names[i + 1 - len(ids) : i + 1], [0] * len(ids), ids)
+                some, size = [], 0
+
+
 def encoded(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, start (0), ids (with ``end`` after them), row by row. A null text is empty."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, last = chunk_ids(tokenizer), end.to_bytes(4, "little")
-        for b in batches:
-            names, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            begin, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size < TOGETHER and i + 1 < len(texts):
-                    continue
-                ids = [x + last for x in coder.of_texts(texts[begin : i + 1])]
-                yield _rows(names[begin : i + 1], [0] * len(ids), ids)
-                begin, size = i + 1, 0
-
-    return docs.mapInArrow(cut, SCHEMA)
-
-
-def write_ids(rows: DataFrame, path: str, vocabulary: int, **options) -> None:
-    """Write rows (doc_id, start, ids) to files in the order in which they lie."""
+    """docs (doc_id, text) -> doc_id, start (0), ids (with ``end`` after them), row by row."""
+    return docs.mapInArrow(lambda batches: encoded_batches(batches, tokenizer, end), SCHEMA)
+
+
+def write_ids(rows: DataFrame, path: str, **options) -> None:
+    """Write rows (doc_id, ids; or doc_id, text) to files in the order in which they lie; options as those of ``TokenSource``."""
     registered(rows.sparkSession)
-    rows.select("doc_id", "start", "ids").write.format("token_ids").options(vocabulary=vocabulary, **options).mode("append").save(path)
+    rows.write.format("token_ids").options(**options).mode("append").save(path)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int = 0, **options) -> DataFrame:
     """Encode docs (doc_id, text), write their ids to ``folder`` in ascending doc_id order, and read the files: doc_id, start, ids.
 
-    * Texts are dealt by ranges of doc_id and encoded where they arrive: an id takes more room than the text it stands for until it is packed, so nothing
-      but texts is shuffled and nothing but files is written.
+    * Texts are dealt by ranges of doc_id and encoded by the task that writes their file: ids take more room than their text until they are packed, so
+      nothing but texts is shuffled, and ids never leave the task but in its file.
     * A null or empty text is ``end`` alone. Null doc_ids come last. An empty table makes no file but the manifest, and gives no rows.
     * A special token's name in a text is that token, as the tokenizer takes it by default.
     * Other columns of ``docs`` aren't read.
@@ -544,7 +547,7 @@ def round_trip(docs: DataFrame, tokenizer: str, folder: str | None = None, end:
     spark = docs.sparkSession
     registered(spark)
     folder = folder or scratch(spark, "token-ids")
-    write_ids(encoded(in_order(docs), tokenizer, end), folder, max(chunk_ids(tokenizer).size, end + 1), **options)
+    write_ids(in_order(docs), folder, tokenizer=tokenizer, end=end, **options)
     return spark.read.format("token_ids").load(folder)
 
 

@@ -177,7 +177,7 @@ def test_chunks_are_the_tokenizers(monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in coder.of_texts(some)] == [whole.encode(t, add_special_tokens=False).ids for t in some]
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 8, "fileIds": 40, "fileDocs": 5, "vocabulary": 50258}])
+@pytest.mark.parametrize("options", [{}, {"block": 8, "fileIds": 40, "fileDocs": 5, "vocabulary": 50258}, {"block": 9, "fileIds": 40, "vocabulary": 1 << 17}])
 def test_token_files_against_brute_force(spark, tmp_path, options):
     from tokenizers import Tokenizer
 
@@ -185,7 +185,9 @@ def test_token_files_against_brute_force(spark, tmp_path, options):
     whole = Tokenizer.from_file(path)
     docs = [(None if i % 17 == 3 else (i * 7) % 50, text_of(rng, 20)) for i in range(90)] + [(5, "word " * 2000), (3, "same")] + [(4, "same")] * 20
     frame = spark.createDataFrame([(*r, b"x") for r in docs], "doc_id long, text string, ids binary").repartition(4)
-    if options:
+    if options and options["block"] == 9:
+        back = token_files.round_trip(frame, path, str(tmp_path / "ids"), **options)
+    elif options:
         token_files.write_ids(token_files.encoded(token_files.in_order(frame), path), str(tmp_path / "ids"), **options)
         back = spark.read.format("token_ids").load(str(tmp_path / "ids"))
     else:
@@ -202,7 +204,7 @@ def test_token_files_against_brute_force(spark, tmp_path, options):
 def test_token_files_give_ranges_and_documents(spark, tmp_path):
     rows = spark.createDataFrame([(i, np.arange(i, i + 30, dtype="<u4").tobytes(), i) for i in range(50)], "doc_id long, ids binary, start long").coalesce(1)
     folder = str(tmp_path / "ids")
-    token_files.write_ids(rows, folder, 100, block=64)
+    token_files.write_ids(rows, folder, vocabulary=100, block=64)
     store, root = token_files.opened(folder)
     every = np.concatenate([np.arange(i, i + 30) for i in range(50)])
     at = 0
