@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import mask_of, within
 from ..storage import stored
-from .seeds import Mask, Sought, bin_of, key_frequency, read_keys, seeds
+from .seeds import OUTSIDE, Mask, Sought, bin_of, key_frequency, read_keys, seeds
 
 END = ["read_id", "end_no"]
 PLACE = [*END, "contig", "position", "strand"]
@@ -83,13 +83,36 @@ def capped(cals: DataFrame, flags: DataFrame, max_matches: int) -> tuple[DataFra
 def match(reads: DataFrame, index: DataFrame, frequency: DataFrame, mask: Mask, options: MatchOptions = MatchOptions()) -> tuple[DataFrame, DataFrame]:
     """(candidates, ends): places of reads (read_id, end_no, seq) by one index, and the state of each end with a key.
 
-    Keys with their hits, and candidates, are written between the steps: both are read twice.
+    Of a stored index (``read_index``: its seeds have a ``bin``) only the bins of the reads' keys are read, and no seed is shuffled but those sought. Keys with
+    their hits, and candidates, are written between the steps: both are read twice.
     """
-    return _matched(read_keys(reads, mask, options.offsets, options.strands, options.space), index, frequency, mask, options)
+    keys = read_keys(reads, mask, options.offsets, options.strands, options.space)
+    if "bin" not in index.columns:
+        return _matched(keys, index, frequency, mask, options)
+    keys = stored(keys, "read-keys")
+    hits = stored(key_hits(keys, stored(of_keys(frequency, keys, mask).select("key", "n"), "frequency")), "hits")
+    few = hits.where((F.col("n") > 0) & (F.col("hits") <= options.max_key_matches))
+    return _found(hits, stored(of_keys(index, few, mask), "sought"), mask, options)
+
+
+def of_keys(stored_rows: DataFrame, keys: DataFrame, mask: Mask) -> DataFrame:
+    """Rows of a stored index (with ``bin`` and ``key``) whose key is among ``keys``, found where they lie.
+
+    The bins of the keys, of which a mask has 4**depth at most, are told first: no other is read. Up to MOST_SOUGHT distinct keys are counted and sent to every
+    task; more are dealt to the index's buckets, and each is looked up in its own.
+    """
+    sought = stored(keys.select("key").distinct(), "sought-keys")
+    bins = [r["bin"] for r in sought.select(bin_of(F.col("key"), mask).alias("bin")).distinct().collect()]
+    few = sought.count() <= MOST_SOUGHT
+    near = stored_rows.where(F.col("bin").isin(bins)).join(F.broadcast(sought) if few else sought.hint("shuffle_hash"), "key", "left_semi")
+    return near.unionByName(stored_rows.where(F.col("bin") == OUTSIDE).join(sought, "key", "left_semi"))
 
 
 def _matched(keys: DataFrame, index: DataFrame, frequency: DataFrame, mask: Mask, options: MatchOptions) -> tuple[DataFrame, DataFrame]:
-    hits = stored(key_hits(keys, frequency), "hits")
+    return _found(stored(key_hits(keys, frequency), "hits"), index, mask, options)
+
+
+def _found(hits: DataFrame, index: DataFrame, mask: Mask, options: MatchOptions) -> tuple[DataFrame, DataFrame]:
     cals = stored(united(placed(hits, index, mask, options)), "candidates")
     return capped(cals, end_flags(hits, options).select(*END, "max_reached"), options.max_matches)
 
@@ -146,14 +169,12 @@ def with_fallback(reads: DataFrame, main: tuple[DataFrame, DataFrame], second) -
     return cals.unionByName(more), kept.unionByName(more_ends)
 
 
-def placed_by_bin(keys: DataFrame, index: DataFrame, mask: Mask, options: MatchOptions) -> DataFrame:
-    """``placed`` rows by an index in bins (seeds with ``bin``): a key meets its own bin alone, whose number both sides have, so that a stored index is
-    read only in the bins that reads ask for. Hits are summed over bins, as those of an index without bins."""
-    binned = keys.withColumn("bin", bin_of(F.col("key"), mask))
-    n = index.groupBy("bin", "key").agg(F.count(F.lit(1)).alias("n"))
-    hits = binned.join(n, ["bin", "key"]).withColumn("hits", F.sum("n").over(Window.partitionBy(*END, "offset")))
-    few = hits.where(F.col("hits") <= options.max_key_matches).select("bin", *END, "length", "offset", "strand", "key")
-    return _places(few.join(index.select("bin", "key", "contig", "pos"), ["bin", "key"]), mask, options)
+def placed_by_bin(keys: DataFrame, index: DataFrame, mask: Mask, options: MatchOptions, frequency: DataFrame | None = None) -> DataFrame:
+    """``placed`` rows by an index in bins (seeds with ``bin``), which is read only in the bins that reads ask for. Hits are summed over bins, as those of an
+    index without bins. Without ``frequency``, as stored with the index, the keys sought are counted."""
+    own = stored(of_keys(index, keys, mask), "sought")
+    n = key_frequency(own) if frequency is None else of_keys(frequency, keys, mask).select("key", "n")
+    return placed(stored(key_hits(keys, n), "hits"), own, mask, options)
 
 
 def merged_bins(rows: DataFrame, max_key_matches: int) -> DataFrame:

@@ -6,15 +6,20 @@ Arrow batches with whole-array operations, so a long contig costs no more per ba
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: Rows of an output batch.
 BATCH = 1 << 18
 
@@ -110,31 +115,63 @@ class Sought:
         return at[self.keys[found] == keys[at]]
 
 
+#: Bases of a chunk of a contig that is cut between tasks.
+CHUNK = 1 << 20
+CUT = "contig long, start long, lead int, own int, seq string"
+
+
+def cut_contigs(reference: DataFrame, after: int, size: int = CHUNK, before: int = 1) -> DataFrame:
+    """reference (contig, seq) -> contigs in chunks of ``size`` bases that are dealt to all tasks: contig, start (from 1), lead, own, seq.
+
+    ``seq`` holds ``lead`` bases before the chunk's own (up to ``before``), its ``own`` from place ``start`` on, and up to ``after`` behind them, so that
+    what begins at an own base is told by the chunk alone. An empty contig has one chunk.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for contig, seq in zip(b.column("contig").to_pylist(), b.column("seq").to_pylist()):
+                seq, rows = seq or "", []
+                for at in range(0, max(len(seq), 1), size):
+                    lead = min(before, at)
+                    rows.append((contig, at + 1, lead, min(size, len(seq) - at), seq[at - lead : at + size + after]))
+                    if len(rows) * size >= 1 << 24 or at + size >= len(seq):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["contig", "start", "lead", "own", "seq"])
+                        rows = []
+
+    whole = reference.select(F.col("contig").cast("long").alias("contig"), "seq").mapInArrow(cut, CUT)
+    return whole.repartition("contig", "start")
+
+
 def seeds(reference: DataFrame, mask: Mask, repeat_masker: bool = False, sought: Broadcast | None = None, space: str = "nt") -> DataFrame:
     """reference (contig long, seq) -> contig, pos (from 1), key: each window whose key has no N (nor, with ``repeat_masker``, a lower-case base).
 
+    ``reference`` may be cut by ``cut_contigs`` with at least a mask's width less one behind each chunk; the result is the same, by more tasks.
     With ``sought`` (a broadcast ``Sought``) only windows of those keys leave the scan. With ``space`` "color", ``seq`` is still bases, and keys are of
     their colours; a colour is a repeat where either of its bases is.
     """
-    width, places = mask.width, mask.places
+    width, places, chunked = mask.width, mask.places, "lead" in reference.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for contig, seq in zip(b.column("contig").to_pylist(), b.column("seq").cast(pa.large_binary()).to_pylist()):
+            n = b.num_rows
+            starts, leads, owns = (b.column(c).to_pylist() for c in ("start", "lead", "own")) if chunked else ([1] * n, [0] * n, [None] * n)
+            for contig, seq, start, lead, own in zip(b.column("contig").to_pylist(), b.column("seq").cast(pa.large_binary()).to_pylist(), starts, leads, owns):
                 codes = CODES[np.frombuffer(seq or b"", np.uint8)]
                 if space == "color":
                     codes = color_codes(codes)
-                for at in range(0, len(codes) - width + 1, BATCH):
-                    n = min(BATCH, len(codes) - width + 1 - at)
+                codes = codes[lead:]
+                last = len(codes) - width + 1 if own is None else min(own, len(codes) - width + 1)
+                for at in range(0, last, BATCH):
+                    n = min(BATCH, last - at)
                     keys, good = _keys(codes[at:], places, n, repeat_masker)
                     if sought is None:
                         pos = np.nonzero(good)[0]
                     else:
                         pos = sought.value.among(keys)
                         pos = pos[good[pos]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), contig, np.int64)), pa.array((pos + at + 1).astype(np.int32)), pa.array(keys[pos])], names=["contig", "pos", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), contig, np.int64)), pa.array((pos + at + start).astype(np.int32)), pa.array(keys[pos])], names=["contig", "pos", "key"])
 
-    return reference.select(F.col("contig").cast("long").alias("contig"), "seq").mapInArrow(cut, "contig long, pos int, key long")
+    columns = ["seq", "start", "lead", "own"] if chunked else ["seq"]
+    return reference.select(F.col("contig").cast("long").alias("contig"), *columns).mapInArrow(cut, "contig long, pos int, key long")
 
 
 #: Code of each byte of a colour read; '.' and anything else is 4.
@@ -237,44 +274,98 @@ def clamped(header: tuple[int, int], start: tuple[int, int], end: tuple[int, int
     return low, high
 
 
-META = "index_no int, mask string, depth int, hash_width int, space string, start_contig long, start_pos long, end_contig long, end_pos long"
+META = "index_no int, mask string, depth int, hash_width int, space string, start_contig long, start_pos long, end_contig long, end_pos long, buckets int, id string"
+#: Seeds of a bucket on average, the least number of buckets, and how often a key may occur before its seeds lie outside the buckets.
+BUCKET_SEEDS, LEAST_BUCKETS, COMMON = 1 << 24, 8, 1 << 20
+OUTSIDE = -1
+
+
+def _table(spark, path: str, meta, part: str, columns: str) -> DataFrame:
+    """A part of a stored index as a table that Spark knows to be in bins and in buckets by key, sorted in them."""
+    name = f"seedloom_{part}_{meta['id']}"
+    if not spark.catalog.tableExists(name):
+        location = f"{path.rstrip('/')}/{part}/index_no={meta['index_no']}".replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({columns}, bin INT) USING parquet PARTITIONED BY (bin) CLUSTERED BY (key) SORTED BY (key) INTO {meta['buckets']} BUCKETS LOCATION '{location}'")
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name)
+
+
+def stored_numbers(spark, path: str) -> list[int]:
+    """Numbers of the indexes that are whole at ``path``."""
+    try:
+        meta = spark.read.schema(META).parquet(f"{path}/meta")
+        return [r["index_no"] for r in meta.select("index_no").distinct().orderBy("index_no").collect()]
+    except AnalysisException:  # no index was ever written there
+        return []
+
+
+Region = tuple[tuple[int, int], tuple[int, int]]
+WHOLE: Region = ((0, 0), (0, 0))
+
 
+def write_index(index: DataFrame, mask: Mask, path: str, index_no: int = 1, space: str = "nt", buckets: int | None = None, common: int = COMMON, region: Region = WHOLE) -> None:
+    """The index as Parquet, in bins by the first bases of its keys and in buckets by key, sorted by key in each, with its frequencies and layout beside it.
 
-def write_index(index: DataFrame, mask: Mask, path: str, index_no: int = 1, space: str = "nt") -> None:
-    """The index as Parquet, in bins by the first bases of its keys and sorted by key, with its frequencies and layout beside it.
+    Reads are matched where seeds lie: a join on the key shuffles the reads' keys alone, and reads only the bins that they ask for. Seeds of keys that occur more than
+    ``common`` times lie outside the buckets, dealt evenly, as one of them could make a bucket too large for a task. There are as many files as buckets times bins.
+    ``region`` is what the seeds were cut from, for ``compatible``.
 
-    Bins are ranges of keys, and a bin's seeds are dealt to several files where they are many.
+    A number that is there is refused. The layout is written last, so an index whose writing was cut off isn't there, and its number can be written anew.
     """
-    binned = index.withColumn("index_no", F.lit(index_no)).withColumn("bin", bin_of(F.col("key"), mask))
-    binned.repartitionByRange("key").sortWithinPartitions("bin", "key").write.mode("append").partitionBy("index_no", "bin").parquet(f"{path}/seeds")
     spark = index.sparkSession
-    kept = spark.read.parquet(f"{path}/seeds").where(F.col("index_no") == index_no)
-    key_frequency(kept).withColumn("index_no", F.lit(index_no)).write.mode("append").partitionBy("index_no").parquet(f"{path}/frequency")
-    place = F.struct(F.col("contig").cast("long").alias("contig"), F.col("pos").cast("long").alias("pos"))
-    span = kept.agg(F.min(place).alias("a"), F.max(place).alias("b")).first()
-    at = [*(span["a"] or (0, 0)), *(span["b"] or (0, 0))]
-    spark.createDataFrame([(index_no, mask.text, mask.depth, mask.hash_width, space, *at)], META).write.mode("append").parquet(f"{path}/meta")
+    if index_no in stored_numbers(spark, path):
+        raise FileExistsError(f"index {index_no} is at {path}")
+    rows = index.select("contig", "pos", "key").withColumn("bin", bin_of(F.col("key"), mask))
+    n = stored(key_frequency(rows), "index-frequency")
+    if buckets is None:
+        total = n.agg(F.sum("n")).first()[0] or 0
+        buckets = max(LEAST_BUCKETS, -(-total // BUCKET_SEEDS))
+    many = n.where(F.col("n") > common).select("key")  # at most one for every ``common`` seeds
+    none = many.isEmpty()
+
+    def write(part: DataFrame, name: str) -> None:
+        whole = part.repartition(buckets, "key").sortWithinPartitions("bin", "key")
+        location, table = f"{path.rstrip('/')}/{name}/index_no={index_no}", f"seedloom_write_{uuid.uuid4().hex}"
+        whole.write.mode("overwrite").partitionBy("bin").bucketBy(buckets, "key").sortBy("key").option("path", location).saveAsTable(table)
+        spark.sql(f"DROP TABLE {table}")  # the files stay
+
+    write(rows if none else rows.join(many, "key", "left_anti").select(*rows.columns), "seeds")
+    write(n.select("key", "n", bin_of(F.col("key"), mask).alias("bin")), "frequency")
+    apart = (rows.limit(0) if none else rows.join(many, "key", "left_semi")).select("contig", "pos", "key")
+    apart.write.mode("overwrite").parquet(f"{path}/common/index_no={index_no}")
+    row = (index_no, mask.text, mask.depth, mask.hash_width, space, *region[0], *region[1], buckets, uuid.uuid4().hex)
+    spark.createDataFrame([row], META).coalesce(1).write.mode("append").parquet(f"{path}/meta")
+
+
+def build_index(reference: DataFrame, mask: Mask, path: str, index_no: int = 1, space: str = "nt", region: Region = WHOLE, repeat_masker: bool = False, **options) -> None:
+    """Cut ``reference`` (contig, seq) into seeds, those of ``region`` (zeros stand for the reference's ends), and write them as an index."""
+    ends = reference.agg(F.min("contig").alias("first"), F.max("contig").alias("last"), F.max_by(F.length("seq"), "contig").alias("length")).first()
+    rows = seeds(reference, mask, repeat_masker, space=space)
+    if ends["first"] is not None:
+        region = clamped((ends["first"], ends["last"]), *region, ends["length"] or 0)
+        rows = in_region(rows, mask, *region)
+    write_index(rows, mask, path, index_no, space, region=region, **options)
 
 
 def read_index(spark, path: str, index_no: int = 1) -> tuple[DataFrame, DataFrame, Mask]:
-    """(seeds with their bin, key frequencies, mask) of an index as ``write_index`` leaves it."""
-    meta = spark.read.parquet(f"{path}/meta").where(F.col("index_no") == index_no).first()
+    """(seeds with their bin, key frequencies with theirs, mask) of an index as ``write_index`` leaves it. Seeds outside the buckets have bin OUTSIDE."""
+    meta = spark.read.schema(META).parquet(f"{path}/meta").where(F.col("index_no") == index_no).first()
     if meta is None:
         raise ValueError(f"no index {index_no} at {path}")
-    mask = Mask(meta["mask"], meta["depth"], meta["hash_width"])
-    part = lambda name: spark.read.parquet(f"{path}/{name}").where(F.col("index_no") == index_no).drop("index_no")
-    return part("seeds"), part("frequency"), mask
+    kept = _table(spark, path, meta, "seeds", "contig BIGINT, pos INT, key BIGINT")
+    frequency = _table(spark, path, meta, "frequency", "key BIGINT, n BIGINT")
+    common = spark.read.schema("contig long, pos int, key long").parquet(f"{path}/common/index_no={index_no}")
+    return kept.unionByName(common.withColumn("bin", F.lit(OUTSIDE))), frequency, Mask(meta["mask"], meta["depth"], meta["hash_width"])
 
 
 def read_indexes(spark, path: str, numbers: Sequence[int] | None = None) -> list[tuple[DataFrame, DataFrame, Mask]]:
     """The indexes of these numbers (see ``bases.number_list``), or all that are there, in order. They have to be compatible."""
-    meta = spark.read.parquet(f"{path}/meta")
-    there = [r["index_no"] for r in meta.select("index_no").distinct().orderBy("index_no").collect()]
+    there = stored_numbers(spark, path)
     wanted = there if numbers is None else list(numbers)
     if missing := sorted(set(wanted) - set(there)):
         raise ValueError(f"no index {missing} at {path}")
-    if not compatible(meta.where(F.col("index_no").isin(wanted)).select("space")):
-        raise ValueError("indexes of different spaces")
+    if wanted and not compatible(spark.read.schema(META).parquet(f"{path}/meta").where(F.col("index_no").isin(wanted))):
+        raise ValueError("indexes of different spaces or regions")
     return [read_index(spark, path, n) for n in wanted]
 
 

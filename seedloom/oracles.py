@@ -4,6 +4,7 @@ from __future__ import annotations
 
 #: The same parameters as in ``queries``.
 MASK, SECOND_MASK, K = "111101111011101111", "1111111111111111", 8
+ONE_WAY_MASK = "1101011011101"
 
 CYCLE = "acgtacgtacgtacgtacgtacgtac"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -225,3 +226,20 @@ ORACLES["match_stream"] = ORACLES["cal_masks"]
 #: However the index is stored or split, the places are the same.
 ORACLES["stored_index_join"] = ORACLES["seed_join"]
 ORACLES["binned_join"] = f"""WITH {REF}, {READS}, {matching()} SELECT read_id, end_no, contig, position::INT AS position, strand, len(offsets)::INT AS seeds FROM u"""
+ORACLES["end_grouping_whole"] = """WITH g AS (SELECT *, sum(new) OVER (ORDER BY name, turn)::BIGINT AS "group" FROM (SELECT conv_id AS name, turn, CASE WHEN lag(conv_id) OVER (ORDER BY conv_id, turn) = conv_id THEN 0 ELSE 1 END AS new FROM conversations))
+SELECT name, turn, "group", row_number() OVER (PARTITION BY "group" ORDER BY turn)::INT AS end_no FROM g"""
+NAMED = "'read_' || (read_id % 7) || '_' || read_id"
+ORACLES["fastq_reads"] = f"WITH {READS} SELECT {NAMED} AS name, seq, translate(seq, 'acgt', 'I@+#') AS qual FROM reads"
+ORACLES["split_reads"] = f"""WITH {READS}, o AS (SELECT {NAMED} AS name, row_number() OVER (ORDER BY read_id % 7, read_id) AS n FROM reads)
+SELECT name, n, ((n - 1) // 30 + 1)::BIGINT AS file FROM o"""
+#: Keys by a mask that doesn't read the same backwards, of windows here and of the same windows read from the other strand.
+BOTH_WAYS = f"""{REF}, {seeds(ONE_WAY_MASK)}, f AS (SELECT key, count(*) AS n FROM idx GROUP BY key),
+b AS (SELECT {TURN.format('k')} AS key, n FROM (SELECT {key(ONE_WAY_MASK[::-1])} AS k, count(*) AS n FROM idx_w GROUP BY 1)),
+d AS (SELECT key, coalesce(f.n, 0) AS forward, coalesce(f.n, 0) + coalesce(b.n, 0) AS "both" FROM f FULL JOIN b USING (key))"""
+ORACLES["key_distribution_any"] = f"WITH {BOTH_WAYS} SELECT * FROM d"
+ORACLES["key_histogram_any"] = f'WITH {BOTH_WAYS} SELECT "both" AS times, count(*) AS keys FROM d GROUP BY "both"'
+ORACLES["chunked_repeats"] = ORACLES["tandem_repeats"]
+#: A key as a number, two bits a base.
+NUMBER = "list_sum([(strpos('acgt', substr(key, i::BIGINT, 1)) - 1) * (1::HUGEINT << (2 * (length(key) - i))) FOR i IN range(1, length(key) + 1)])"
+ORACLES["chunked_seeds"] = f"""WITH {REF}, {seeds(MASK)}, k AS MATERIALIZED (SELECT key, ({NUMBER} % 65521)::BIGINT AS n FROM (SELECT DISTINCT key FROM idx))
+SELECT contig, count(*) AS seeds, sum(pos)::BIGINT AS places, sum(n)::BIGINT AS keys FROM idx JOIN k USING (key) GROUP BY contig"""

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .functions import bases, sam
 from .operators import align, select, simulate, stats
 from .operators import match as m
-from .operators.seeds import Mask, bin_of, in_exons, in_region, key_frequency, key_text, read_index, seeds, write_index
-from .oracles import COLOR_MASK, CYCLE, K, LETTERS, MASK, SECOND_MASK
+from .operators.seeds import Mask, bin_of, build_index, cut_contigs, in_exons, in_region, key_frequency, key_text, read_index, seeds, write_index
+from .oracles import COLOR_MASK, CYCLE, K, LETTERS, MASK, ONE_WAY_MASK, SECOND_MASK
 from .plans.workflow import align_reads, scored_alignments
 from .plans.workflow import paired_alignments as pairs_of
 from .sources import sequences
@@ -115,6 +115,33 @@ def end_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.grouped_ends(rows, ["name", "turn"], ["lane"])
 
 
+@query
+def end_grouping_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without lanes: all conversations are one sequence, which many tasks read."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("name"), "turn")
+    return sequences.grouped_ends(rows, ["name", "turn"])
+
+
+def named_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads with a name and qualities."""
+    i = F.col("read_id")
+    return reads(spark, sf_dir).select(F.concat(F.lit("read_"), (i % 7).cast("string"), F.lit("_"), i.cast("string")).alias("name"), "seq", F.translate("seq", "acgt", "I@+#").alias("qual"))
+
+
+@query
+def fastq_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as FASTQ in lines of 60 letters, and read again from files that are cut between tasks."""
+    folder = scratch(spark, "fastq")
+    sequences.write_fastq(named_reads(spark, sf_dir), folder, 60)
+    return sequences.read_fastq(spark, folder, split_bytes=4096).select("name", "seq", "qual")
+
+
+@query
+def split_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads dealt to files of 30 in the natural order of their names."""
+    return sequences.split_every(named_reads(spark, sf_dir), 30).select("name", "n", "file")
+
+
 @query
 def read_subrange(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.numbered(table(spark, sf_dir, "benchmark").select("item_id"), ["item_id"], 5, 25)
@@ -127,6 +154,13 @@ def seed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("prefix").agg(F.sum("n").alias("seeds"), F.count(F.lit(1)).alias("keys"), F.min("lo").alias("first"), F.max("hi").alias("last"))
 
 
+@query
+def chunked_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of contigs that are cut between tasks: those of whole ones."""
+    cut = cut_contigs(reference(spark, sf_dir), SEED.width - 1, 1000)
+    return seeds(cut, SEED).groupBy("contig").agg(F.count(F.lit(1)).alias("seeds"), F.sum("pos").alias("places"), F.sum(F.col("key") % 65521).alias("keys"))
+
+
 @query
 def repeat_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("contig"), cased(F.col("html")).alias("seq"))
@@ -180,7 +214,7 @@ def one_strand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads against an index that is built, written and read again."""
     path = scratch(spark, "index")
-    write_index(seeds(reference(spark, sf_dir), Mask(MASK, depth=2)), Mask(MASK, depth=2), path)
+    build_index(reference(spark, sf_dir), Mask(MASK, depth=2), path)
     index, frequency, mask = read_index(spark, path)
     cals, _ = m.match(reads(spark, sf_dir), index, frequency, mask, m.MatchOptions(max_key_matches=K))
     return cals.select("read_id", "end_no", "contig", "position", "strand", F.size("offsets").alias("seeds"))
@@ -263,8 +297,8 @@ def merged_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask, path = Mask(MASK, depth=2), scratch(spark, "index")
     keys = stored(m.read_keys(reads(spark, sf_dir), mask), "read-keys")
     write_index(m.sought_seeds(keys, reference(spark, sf_dir), mask), mask, path)
-    index, _, mask = read_index(spark, path)
-    rows = m.merged_bins(m.placed_by_bin(keys, index, mask, m.MatchOptions(max_key_matches=K)), 2)
+    index, frequency, mask = read_index(spark, path)
+    rows = m.merged_bins(m.placed_by_bin(keys, index, mask, m.MatchOptions(max_key_matches=K), frequency), 2)
     return rows.select(*m.PLACE, F.size("offsets").alias("seeds"))
 
 
@@ -274,8 +308,8 @@ def binned_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask, path = Mask(MASK, depth=2), scratch(spark, "index")
     keys = stored(m.read_keys(reads(spark, sf_dir), mask), "read-keys")
     write_index(m.sought_seeds(keys, reference(spark, sf_dir), mask), mask, path)
-    index, _, mask = read_index(spark, path)
-    rows = m.merged_bins(m.placed_by_bin(keys, index, mask, m.MatchOptions(max_key_matches=K)), K)
+    index, frequency, mask = read_index(spark, path)
+    rows = m.merged_bins(m.placed_by_bin(keys, index, mask, m.MatchOptions(max_key_matches=K), frequency), K)
     return rows.select(*m.PLACE, F.size("offsets").alias("seeds"))
 
 
@@ -384,11 +418,34 @@ def key_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.key_histogram(seeds(reference(spark, sf_dir), twelve), twelve)
 
 
+ONE_WAY = Mask(ONE_WAY_MASK)
+
+
+@query
+def key_distribution_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a mask that doesn't read the same backwards."""
+    ref = reference(spark, sf_dir)
+    found = stats.key_distribution(seeds(ref, ONE_WAY), ONE_WAY, stats.turned_seeds(ref, ONE_WAY))
+    return found.select(key_text(F.col("key"), ONE_WAY.size).alias("key"), "forward", "both")
+
+
+@query
+def key_histogram_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = reference(spark, sf_dir)
+    return stats.key_histogram(seeds(ref, ONE_WAY), ONE_WAY, stats.turned_seeds(ref, ONE_WAY))
+
+
 @query
 def tandem_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.tandem_repeats(reference(spark, sf_dir))
 
 
+@query
+def chunked_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of contigs that are cut between tasks: those of whole ones."""
+    return stats.tandem_repeats(reference(spark, sf_dir), chunk=500)
+
+
 @query
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = reference(spark, sf_dir).where(F.length("seq") > 60)

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import colors, normalised, reverse_complement
+from ..functions.bases import normalised, reverse_complement
 from ..storage import stored
+from .fastq import read_fastq
+
+__all__ = ["read_fastq"]
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -23,71 +26,89 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(numbers, "_at").select("contig", "name", "seq")
 
 
-def color_reference(reference: DataFrame) -> DataFrame:
-    """A reference in colours: lower case marks repeats there as in bases, so it is a column of its own."""
-    return reference.withColumn("seq", colors(F.col("seq")))
-
-
 def write_fasta(reference: DataFrame, path: str) -> None:
     reference.orderBy("contig").select(F.concat(F.lit(">"), F.col("name"), F.lit("\n"), F.col("seq"))).write.text(path)
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """at (file order), name, seq, qual. Sequence and quality may be cut over lines: a record is told by its quality being as long as its sequence.
-
-    A record begins at a line with @ whose last record is whole. The lines of a file that is split between tasks are
-    numbered, and records cut, in a task per file; pass many files of bounded size, as sequencers write them.
-    """
-    import pandas as pd
+def write_fastq(reads: DataFrame, path: str, width: int = 0) -> None:
+    """Reads (name, seq, qual) as FASTQ; with ``width`` sequences and qualities are cut into lines of so many letters."""
+    cut = lambda c: F.regexp_replace(c, f"(?s)(.{{{width}}})(?=.)", "$1\n") if width else F.col(c)
+    reads.select(F.concat(F.lit("@"), F.col("name"), F.lit("\n"), cut("seq"), F.lit("\n+\n"), cut("qual"))).write.text(path)
 
-    def records(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, lines = [], rows.sort_values("n")["value"].tolist()
-        at = 0
-        while at < len(lines):
-            if not lines[at].startswith("@"):
-                at += 1
-                continue
-            name, begin, seq, qual = lines[at][1:].split()[0] if lines[at][1:].split() else "", at, "", ""
-            at += 1
-            while at < len(lines) and not lines[at].startswith("+"):
-                seq, at = seq + lines[at].strip(), at + 1
-            at += 1
-            while at < len(lines) and (len(qual) < len(seq) - 1 or not qual) and seq:
-                qual, at = qual + lines[at].strip(), at + 1
-            out.append((key[0], begin, name, seq, qual))
-        return pd.DataFrame(out, columns=["file", "at", "name", "seq", "qual"])
 
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
-    return lines.groupBy("file").applyInPandas(records, "file string, at long, name string, seq string, qual string")
-
-
-def write_fastq(reads: DataFrame, path: str) -> None:
-    reads.select(F.concat(F.lit("@"), F.col("name"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual"))).write.text(path)
+def in_parts(rows: DataFrame, order: Sequence[str | Column], label: str) -> DataFrame:
+    """``rows`` dealt by ranges of ``order`` and written, with ``_part``, the number of their range."""
+    return stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), label)
 
 
 def grouped_ends(rows: DataFrame, order: Sequence[str], partition: Sequence[str] = ()) -> DataFrame:
     """Consecutive rows of one name are the ends of a read: adds group (from 1 in its partition) and end_no (from 1).
 
-    Without ``partition`` (a file, a lane) all rows are one sequence, which is told by a single task.
+    Rows are dealt by ranges of ``partition`` and ``order`` (a file, a lane, a place in it), and runs of one name are told within each. Of each range only its first and
+    last run is gathered: what lies before it tells how many groups were begun, and how many rows of its first run. So a lane, or a file, is many
+    tasks' work. Null names are one name.
     """
-    w = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)
-    changed = F.coalesce((F.lag("name").over(w) != F.col("name")).cast("int"), F.lit(1))
-    group = rows.withColumn("_new", changed).withColumn("group", F.sum("_new").over(w).cast("long")).drop("_new")
-    return group.withColumn("end_no", F.row_number().over(Window.partitionBy(*partition, "group").orderBy(*order)))
-
-
-def numbered(rows: DataFrame, order: Sequence[str], start: int, end: int) -> DataFrame:
-    """Rows ``start`` to ``end`` (from 1, inclusive) in order, with their number n.
-
-    Rows are dealt by ranges of ``order`` and numbered within each; only the number of rows before each part is gathered. Rows equal in ``order`` are
+    lane = [F.col(c) for c in partition]
+    dealt = in_parts(rows, [*lane, *[F.col(c) for c in order]], "ends")
+    inside = Window.partitionBy("_part").orderBy(*lane, *order)
+    named = F.struct(*lane, F.col("name"))
+    first = F.row_number().over(inside) == 1
+    told = dealt.withColumn("_new", (~first & ~F.lag(named).over(inside).eqNullSafe(named)).cast("int"))
+    told = told.withColumn("_run", F.sum("_new").over(inside)).withColumn("_n", F.row_number().over(Window.partitionBy("_part", "_run").orderBy(*lane, *order)))
+    told = stored(told.withColumn("_named", named), "runs")
+    runs = told.groupBy("_part", "_run").agg(F.count(F.lit(1)).alias("rows"), F.first("_named").alias("named"))
+    ends = runs.groupBy("_part").agg(F.max("_run").alias("last"), F.max_by("rows", "_run").alias("rows"), F.max_by("named", "_run").alias("last_named"), F.min_by("named", "_run").alias("first_named"))
+    # One row a range from here on.
+    along = Window.orderBy("_part")
+    goes_on = F.coalesce(F.lag("last_named").over(along).eqNullSafe(F.col("first_named")) & (F.row_number().over(along) > 1), F.lit(False)).cast("int")
+    ends = ends.withColumn("goes_on", goes_on)
+    begun = F.coalesce(F.sum(F.col("last") + 1 - F.col("goes_on")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.withColumn("_base", begun - F.col("goes_on") + 1).withColumn("_last", F.col("_base") + F.col("last"))
+    # Rows that earlier ranges hold of the run that goes on: those whose last run has the number of this one's first.
+    held = ends.select(F.col("_last").alias("_base"), F.col("_part").alias("_from"), F.col("rows").alias("_held"))
+    carried = ends.where("goes_on = 1").select("_part", "_base").join(held, "_base").where(F.col("_from") < F.col("_part")).groupBy("_part").agg(F.sum("_held").alias("_carried"))
+    starts = ends.select("_part", "_base").join(carried, "_part", "left").withColumn("_carried", F.coalesce("_carried", F.lit(0)))
+    joined = told.join(F.broadcast(starts), "_part")
+    end_no = F.col("_n") + F.when(F.col("_run") == 0, F.col("_carried")).otherwise(0)
+    joined = joined.withColumn("group", (F.col("_base") + F.col("_run")).cast("long")).withColumn("end_no", end_no.cast("int"))
+    joined = joined.drop("_part", "_new", "_run", "_n", "_named", "_base", "_carried")
+    if not partition:
+        return joined
+    least = stored(runs.join(F.broadcast(starts), "_part").select("_part", (F.col("_base") + F.col("_run")).alias("g"), F.col("named")).select(*[F.col(f"named.{c}").alias(c) for c in partition], "g").groupBy(*partition).agg(F.min("g").alias("_least")), "lanes")
+    on = [joined[c].eqNullSafe(least[c]) for c in partition]
+    return joined.join(least, on).select(*[joined[c] for c in joined.columns if c not in ("group", "end_no")], (F.col("group") - F.col("_least") + 1).alias("group"), "end_no")
+
+
+def with_number(rows: DataFrame, order: Sequence[str | Column], end: int | None = None) -> DataFrame:
+    """Rows with their number n in order, from 1; with ``end``, of the ranges that begin up to it alone.
+
+    Rows are dealt by ranges of ``order`` and numbered within each; only the number of rows before each range is gathered. Rows equal in ``order`` are
     numbered in any order.
     """
-    dealt = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    dealt = in_parts(rows, order, "numbered")
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    near = dealt.join(F.broadcast(before.where(F.col("_before") < end)), "_part")  # a row for each part
-    return near.withColumn("n", (F.col("_before") + own).cast("long")).drop("_part", "_before").where(F.col("n").between(start, end))
+    near = dealt.join(F.broadcast(before if end is None else before.where(F.col("_before") < end)), "_part")  # a row for each range
+    return near.withColumn("n", (F.col("_before") + own).cast("long")).drop("_part", "_before")
+
+
+def numbered(rows: DataFrame, order: Sequence[str], start: int, end: int) -> DataFrame:
+    """Rows ``start`` to ``end`` (from 1, inclusive) in order, with their number n."""
+    return with_number(rows, order, end).where(F.col("n").between(start, end))
+
+
+def split_every(reads: DataFrame, each: int) -> DataFrame:
+    """Reads (name, ...) with their number n in the natural order of their names, and ``file``, from 1: each file has ``each`` reads but the last."""
+    key = natural_key(F.col("name"))
+    return with_number(reads.withColumn("_key", key), ["_key", "name"]).drop("_key").withColumn("file", F.expr(f"(n - 1) div {int(each)} + 1"))
+
+
+def write_split(reads: DataFrame, each: int, path: str) -> None:
+    """FASTQ files of ``each`` reads (name, seq, qual), in folders ``file=1`` and on, in the natural order of names."""
+    record = F.concat(F.lit("@"), F.col("name"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual")).alias("value")
+    whole = split_every(reads, each).repartitionByRange("file").sortWithinPartitions("file", "n")
+    whole.select("file", record).write.partitionBy("file").text(path)
 
 
 def color_reads(bases: DataFrame, qualities: DataFrame) -> DataFrame:
