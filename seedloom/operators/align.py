@@ -6,7 +6,7 @@ placements are settled by comparing strings; only the rest enter the kernels, a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,24 +102,34 @@ def _bytes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode(), np.uint8)
 
 
-def ungapped(read: str, window: str, mask: str | None, offset: int, s: Scoring) -> tuple[int, int] | None:
-    """(score, start in the window) of the best start, the first of equals; with ``mask`` its 1s have to match. None if there is no start.
+def _masks(masks: Sequence[str], n: int) -> np.ndarray:
+    return np.stack([_bytes(x.ljust(n, "0")[:n]) == ord("1") for x in masks])
+
 
-    Starts leave ``offset`` bases on either side.
+def ungapped_batch(reads: Sequence[str], windows: Sequence[str], masks: Sequence[str] | None, offset: int, s: Scoring) -> list[tuple[int, int] | None]:
+    """(score, start in the window) of each read's best start, the first of equals; with ``masks`` their 1s have to match. None if there is no start.
+
+    All reads are of one length, and all windows. Starts leave ``offset`` bases on either side.
     """
-    r, w = _bytes(read.lower()), _bytes(window.lower())
-    if len(r) > len(w) or not len(r):
-        return None
-    starts = np.arange(max(offset, 0), len(w) - len(r) - offset + 1)
-    if not len(starts):
+    r, w = (np.stack([_bytes(x.lower()) for x in xs]) for xs in (reads, windows))
+    (b, n), m = r.shape, w.shape[1]
+    low = max(offset, 0)
+    many = m - n - offset + 1 - low
+    if many < 1 or not n:
+        return [None] * b
+    equal = np.lib.stride_tricks.sliding_window_view(w, n, axis=1)[:, low : low + many] == r[:, None, :]
+    scores = s.nt_mismatch * n + (s.nt_match - s.nt_mismatch) * equal.sum(axis=2)
+    if masks is not None:
+        scores = np.where((equal | ~_masks(masks, n)[:, None, :]).all(axis=2), scores, LOW)
+    best = scores.argmax(axis=1)
+    return [None if scores[i, k] <= LOW else (int(scores[i, k]), low + int(k)) for i, k in enumerate(best.tolist())]
+
+
+def ungapped(read: str, window: str, mask: str | None, offset: int, s: Scoring) -> tuple[int, int] | None:
+    """``ungapped_batch`` of one read."""
+    if len(read) > len(window) or not read:
         return None
-    equal = np.lib.stride_tricks.sliding_window_view(w, len(r))[starts] == r
-    scores = np.where(equal, s.nt_match, s.nt_mismatch).sum(axis=1)
-    if mask is not None:
-        kept = equal[:, _bytes(mask) == ord("1")].all(axis=1)
-        scores = np.where(kept, scores, LOW)
-    best = int(scores.argmax())
-    return None if scores[best] <= LOW else (int(scores[best]), int(starts[best]))
+    return ungapped_batch([read], [window], None if mask is None else [mask], offset, s)[0]
 
 
 def colors_of(bases: np.ndarray, before: int = 0) -> np.ndarray:
@@ -135,40 +145,64 @@ def codes_of(text: str) -> np.ndarray:
     return table[_bytes(text)]
 
 
-def ungapped_color(colors: str, window: str, mask: str | None, offset: int, s: Scoring) -> tuple[int, int, str] | None:
-    """(score, start, bases): the best reading of ``colors`` (digits, from base A) at the best start of a nucleotide window.
+def _digits(colors: Sequence[str]) -> np.ndarray:
+    return np.stack([np.array([int(x) if x in "0123" else 4 for x in c], np.int64) for c in colors])
+
+
+#: Colour from base to base.
+STEP = np.arange(4)[:, None] ^ np.arange(4)[None, :]
+
+
+def _paid(color: np.ndarray, s: Scoring) -> np.ndarray:
+    """What each step from base to base pays for the colours read (batch): (batch, from, to)."""
+    return np.where(color[:, None, None] == STEP, s.color_match, s.color_mismatch)
+
+
+def ungapped_color_batch(colors: Sequence[str], windows: Sequence[str], masks: Sequence[str] | None, offset: int, s: Scoring) -> list[tuple[int, int, str] | None]:
+    """(score, start, bases): the best reading of each read's colours (digits, from base A) at the best start of its nucleotide window.
 
-    A reading pays for bases unlike the reference and for colours unlike those read; a Viterbi pass finds it for all
-    starts at once. With ``mask``, the colours at its 1s have to be those of the reference. Of equal starts the first, of equal bases the least.
+    A reading pays for bases unlike the reference and for colours unlike those read; a Viterbi pass finds it for all reads and
+    starts at once. With ``masks``, the colours at their 1s have to be those of the reference. Of equal starts the first, of equal bases the least.
+    All reads are of one length, and all windows.
     """
-    c = np.array([int(x) if x in "0123" else 4 for x in colors])
-    w, n = codes_of(window), len(colors)
-    starts = np.arange(max(offset, 0), len(w) - n - offset + 1)
-    if not n or not len(starts):
-        return None
-    refs = np.lib.stride_tricks.sliding_window_view(w, n)[starts]
-    step = np.arange(4)[:, None] ^ np.arange(4)[None, :]  # colour from base to base
-    score = np.full((len(starts), 4), LOW)
-    score[:, 0] = 0  # the adaptor's A
-    back = np.zeros((n, len(starts), 4), np.int64)
+    c, w = _digits(colors), np.stack([codes_of(x) for x in windows])
+    (b, n), m, low = c.shape, w.shape[1], max(offset, 0)
+    many = m - n - offset + 1 - low
+    if many < 1 or not n:
+        return [None] * b
+    refs = np.lib.stride_tricks.sliding_window_view(w, n, axis=1)[:, low : low + many]
+    score = np.full((b, many, 4), LOW)
+    score[:, :, 0] = 0  # the adaptor's A
+    back = np.zeros((n, b, many, 4), np.int8)
     for i in range(n):
-        paid = np.where(step == c[i], s.color_match, s.color_mismatch)
-        every = score[:, :, None] + paid[None]
-        back[i] = every.argmax(axis=1)
-        score = every.max(axis=1) + np.where(refs[:, i, None] == np.arange(4), s.nt_match, s.nt_mismatch)
-    total = score.max(axis=1)
-    if mask is not None:
-        at = [i for i, m in enumerate(mask[:n]) if m == "1" and i > 0]
-        kept = np.stack([colors_of(r) for r in refs])[:, at] == c[at] if at else np.ones((len(starts), 1), bool)
-        total = np.where(kept.all(axis=1), total, LOW)
-    best = int(total.argmax())
-    if total[best] <= LOW // 2:
+        every = score[:, :, :, None] + _paid(c[:, i], s)[:, None]
+        back[i] = every.argmax(axis=2)
+        score = every.max(axis=2) + np.where(refs[:, :, i, None] == np.arange(4), s.nt_match, s.nt_mismatch)
+    total = score.max(axis=2)
+    if masks is not None:
+        bound = _masks(masks, n)
+        bound[:, 0] = False
+        last = refs[:, :, :-1]
+        seen = np.where((last > 3) | (refs[:, :, 1:] > 3), 4, last ^ refs[:, :, 1:])
+        total = np.where(((seen == c[:, None, 1:]) | ~bound[:, None, 1:]).all(axis=2), total, LOW)
+    out: list[tuple[int, int, str] | None] = []
+    for i, k in enumerate(total.argmax(axis=1).tolist()):
+        if total[i, k] <= LOW // 2:
+            out.append(None)
+            continue
+        base, read = int(score[i, k].argmax()), []
+        for at in range(n - 1, -1, -1):
+            read.append("ACGT"[base])
+            base = int(back[at, i, k, base])
+        out.append((int(total[i, k]), low + k, "".join(reversed(read))))
+    return out
+
+
+def ungapped_color(colors: str, window: str, mask: str | None, offset: int, s: Scoring) -> tuple[int, int, str] | None:
+    """``ungapped_color_batch`` of one read."""
+    if len(colors) > len(window) or not colors:
         return None
-    base, out = int(score[best].argmax()), []
-    for i in range(n - 1, -1, -1):
-        out.append("ACGT"[base])
-        base = int(back[i, best, base])
-    return int(total[best]), int(starts[best]), "".join(reversed(out))
+    return ungapped_color_batch([colors], [window], None if mask is None else [mask], offset, s)[0]
 
 
 def _filled(read: np.ndarray, ref: np.ndarray, s: Scoring, corner: bool) -> tuple[np.ndarray, ...]:
@@ -262,39 +296,50 @@ def gapped_constrained(reads: list[str], windows: list[str], first: int, last: i
     return out
 
 
-def gapped_color(colors: str, window: str, s: Scoring) -> tuple[int, int, str, str]:
-    """(score, start, aligned bases, aligned reference) of colours (digits, from base A) in a nucleotide window, with gaps.
+def _filled_color(c: np.ndarray, w: np.ndarray, s: Scoring, corner: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Affine-gap matrices (rows of the read, batch, columns of the reference, bases) of colours and references (codes) of one shape.
 
     A cell has a score for each base that the read may have reached. A base of the read pays for its colour, and for being unlike the reference or for
-    its gap; a deletion leaves the read where it is. Of equal paths a diagonal step wins, then a deletion, then the lesser base.
+    its gap; a deletion leaves the read where it is. ``corner``: scores by base (batch, 4) at the first cell, where paths then begin; else they begin with
+    the adaptor's A anywhere in the first row.
     """
-    c = [int(x) if x in "0123" else 4 for x in colors]
-    w, n = codes_of(window), len(colors)
-    m, step = len(w), np.arange(4)[:, None] ^ np.arange(4)[None, :]
-    best, down, across = (np.full((n + 1, m + 1, 4), LOW, np.int64) for _ in range(3))
-    best[0, :, 0] = 0
+    (b, n), m = c.shape, w.shape[1]
+    best, down, across = (np.full((n + 1, b, m + 1, 4), LOW, np.int32) for _ in range(3))
     steps = s.gap_extend * np.arange(m + 1)[:, None]
-    paid = [np.where(step == x, s.color_match, s.color_mismatch) for x in c]
-    like = np.where(w[:, None] == np.arange(4), s.nt_match, s.nt_mismatch)
+    if corner is None:
+        best[0, :, :, 0] = 0
+    else:
+        best[0, :, 0] = corner
+        across[0, :, 1:] = corner[:, None, :] + s.gap_open + steps[:-1]
+        best[0, :, 1:] = across[0, :, 1:]
+    like = np.where(w[:, :, None] == np.arange(4), s.nt_match, s.nt_mismatch)
     for i in range(1, n + 1):
-        reached = lambda t: (t[:, :, None] + paid[i - 1]).max(axis=1)  # noqa: B023, E731  over the bases before
-        moved = reached(best[i - 1])
-        diagonal = np.full((m + 1, 4), LOW, np.int64)
-        diagonal[1:] = moved[:-1] + like
-        down[i] = np.maximum(reached(down[i - 1]) + s.gap_extend, moved + s.gap_open)
+        paid = _paid(c[:, i - 1], s)[:, None]
+        moved = (best[i - 1][:, :, :, None] + paid).max(axis=2)  # over the bases before
+        diagonal = np.full((b, m + 1, 4), LOW, np.int64)
+        diagonal[:, 1:] = moved[:, :-1] + like
+        down[i] = np.maximum((down[i - 1][:, :, :, None] + paid).max(axis=2) + s.gap_extend, moved + s.gap_open)
         entry = np.maximum(diagonal, down[i])
-        run = np.maximum.accumulate(entry - steps, axis=0)
-        across[i, 1:] = run[:-1] + steps[:-1] + s.gap_open
+        run = np.maximum.accumulate(entry - steps, axis=1)
+        across[i, :, 1:] = run[:, :-1] + steps[:-1] + s.gap_open
         best[i] = np.maximum(entry, across[i])
-    col, base = divmod(int(best[n].argmax()), 4)
-    score, row, state, a, r = int(best[n, col, base]), n, "s", [], []
-    while row > 0:
+    return best, down, across
+
+
+def _traced_color(matrices: tuple[np.ndarray, ...], b: int, c: np.ndarray, w: np.ndarray, window: str, row: int, col: int, base: int, s: Scoring, corner: bool) -> tuple[str, str, int, int]:
+    """(aligned bases, aligned reference, first column, base before) of the path that ends at (row, col, base). A diagonal step wins ties, then a deletion, then the lesser base."""
+    best, down, across = (x[:, b] for x in matrices)
+    a, r, state = [], [], "s"
+    while row > 0 or (corner and col > 0):
+        paid = np.where(STEP[:, base] == c[row - 1], s.color_match, s.color_mismatch) if row else None
         if state == "s":
-            if col > 0 and best[row, col, base] == (before := best[row - 1, col - 1] + paid[row - 1][:, base]).max() + like[col - 1, base]:
-                a.append("ACGT"[base])
-                r.append(window[col - 1])
-                row, col, base = row - 1, col - 1, int(before.argmax())
-                continue
+            if row > 0 and col > 0:
+                before = best[row - 1, col - 1] + paid
+                if best[row, col, base] == before.max() + (s.nt_match if w[col - 1] == base else s.nt_mismatch):
+                    a.append("ACGT"[base])
+                    r.append(window[col - 1])
+                    row, col, base = row - 1, col - 1, int(before.argmax())
+                    continue
             state = "h" if col > 0 and best[row, col, base] == across[row, col, base] else "v"
         elif state == "h":
             stays = across[row, col - 1, base] + s.gap_extend >= best[row, col - 1, base] + s.gap_open
@@ -304,10 +349,89 @@ def gapped_color(colors: str, window: str, s: Scoring) -> tuple[int, int, str, s
         else:
             a.append("ACGT"[base])
             r.append("-")
-            going, opened = down[row - 1, col] + paid[row - 1][:, base], best[row - 1, col] + paid[row - 1][:, base]
-            stays = going.max() + s.gap_extend >= opened.max() + s.gap_open
+            going, opened = down[row - 1, col] + paid, best[row - 1, col] + paid
+            stays = row > 1 and going.max() + s.gap_extend >= opened.max() + s.gap_open
             row, base, state = row - 1, int((going if stays else opened).argmax()), "v" if stays else "s"
-    return score, col, "".join(reversed(a)), "".join(reversed(r))
+    return "".join(reversed(a)), "".join(reversed(r)), col, base
+
+
+def gapped_color_batch(colors: Sequence[str], windows: Sequence[str], s: Scoring) -> list[tuple[int, int, str, str]]:
+    """(score, start, aligned bases, aligned reference) of each read's colours (digits, from base A) in its nucleotide window, with gaps.
+
+    All reads are of one length, and all windows.
+    """
+    c, w = _digits(colors), np.stack([codes_of(x) for x in windows])
+    matrices, n, out = _filled_color(c, w, s, None), c.shape[1], []
+    for b, window in enumerate(windows):
+        col, base = divmod(int(matrices[0][n, b].argmax()), 4)
+        a, r, start, _ = _traced_color(matrices, b, c[b], w[b], window, n, col, base, s, False)
+        out.append((int(matrices[0][n, b, col, base]), start, a, r))
+    return out
+
+
+def gapped_color(colors: str, window: str, s: Scoring) -> tuple[int, int, str, str]:
+    """``gapped_color_batch`` of one read."""
+    return gapped_color_batch([colors], [window], s)[0]
+
+
+def gapped_color_constrained(colors: Sequence[str], windows: Sequence[str], masks: Sequence[str], first: int, last: int, offset: int, s: Scoring) -> list[tuple[int, int, str, str]]:
+    """As ``gapped_color_batch``, for paths that go along the diagonal at ``offset`` from place ``first`` of the read, the first 1 of its mask, to ``last``, the last;
+    at its 1s between them a base is reached by the colour read.
+
+    The path has three parts, each with a score for each base that the read may have reached: up to ``first`` it is free, along the diagonal bases are told by a
+    Viterbi pass, and from ``last`` on it is free again. All reads are of one length, and all windows, and their masks begin and end alike. Where the diagonal isn't
+    in the window, or there is no 1 (``first`` below 0), nothing binds.
+    """
+    if first < 0 or offset < 0 or offset + last >= len(windows[0]):
+        return gapped_color_batch(colors, windows, s)
+    c, w = _digits(colors), np.stack([codes_of(x) for x in windows])
+    bound, (b, n), column = _masks(masks, c.shape[1]), c.shape, offset + first
+    before = _filled_color(c[:, :first], w[:, :column], s, None) if first else None
+    score = before[0][first, :, column].astype(np.int64) if before is not None else np.where(np.arange(4) == 0, 0, LOW) * np.ones((b, 1), np.int64)
+    back = np.zeros((n, b, 4), np.int8)
+    for i in range(first, last):
+        paid = _paid(c[:, i], s)
+        tied = bound[:, i, None, None] & (c[:, i, None, None] < 4) & (c[:, i, None, None] != STEP)
+        every = score[:, :, None] + np.where(tied, LOW, paid)
+        back[i] = every.argmax(axis=1)
+        score = np.maximum(every.max(axis=1), LOW) + np.where(w[:, offset + i, None] == np.arange(4), s.nt_match, s.nt_mismatch)
+    behind = _filled_color(c[:, last:], w[:, offset + last :], s, score.astype(np.int32))
+    ends, out = behind[0][-1], []
+    for k, window in enumerate(windows):
+        col, base = divmod(int(ends[k, 1:].argmax()), 4)
+        col += 1
+        total = int(ends[k, col, base])
+        a2, r2, _, base = _traced_color(behind, k, c[k, last:], w[k, offset + last :], window[offset + last :], n - last, col, base, s, True)
+        middle = []
+        for i in range(last - 1, first - 1, -1):
+            middle.append("ACGT"[base])
+            base = int(back[i, k, base])
+        a, r, start = "", "", column
+        if before is not None:
+            a, r, start, _ = _traced_color(before, k, c[k, :first], w[k, :column], window[:column], first, column, base, s, False)
+        out.append((total, start, a + "".join(reversed(middle)) + a2, r + window[column : offset + last] + r2))
+    return out
+
+
+#: Cells of the matrices that are filled together, and the most candidates.
+CELLS, TOGETHER = 1 << 20, 64
+
+
+def _kernel(members: list[dict], space: str, gaps: bool, constrained: bool, offset: int, s: Scoring) -> list[tuple | None]:
+    """(score, start, aligned read, aligned reference) of candidates of one shape, bound alike; None where one can't be placed."""
+    reads, windows, masks = ([x[c] for x in members] for c in ("read", "window", "mask"))
+    n, first_one = len(reads[0]), members[0]
+    if gaps:
+        bind = (first_one["mask"].find("1"), first_one["mask"].rfind("1"), first_one["window_offset"]) if constrained else (-1, -1, 0)
+        return gapped_constrained(reads, windows, *bind, s) if space == "nt" else gapped_color_constrained(reads, windows, masks, *bind, s)
+    if n > len(windows[0]):
+        return [None] * len(members)
+    side = 0 if constrained or space == "color" else min(offset, max(0, first_one["window_offset"]))
+    if space == "color":
+        found = ungapped_color_batch(reads, windows, masks if constrained else None, 0, s)
+        return [None if x is None else (*x, w[x[1] : x[1] + n]) for x, w in zip(found, windows)]
+    found = ungapped_batch(reads, windows, masks if constrained else None, side, s)
+    return [None if x is None else (*x, r, w[x[1] : x[1] + n]) for x, r, w in zip(found, reads, windows)]
 
 
 def aligned(candidates: DataFrame, s: Scoring = Scoring(), space: str = "nt", gaps: bool = True, constrained: bool = True, offset: int = 20) -> DataFrame:
@@ -323,36 +447,18 @@ def aligned(candidates: DataFrame, s: Scoring = Scoring(), space: str = "nt", ga
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, shapes, out = b.to_pylist(), {}, []
+            rows, alike, out = b.to_pylist(), {}, []
             for i, x in enumerate(rows):
-                shapes.setdefault((len(x["read"]), len(x["window"])), []).append(i)
+                if x["read"] and x["window"]:
+                    bound = (x["mask"].find("1"), x["mask"].rfind("1"), x["window_offset"]) if constrained and gaps else x["window_offset"]
+                    alike.setdefault((len(x["read"]), len(x["window"]), bound), []).append(i)
             found: dict[int, tuple] = {}
-            for shape, members in shapes.items():
-                if not shape[0] or not shape[1]:
-                    continue
-                if gaps and space == "nt":
-                    alike: dict[tuple, list[int]] = {}  # those whose paths are bound alike
-                    for i in members:
-                        x = rows[i]
-                        alike.setdefault((x["mask"].find("1"), x["mask"].rfind("1"), x["window_offset"]) if constrained else (-1, -1, 0), []).append(i)
-                    for (first, last, at_), own in alike.items():
-                        for at in range(0, len(own), 64):
-                            some = own[at : at + 64]
-                            found.update(zip(some, gapped_constrained([rows[i]["read"] for i in some], [rows[i]["window"] for i in some], first, last, at_, s)))
-                    continue
-                for i in members:
-                    x = rows[i]
-                    mask = x["mask"] if constrained else None
-                    side = min(offset, max(0, x["window_offset"]))
-                    if space == "color" and gaps:
-                        found[i] = gapped_color(x["read"], x["window"], s)
-                    elif space == "color":
-                        if (hit := ungapped_color(x["read"], x["window"], mask, 0, s)) is not None:
-                            n = len(x["read"])
-                            found[i] = (hit[0], hit[1], hit[2], x["window"][hit[1] : hit[1] + n])
-                    elif (hit := ungapped(x["read"], x["window"], mask, side if mask is None else 0, s)) is not None:
-                        n = len(x["read"])
-                        found[i] = (*hit, x["read"], x["window"][hit[1] : hit[1] + n])
+            for (n, m, _), own in alike.items():
+                some = max(1, min(TOGETHER, CELLS // ((n + 1) * (m + 1) * (1 if space == "nt" else 4))))
+                for at in range(0, len(own), some):
+                    now = own[at : at + some]
+                    hits = _kernel([rows[i] for i in now], space, gaps, constrained, offset, s)
+                    found.update((i, hit) for i, hit in zip(now, hits) if hit is not None)
             for i in sorted(found):
                 x, (score, start, a, r) = rows[i], found[i]
                 used = len(r) - r.count("-")

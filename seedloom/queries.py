@@ -251,6 +251,16 @@ def color_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(align.is_exact(F.col("read"), F.col("window"), F.col("window_offset"))).select("read_id", "contig", "position", "strand")
 
 
+def color_reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).select("read_id", "end_no", F.concat(F.lit("A"), bases.colors(F.col("seq"))).alias("seq"))
+
+
+@query
+def color_gapped_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from colour reads to chosen alignments in bases, with gaps, bound by the seeds' colours."""
+    return align_reads(color_reads_of(spark, sf_dir), reference(spark, sf_dir), COLOR, m.MatchOptions(max_key_matches=K, space="color"), algorithm=4)
+
+
 @query
 def color_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way from colour reads to chosen alignments in bases."""
@@ -523,14 +533,24 @@ def sam_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = reads(spark, sf_dir).withColumn("name", F.concat(F.lit("read"), F.col("read_id").cast("string"))).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
     contigs = reference(spark, sf_dir).select("contig", F.concat(F.lit("contig"), F.col("contig").cast("string")).alias("name"))
     found = align_reads(reads(spark, sf_dir), reference(spark, sf_dir), SEED, constrained=False)
-    return sam.records(found, ends, contigs)
+    return sam.records(found, ends, contigs, algorithm=3).select("read_id", "end_no", "hit", "line")
 
 
 @query
 def paired_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = halves(spark, sf_dir).withColumn("name", F.concat(F.lit("read"), F.col("read_id").cast("string"))).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
     contigs = reference(spark, sf_dir).select("contig", F.concat(F.lit("contig"), F.col("contig").cast("string")).alias("name"))
-    return sam.records(stored(paired_alignments(spark, sf_dir), "pairs"), ends, contigs)
+    return sam.records(stored(paired_alignments(spark, sf_dir), "pairs"), ends, contigs).select("read_id", "end_no", "hit", "line")
+
+
+@query
+def color_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from colour reads to SAM records, with gaps and bound by seeds; written sorted by place, and read again."""
+    ref, folder = reference(spark, sf_dir), scratch(spark, "sam")
+    rows = color_reads_of(spark, sf_dir).withColumn("name", F.concat(F.lit("read"), F.col("read_id").cast("string"))).withColumn("qual", F.repeat(F.lit("I"), F.length("seq") - 1))
+    contigs = ref.select("contig", F.concat(F.lit("contig"), F.col("contig").cast("string")).alias("name"), F.length("seq").alias("length"))
+    sam.write_sam(sam.records(color_gapped_alignments(spark, sf_dir), rows, contigs, space="color", algorithm=4), contigs, folder)
+    return spark.read.text(folder).select(F.col("value").alias("line"))
 
 
 @query

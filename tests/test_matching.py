@@ -242,6 +242,87 @@ def test_gapped_color_kernel_against_all_readings():
         assert paid + rescored(a.lower(), r, s) == score and window[start:].startswith(r.replace("-", ""))
 
 
+def brute_bound(colors, window, mask, offset, s):
+    """The best score over all readings whose colours at the mask's inner 1s are those read: up to the first 1 and from the last one aligned freely, along the diagonal between."""
+    from itertools import product
+
+    first, last, best, n = mask.find("1"), mask.rfind("1"), None, len(colors)
+    w = align.codes_of(window)
+    for bases in product(range(4), repeat=n):
+        seen = align.colors_of(np.array(bases))
+        if any(mask[i] == "1" and str(seen[i]) != colors[i] for i in range(first, last)):
+            continue
+        paid = sum(s.color_match if str(a) == b else s.color_mismatch for a, b in zip(seen, colors))
+        middle = sum(s.nt_match if bases[i] == w[offset + i] else s.nt_mismatch for i in range(first, last))
+        text = "".join("acgt"[b] for b in bases)
+        head = ended(text[:first], window[: offset + first], s, True) if first else 0
+        tail = max(ended(text[last:], window[offset + last : end], s, False) for end in range(offset + last + 1, len(window) + 1))
+        total = paid + middle + head + tail
+        best = total if best is None else max(best, total)
+    return best
+
+
+def ended(read, ref, s, free):
+    """The best score of the whole read that ends with the reference's last base; it begins at its first, or (``free``) anywhere."""
+    from functools import cache
+
+    @cache
+    def f(i, j, state):
+        if i == 0 and (free or j == 0) and state == "s":
+            return 0
+        options = [-(1 << 20)]
+        if state == "s":
+            if i and j:
+                options.append(f(i - 1, j - 1, "s") + (s.nt_match if read[i - 1] == ref[j - 1] else s.nt_mismatch))
+            options += [f(i, j, "h"), f(i, j, "v")]
+        elif state == "h" and j:
+            options += [f(i, j - 1, "h") + s.gap_extend, f(i, j - 1, "s") + s.gap_open]
+        elif state == "v" and i:
+            options += [f(i - 1, j, "v") + s.gap_extend, f(i - 1, j, "s") + s.gap_open]
+        return max(options)
+
+    return f(len(read), len(ref), "s")
+
+
+def test_bound_gapped_color_kernel_against_all_readings():
+    rng, s = random.Random(7), align.Scoring()
+    for _ in range(20):
+        window = genome(rng.randint(6, 10), rng.random())
+        n, offset = rng.randint(3, 5), rng.randint(0, 2)
+        bases = list(align.codes_of(window[offset : offset + n + 1]))
+        if rng.random() < 0.5:
+            del bases[rng.randrange(len(bases))]
+        colors = "".join(map(str, align.colors_of(np.array(bases[:n]))))
+        n = len(colors)
+        masks = ["".join(rng.choice("01") for _ in range(n)) for _ in range(3)]
+        at = rng.randrange(n), rng.randrange(n)
+        first, last = min(at), max(at)
+        masks = ["0" * first + "1" + m[first + 1 : last] + ("1" if last > first else "") + "0" * (n - last - 1) for m in masks]
+        if offset + last >= len(window):
+            continue
+        got = align.gapped_color_constrained([colors] * 3, [window] * 3, masks, first, last, offset, s)
+        for mask, (score, start, a, r) in zip(masks, got):
+            want = brute_bound(colors, window, mask, offset, s)
+            assert score == want if want is not None and want > -10000 else score < -10000
+            read = a.replace("-", "")
+            if score > -10000:
+                paid = sum(s.color_match if str(x) == y else s.color_mismatch for x, y in zip(align.colors_of(align.codes_of(read)), colors))
+                assert paid + rescored(a.lower(), r, s) == score and window[start:].startswith(r.replace("-", "")) and len(read) == n
+    assert align.gapped_color_constrained(["0123"], ["acgtacg"], ["0000"], -1, -1, 0, s) == [align.gapped_color("0123", "acgtacg", s)]
+
+
+def test_batches_of_one_shape_are_those_of_single_reads():
+    rng, s = random.Random(9), align.Scoring()
+    reads, windows = ["".join(rng.choices("acgt", k=6)) for _ in range(20)], ["".join(rng.choices("acgtn", k=11)) for _ in range(20)]
+    colors = ["".join(rng.choices("01234", k=6)) for _ in range(20)]
+    masks = ["".join(rng.choices("01", [3, 1], k=6)) for _ in range(20)]
+    for own in (None, masks):
+        for offset in (0, 2, 5):
+            assert align.ungapped_batch(reads, windows, own, offset, s) == [align.ungapped(r, w, own and own[i], offset, s) for i, (r, w) in enumerate(zip(reads, windows))]
+            assert align.ungapped_color_batch(colors, windows, own, offset, s) == [align.ungapped_color(c, w, own and own[i], offset, s) for i, (c, w) in enumerate(zip(colors, windows))]
+    assert align.gapped_color_batch(colors, windows, s) == [align.gapped_color(c, w, s) for c, w in zip(colors, windows)]
+
+
 def test_reads_find_their_place(spark):
     ref = {1: genome(3000, 11), 2: genome(2000, 12)}
     places = [(1, 100, "+"), (1, 2000, "-"), (2, 1, "+"), (2, 1950, "-")]
