@@ -243,3 +243,4 @@ ORACLES["chunked_repeats"] = ORACLES["tandem_repeats"]
 NUMBER = "list_sum([(strpos('acgt', substr(key, i::BIGINT, 1)) - 1) * (1::HUGEINT << (2 * (length(key) - i))) FOR i IN range(1, length(key) + 1)])"
 ORACLES["chunked_seeds"] = f"""WITH {REF}, {seeds(MASK)}, k AS MATERIALIZED (SELECT key, ({NUMBER} % 65521)::BIGINT AS n FROM (SELECT DISTINCT key FROM idx))
 SELECT contig, count(*) AS seeds, sum(pos)::BIGINT AS places, sum(n)::BIGINT AS keys FROM idx JOIN k USING (key) GROUP BY contig"""
+ORACLES["match_files"] = ORACLES["cal_masks"]

@@ -14,9 +14,9 @@ from .operators.seeds import Mask, bin_of, build_index, cut_contigs, in_exons, i
 from .oracles import COLOR_MASK, CYCLE, K, LETTERS, MASK, ONE_WAY_MASK, SECOND_MASK
 from .plans.workflow import align_reads, scored_alignments
 from .plans.workflow import paired_alignments as pairs_of
-from .sources import sequences
+from .sources import records, sequences
 from .storage import scratch, stored
-from .streaming import matching
+from .streaming import alignment, matching
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -572,3 +572,27 @@ def match_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["match_stream"] = match_stream
+
+
+@query
+def stream_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ends of reads, from a stream of files to their best pairs: what ``paired_alignments`` finds in one batch."""
+    folder = scratch(spark, "align")
+    halves(spark, sf_dir).repartition(2, "read_id").write.parquet(f"{folder}/reads")
+    stream = spark.readStream.schema("read_id long, end_no int, seq string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/reads")
+    options = m.MatchOptions(max_key_matches=64)
+    alignment.align_stream(stream, reference(spark, sf_dir), SECOND, f"{folder}/out", f"{folder}/state", INSERT, options=options, constrained=False, offset=10).awaitTermination()
+    return spark.read.parquet(f"{folder}/out/pairs").drop("batch")
+
+
+@query
+def match_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates written as lines of text, and read again from files that are cut between tasks."""
+    folder = scratch(spark, "lines")
+    cals, ends = matched(spark, sf_dir)
+    named = ends.select(*m.END, "max_reached").join(reads(spark, sf_dir), m.END)
+    named = named.withColumn("name", F.col("read_id").cast("string")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+    records.write_records(sequences.match_lines(m.with_mask(cals, SEED), named), folder)
+    back, state = records.read_matches(spark, folder, 4096)
+    joined = back.join(state.select("read_id", "end_no", F.col("name").cast("long").alias("item")), m.END)
+    return joined.select(F.col("item").alias("read_id"), "end_no", "contig", "position", "strand", "mask")

@@ -153,9 +153,11 @@ def read_exons(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(*[F.element_at(parts, i + 1).cast("long").alias(n) for i, n in enumerate(names)])
 
 
-def match_lines(cals: DataFrame, ends: DataFrame) -> DataFrame:
-    """Candidates as lines of text: name and number of ends, then for each end its read, quality, flag, and its places with their masks."""
-    place = F.concat_ws("\t", F.col("contig").cast("string"), F.col("position").cast("string"), "strand", "mask")
+def match_lines(cals: DataFrame, ends: DataFrame, offsets: bool = False) -> DataFrame:
+    """Candidates as lines of text: name and number of ends, then for each end its read, quality, flag, and its places with their masks, or with their
+    ``offsets`` between commas."""
+    last = F.array_join(F.col("offsets").cast("array<string>"), ",") if offsets else F.col("mask")
+    place = F.concat_ws("\t", F.col("contig").cast("string"), F.col("position").cast("string"), "strand", last)
     listed = cals.groupBy("read_id", "end_no").agg(F.sort_array(F.collect_list(F.struct("contig", "position", "strand", place.alias("t")))).alias("places"))
     end = F.concat_ws("\t", "seq", "qual", F.col("max_reached").cast("string"), F.coalesce(F.size("places"), F.lit(0)).cast("string"), F.array_join(F.transform(F.coalesce("places", F.array().cast("array<struct<contig: bigint, position: int, strand: string, t: string>>")), lambda p: p["t"]), "\t"))
     per_end = ends.join(listed, ["read_id", "end_no"], "left").select("read_id", "name", "end_no", end.alias("t"))
@@ -169,7 +171,7 @@ def _alternating(rows: DataFrame, least: int) -> DataFrame:
     return rows.select("read_id", F.split(lines[0], "\t").alias("f"), F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.split(x, "\t")).alias("ends")).where(F.size("f") >= least)
 
 
-def read_match_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_match_lines(rows: DataFrame, offsets: bool = False) -> tuple[DataFrame, DataFrame]:
     """(candidates, ends) of records (read_id, line) as ``match_lines`` makes them."""
     ends = _alternating(rows, 2).select("read_id", F.col("f")[0].alias("name"), F.posexplode("ends").alias("end_no", "e")).withColumn("end_no", F.col("end_no") + 1)
     state = ends.select("read_id", "name", "end_no", F.col("e")[0].alias("seq"), F.col("e")[1].alias("qual"), F.col("e")[2].cast("int").alias("max_reached"))
@@ -177,7 +179,10 @@ def read_match_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = lambda i, k: F.element_at("e", 5 + 4 * i + k)
     places = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
         place(i, 0).cast("long").alias("contig"), place(i, 1).cast("int").alias("position"), place(i, 2).alias("strand"), place(i, 3).alias("mask"))))
-    return ends.select("read_id", "end_no", F.inline(places)), state
+    found = ends.select("read_id", "end_no", F.inline(places))
+    if offsets:
+        found = found.withColumn("offsets", F.split("mask", ",").cast("array<int>")).drop("mask")
+    return found, state
 
 
 def alignment_lines(alignments: DataFrame, ends: DataFrame) -> DataFrame:
