@@ -36,7 +36,7 @@ SCHEMA = "doc_id long, start long, ids binary"
 #: Ids of a block, and the most ids and documents of a file: what a task holds at once is a block, a document and a footer.
 BLOCK, FILE_IDS, FILE_DOCS = 1 << 16, 1 << 26, 1 << 20
 #: Words that a worker remembers (those of late, and as many of before), and, about, chunks.
-MOST_WORDS = 250_000
+MOST_WORDS = 400_000
 
 
 # Packing
@@ -432,9 +432,20 @@ class ChunkIds:
         if len(self.chunks) >= MOST_WORDS:
             self.chunks.clear()
         new = set(chunks).difference(self.chunks)
-        pieces = [c for c in new if c.removeprefix(" ").isalpha() and (c.isascii() or self.PIECE.match(c))]
+        plain, pieces = [], []
+        for c in new:
+            if c.removeprefix(" ").isalpha():
+                if c.isascii():
+                    plain.append(c)
+                elif self.PIECE.match(c):
+                    pieces.append(c)
+        # Letters of ASCII stand for themselves.
+        told = "\n".join(plain).replace(" ", "Ġ").split("\n") + "\n".join(pieces).encode().decode("latin-1").translate(self.letters).split("\n")
+        if not plain or not pieces:
+            told.remove("")
+        pieces = plain + pieces
         tokenize = self.model.tokenize
-        for c, piece in zip(pieces, "\n".join(pieces).encode().decode("latin-1").translate(self.letters).split("\n")):
+        for c, piece in zip(pieces, told):
             self.chunks[c] = array("I", [t.id for t in tokenize(piece)]).tobytes()
         rest = list(new.difference(pieces))
         for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
