@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shielded, stored, unshielded, word_count
+from .common import WORD, as_scan, stored, unshielded, word_count
 
 #: Rows that a bucket of the shuffled order holds on average, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
@@ -55,9 +55,14 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float)
     return s.withColumn("target", F.when(full, cap).otherwise(F.least(cap, level * F.col("weight"))).cast("double")), budget
 
 
+def _key(doc_id: Column, seed: str) -> Column:
+    """What orders a source's rows, shuffled."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+
+
 def walked(docs: DataFrame, with_targets: DataFrame, buckets: int, seed: str) -> DataFrame:
     """docs (doc_id, source, size, ...) with source_size, target, _key and _upto: the source's tokens up to and with the row, in shuffled order."""
-    keyed = docs.withColumn("_key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    keyed = docs.withColumn("_key", _key(F.col("doc_id"), seed))
     place = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)
     keyed = keyed.withColumn("_bucket", F.floor(place).cast("int"))
     each = keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_size"))
@@ -102,7 +107,7 @@ def _cut(slim: DataFrame, budget: float, epochs: int) -> tuple | None:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: str = "", keep: Sequence[str] = ()) -> DataFrame:
-    """docs: doc_id, source, text -> doc_id, size, source_size, target, taken, times, source and the columns of ``keep``.
+    """docs: doc_id, source, text -> doc_id, size, source_size, target, taken, times, source and the columns of ``keep``, which are written between steps: keep what is small.
 
     * size counts words; a null text has none. A null source is a source, after all others.
     * taken is times * size. Documents without words never use budget; they are taken once.
@@ -111,15 +116,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     """
     columns = ["doc_id", "source", *[c for c in keep if c not in ("doc_id", "source")]]
     sized = docs.select(*[F.col(f"`{c}`") for c in columns], word_count(F.col("text")).alias("size"))
-    if not keep:
-        sized = stored(sized, "mix-sizes")
+    sized = stored(sized, "mix-sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     by_source = stored(by_source, "mix-by-source")
     rows = by_source.agg(F.sum("rows")).first()[0] or 0
     with_targets, budget = targets(by_source.drop("rows"), weights, share, float(epochs))
     run = walked(sized, stored(with_targets, "mix-targets"), max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS)), seed)
-    if not keep:
-        run = stored(run, "mix-walk")
+    run = stored(run, "mix-walk")
     cut = _cut(run.select("_key", "doc_id", "size", "_upto", "source_size", "target"), budget, epochs)
     if cut is None:
         return run.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("times"), *columns[1:])
@@ -133,9 +136,48 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     return run.withColumn("times", times).select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times", *columns[1:])
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs``, with all its columns, as often as it is taken."""
-    rows, names = shielded(docs, "doc_id", "source", "text")
-    run = mix(rows, keep=rows.columns, **options).where("times > 0")
-    copies = run.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+def _place(size: Column) -> Column:
+    return F.struct("_key", F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"))
+
+
+def thresholds(run: DataFrame, epochs: int) -> DataFrame:
+    """source, t1, t2, ...: the last (_key, doc_id, size) of a source that is taken at least once, twice, ...
+
+    In a source's order finish times rise, so what is taken so often is all up to there. run: source, _key, doc_id, size, times.
+    """
+    last = [F.max(F.when((F.col("times") >= k) & (F.col("size") > 0), _place(F.col("size")))).alias(f"t{k}") for k in range(1, epochs + 1)]
+    return run.groupBy("source").agg(*last)
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: str = "") -> DataFrame:
+    """The mix itself: each row of ``docs``, with all its columns, as often as it is taken.
+
+    How often is decided on ids and sizes alone. A source's taken rows are those up to a place in its order, so each text is held against its source's
+    thresholds where it lies, and no text is shuffled. Only where rows that are equal in id and size stand on both sides of a threshold
+    are rows told one by one, and joined to their texts by where they lie.
+    """
+    docs = as_scan(docs, "mix-docs")
+    names = {c: c if c in ("doc_id", "source", "text") else f"_kept{i}" for i, c in enumerate(docs.columns)}
+    where = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *where)
+    run = stored(mix(rows, weights, share, epochs, seed, keep=["_file", "_row"]).withColumn("_key", _key(F.col("doc_id"), seed)), "mix-times")
+    t = stored(thresholds(run, epochs), "mix-thresholds").withColumnRenamed("source", "_source")
+    within = [F.coalesce(_place(F.col("size")) <= F.col(f"t{k}"), F.lit(False)) for k in range(1, epochs + 1)]
+    wrong = F.lit(False)
+    for k, inside in enumerate(within, 1):
+        wrong = wrong | (inside & (F.col("size") > 0) & (F.col("times") < k))
+    on = F.col("source").eqNullSafe(F.col("_source"))
+    if run.join(t, on).where(wrong).isEmpty():
+        empty = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+        taken = rows.drop("_file", "_row").withColumn("_key", _key(F.col("doc_id"), seed)).join(t, on)
+        own, times = F.struct("_key", F.col("doc_id").cast("long").alias("doc_id")), F.lit(0)
+        for k in range(1, epochs + 1):
+            last = F.struct(F.col(f"t{k}._key").alias("_key"), F.col(f"t{k}.doc_id").alias("doc_id"))
+            # Sizes are counted anew only for rows with the id that a threshold ends with.
+            tied = F.when(own.eqNullSafe(last), word_count(F.col("text")) <= F.col(f"t{k}.size")).otherwise(own < last)
+            times = times + F.coalesce(tied, F.lit(False)).cast("int")
+        taken = taken.withColumn("times", F.when(empty, 1).otherwise(times))
+    else:
+        taken = rows.join(run.where("times > 0").select("_file", "_row", "times"), ["_file", "_row"])
+    copies = taken.where("times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
     return unshielded(copies, names)

@@ -352,7 +352,12 @@ def mix_brute(rows, weights=(3, 1, 2)):
         if run > budget:
             break
         taken[i] += size[i]
-    return sorted(((d, size[i], total[s], target[s], taken[i]) for i, (d, s, _) in enumerate(rows)), key=str)
+    return sorted(((d, size[i], total[s], target[s], taken[i]) for i, (d, s, _) in enumerate(rows)), key=str), [(size[i], taken[i]) for i in range(len(rows))]
+
+
+def mix_taken(rows):
+    """Size and words taken of each row, in the order of ``rows``."""
+    return mix_brute(rows)[1]
 
 
 @pytest.mark.parametrize("n,sources", [(0, 1), (1, 1), (80, 4), (200, 9)])
@@ -361,7 +366,7 @@ def test_mix_against_brute_force(spark, n, sources):
     rows = [(None if i == 3 else i if i % 20 else 5, None if i % 10 == 1 else f"s{min(rng.randrange(sources), rng.randrange(sources))}", None if i % 15 == 2 else "w " * rng.randint(0, 30)) for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     got = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
-    assert sorted([tuple(r) for r in got.collect()], key=str) == mix_brute(rows)
+    assert sorted([tuple(r) for r in got.collect()], key=str) == mix_brute(rows)[0]
 
 
 def test_mixed_documents_repeat_rows(spark):
@@ -373,6 +378,19 @@ def test_mixed_documents_repeat_rows(spark):
     assert Counter(tuple(r) for r in got.collect()) == Counter({r: times[r[0]] for r in rows if times[r[0]]})
 
 
+@pytest.mark.parametrize("ids", [1, 3, 500])
+def test_mixed_documents_against_brute_force(spark, ids):
+    """Ids that many rows have, of equal and of different sizes, null ids, texts and sources: each is in the mix as often as the words that it gives."""
+    rng = random.Random(ids)
+    rows = [(None if i % 31 == 3 else rng.randrange(ids), rng.choice(["a", "a", "b", None]), None if i % 15 == 2 else "w " * rng.randint(0, 4), i) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _row int").repartition(3)
+    got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in mixing.mixed_documents(docs).collect())
+    want = Counter()
+    for (d, s, _, _), (size, taken) in zip(rows, mix_taken([r[:3] for r in rows])):
+        want[d, s, size] += taken // size if size else 1
+    assert got == +want
+
+
 def test_ranked(spark):
     rows = spark.createDataFrame([(x,) for x in (None, "b", "a", "é", "z")], "s string")
     assert [r.s for r in sorted(mixing.ranked(rows, F.col("s").asc_nulls_last()).collect(), key=lambda r: r["rank"])] == ["a", "b", "z", "é", None]
