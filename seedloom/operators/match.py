@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations, product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ PLACE = [*END, "contig", "position", "strand"]
 
 @dataclass(frozen=True)
 class MatchOptions:
-    """Most hits of a key that still counts, most candidates of a read's end, and the share of its keys that may be missed."""
+    """Most hits of a key that still counts, most candidates of a read's end, and the share of its keys that may be missed; with ``mismatches`` a read's key
+    stands for all that differ from it in so many bases or fewer, whose hits count together."""
 
     max_key_matches: int = 8
     max_matches: int = 384
@@ -25,6 +27,32 @@ class MatchOptions:
     strands: str = "+-"
     offsets: tuple[int, ...] | None = None
     space: str = "nt"
+    mismatches: int = 0
+
+
+#: Most keys that one may stand for.
+MOST_NEIGHBOURS = 1 << 16
+
+
+def neighbour_patterns(size: int, mismatches: int) -> list[int]:
+    """What a key of ``size`` bases is combined with (exclusive or) for each key that differs from it in up to ``mismatches`` bases, itself first."""
+    out = [0]
+    for n in range(1, min(mismatches, size) + 1):
+        for places in combinations(range(size), n):
+            for changes in product((1, 2, 3), repeat=n):
+                out.append(sum(c << 2 * p for c, p in zip(changes, places)))
+                if len(out) > MOST_NEIGHBOURS:
+                    raise ValueError(f"over {MOST_NEIGHBOURS} keys to one: allow fewer mismatches")
+    return out
+
+
+def query_keys(reads: DataFrame, mask: Mask, options: MatchOptions) -> DataFrame:
+    """The keys that reads ask for: their own, and those near them. Two of one offset are never equal, since each differs from the read's own otherwise."""
+    keys = read_keys(reads, mask, options.offsets, options.strands, options.space)
+    if not options.mismatches:
+        return keys
+    every = F.lit(neighbour_patterns(mask.size, options.mismatches)).cast("array<bigint>")
+    return keys.withColumn("key", F.explode(F.transform(every, lambda x: F.col("key").bitwiseXOR(x))))
 
 
 def key_hits(keys: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -86,7 +114,7 @@ def match(reads: DataFrame, index: DataFrame, frequency: DataFrame, mask: Mask,
     Of a stored index (``read_index``: its seeds have a ``bin``) only the bins of the reads' keys are read, and no seed is shuffled but those sought. Keys with
     their hits, and candidates, are written between the steps: both are read twice.
     """
-    keys = read_keys(reads, mask, options.offsets, options.strands, options.space)
+    keys = query_keys(reads, mask, options)
     if "bin" not in index.columns:
         return _matched(keys, index, frequency, mask, options)
     keys = stored(keys, "read-keys")
@@ -136,7 +164,7 @@ def sought_seeds(keys: DataFrame, reference: DataFrame, mask: Mask, repeat_maske
 
 def match_reference(reads: DataFrame, reference: DataFrame, mask: Mask, options: MatchOptions = MatchOptions(), repeat_masker: bool = False) -> tuple[DataFrame, DataFrame]:
     """As ``match``, for a reference (contig, seq) without a stored index: only seeds that the reads ask for are kept and counted."""
-    keys = stored(read_keys(reads, mask, options.offsets, options.strands, options.space), "read-keys")
+    keys = stored(query_keys(reads, mask, options), "read-keys")
     index = stored(sought_seeds(keys, reference, mask, repeat_masker, options.space), "sought")
     return _matched(keys, index, key_frequency(index), mask, options)
 

@@ -244,3 +244,9 @@ NUMBER = "list_sum([(strpos('acgt', substr(key, i::BIGINT, 1)) - 1) * (1::HUGEIN
 ORACLES["chunked_seeds"] = f"""WITH {REF}, {seeds(MASK)}, k AS MATERIALIZED (SELECT key, ({NUMBER} % 65521)::BIGINT AS n FROM (SELECT DISTINCT key FROM idx))
 SELECT contig, count(*) AS seeds, sum(pos)::BIGINT AS places, sum(n)::BIGINT AS keys FROM idx JOIN k USING (key) GROUP BY contig"""
 ORACLES["match_files"] = ORACLES["cal_masks"]
+#: Read keys and those that differ from them in a base.
+NEAR = f"""{seeds(MASK)}, {read_keys(MASK, 'own')},
+rk AS MATERIALIZED (SELECT DISTINCT read_id, end_no, len, off, strand, substr(key, 1, (p - 1)::BIGINT) || b || substr(key, (p + 1)::BIGINT) AS key
+   FROM own, range(1, {MASK.count('1')} + 1) AS r(p), (VALUES ('a'), ('c'), ('g'), ('t')) AS v(b))"""
+ORACLES["neighbour_join"] = f"WITH {REF}, {READS}, {matching(keys=NEAR)} SELECT read_id, end_no, contig, position::INT AS position, strand, len(offsets)::INT AS seeds FROM cals"
+ORACLES["kept_found"] = f"WITH {PAIRED}, {UNIQUE} SELECT read_id, end_no, contig, position, strand, score FROM a SEMI JOIN b USING (read_id)"

@@ -210,6 +210,13 @@ def one_strand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cals.select("read_id", "end_no", "contig", "position", "strand", F.size("offsets").alias("seeds"))
 
 
+@query
+def neighbour_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places by keys that differ in a base at most."""
+    cals, _ = matched(spark, sf_dir, mismatches=1)
+    return cals.select("read_id", "end_no", "contig", "position", "strand", F.size("offsets").alias("seeds"))
+
+
 @query
 def stored_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads against an index that is built, written and read again."""
@@ -382,6 +389,13 @@ def mapped_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.mapped_ends(halves(spark, sf_dir), select.chosen(paired(spark, sf_dir), 3))
 
 
+@query
+def kept_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All alignments of reads of which any end has one best place."""
+    every = stored(paired(spark, sf_dir), "pairs")
+    return select.kept_found(halves(spark, sf_dir), every, select.chosen(every, 3)).select("read_id", "end_no", "contig", "position", "strand", "score")
+
+
 @query
 def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.distances(paired(spark, sf_dir))

@@ -100,3 +100,33 @@ def test_an_index_of_nothing(spark, tmp_path):
     index, frequency, mask = read_index(spark, str(tmp_path / "i"))
     cals, ends = m.match(spark.createDataFrame([(1, 1, "acgtacgtacgt")], "read_id long, end_no int, seq string"), index, frequency, mask)
     assert index.count() == 0 and cals.count() == 0 and ends.count() == 1
+
+
+def test_neighbours_find_what_exact_keys_miss(spark, tmp_path):
+    """Against a loop over all windows: a read with a changed base in each of its keys has places by near keys alone."""
+    ref, mask = reference(spark), Mask("11011111")
+    text = {r["contig"]: r["seq"] for r in ref.collect()}
+    read = list(text[3][200:216])
+    for at in (3, 11):
+        read[at] = "acgt"[("acgt".index(read[at]) + 1) % 4]
+    read = "".join(read)
+    build_index(ref, mask, str(tmp_path / "i"))
+    index, frequency, _ = read_index(spark, str(tmp_path / "i"))
+    rows = spark.createDataFrame([(1, 1, read)], "read_id long, end_no int, seq string")
+    of = lambda s: [s[p] for p in mask.places]
+    turn = str.maketrans("acgt", "tgca")
+    for n in (0, 1, 2):
+        options, want = m.MatchOptions(max_key_matches=10_000, max_matches=100_000, mismatches=n), set()
+        for c, s in text.items():
+            for at in range(len(s) - 7):
+                for offset in range(len(read) - 7):
+                    w = read[offset : offset + 8]
+                    for strand, k, place in (("+", w, at + 1 - offset), ("-", w.translate(turn)[::-1], at + 1 + 8 + offset - 16)):
+                        if sum(a != b for a, b in zip(of(k), of(s[at : at + 8]))) <= n:
+                            want.add((c, place, strand))
+        for cals, _ in (m.match(rows, index, frequency, mask, options), m.match_reference(rows, ref, mask, options)):
+            assert {(r["contig"], r["position"], r["strand"]) for r in cals.collect()} == want
+        assert ((3, 201, "+") in want) == (n > 0)
+    assert len(m.neighbour_patterns(5, 2)) == len(set(m.neighbour_patterns(5, 2))) == 1 + 15 + 90
+    with pytest.raises(ValueError):
+        m.neighbour_patterns(31, 4)
