@@ -107,7 +107,7 @@ def test_neighbours_find_what_exact_keys_miss(spark, tmp_path):
     ref, mask = reference(spark), Mask("11011111")
     text = {r["contig"]: r["seq"] for r in ref.collect()}
     read = list(text[3][200:216])
-    for at in (3, 11):
+    for at in (3, 4, 11):
         read[at] = "acgt"[("acgt".index(read[at]) + 1) % 4]
     read = "".join(read)
     build_index(ref, mask, str(tmp_path / "i"))
