@@ -82,8 +82,36 @@ def cleaned_read(read: Column) -> Column:
     return F.upper(F.translate(F.regexp_replace(read, r"\s", ""), ".", "N"))
 
 
+#: Places of a read whose cover is told together, as bits of a number.
+WORD = 32
+
+
 def mask_of(offsets: Column, length: Column, mask: str, strand: Column) -> Column:
-    """Which places of a read its seeds cover, as 0 and 1 in read order; on the reverse strand the mask is turned round."""
+    """Which places of a read its seeds cover, as 0 and 1 in read order; on the reverse strand the mask is turned round.
+
+    The mask is a number, a bit a place, which is shifted to each offset: once for each ``WORD`` places that it may touch. Wider masks than a number go place by place.
+    """
+    if len(mask) > 62:
+        return _mask_by_places(offsets, length, mask, strand)
+    bits = lambda m: F.lit(sum(1 << i for i, c in enumerate(m) if c == "1")).cast("long")
+    own = F.when(strand == "-", bits(mask[::-1])).otherwise(bits(mask))
+    shift = lambda way, c, n: F.call_function(f"shift{way}", c, n)
+    one, every = F.lit(1).cast("long"), F.lit((1 << WORD) - 1).cast("long")
+
+    def word(k: Column) -> Column:
+        def joined(acc: Column, offset: Column) -> Column:
+            by = (offset - k * WORD).cast("int")
+            ahead = shift("left", own.bitwiseAND(shift("left", one, F.lit(WORD) - by) - 1), by)
+            behind = shift("rightunsigned", own, -by).bitwiseAND(every)
+            return acc.bitwiseOR(F.when(by.between(0, WORD - 1), ahead).when(by.between(1 - len(mask), -1), behind).otherwise(F.lit(0).cast("long")))
+
+        return F.reverse(F.lpad(F.bin(F.aggregate(offsets, F.lit(0).cast("long"), joined)), WORD, "0"))
+
+    words = F.transform(F.sequence(F.lit(0), ((length - 1) / WORD).cast("int")), word)
+    return F.when(length > 0, F.substring(F.array_join(words, ""), F.lit(1), length)).otherwise("")
+
+
+def _mask_by_places(offsets: Column, length: Column, mask: str, strand: Column) -> Column:
     forward, backward = F.lit(mask), F.lit(mask[::-1])
     own = F.when(strand == "-", backward).otherwise(forward)
 
@@ -91,7 +119,7 @@ def mask_of(offsets: Column, length: Column, mask: str, strand: Column) -> Colum
         return F.exists(offsets, lambda o: (p >= o) & (p < o + len(mask)) & (F.substring(own, (p - o + 1).cast("int"), F.lit(1)) == "1"))
 
     bits = F.transform(F.sequence(F.lit(0), length - 1), lambda p: F.when(covered(p), "1").otherwise("0"))
-    return F.array_join(bits, "")
+    return F.when(length > 0, F.array_join(bits, "")).otherwise("")
 
 
 def mask_to_bits(mask: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,15 @@ def seed_accuracy(spark: SparkSession, masks: list[str], read_length: int, error
     return table.agg(F.count(F.lit(1)).alias("profiles"), F.array(*sums).alias("s")).select("profiles", F.inline("s"))
 
 
+def profile_accuracy(profiles: DataFrame, masks: Sequence[str]) -> DataFrame:
+    """profiles (profile: 1 where a read is as the reference, else 0) -> masks, profiles, found: those in which some window fits one of the first ``masks`` masks."""
+    sums, any_yet = [], F.lit(False)
+    for k, m in enumerate(masks):
+        any_yet = any_yet | F.col("profile").rlike(m.replace("0", "."))
+        sums.append(F.struct(F.lit(k + 1).alias("masks"), F.count_if(any_yet).alias("found")))
+    return profiles.agg(F.count(F.lit(1)).alias("profiles"), F.array(*sums).alias("s")).select("profiles", F.inline("s"))
+
+
 def better_set(spark: SparkSession, candidates: list[str], size: int, read_length: int, errors: int) -> list[str]:
     """Masks chosen one by one, each the one that finds most reads with those before it; of equals the first."""
     chosen: list[str] = []

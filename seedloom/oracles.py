@@ -5,6 +5,8 @@ from __future__ import annotations
 #: The same parameters as in ``queries``.
 MASK, SECOND_MASK, K = "111101111011101111", "1111111111111111", 8
 ONE_WAY_MASK = "1101011011101"
+#: Masks of rising sets: wide ones, and one that nearly all near places fit.
+ACCURATE = ["1" * 24, "11011011011011011011011011", "1111011110111101111"]
 
 CYCLE = "acgtacgtacgtacgtacgtacgtac"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -250,3 +252,11 @@ rk AS MATERIALIZED (SELECT DISTINCT read_id, end_no, len, off, strand, substr(ke
    FROM own, range(1, {MASK.count('1')} + 1) AS r(p), (VALUES ('a'), ('c'), ('g'), ('t')) AS v(b))"""
 ORACLES["neighbour_join"] = f"WITH {REF}, {READS}, {matching(keys=NEAR)} SELECT read_id, end_no, contig, position::INT AS position, strand, len(offsets)::INT AS seeds FROM cals"
 ORACLES["kept_found"] = f"WITH {PAIRED}, {UNIQUE} SELECT read_id, end_no, contig, position, strand, score FROM a SEMI JOIN b USING (read_id)"
+ORACLES["seed_accuracy"] = f"""WITH {REF}, {READS}, {matching(keys=NEAR)},
+w AS (SELECT r.seq AS rd, CASE WHEN c.strand = '-' THEN {TURN.format('substr(ref.seq, c.position::BIGINT, c.len)')} ELSE substr(ref.seq, c.position::BIGINT, c.len) END AS wd
+      FROM cals c JOIN ref ON c.contig = ref.contig JOIN reads r ON c.read_id = r.read_id AND c.end_no = r.end_no WHERE c.position >= 1 AND c.position + c.len - 1 <= length(ref.seq)),
+f AS MATERIALIZED (SELECT array_to_string([CASE WHEN substr(rd, i::BIGINT, 1) = substr(wd, i::BIGINT, 1) THEN '1' ELSE '0' END FOR i IN range(1, length(rd) + 1)], '') AS profile FROM w)
+""" + " UNION ALL ".join(
+    f"SELECT {k + 1} AS masks, count(*) AS profiles, count(*) FILTER ({' OR '.join(f"regexp_matches(profile, '{x.replace('0', '.')}')" for x in ACCURATE[: k + 1])}) AS found FROM f"
+    for k in range(len(ACCURATE))
+)

@@ -11,7 +11,7 @@ from .functions import bases, sam
 from .operators import align, select, simulate, stats
 from .operators import match as m
 from .operators.seeds import Mask, bin_of, build_index, cut_contigs, in_exons, in_region, key_frequency, key_text, read_index, seeds, write_index
-from .oracles import COLOR_MASK, CYCLE, K, LETTERS, MASK, ONE_WAY_MASK, SECOND_MASK
+from .oracles import ACCURATE, COLOR_MASK, CYCLE, K, LETTERS, MASK, ONE_WAY_MASK, SECOND_MASK
 from .plans.workflow import align_reads, scored_alignments
 from .plans.workflow import paired_alignments as pairs_of
 from .sources import records, sequences
@@ -528,7 +528,11 @@ def sam_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def seed_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.seed_accuracy(spark, ["111111111", "1101011011101", "11100101110011"], 30, 3).select("masks", "profiles", "found")
+    """Of the places of near keys, how many each set of masks would have found."""
+    cals = matched(spark, sf_dir, mismatches=1)[0].join(reads(spark, sf_dir), m.END).withColumnRenamed("seq", "read")
+    found = align.fetched(cals, align.chunks(reference(spark, sf_dir)), offset=0).where(F.length("window") == F.length("read"))
+    same = F.zip_with(F.split("read", ""), F.split("window", ""), lambda a, b: F.when(a == b, "1").otherwise("0"))
+    return simulate.profile_accuracy(found.select(F.array_join(same, "").alias("profile")), ACCURATE).select("masks", "profiles", "found")
 
 
 @query

@@ -122,3 +122,27 @@ def test_seed_variants(spark):
 def test_random_mask():
     m = simulate.random_mask(5, 9, 3)
     assert len(m) == 9 and m.count("1") == 5 and m[0] == m[-1] == "1" and m == simulate.random_mask(5, 9, 3)
+
+
+def test_mask_words_are_places(spark):
+    """Bits by words of 32 places against the account place by place, over borders of words."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for length in (1, 31, 32, 33, 64, 65, 130):
+        for _ in range(6):
+            rows.append((length, sorted(rng.sample(range(length), min(length, rng.randint(0, 6)))), rng.choice("+-")))
+    df = spark.createDataFrame(rows, "length int, offsets array<int>, strand string")
+    for mask in ("1", "1101", "1" + "01" * 20, "1" * 62, "1" + "0" * 60 + "1"):
+        args = (F.col("offsets"), F.col("length"), mask, F.col("strand"))
+        assert df.where(bases.mask_of(*args) != bases._mask_by_places(*args)).count() == 0
+        got = df.select(bases.mask_of(*args).alias("m"), "*").collect()
+        own = {"+": mask, "-": mask[::-1]}
+        assert all(r.m == "".join("1" if any(0 <= p - o < len(mask) and own[r.strand][p - o] == "1" for o in r.offsets) else "0" for p in range(r.length)) for r in got)
+
+
+def test_profiles_that_masks_fit(spark):
+    rows = spark.createDataFrame([("0110",), ("1101",), ("1011",), ("0000",), ("11",)], "profile string")
+    got = {r.masks: (r.profiles, r.found) for r in simulate.profile_accuracy(rows, ["1101", "11"]).collect()}
+    assert got == {1: (5, 1), 2: (5, 4)}
