@@ -260,3 +260,4 @@ f AS MATERIALIZED (SELECT array_to_string([CASE WHEN substr(rd, i::BIGINT, 1) =
     f"SELECT {k + 1} AS masks, count(*) AS profiles, count(*) FILTER ({' OR '.join(f"regexp_matches(profile, '{x.replace('0', '.')}')" for x in ACCURATE[: k + 1])}) AS found FROM f"
     for k in range(len(ACCURATE))
 )
+ORACLES["fasta_seeds"] = ORACLES["chunked_seeds"]

@@ -14,7 +14,7 @@ from .operators.seeds import Mask, bin_of, build_index, cut_contigs, in_exons, i
 from .oracles import ACCURATE, COLOR_MASK, CYCLE, K, LETTERS, MASK, ONE_WAY_MASK, SECOND_MASK
 from .plans.workflow import align_reads, scored_alignments
 from .plans.workflow import paired_alignments as pairs_of
-from .sources import records, sequences
+from .sources import fasta, records, sequences
 from .storage import scratch, stored
 from .streaming import alignment, matching
 
@@ -161,6 +161,17 @@ def chunked_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds(cut, SEED).groupBy("contig").agg(F.count(F.lit(1)).alias("seeds"), F.sum("pos").alias("places"), F.sum(F.col("key") % 65521).alias("keys"))
 
 
+@query
+def fasta_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, of contigs written as FASTA and read in chunks from files that are cut between tasks."""
+    folder = scratch(spark, "fasta")
+    lines = F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")
+    reference(spark, sf_dir).select(F.concat(F.lit(">"), F.col("contig").cast("string"), F.lit("\n"), lines)).write.text(folder)
+    chunks, names = fasta.read_chunks(spark, folder, SEED.width - 1, 1000, split_bytes=1 << 16)
+    found = seeds(chunks, SEED).groupBy("contig").agg(F.count(F.lit(1)).alias("seeds"), F.sum("pos").alias("places"), F.sum(F.col("key") % 65521).alias("keys"))
+    return found.join(names, "contig").select(F.col("name").cast("long").alias("contig"), "seeds", "places", "keys")
+
+
 @query
 def repeat_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("contig"), cased(F.col("html")).alias("seq"))
