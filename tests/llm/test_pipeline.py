@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the driver's ta
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     rel = con.sql(ORACLES[name])
     got = queries.QUERIES[name](spark, str(DATA))
