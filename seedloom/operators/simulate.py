@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -102,9 +103,26 @@ def _changed(windows: DataFrame, mask: str, kind: str) -> DataFrame:
     return each.withColumn("window", F.substring(F.concat(left, F.col("_b"), rest), F.lit(1), F.lit(n))).drop("_p", "_b")
 
 
-def seed_variants(windows: DataFrame, mask: str, mismatches: int = 0, insertions: int = 0, deletions: int = 0) -> DataFrame:
+def gaps(mask: str) -> list[tuple[int, int]]:
+    """Where each run of 0s between a mask's 1s begins, and how long it is."""
+    return [(x.start(), len(x.group())) for x in re.finditer("0+", mask)]
+
+
+def _in_gaps(windows: DataFrame, mask: str, insertions: int, deletions: int) -> list[DataFrame]:
+    """Windows with bases of the read left out in one gap of the mask, or unknown ones added there: what lies behind the gap moves, and no base at a 1 is lost between."""
+    w, n, found = F.col("window"), len(mask), []
+    for at, size in gaps(mask):
+        for k in range(1, min(size, insertions) + 1):
+            found.append(windows.withColumn("window", F.concat(F.substring(w, F.lit(1), F.lit(at)), F.substring(w, F.lit(at + k + 1), F.lit(n - at)))))
+        for k in range(1, min(size, deletions) + 1):
+            found.append(windows.withColumn("window", F.concat(F.substring(w, F.lit(1), F.lit(at)), F.lit("n" * k), F.substring(w, F.lit(at + 1), F.lit(n - at - k)))))
+    return found
+
+
+def seed_variants(windows: DataFrame, mask: str, mismatches: int = 0, insertions: int = 0, deletions: int = 0, gap_insertions: int = 0, gap_deletions: int = 0) -> DataFrame:
     """windows (..., window: bases of a read from a seed's place on, one more for each insertion allowed) -> all that so many changes
-    make of them, once each: up to ``mismatches`` bases changed at the mask's 1s, or up to so many bases of the read left out, or added."""
+    make of them, once each: up to ``mismatches`` bases changed at the mask's 1s, or up to so many bases of the read left out, or added; or, in one
+    gap between the mask's 1s, up to so many left out, or added (``n`` stands for these), and no more than the gap has places."""
     cut = windows.withColumn("window", F.substring("window", 1, len(mask)))
     found = [cut]
     step = cut
@@ -116,6 +134,7 @@ def seed_variants(windows: DataFrame, mask: str, mismatches: int = 0, insertions
         for _ in range(times):
             step = _changed(step, mask, kind).distinct()
             found.append(step.withColumn("window", F.substring("window", 1, len(mask))))
+    found += _in_gaps(windows, mask, gap_insertions, gap_deletions)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -146,3 +146,17 @@ def test_profiles_that_masks_fit(spark):
     rows = spark.createDataFrame([("0110",), ("1101",), ("1011",), ("0000",), ("11",)], "profile string")
     got = {r.masks: (r.profiles, r.found) for r in simulate.profile_accuracy(rows, ["1101", "11"]).collect()}
     assert got == {1: (5, 1), 2: (5, 4)}
+
+
+def test_seed_variants_in_gaps(spark):
+    """Bases left out or added in a gap move what lies behind it; every key that they make is that of the window with that change."""
+    mask, read = "1100101", "acgtacgtac"
+    w = spark.createDataFrame([(1, read)], "read_id long, window string")
+    got = lambda **k: {r.window for r in simulate.seed_variants(w, mask, **k).collect()}
+    assert simulate.gaps(mask) == [(2, 2), (5, 1)]
+    own = read[:7]
+    assert got(gap_insertions=9) == {own, read[:2] + read[3:8], read[:2] + read[4:9], read[:5] + read[6:8]}
+    assert got(gap_insertions=1) == {own, read[:2] + read[3:8], read[:5] + read[6:8]}
+    assert got(gap_deletions=9) == {own, read[:2] + "n" + read[2:6], read[:2] + "nn" + read[2:5], read[:5] + "n" + read[5:6]}
+    short = spark.createDataFrame([(1, read[:8])], "read_id long, window string")  # too short for two bases more
+    assert {r.window for r in simulate.seed_variants(short, mask, gap_insertions=2).collect()} == {own, read[:2] + read[3:8], read[:5] + read[6:8]}
