@@ -414,7 +414,7 @@ def gapped_color_constrained(colors: Sequence[str], windows: Sequence[str], mask
 
 
 #: Cells of the matrices that are filled together, and the most candidates.
-CELLS, TOGETHER = 1 << 20, 64
+CELLS, TOGETHER = 1 << 22, 64
 
 
 def _kernel(members: list[dict], space: str, gaps: bool, constrained: bool, offset: int, s: Scoring) -> list[tuple | None]:
