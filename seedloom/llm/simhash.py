@@ -134,16 +134,14 @@ def near_pairs(fps: np.ndarray, radius: int, order: np.ndarray | None = None) ->
 
 def forest(m: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The least index that each of m nodes reaches over symmetric pairs."""
-    label = np.arange(m)
+    label = np.arange(m)  # of each node the root of its tree
     while len(left):
-        least = label.copy()
-        np.minimum.at(least, left, label[right])
-        least = least[least]
-        if np.array_equal(least, label):
-            break
-        label = least
-        open_ = label[left] != label[right]
-        left, right = (left[open_], right[open_]) if not open_.all() else (left, right)
+        a, b = label[left], label[right]
+        open_ = a != b
+        left, right, a, b = left[open_], right[open_], a[open_], b[open_]
+        np.minimum.at(label, a, b)  # whole trees are hung on the least root beside them, not single nodes
+        while not np.array_equal(label, up := label[label]):
+            label = up
     return label
 
 

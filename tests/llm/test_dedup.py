@@ -101,6 +101,21 @@ def test_bit_sliced_pairs_are_all_pairs(radius):
     assert got == want
 
 
+def test_forest_joins_what_links_join():
+    """Trees that met through a node other than their least fell apart."""
+    links = np.array([(5, 6), (6, 1), (0, 2), (1, 6), (5, 2)])
+    assert simhash.forest(7, *np.concatenate([links, links[:, ::-1]]).T).tolist() == [0, 0, 0, 3, 4, 0, 0]
+    rng = np.random.default_rng(1)
+    for _ in range(500):
+        m = int(rng.integers(2, 14))
+        a, b = rng.integers(0, m, (2, int(rng.integers(1, m + 2))))
+        want = np.arange(m)
+        for _ in range(m):
+            np.minimum.at(want, a, want[b])
+            np.minimum.at(want, b, want[a])
+        assert simhash.forest(m, np.concatenate([a, b]), np.concatenate([b, a])).tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("cell,chunk", [(512, 1024), (4, 3)])
 def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, cell, chunk):
     monkeypatch.setattr(simhash, "CELL", cell)
