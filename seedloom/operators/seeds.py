@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 
-#: Rows of an output batch.
-BATCH = 1 << 18
+#: Windows cut at once.
+BATCH = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -72,22 +72,53 @@ def _table() -> np.ndarray:
 CODES = _table()
 
 
-def color_codes(codes: np.ndarray, before: int = 0) -> np.ndarray:
-    """Codes of the colours of bases, each against the one before it (``before``, A, at the first): 4 where either is no base, 8 more where either is lower case."""
-    last = np.concatenate([[np.uint8(before)], codes[:-1]])
+def color_codes(codes: np.ndarray, before: int = 0, at: np.ndarray | int = 0) -> np.ndarray:
+    """Codes of the colours of bases, each against the one before it (``before``, A, at the first of a contig: places ``at``): 4 where either is no base, 8 more
+    where either is lower case."""
+    last = np.concatenate([codes[:1], codes[:-1]])
+    last[at] = before
     unknown, repeat = (last | codes) & 4, (last | codes) & 8
     return np.where(unknown, 4, (last ^ codes) & 3).astype(np.uint8) | repeat
 
 
+def _runs(places: Sequence[int]) -> list[tuple[int, int, int]]:
+    """``places`` as runs of neighbours: least place, length, and 1 or -1 as they rise or fall."""
+    out, at = [], 0
+    while at < len(places):
+        step = places[at + 1] - places[at] if at + 1 < len(places) and abs(places[at + 1] - places[at]) == 1 else 1
+        end = at + 1
+        while end < len(places) and places[end] - places[end - 1] == step:
+            end += 1
+        out.append((min(places[at], places[end - 1]), end - at, step))
+        at = end
+    return out
+
+
 def _keys(codes: np.ndarray, places: Sequence[int], n: int, repeats: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the windows that start at each of the first n codes, and which of them are valid."""
-    keys, bad = np.zeros(n, np.int64), np.zeros(n, bool)
-    for p in places:
-        c = codes[p : p + n]
-        keys = (keys << 2) | (c & 3)
-        bad |= (c & 4) != 0
-        if repeats:
-            bad |= c >= 8
+    """Keys of the windows that start at each of the first n codes, and which of them are valid. Neighbouring places are joined by halves, in as few bits as hold them."""
+    bases, wrong = codes & 3, (codes & 4) != 0
+    if repeats:
+        wrong |= codes >= 8
+    told: dict[tuple[int, int], np.ndarray] = {(1, 1): bases, (1, -1): bases}
+
+    def joined(length: int, step: int) -> np.ndarray:
+        if (length, step) not in told:
+            low = length // 2
+            high = length - low
+            kind = np.uint8 if length <= 4 else np.uint16 if length <= 8 else np.uint32 if length <= 16 else np.int64
+            first, second, size = joined(high, step), joined(low, step), len(codes) - length + 1
+            first, second = (first[:size], second[high : high + size]) if step > 0 else (first[low : low + size], second[:size])
+            told[length, step] = (first.astype(kind) << (2 * low)) | second
+        return told[length, step]
+
+    keys = np.zeros(n, np.int64)
+    for at, length, step in _runs(places):
+        keys <<= 2 * length
+        keys |= joined(length, step)[at : at + n]
+    bad = np.zeros(n, bool)
+    if wrong.any():
+        for p in places:
+            bad |= wrong[p : p + n]
     return keys, ~bad
 
 
@@ -148,30 +179,64 @@ def seeds(reference: DataFrame, mask: Mask, repeat_masker: bool = False, sought:
     With ``sought`` (a broadcast ``Sought``) only windows of those keys leave the scan. With ``space`` "color", ``seq`` is still bases, and keys are of
     their colours; a colour is a repeat where either of its bases is.
     """
-    width, places, chunked = mask.width, mask.places, "lead" in reference.columns
+    chunked = "lead" in reference.columns
+    cut = _cutter(mask, repeat_masker, sought, space, chunked)
+    return _scanned(reference).mapInArrow(cut, "contig long, pos int, key long")
+
+
+def _scanned(reference: DataFrame) -> DataFrame:
+    columns = ["seq", "start", "lead", "own"] if "lead" in reference.columns else ["seq"]
+    return reference.select(F.col("contig").cast("long").alias("contig"), *columns)
+
+
+def _cutter(mask: Mask, repeat_masker: bool, sought: Broadcast | None, space: str, chunked: bool, turned: bool = False):
+    """Batches of contigs -> batches of seeds, as ``seeds`` tells them. A batch's contigs lie end to end and are cut together, BATCH windows at a time.
+    ``turned``: keys of the windows read from the other strand, by a ``mask`` that is turned round already."""
+    width, places = mask.width, mask.places[::-1] if turned else mask.places
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            starts, leads, owns = (b.column(c).to_pylist() for c in ("start", "lead", "own")) if chunked else ([1] * n, [0] * n, [None] * n)
-            for contig, seq, start, lead, own in zip(b.column("contig").to_pylist(), b.column("seq").cast(pa.large_binary()).to_pylist(), starts, leads, owns):
-                codes = CODES[np.frombuffer(seq or b"", np.uint8)]
+            text = b.column("seq").cast(pa.large_binary()).fill_null(b"")
+            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            if not len(text) or ends[-1] == ends[0]:
+                continue
+            whole = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            starts, stops = ends[:-1] - ends[0], ends[1:] - ends[0]
+            contigs = b.column("contig").to_numpy(zero_copy_only=False)
+            first, last, shift = starts, stops - width + 1, 1 - starts  # windows that may begin, and what makes a place of theirs
+            if chunked:
+                start, lead, own = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "lead", "own"))
+                first = starts + lead
+                last, shift = np.minimum(last, first + own), start - first
+            last = np.maximum(first, last)
+            for at in range(0, len(whole), BATCH):
+                n = min(BATCH, len(whole) - at - width + 1)
+                if n < 1:
+                    break
+                lead = 1 if at and space == "color" else 0
+                codes = CODES[whole[at - lead : at + n + width - 1]]
                 if space == "color":
-                    codes = color_codes(codes)
-                codes = codes[lead:]
-                last = len(codes) - width + 1 if own is None else min(own, len(codes) - width + 1)
-                for at in range(0, last, BATCH):
-                    n = min(BATCH, last - at)
-                    keys, good = _keys(codes[at:], places, n, repeat_masker)
-                    if sought is None:
-                        pos = np.nonzero(good)[0]
-                    else:
-                        pos = sought.value.among(keys)
-                        pos = pos[good[pos]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), contig, np.int64)), pa.array((pos + at + start).astype(np.int32)), pa.array(keys[pos])], names=["contig", "pos", "key"])
-
-    columns = ["seq", "start", "lead", "own"] if chunked else ["seq"]
-    return reference.select(F.col("contig").cast("long").alias("contig"), *columns).mapInArrow(cut, "contig long, pos int, key long")
+                    there = slice(np.searchsorted(starts, at), np.searchsorted(starts, at + len(codes) - lead))
+                    codes = color_codes(codes, at=starts[there] - at + lead)[lead:]
+                if turned:
+                    codes = np.where(codes & 4, codes, codes ^ 3)
+                keys, good = _keys(codes, places, n, repeat_masker)
+                some = slice(np.searchsorted(last, at, "right"), np.searchsorted(first, at + n))
+                low, high = np.clip(first[some] - at, 0, n), np.clip(last[some] - at, 0, n)
+                edge = np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1)
+                good &= np.cumsum(edge[:n]) > 0
+                if sought is None:
+                    pos = np.nonzero(good)[0]
+                else:
+                    pos = sought.value.among(keys)
+                    pos = pos[good[pos]]
+                if not len(pos):
+                    continue
+                each = np.searchsorted(pos, high) - np.searchsorted(pos, low)
+                place = pos + np.repeat(shift[some] + at, each)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(contigs[some], each)), pa.array(place.astype(np.int32)), pa.array(keys[pos])], names=["contig", "pos", "key"])
+
+    return cut
 
 
 #: Code of each byte of a colour read; '.' and anything else is 4.
@@ -251,6 +316,31 @@ def in_exons(index: DataFrame, mask: Mask, exons: DataFrame) -> DataFrame:
     return w.join(e, inside, "left_semi").drop("_bin")
 
 
+def cut_exons(reference: DataFrame, mask: Mask, exons: DataFrame) -> DataFrame:
+    """reference (contig, seq) -> its parts inside ``exons`` (contig, start, end; inclusive), as ``cut_contigs`` leaves chunks: their seeds are the windows that lie
+    wholly inside an exon, each once where exons overlap. So what lies outside is never cut, and no seed meets an exon in a join.
+    """
+    from pyspark.sql import Window
+
+    width = mask.width
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    first = F.greatest(start, F.lit(1).cast("long"))
+    told = F.max("_to").over(Window.partitionBy("contig").orderBy("_from", "_to").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = exons.select(F.col("contig").cast("long").alias("contig"), first.alias("_from"), (end - (width - 1)).alias("_to")).where("_to >= _from")
+    ranges = ranges.withColumn("_from", F.greatest("_from", F.coalesce(told + 1, F.col("_from")))).where("_to >= _from")
+    listed = ranges.groupBy("contig").agg(F.collect_list(F.struct("_from", "_to")).alias("_ranges"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for contig, seq, inside in zip(*(b.column(c).to_pylist() for c in ("contig", "seq", "_ranges"))):
+                seq = seq or ""
+                rows = [(contig, r["_from"], 0, min(r["_to"], len(seq)) - r["_from"] + 1, seq[r["_from"] - 1 : r["_to"] + width - 1]) for r in inside if r["_from"] <= len(seq)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["contig", "start", "lead", "own", "seq"])
+
+    return reference.select(F.col("contig").cast("long").alias("contig"), "seq").join(listed, "contig").mapInArrow(cut, CUT)
+
+
 def checked_exons(exons: DataFrame) -> DataFrame:
     """Rows of ``exons`` that break the order that an exon file must have: inside out, or not after the one before on its contig."""
     from pyspark.sql import Window

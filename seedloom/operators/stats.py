@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .seeds import Mask, cut_contigs, seeds
+from .blocks import counted_keys, counted_strands
+from .seeds import Mask, cut_contigs, key_frequency, seeds
 
 
 def turned_key(key: Column, mask: Mask) -> Column:
@@ -45,7 +46,12 @@ def key_distribution(index: DataFrame, mask: Mask, turned: DataFrame | None = No
         if turned is None:
             raise ValueError("a mask that doesn't read the same backwards needs the other strand's keys")
         return strand_keys(index, turned)
-    n = index.groupBy("key").agg(F.count(F.lit(1)).alias("forward"))
+    return _both(key_frequency(index), mask)
+
+
+def _both(n: DataFrame, mask: Mask) -> DataFrame:
+    """``key_distribution`` from key, n of a mask that reads the same backwards."""
+    n = n.withColumnRenamed("n", "forward")
     other = n.select(turned_key(F.col("key"), mask).alias("key"), F.col("forward").alias("backward"))
     palindrome = F.col("key") == turned_key(F.col("key"), mask)
     both = F.col("forward") + F.when(palindrome, 0).otherwise(F.coalesce("backward", F.lit(0)))
@@ -56,13 +62,34 @@ def key_histogram(index: DataFrame, mask: Mask, turned: DataFrame | None = None)
     """times, keys: how many keys occur so often on both strands together. A key and its reverse complement are one, but for a mask that doesn't read the same
     backwards, which needs ``turned``: there each key of either strand is one."""
     if mask.text != mask.text[::-1]:
-        n = key_distribution(index, mask, turned).select("key", F.col("both").alias("times"))
-    else:
-        least = F.least(F.col("key"), turned_key(F.col("key"), mask))
-        n = index.groupBy(least.alias("key")).agg(F.count(F.lit(1)).alias("times"))
+        return _times(key_distribution(index, mask, turned).select("key", F.col("both").alias("times")))
+    return _folded(key_frequency(index), mask)
+
+
+def _folded(n: DataFrame, mask: Mask) -> DataFrame:
+    least = F.least(F.col("key"), turned_key(F.col("key"), mask))
+    return _times(n.groupBy(least.alias("key")).agg(F.sum("n").alias("times")))
+
+
+def _times(n: DataFrame) -> DataFrame:
     return n.groupBy("times").agg(F.count(F.lit(1)).alias("keys"))
 
 
+def reference_keys(reference: DataFrame, mask: Mask, repeat_masker: bool = False) -> DataFrame:
+    """``key_distribution`` of a reference's seeds, counted in blocks."""
+    if mask.text != mask.text[::-1]:
+        n = counted_strands(reference, mask, repeat_masker)
+        return n.select("key", "forward", (F.col("forward") + F.col("backward")).alias("both"))
+    return _both(stored(counted_keys(reference, mask, repeat_masker), "key-counts"), mask)
+
+
+def reference_histogram(reference: DataFrame, mask: Mask, repeat_masker: bool = False) -> DataFrame:
+    """``key_histogram`` of a reference's seeds, counted in blocks."""
+    if mask.text != mask.text[::-1]:
+        return _times(reference_keys(reference, mask, repeat_masker).select("key", F.col("both").alias("times")))
+    return _folded(counted_keys(reference, mask, repeat_masker), mask)
+
+
 def score_distribution(alignments: DataFrame, start: int = -2000, step: int = 10, end: int = 2000) -> DataFrame:
     """n_cals, bucket, alignments: scores from ``start`` to ``end`` in steps, by how many alignments their end has."""
     n = F.count(F.lit(1)).over(Window.partitionBy("read_id", "end_no"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bases, sam
 from .operators import align, select, simulate, stats
 from .operators import match as m
-from .operators.seeds import Mask, bin_of, build_index, cut_contigs, in_exons, in_region, key_frequency, key_text, read_index, seeds, write_index
+from .operators.blocks import counted_keys
+from .operators.seeds import Mask, bin_of, build_index, cut_contigs, cut_exons, in_region, key_text, read_index, seeds, write_index
 from .oracles import ACCURATE, COLOR_MASK, CYCLE, K, LETTERS, MASK, ONE_WAY_MASK, SECOND_MASK
 from .plans.workflow import align_reads, scored_alignments
 from .plans.workflow import paired_alignments as pairs_of
@@ -47,8 +51,32 @@ def cased(text: Column) -> Column:
     return F.translate(letters(text), LETTERS + LETTERS.upper(), CYCLE + CYCLE.upper())
 
 
+#: Base of each byte of a text, 0 for what is no letter.
+BASES = np.zeros(256, np.uint8)
+BASES[list(LETTERS.encode())] = BASES[list(LETTERS.upper().encode())] = list(CYCLE.encode())
+
+
+def encoded_rows(rows: DataFrame) -> DataFrame:
+    """contig, text -> contig, seq: ``encoded`` texts, many at a time."""
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                text = b.column("text").cast(pa.large_binary())
+                filled = text.fill_null(b"")
+                ends = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
+                made = BASES[np.frombuffer(filled.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+                seq = made[made != 0]
+                before = np.concatenate([[0], np.cumsum(made != 0)])[ends - ends[0]]
+                out = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(before.astype(np.int64).tobytes()), pa.py_buffer(seq.tobytes()))
+                yield pa.RecordBatch.from_arrays([b.column("contig"), pc.if_else(text.is_null(), pa.scalar(None, pa.large_string()), out).cast(pa.string())], names=["contig", "seq"])
+
+    return rows.select("contig", "text").mapInArrow(turned, rows.select("contig").schema.add("seq", "string"))
+
+
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig"), encoded(F.col("text")).alias("seq"))
+    return encoded_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig"), "text"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,11 +175,17 @@ def read_subrange(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.numbered(table(spark, sf_dir, "benchmark").select("item_id"), ["item_id"], 5, 25)
 
 
+def scan(reference: DataFrame, mask: Mask, space: str = "nt") -> DataFrame:
+    """By the first three bases of keys: seeds, distinct keys, first and last place."""
+    prefix = F.shiftright("key", 2 * (mask.size - 3))
+    places = seeds(reference, mask, space=space).groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("seeds"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    keys = counted_keys(reference, mask, space=space).groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("keys"))
+    return places.join(keys, "prefix").select(key_text(F.col("prefix"), 3).alias("prefix"), "seeds", "keys", "first", "last")
+
+
 @query
 def seed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefix = key_text(F.shiftright("key", 2 * (SEED.size - 3)), 3)
-    rows = seeds(reference(spark, sf_dir), SEED).groupBy(prefix.alias("prefix"), "key").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    return rows.groupBy("prefix").agg(F.sum("n").alias("seeds"), F.count(F.lit(1)).alias("keys"), F.min("lo").alias("first"), F.max("hi").alias("last"))
+    return scan(reference(spark, sf_dir), SEED)
 
 
 @query
@@ -188,7 +222,7 @@ def seed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exon_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = reference(spark, sf_dir)
     exons = ref.select("contig", (F.floor(F.length("seq") / 4) + 1).alias("start"), F.floor(F.length("seq") / 2).alias("end"))
-    return in_exons(seeds(ref, SEED), SEED, exons).groupBy("contig").agg(F.count(F.lit(1)).alias("seeds"))
+    return seeds(cut_exons(ref, SEED, exons), SEED).groupBy("contig").agg(F.count(F.lit(1)).alias("seeds"))
 
 
 @query
@@ -199,13 +233,13 @@ def region_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def truncated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = SEED.truncated(9)
-    n = key_frequency(seeds(reference(spark, sf_dir), short))
+    n = counted_keys(reference(spark, sf_dir), short)
     return n.select(key_text(F.col("key"), short.size).alias("key"), F.col("n").alias("seeds"))
 
 
 @query
 def key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return key_frequency(seeds(reference(spark, sf_dir), SEED)).groupBy(F.col("n").alias("times")).agg(F.count(F.lit(1)).alias("keys"))
+    return counted_keys(reference(spark, sf_dir), SEED).groupBy(F.col("n").alias("times")).agg(F.count(F.lit(1)).alias("keys"))
 
 
 @query
@@ -246,9 +280,7 @@ def color_matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 @query
 def color_seed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefix = F.translate(key_text(F.shiftright("key", 2 * (COLOR.size - 3)), 3), "acgt", "0123")
-    rows = seeds(reference(spark, sf_dir), COLOR, space="color").groupBy(prefix.alias("prefix"), "key").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    return rows.groupBy("prefix").agg(F.sum("n").alias("seeds"), F.count(F.lit(1)).alias("keys"), F.min("lo").alias("first"), F.max("hi").alias("last"))
+    return scan(reference(spark, sf_dir), COLOR, "color").withColumn("prefix", F.translate("prefix", "acgt", "0123"))
 
 
 @query
@@ -444,13 +476,13 @@ def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def key_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     six = Mask("111111")
-    return stats.key_distribution(seeds(reference(spark, sf_dir), six), six).select(key_text(F.col("key"), 6).alias("key"), "forward", "both")
+    return stats.reference_keys(reference(spark, sf_dir), six).select(key_text(F.col("key"), 6).alias("key"), "forward", "both")
 
 
 @query
 def key_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     twelve = Mask("1" * 12)
-    return stats.key_histogram(seeds(reference(spark, sf_dir), twelve), twelve)
+    return stats.reference_histogram(reference(spark, sf_dir), twelve)
 
 
 ONE_WAY = Mask(ONE_WAY_MASK)
@@ -459,15 +491,13 @@ ONE_WAY = Mask(ONE_WAY_MASK)
 @query
 def key_distribution_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By a mask that doesn't read the same backwards."""
-    ref = reference(spark, sf_dir)
-    found = stats.key_distribution(seeds(ref, ONE_WAY), ONE_WAY, stats.turned_seeds(ref, ONE_WAY))
+    found = stats.reference_keys(reference(spark, sf_dir), ONE_WAY)
     return found.select(key_text(F.col("key"), ONE_WAY.size).alias("key"), "forward", "both")
 
 
 @query
 def key_histogram_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = reference(spark, sf_dir)
-    return stats.key_histogram(seeds(ref, ONE_WAY), ONE_WAY, stats.turned_seeds(ref, ONE_WAY))
+    return stats.reference_histogram(reference(spark, sf_dir), ONE_WAY)
 
 
 @query
