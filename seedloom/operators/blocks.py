@@ -123,3 +123,41 @@ def counted_rows(rows: DataFrame, mask: Mask) -> DataFrame:
     """key, n of seeds that are rows already."""
     blocks = rows.select("key").mapInArrow(lambda batches: _key_blocks(batches, mask.size, 0), "cell int, side int, block binary")
     return _summed(blocks, mask.size, 1).withColumnRenamed("n_0", "n")
+
+
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """contig, pos, key of ``rows``, dealt to the buckets by key that Spark's ``hash`` tells (as a table in buckets does): a task hands on a block a bucket."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            contig, pos, key, bucket = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("contig", "pos", "key", "bucket"))
+            held.clear()
+            order = np.argsort(key)
+            order = order[np.argsort(bucket[order], kind="stable")]
+            contig, pos, key, bucket = contig[order], pos[order], key[order], bucket[order]
+            at = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0]
+            steps = np.diff(key, prepend=0)
+            steps[at] = key[at]
+            bounds = [*at.tolist(), len(key)]
+            blocks = [packed(steps[a:b], contig[a:b], pos[a:b]) for a, b in zip(bounds, bounds[1:])]
+            for k in range(0, len(at), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at[k : k + 1000]]), pa.array(blocks[k : k + 1000], pa.binary())], names=["bucket", "block"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= HELD:
+                yield from flushed()
+        if held and sum(x.num_rows for x in held):
+            yield from flushed()
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in b.column("block").to_pylist():
+                steps, contig, pos = unpacked(block, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(contig), pa.array(pos.astype(np.int32)), pa.array(np.cumsum(steps))], names=["contig", "pos", "key"])
+
+    told = rows.select("contig", "pos", "key", F.pmod(F.hash(F.col("key").cast("long")), F.lit(buckets)).alias("bucket"))
+    blocks = told.mapInArrow(kept, "bucket int, block binary").repartition(buckets, "bucket")
+    return blocks.select("block").mapInArrow(opened, "contig long, pos int, key long")

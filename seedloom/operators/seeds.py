@@ -366,8 +366,9 @@ def clamped(header: tuple[int, int], start: tuple[int, int], end: tuple[int, int
 
 META = "index_no int, mask string, depth int, hash_width int, space string, start_contig long, start_pos long, end_contig long, end_pos long, buckets int, id string"
 #: Seeds of a bucket on average, the least number of buckets, and how often a key may occur before its seeds lie outside the buckets.
-BUCKET_SEEDS, LEAST_BUCKETS, COMMON = 1 << 24, 8, 1 << 20
+BUCKET_SEEDS, LEAST_BUCKETS, COMMON = 1 << 21, 8, 1 << 20
 OUTSIDE = -1
+SEED_COLUMNS = "contig BIGINT, pos INT, key BIGINT"
 
 
 def _table(spark, path: str, meta, part: str, columns: str) -> DataFrame:
@@ -402,29 +403,36 @@ def write_index(index: DataFrame, mask: Mask, path: str, index_no: int = 1, spac
 
     A number that is there is refused. The layout is written last, so an index whose writing was cut off isn't there, and its number can be written anew.
     """
+    from .blocks import counted_rows, dealt
+
     spark = index.sparkSession
     if index_no in stored_numbers(spark, path):
         raise FileExistsError(f"index {index_no} is at {path}")
-    rows = index.select("contig", "pos", "key").withColumn("bin", bin_of(F.col("key"), mask))
-    n = stored(key_frequency(rows), "index-frequency")
+    rows = index.select(F.col("contig").cast("long").alias("contig"), F.col("pos").cast("int").alias("pos"), "key")
+    n = counted_rows(rows, mask).agg(F.sum("n").alias("total"), F.collect_list(F.when(F.col("n") > common, F.col("key"))).alias("many")).first()
     if buckets is None:
-        total = n.agg(F.sum("n")).first()[0] or 0
-        buckets = max(LEAST_BUCKETS, -(-total // BUCKET_SEEDS))
-    many = n.where(F.col("n") > common).select("key")  # at most one for every ``common`` seeds
-    none = many.isEmpty()
+        buckets = max(LEAST_BUCKETS, -(-(n["total"] or 0) // BUCKET_SEEDS))
+    many = spark.createDataFrame([(k,) for k in n["many"]], "key long")  # at most one for every ``common`` seeds
+    few = rows.join(F.broadcast(many), "key", "left_anti").select(*rows.columns) if n["many"] else rows
 
     def write(part: DataFrame, name: str) -> None:
-        whole = part.repartition(buckets, "key").sortWithinPartitions("bin", "key")
         location, table = f"{path.rstrip('/')}/{name}/index_no={index_no}", f"seedloom_write_{uuid.uuid4().hex}"
-        whole.write.mode("overwrite").partitionBy("bin").bucketBy(buckets, "key").sortBy("key").option("path", location).saveAsTable(table)
+        options = {"path": location, "compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}  # sorted keys lie as differences
+        whole = part.withColumn("bin", bin_of(F.col("key"), mask))
+        whole.write.mode("overwrite").partitionBy("bin").bucketBy(buckets, "key").sortBy("key").options(**options).saveAsTable(table)
         spark.sql(f"DROP TABLE {table}")  # the files stay
 
-    write(rows if none else rows.join(many, "key", "left_anti").select(*rows.columns), "seeds")
-    write(n.select("key", "n", bin_of(F.col("key"), mask).alias("bin")), "frequency")
-    apart = (rows.limit(0) if none else rows.join(many, "key", "left_semi")).select("contig", "pos", "key")
+    write(dealt(few, buckets), "seeds")
+    apart = (rows.join(F.broadcast(many), "key", "left_semi") if n["many"] else rows.limit(0)).select("contig", "pos", "key")
     apart.write.mode("overwrite").parquet(f"{path}/common/index_no={index_no}")
-    row = (index_no, mask.text, mask.depth, mask.hash_width, space, *region[0], *region[1], buckets, uuid.uuid4().hex)
-    spark.createDataFrame([row], META).coalesce(1).write.mode("append").parquet(f"{path}/meta")
+    # A bucket's keys are counted where they lie.
+    row = {"id": uuid.uuid4().hex, "index_no": index_no, "buckets": buckets}
+    found = key_frequency(_table(spark, path, row, "seeds", SEED_COLUMNS))
+    if n["many"]:
+        found = found.unionByName(key_frequency(spark.read.schema("contig long, pos int, key long").parquet(f"{path}/common/index_no={index_no}")).coalesce(1))
+    write(found, "frequency")
+    meta = (index_no, mask.text, mask.depth, mask.hash_width, space, *region[0], *region[1], buckets, row["id"])
+    spark.createDataFrame([meta], META).coalesce(1).write.mode("append").parquet(f"{path}/meta")
 
 
 def build_index(reference: DataFrame, mask: Mask, path: str, index_no: int = 1, space: str = "nt", region: Region = WHOLE, repeat_masker: bool = False, **options) -> None:
@@ -442,7 +450,7 @@ def read_index(spark, path: str, index_no: int = 1) -> tuple[DataFrame, DataFram
     meta = spark.read.schema(META).parquet(f"{path}/meta").where(F.col("index_no") == index_no).first()
     if meta is None:
         raise ValueError(f"no index {index_no} at {path}")
-    kept = _table(spark, path, meta, "seeds", "contig BIGINT, pos INT, key BIGINT")
+    kept = _table(spark, path, meta, "seeds", SEED_COLUMNS)
     frequency = _table(spark, path, meta, "frequency", "key BIGINT, n BIGINT")
     common = spark.read.schema("contig long, pos int, key long").parquet(f"{path}/common/index_no={index_no}")
     return kept.unionByName(common.withColumn("bin", F.lit(OUTSIDE))), frequency, Mask(meta["mask"], meta["depth"], meta["hash_width"])

@@ -75,3 +75,16 @@ def test_encoded_texts_are_those_of_expressions(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "contig long, text string").coalesce(1)
     got = queries.encoded_rows(rows).join(rows, "contig").select("seq", queries.encoded(F.col("text")).alias("want")).collect()
     assert len(got) == len(texts) and all(r["seq"] == r["want"] for r in got)
+
+
+def test_what_is_dealt_to_buckets_are_blocks(spark, monkeypatch):
+    """All seeds, each in the bucket that Spark's own dealing by key gives it, and no row a seed in the shuffle."""
+    monkeypatch.setattr(blocks, "HELD", 300)
+    ref, mask = reference(spark), Mask("1101")
+    rows = seeds.seeds(ref, mask).withColumn("contig", F.col("contig") - 7)
+    got = blocks.dealt(rows, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect())) != []
+    per_key = got.withColumn("part", F.spark_partition_id()).groupBy("key").agg(F.count_distinct("part").alias("n"))
+    assert per_key.where("n > 1").isEmpty()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(bucket") == 1 and "hashpartitioning(key" not in plan
