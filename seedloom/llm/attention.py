@@ -3,7 +3,7 @@
 The model is one layer of causal self-attention whose output is added, through an
 output matrix, to a direct path from the previous subword: a table of its successors, counted over all texts of the whole
 training corpus. The output is a two-level softmax over ``SLOTS`` slots: the commonest subwords, and one slot
-for all others, which share its probability by their counts. The attention parameters are trained in numpy, in shards whose
+for all others, which share its probability by their counts. The attention parameters are trained in numpy on all windows, in shards whose
 number grows with the corpus and whose parameters are averaged after each round; the counts of words, subwords and pairs, and so the choice of slots,
 cover the whole corpus. In training the direct path of each place leaves out the place's own pair, so that what is learned is how far
 counts can be trusted on other texts.
@@ -36,8 +36,8 @@ GONE = SLOTS
 HEADS, KEY, VALUE = 2, 8, 16
 #: The vocabulary of the tokenizer and the id that ends a text.
 VOCABULARY, END = 50257, 50256
-#: Training: a shard for each so many windows of the corpus, windows drawn for a shard, documents read for each of them.
-SHARE, SHARD, SPREAD = 4_000_000, 24_000, 20
+#: Training: windows of a shard.
+SHARD = 24_000
 #: Words whose counts every task holds; longer words than so many bytes go by their digest.
 TOP_WORDS, LONG_WORD = 100_000, 256
 #: Training: rounds, windows a step, rate of Adam, pseudo-counts of the successor table.
@@ -291,7 +291,7 @@ def fresh(slot: np.ndarray, unigrams: np.ndarray, pairs: np.ndarray) -> Model:
 
 
 def targets(rows: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows to train on (see ``sampled_windows``) -> inputs (windows, WINDOW) and targets (windows, STEP): slots or GONE."""
+    """Windows to train on (see ``training_windows``) -> inputs (windows, WINDOW) and targets (windows, STEP): slots or GONE."""
     slots = np.where(rows >= VOCABULARY, GONE, slot[np.minimum(rows, END)]).astype(np.int64)
     x, y = slots[:, :-1], slots[:, 1 + OVERLAP :]
     return x, np.where(x[:, OVERLAP:] == GONE, GONE, y)
@@ -318,17 +318,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def sampled_windows(docs: DataFrame, tokenizer: str, tokens: int) -> DataFrame:
-    """shard, ids: windows from all over ``docs``, drawn by hashes; whole documents are read for them. ids: those of WINDOW inputs and the last target,
-    VOCABULARY where the text hasn't begun or has ended.
+def training_windows(docs: DataFrame, tokenizer: str, tokens: int) -> DataFrame:
+    """part, shard, ids: all windows of ``docs``. ids: those of WINDOW inputs and the last target, VOCABULARY where the text hasn't begun or has ended.
 
-    The number of shards, of about SHARD windows each, grows with the corpus; a corpus of fewer windows gives all.
+    A round takes one part: a corpus of fewer than two SHARDs of windows is one part, which each round reads whole; of a larger one there are up to ROUNDS, so
+    that the rounds together read each window at least once. A part's shards, dealt by hashes, are of about SHARD windows each.
     """
     every = max(1.0, 2.6 * tokens / STEP)  # windows, by the usual subwords a word
-    shards = 1 + int(every // SHARE)
-    doc_rate = min(1.0, SPREAD * SHARD * shards / every)
-    rate = min(1.0, SHARD * shards / (every * doc_rate))
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 20)) < int(doc_rate * (1 << 20))).select("doc_id", "text")
+    parts = min(ROUNDS, max(1, int(every // SHARD)))
+    shards = 1 + int(every / parts // SHARD)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -341,12 +339,12 @@ def sampled_windows(docs: DataFrame, tokenizer: str, tokens: int) -> DataFrame:
                 whole = np.concatenate([np.full(OVERLAP, VOCABULARY), [END], ids, [END], np.full(WINDOW, VOCABULARY)])
                 for k in range(-(-(len(ids) + 1) // STEP)):
                     drawn = xxhash.xxh64_intdigest(f"{doc_id} {k}")
-                    if drawn % (1 << 32) < rate * 2**32:
-                        rows.append(whole[STEP * k : STEP * k + WINDOW + 1].tolist())
-                        own.append((drawn >> 32) % shards)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], names=["shard", "ids"])
+                    rows.append(whole[STEP * k : STEP * k + WINDOW + 1].tolist())
+                    own.append((drawn % (1 << 32) % parts, (drawn >> 32) % shards))
+            part, shard = zip(*own) if own else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(shard, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], names=["part", "shard", "ids"])
 
-    return chosen.mapInArrow(cut, "shard int, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(cut, "part int, shard int, ids array<int>")
 
 
 def subword_counts(vocabulary: DataFrame, tokenizer: str) -> np.ndarray:
@@ -410,9 +408,10 @@ def _gathered(counts: DataFrame, size: int) -> np.ndarray:
 
 
 def trained(model: Model, sample: DataFrame) -> dict[str, np.ndarray]:
-    """The parameters after ROUNDS rounds over ``sample`` (shard, ids). In a round each shard is a task, which goes on from the same state; Spark averages
-    what they come to, and only that average reaches the driver."""
+    """The parameters after ROUNDS rounds over ``sample`` (shard, ids; with ``part``, each round takes the next part). In a round each shard is a task, which
+    goes on from the same state; Spark averages what they come to, and only that average reaches the driver."""
     spark, state, rounds = sample.sparkSession, started(model.p), ROUNDS
+    parts = (sample.agg(F.max("part")).first()[0] or 0) + 1 if "part" in sample.columns else 1
     tables = spark.sparkContext.broadcast(replace(model, p={}))
     for number in range(rounds):
         now = spark.sparkContext.broadcast(state)
@@ -424,9 +423,10 @@ def trained(model: Model, sample: DataFrame) -> dict[str, np.ndarray]:
             values = flattened(after)
             return pa.table({"i": pa.array(np.arange(len(values), dtype=np.int32)), "v": pa.array(values.astype(np.float64))})
 
-        means = sample.groupBy("shard").applyInArrow(one_shard, "i int, v double").groupBy("i").agg(F.avg("v").alias("v")).toArrow()
+        own = sample.where(F.col("part") == number % parts) if "part" in sample.columns else sample
+        means = own.select("shard", "ids").groupBy("shard").applyInArrow(one_shard, "i int, v double").groupBy("i").agg(F.avg("v").alias("v")).toArrow()
         if not means.num_rows:
-            break
+            continue
         values = np.zeros(means.num_rows)
         values[means.column("i").to_numpy()] = means.column("v").to_numpy()
         state = unflattened(values, state)
@@ -446,7 +446,7 @@ def fitted(docs: DataFrame, vocabulary: DataFrame, tokenizer: str, tokens: int)
     best = best[seen[best] > 0]
     slot[best] = np.arange(len(best))
     model = fresh(slot, ids, successor_counts(docs, tokenizer, slot))
-    return replace(model, p=trained(model, stored(sampled_windows(docs, tokenizer, tokens), "lm-windows"))).settled()
+    return replace(model, p=trained(model, stored(training_windows(docs, tokenizer, tokens), "lm-windows"))).settled()
 
 
 def scored(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -554,6 +554,29 @@ def test_lm_slots_and_successors_cover_all_rows(spark, monkeypatch):
     assert np.allclose(model.direct, whole.direct) and np.allclose(model.direct_group, whole.direct_group) and np.allclose(model.rare, whole.rare)
 
 
+def test_lm_trains_on_every_window(spark, monkeypatch):
+    """Of a corpus of many shards, too, each window is a shard's, and the rounds read one part after another."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["the", "cat", "sat", "zyzzyva", "on", "mats"], k=rng.randint(0, 190)))) for i in range(40)] + [(40, None)]
+    tokenizer = tokenizer_path("byte_bpe_50k.json")
+    monkeypatch.setattr(attention, "SHARD", 5)
+    tokens = sum(len((t or "").split()) + 1 for _, t in rows)
+    got = attention.training_windows(spark.createDataFrame(rows, SCHEMA).repartition(3), tokenizer, tokens).collect()
+    coder = subwords.word_ids(tokenizer, lead=True)
+    lengths = [len(coder.of_words((t or "").encode().split())) // 4 + 1 for _, t in rows]
+    assert len(got) == sum(-(-n // attention.STEP) for n in lengths) and {r.part for r in got} == set(range(attention.ROUNDS))
+    m, _ = small_model()
+    monkeypatch.setattr(attention, "ROUNDS", 2)
+    sample = [(k % 2, 0, [int(x) for x in np.random.default_rng(k).integers(0, 40, attention.WINDOW + 1)]) for k in range(6)]
+    found = attention.trained(m, spark.createDataFrame(sample, "part int, shard int, ids array<int>").repartition(2))
+    state = attention.started(m.p)
+    for number in range(2):
+        own = np.array(sorted(ids for part, _, ids in sample if part == number), np.int64)
+        state, _ = attention.one_round(m, state, *attention.targets(own, m.slot), number, 2)
+    for name, value in attention.parameters(state).items():
+        assert np.allclose(found[name], value, atol=1e-5)
+
+
 def small_model(seed=0):
     rng = np.random.default_rng(seed)
     slot = np.full(attention.VOCABULARY, attention.OTHER, np.int16)
