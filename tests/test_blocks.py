@@ -86,5 +86,5 @@ def test_what_is_dealt_to_buckets_are_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect())) != []
     per_key = got.withColumn("part", F.spark_partition_id()).groupBy("key").agg(F.count_distinct("part").alias("n"))
     assert per_key.where("n > 1").isEmpty()
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning(bucket") == 1 and "hashpartitioning(key" not in plan
