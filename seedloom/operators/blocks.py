@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .seeds import Mask, _cutter, _scanned
+from .seeds import LIKELY, Likely, Mask, _cutter, _scanned
 
 #: Seeds that a task sorts at once, and bits that name a cell.
 HELD, CELL_BITS = 1 << 23, 12
@@ -161,3 +162,154 @@ def dealt(rows: DataFrame, buckets: int) -> DataFrame:
     told = rows.select("contig", "pos", "key", F.pmod(F.hash(F.col("key").cast("long")), F.lit(buckets)).alias("bucket"))
     blocks = told.mapInArrow(kept, "bucket int, block binary").repartition(buckets, "bucket")
     return blocks.select("block").mapInArrow(opened, "contig long, pos int, key long")
+
+
+def likely(keys: DataFrame, n: int) -> Likely:
+    """A table of the hashes of ``keys``, of which there are about ``n``: eight bits a key, up to LIKELY bits in all. Each task hands on a block of hashes for each
+    part of the table, and a part is filled by one task."""
+    bits = min(LIKELY, max(CELL_BITS + 3, (8 * n).bit_length()))
+    part = bits - CELL_BITS
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flushed() -> pa.RecordBatch:
+            found = np.unique(np.concatenate(held)).astype(np.int64)
+            held.clear()
+            cells = found >> part
+            at = np.nonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))[0]
+            steps = np.diff(found, prepend=0)
+            steps[at] = found[at] & ((1 << part) - 1)
+            bounds = [*at.tolist(), len(found)]
+            return pa.RecordBatch.from_arrays([pa.array(cells[at].astype(np.int32)), pa.array([packed(steps[a:b]) for a, b in zip(bounds, bounds[1:])], pa.binary())], names=["cell", "block"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(Likely.hashed(b.column("key").to_numpy(), bits))
+            if sum(map(len, held)) >= HELD:
+                yield flushed()
+        if held:
+            yield flushed()
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, there = None, np.zeros(1 << part, bool)
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(there, bitorder="little").tobytes()], pa.binary())], names=["cell", "block"])
+        for b in batches:
+            for cell, block in zip(b.column("cell").to_pylist(), b.column("block").to_pylist()):
+                if cell != now and now is not None:
+                    yield done()
+                    there[:] = False
+                now = cell
+                there[np.cumsum(unpacked(block, 1)[0])] = True
+        if now is not None:
+            yield done()
+
+    kind = "cell int, block binary"
+    rows = keys.select("key").mapInArrow(hashes, kind).repartition("cell").sortWithinPartitions("cell").mapInArrow(filled, kind).toArrow()
+    table = np.zeros((1 << CELL_BITS, 1 << part - 3), np.uint8)
+    for cell, block in zip(rows.column("cell").to_pylist(), rows.column("block").to_pylist()):
+        table[cell] = np.frombuffer(block, np.uint8)
+    return Likely(table.reshape(-1), bits)
+
+
+def _sorted_by_key(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The order of keys, turned, and in it: the distinct ones as steps within their cell, how often each occurs, the cells, and where each cell's keys begin."""
+    key = _turned(key, size)
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+    n, key = np.diff(starts, append=len(key)), key[starts]
+    cells = key >> max(2 * size - CELL_BITS, 0)
+    at = np.nonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))[0]
+    steps = np.diff(key, prepend=0)
+    steps[at] = key[at]
+    return order, steps, n, cells[at].astype(np.int32), [*at.tolist(), len(key)]
+
+
+def _row_blocks(batches: Iterator[pa.RecordBatch], size: int, side: int, columns: list[str], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of whole numbers with ``key`` -> cell, side, block, rows: distinct keys and how often each occurs, and ``columns`` in the order of the keys; with
+    ``most``, without the rows of keys that occur oftener."""
+    held: list[list[np.ndarray]] = []
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        key, *own = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order, steps, n, cells, bounds = _sorted_by_key(key, size)
+        rows = n if most is None else np.where(n <= most, n, 0)
+        order = order[np.repeat(rows > 0, n)]
+        upto = np.concatenate([[0], np.cumsum(rows)])[bounds].tolist()
+        own = [c[order] for c in own]
+        for k in range(0, len(cells), 1000):
+            some = list(zip(bounds[k : k + 1001], bounds[k + 1 : k + 1001]))
+            blocks = [packed(steps[a:b], n[a:b]) for a, b in some]
+            places = [packed(*(c[a:b] for c in own)) for a, b in zip(upto[k : k + 1000], upto[k + 1 : k + 1001])]
+            yield pa.RecordBatch.from_arrays([pa.array(cells[k : k + 1000]), pa.array(np.full(len(some), side, np.int32)), pa.array(blocks, pa.binary()), pa.array(places, pa.binary())], names=["cell", "side", "block", "rows"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append([b.column(c).to_numpy() for c in ("key", *columns)])
+        if sum(len(x[0]) for x in held) >= HELD // 2:
+            yield from flushed()
+    if held:
+        yield from flushed()
+
+
+def met(reference: DataFrame, keys: DataFrame, mask: Mask, carried: list[str], most: int, repeat_masker: bool = False, space: str = "nt", sought=None) -> DataFrame:
+    """keys (key, and the whole numbers ``carried``) with the seeds of ``reference``: each row of ``keys`` whose key occurs, with ``n``, how often, and where
+    (arrays ``contigs`` and ``places``; null if oftener than ``most``).
+
+    Seeds and keys meet in their cell, as blocks; a task doesn't hand on the places of a key that it alone holds oftener than ``most``. ``sought`` (see ``seeds``) may let
+    through seeds whose key isn't among ``keys``: they are settled here.
+    """
+    size, cut = mask.size, _cutter(mask, repeat_masker, sought, space, "lead" in reference.columns)
+    kind = "cell int, side int, block binary, rows binary"
+    seeds_ = _scanned(reference).mapInArrow(lambda batches: _row_blocks(cut(batches), size, 0, ["contig", "pos"], most), kind)
+    asked = keys.select("key", *carried).mapInArrow(lambda batches: _row_blocks(batches, size, 1, carried), kind)
+
+    def joined(cell: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        sides: tuple[list, list] = ([], [])
+        for side, block, rows in cell:
+            steps, n = unpacked(block, 2)
+            sides[side].append((np.cumsum(steps), n, *unpacked(rows, 2 if side == 0 else len(carried))))
+        if not all(sides):
+            return
+        (key, n, contig, pos), (wanted, times, *own) = ([np.concatenate(x) for x in zip(*s)] for s in sides)
+        distinct, which = np.unique(wanted, return_inverse=True)
+        at = np.minimum(np.searchsorted(distinct, key), len(distinct) - 1)
+        there = distinct[at] == key
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, at[there], n[there])
+        # Places of the keys that are wanted and seldom enough, by key.
+        rows = np.where(n <= most, n, 0)
+        few = there & (total[at] <= most)
+        kept, of = np.repeat(few, rows), np.repeat(at, rows)
+        order = np.argsort(of[kept], kind="stable")
+        contig, pos = contig[kept][order], pos[kept][order].astype(np.int32)
+        each = np.where(total <= most, total, 0)
+        first, which = np.cumsum(each) - each, np.repeat(which, times)
+        every = np.nonzero(total[which] > 0)[0]
+        for k in range(0, len(every), 1 << 14):
+            some = every[k : k + (1 << 14)]
+            own_key = which[some]
+            length = each[own_key]
+            ends = np.cumsum(length)
+            picked = np.repeat(first[own_key] - ends + length, length) + np.arange(ends[-1])
+            bounds = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(c[picked])) for c in (contig, pos)]
+            lists = [pc.if_else(pa.array(length > 0), x, pa.scalar(None, x.type)) for x in lists]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in own), pa.array(total[own_key]), *lists], names=[*carried, "n", "contigs", "places"])
+
+    def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting = None, []
+        for b in batches:
+            for cell, side, block, rows in zip(*(b.column(c).to_pylist() for c in ("cell", "side", "block", "rows"))):
+                if cell != now and waiting:
+                    yield from joined(waiting)
+                    waiting = []
+                now = cell
+                waiting.append((side, block, rows))
+        if waiting:
+            yield from joined(waiting)
+
+    schema = ", ".join([*[f"{c} long" for c in carried], "n long", "contigs array<long>", "places array<int>"])
+    return seeds_.unionByName(asked).repartition("cell").sortWithinPartitions("cell").mapInArrow(by_cell, schema)

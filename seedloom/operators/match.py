@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import combinations, product
 
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import mask_of, within
 from ..storage import stored
+from .blocks import likely, met
 from .seeds import OUTSIDE, Mask, Sought, bin_of, key_frequency, read_keys, seeds
 
 END = ["read_id", "end_no"]
@@ -71,9 +73,12 @@ def end_flags(hits: DataFrame, options: MatchOptions) -> DataFrame:
     summed = keys.groupBy(*END).agg(
         F.count_if(missed).alias("missed"), F.count(F.lit(1)).alias("keys"), F.coalesce(F.max((~missed & (F.col("hits") > options.max_matches)).cast("int")), F.lit(0)).alias("over")
     )
-    share = F.col("missed") / F.col("keys")
-    flag = F.when((F.col("over") == 1) | (share > options.key_miss_fraction), -1).otherwise((F.lit(255) * share).cast("int"))
-    return summed.select(*END, "missed", "keys", flag.alias("max_reached"))
+    return summed.select(*END, "missed", "keys", _flag(F.col("missed"), F.col("keys"), F.col("over"), options).alias("max_reached"))
+
+
+def _flag(missed: Column, keys: Column, over: Column, options: MatchOptions) -> Column:
+    share = missed / keys
+    return F.when((over == 1) | (share > options.key_miss_fraction), -1).otherwise((F.lit(255) * share).cast("int"))
 
 
 def placed(hits: DataFrame, index: DataFrame, mask: Mask, options: MatchOptions) -> DataFrame:
@@ -85,13 +90,13 @@ def placed(hits: DataFrame, index: DataFrame, mask: Mask, options: MatchOptions)
     return _places(few.join(index.select("key", "contig", "pos"), "key"), mask, options)
 
 
-def _places(joined: DataFrame, mask: Mask, options: MatchOptions) -> DataFrame:
+def _places(joined: DataFrame, mask: Mask, options: MatchOptions, *more: str) -> DataFrame:
     # A colour lies between two bases: forward, the read begins a base before its first usable colour; backward, it ends one before the window's first.
     color = options.space == "color"
     forward = F.col("pos") - F.col("offset") - (1 if color else 0)
     backward = F.col("pos") + (mask.width + F.col("offset")) - F.col("length")
     position = F.when(F.col("strand") == "+", forward).otherwise(backward)
-    return joined.select(*END, "length", "offset", "strand", "contig", position.alias("position"))
+    return joined.select(*END, "length", "offset", "strand", "contig", position.alias("position"), *more)
 
 
 def united(rows: DataFrame) -> DataFrame:
@@ -152,21 +157,49 @@ MOST_SOUGHT = 1 << 20
 def sought_seeds(keys: DataFrame, reference: DataFrame, mask: Mask, repeat_masker: bool = False, space: str = "nt") -> DataFrame:
     """The seeds of ``reference`` whose key is among ``keys``: the reference is scanned once, and other seeds don't leave the scan.
 
-    Up to MOST_SOUGHT distinct keys are counted and sent to every task; if there are more, seeds and keys meet in a join.
+    Up to MOST_SOUGHT distinct keys are counted and sent to every task; if there are more, a table of their hashes is, and what it lets through meets the keys in a join.
     """
-    distinct = keys.select("key").distinct()
-    few = distinct.limit(MOST_SOUGHT + 1).toArrow()
-    if few.num_rows <= MOST_SOUGHT:
-        shared = reference.sparkSession.sparkContext.broadcast(Sought(few.column("key").to_numpy()))
-        return seeds(reference, mask, repeat_masker, shared, space)
-    return seeds(reference, mask, repeat_masker, None, space).join(distinct, "key", "left_semi").select("contig", "pos", "key")
+    shared = _shared(keys, reference)
+    found = seeds(reference, mask, repeat_masker, shared, space)
+    if isinstance(shared.value, Sought):
+        return found
+    return found.join(keys.select("key").distinct(), "key", "left_semi").select("contig", "pos", "key")
+
+
+def _shared(keys: DataFrame, reference: DataFrame) -> Broadcast:
+    """The distinct keys for every task (``Sought``), if they are at most MOST_SOUGHT, else a table of their hashes (``Likely``)."""
+    few = keys.select("key").distinct().limit(MOST_SOUGHT + 1).toArrow()
+    known = Sought(few.column("key").to_numpy()) if few.num_rows <= MOST_SOUGHT else likely(keys, keys.count())
+    return reference.sparkSession.sparkContext.broadcast(known)
 
 
 def match_reference(reads: DataFrame, reference: DataFrame, mask: Mask, options: MatchOptions = MatchOptions(), repeat_masker: bool = False) -> tuple[DataFrame, DataFrame]:
-    """As ``match``, for a reference (contig, seq) without a stored index: only seeds that the reads ask for are kept and counted."""
+    """As ``match``, for a reference (contig, seq) without a stored index: only seeds that the reads ask for are kept and counted.
+
+    If the reads have over MOST_SOUGHT distinct keys, these and the seeds meet in blocks (``blocks.met``), and what is found is dealt once, by end.
+    """
     keys = stored(query_keys(reads, mask, options), "read-keys")
-    index = stored(sought_seeds(keys, reference, mask, repeat_masker, options.space), "sought")
-    return _matched(keys, index, key_frequency(index), mask, options)
+    shared = _shared(keys, reference)
+    if isinstance(shared.value, Sought):
+        index = stored(seeds(reference, mask, repeat_masker, shared, options.space), "sought")
+        return _matched(keys, index, key_frequency(index), mask, options)
+    asked = keys.withColumn("strand", (F.col("strand") == "-").cast("int"))
+    found = met(reference, asked, mask, [*END, "length", "offset", "strand"], options.max_key_matches, repeat_masker, options.space, shared)
+    hits = found.select("read_id", *[F.col(c).cast("int").alias(c) for c in ("end_no", "length", "offset", "strand")], "n", "contigs", "places")
+    hits = hits.repartition(*END).withColumn("hits", F.sum("n").over(Window.partitionBy(*END, "offset")))
+    missed = F.col("hits") > options.max_key_matches
+    # An end's missed offsets are a row with no place.
+    placed_ = hits.withColumn("_at", F.when(~missed, F.arrays_zip("contigs", "places"))).select("*", F.explode_outer("_at").alias("_seed"))
+    placed_ = placed_.withColumn("contig", F.col("_seed.contigs")).withColumn("pos", F.col("_seed.places")).withColumn("strand", F.when(F.col("strand") == 1, "-").otherwise("+"))
+    placed_ = _places(placed_, mask, options, "hits").withColumn("strand", F.when(F.col("contig").isNotNull(), F.col("strand")))
+    over = F.max(F.coalesce(F.col("contig").isNotNull() & (F.col("hits") > options.max_matches), F.lit(False)).cast("int")).alias("over")
+    rows = placed_.groupBy(*PLACE).agg(F.max("length").alias("length"), F.sort_array(F.collect_set("offset")).alias("offsets"), over)
+    rows = stored(rows, "candidates")
+    no_place = F.col("contig").isNull()
+    states = rows.groupBy(*END).agg(F.max(F.when(no_place, F.size("offsets")).otherwise(0)).alias("missed"), F.max("over").alias("over"))
+    asked_for = keys.groupBy(*END).agg(F.size(F.collect_set("offset")).alias("keys")).join(states, END, "left")
+    flags = asked_for.select(*END, _flag(F.coalesce("missed", F.lit(0)), F.col("keys"), F.coalesce("over", F.lit(0)), options).alias("max_reached"))
+    return capped(rows.where(~no_place).drop("over"), flags, options.max_matches)
 
 
 def with_mask(cals: DataFrame, mask: Mask, space: str = "nt") -> DataFrame:

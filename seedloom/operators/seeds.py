@@ -146,6 +146,27 @@ class Sought:
         return at[self.keys[found] == keys[at]]
 
 
+#: Most bits of a table that tells keys that can't be sought: bounded, as every task holds it (32 MB).
+LIKELY = 28
+
+
+class Likely:
+    """Bits of the hashes of a set of keys: what isn't among them isn't sought, the rest may be."""
+
+    def __init__(self, table: np.ndarray, bits: int):
+        self.table, self.bits = table, bits
+
+    @staticmethod
+    def hashed(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        """Places of ``keys`` whose key may be sought."""
+        h = self.hashed(keys, self.bits)
+        byte = self.table[(h >> np.uint64(3)).astype(np.int64)]
+        return np.nonzero((byte >> (h & np.uint64(7)).astype(np.uint8)) & 1)[0]
+
+
 #: Bases of a chunk of a contig that is cut between tasks.
 CHUNK = 1 << 20
 CUT = "contig long, start long, lead int, own int, seq string"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seedloom import queries
-from seedloom.operators import blocks, seeds, stats
+from seedloom.operators import blocks, match, seeds, stats
 from seedloom.operators.seeds import Mask
 
 
@@ -88,3 +88,37 @@ def test_what_is_dealt_to_buckets_are_blocks(spark, monkeypatch):
     assert per_key.where("n > 1").isEmpty()
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning(bucket") == 1 and "hashpartitioning(key" not in plan
+
+
+OPTIONS = [dict(max_key_matches=3), dict(max_key_matches=1, key_miss_fraction=0.2), dict(max_key_matches=40, max_matches=5), dict(max_key_matches=40, max_matches=60, strands="-"), dict(max_key_matches=6, space="color"), dict(max_key_matches=9, mismatches=1, offsets=(0, 2))]
+
+
+@pytest.mark.parametrize("options", OPTIONS, ids=str)
+def test_many_keys_meet_the_reference_in_blocks(spark, monkeypatch, options):
+    """Reads of many keys find what reads of few do, and the state of their ends is the same, though neither seeds nor keys are shuffled as rows."""
+    rng = random.Random(9)
+    text = ["".join(rng.choices("acgtN", [9, 3, 3, 3, 1], k=200)) for _ in range(6)]
+    ref = spark.createDataFrame(list(enumerate([*text, text[0][50:120], None, "ac"], -2)), "contig long, seq string").repartition(3)
+    turned = str.maketrans("acgt", "tgca")
+    rows = [(i - 3, 1 + i % 2, s) for i, s in enumerate([text[0][20:60], text[3][100:131].translate(turned)[::-1], "a" * 12, "acg", None, *["".join(rng.choices("acgt", k=30)) for _ in range(9)]])]
+    if options.get("space") == "color":
+        rows = [(i, e, s and "T" + s.translate(str.maketrans("acgtN", "0123."))) for i, e, s in rows]
+    reads, mask = spark.createDataFrame(rows, "read_id long, end_no int, seq string").repartition(2), Mask("11011")
+    options, found = match.MatchOptions(**options), {}
+    monkeypatch.setattr(blocks, "HELD", 60)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(match, "MOST_SOUGHT", most)
+        cals, ends = match.match_reference(reads, ref, mask, options)
+        found[most] = cals.schema.simpleString(), sorted(map(str, cals.collect())), sorted(map(str, ends.select("read_id", "end_no", "max_reached", "cals").collect()))
+    assert found[0] == found[1 << 20] and len(found[0][2]) > 8
+    keys = match.query_keys(reads, mask, options).withColumn("strand", F.lit(0))
+    plan = blocks.met(ref, keys, mask, ["read_id", "offset"], 3, space=options.space)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == plan.count("hashpartitioning(cell") == 1
+
+
+def test_likely_keys_hold_all_that_are_sought(spark):
+    keys = [0, 5, 4**31 - 1, *range(1000, 90_000, 7)]
+    table = blocks.likely(spark.createDataFrame([(k,) for k in keys], "key long").repartition(3), len(keys))
+    every = np.concatenate([np.array(keys), np.arange(10**12, 10**12 + 100_000)])
+    at = table.among(every)
+    assert set(range(len(keys))) <= set(at.tolist()) and len(at) < len(keys) + 30_000
