@@ -74,3 +74,23 @@ def test_chunks_of_files_are_whole_contigs(spark, tmp_path):
         for space in ("nt", "color"):
             assert sorted(map(tuple, seeds(chunks, mask, space=space).select("contig", "pos", "key").collect())) == whole[space]
     assert sequences.read_fasta(spark, str(tmp_path)).count() == len(want)
+
+
+def test_small_ranges_share_a_task(spark, tmp_path):
+    """Ranges of a few bytes are read by a few tasks, in order, and no chunk is shuffled to tell its place."""
+    rng = random.Random(5)
+    for k in range(3):
+        (tmp_path / f"{k}.fa").write_text(made(rng, 20) + ">long\n" + "acgtacg\n" * 40)
+    reader = fasta.FastaReader({"path": str(tmp_path), "splitbytes": "16", "tasks": "4", "after": "2"})
+    parts, one = reader.partitions(), fasta.FastaReader({"path": str(tmp_path), "splitbytes": "16", "after": "2"}).partitions()
+    assert len(parts) <= 6 < len(one) and [r for p in parts for r in p.own] == [p.own[0] for p in one]
+    rows = lambda every: [r for p in every for b in reader.read(p) for r in b.to_pylist()]
+    assert rows(parts) == rows(one)
+    chunks, names = fasta.read_chunks(spark, str(tmp_path), 2, 6, split_bytes=16)
+    assert chunks.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert all("seq" not in line for line in plan.split("BroadcastExchange")[1].split("\n") if "Exchange hashpartitioning" in line) and "hashpartitioning" not in plan.split("BroadcastExchange")[0]
+    places = sorted((r["contig"], r["start"], r["own"]) for r in chunks.collect())
+    for before, now in zip(places, places[1:]):
+        assert now[1] == (1 if now[0] > before[0] else before[1] + before[2])
+    assert names.where("name = 'long'").agg({"length": "min"}).first()[0] == 280
