@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .seeds import LIKELY, Likely, Mask, _cutter, _scanned
+from .seeds import LIKELY, Likely, Mask, Texts, _cutter, _scanned, _table_of
 
 #: Seeds that a task sorts at once, and bits that name a cell.
 HELD, CELL_BITS = 1 << 23, 12
@@ -102,21 +102,21 @@ def _summed(blocks: DataFrame, size: int, sides: int) -> DataFrame:
     return blocks.repartition("cell").sortWithinPartitions("cell").mapInArrow(by_cell, schema)
 
 
-def _scan(reference: DataFrame, mask: Mask, cut: Callable, side: int) -> DataFrame:
+def _scan(reference: DataFrame | Texts, mask: Mask, cut: Callable, side: int) -> DataFrame:
     return _scanned(reference).mapInArrow(lambda batches: _key_blocks(cut(batches), mask.size, side), "cell int, side int, block binary")
 
 
-def counted_keys(reference: DataFrame, mask: Mask, repeat_masker: bool = False, space: str = "nt") -> DataFrame:
+def counted_keys(reference: DataFrame | Texts, mask: Mask, repeat_masker: bool = False, space: str = "nt") -> DataFrame:
     """key, n of all seeds of ``reference``: what ``key_frequency`` tells of them, without a row for a seed."""
-    cut = _cutter(mask, repeat_masker, None, space, "lead" in reference.columns)
+    cut = _cutter(mask, repeat_masker, None, space, "lead" in reference.columns, table=_table_of(reference))
     return _summed(_scan(reference, mask, cut, 0), mask.size, 1).withColumnRenamed("n_0", "n")
 
 
-def counted_strands(reference: DataFrame, mask: Mask, repeat_masker: bool = False) -> DataFrame:
+def counted_strands(reference: DataFrame | Texts, mask: Mask, repeat_masker: bool = False) -> DataFrame:
     """key, forward, backward: how often each key occurs in ``reference``, and on its other strand (see ``stats.turned_seeds``)."""
-    chunked = "lead" in reference.columns
-    forward = _scan(reference, mask, _cutter(mask, repeat_masker, None, "nt", chunked), 0)
-    backward = _scan(reference, mask, _cutter(Mask(mask.text[::-1]), repeat_masker, None, "nt", chunked, True), 1)
+    chunked, table = "lead" in reference.columns, _table_of(reference)
+    forward = _scan(reference, mask, _cutter(mask, repeat_masker, None, "nt", chunked, table=table), 0)
+    backward = _scan(reference, mask, _cutter(Mask(mask.text[::-1]), repeat_masker, None, "nt", chunked, True, table), 1)
     return _summed(forward.unionByName(backward), mask.size, 2).toDF("key", "forward", "backward")
 
 
@@ -254,14 +254,14 @@ def _row_blocks(batches: Iterator[pa.RecordBatch], size: int, side: int, columns
         yield from flushed()
 
 
-def met(reference: DataFrame, keys: DataFrame, mask: Mask, carried: list[str], most: int, repeat_masker: bool = False, space: str = "nt", sought=None) -> DataFrame:
+def met(reference: DataFrame | Texts, keys: DataFrame, mask: Mask, carried: list[str], most: int, repeat_masker: bool = False, space: str = "nt", sought=None) -> DataFrame:
     """keys (key, and the whole numbers ``carried``) with the seeds of ``reference``: each row of ``keys`` whose key occurs, with ``n``, how often, and where
     (arrays ``contigs`` and ``places``; null if oftener than ``most``).
 
     Seeds and keys meet in their cell, as blocks; a task doesn't hand on the places of a key that it alone holds oftener than ``most``. ``sought`` (see ``seeds``) may let
     through seeds whose key isn't among ``keys``: they are settled here.
     """
-    size, cut = mask.size, _cutter(mask, repeat_masker, sought, space, "lead" in reference.columns)
+    size, cut = mask.size, _cutter(mask, repeat_masker, sought, space, "lead" in reference.columns, table=_table_of(reference))
     kind = "cell int, side int, block binary, rows binary"
     seeds_ = _scanned(reference).mapInArrow(lambda batches: _row_blocks(cut(batches), size, 0, ["contig", "pos"], most), kind)
     asked = keys.select("key", *carried).mapInArrow(lambda batches: _row_blocks(batches, size, 1, carried), kind)

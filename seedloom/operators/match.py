@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import mask_of, within
 from ..storage import stored
 from .blocks import likely, met
-from .seeds import OUTSIDE, Mask, Sought, bin_of, key_frequency, read_keys, seeds
+from .seeds import OUTSIDE, Mask, Sought, Texts, bin_of, key_frequency, read_keys, seeds
 
 END = ["read_id", "end_no"]
 PLACE = [*END, "contig", "position", "strand"]
@@ -154,7 +154,7 @@ def _found(hits: DataFrame, index: DataFrame, mask: Mask, options: MatchOptions)
 MOST_SOUGHT = 1 << 20
 
 
-def sought_seeds(keys: DataFrame, reference: DataFrame, mask: Mask, repeat_masker: bool = False, space: str = "nt") -> DataFrame:
+def sought_seeds(keys: DataFrame, reference: DataFrame | Texts, mask: Mask, repeat_masker: bool = False, space: str = "nt") -> DataFrame:
     """The seeds of ``reference`` whose key is among ``keys``: the reference is scanned once, and other seeds don't leave the scan.
 
     Up to MOST_SOUGHT distinct keys are counted and sent to every task; if there are more, a table of their hashes is, and what it lets through meets the keys in a join.
@@ -166,14 +166,14 @@ def sought_seeds(keys: DataFrame, reference: DataFrame, mask: Mask, repeat_maske
     return found.join(keys.select("key").distinct(), "key", "left_semi").select("contig", "pos", "key")
 
 
-def _shared(keys: DataFrame, reference: DataFrame) -> Broadcast:
+def _shared(keys: DataFrame, reference: DataFrame | Texts) -> Broadcast:
     """The distinct keys for every task (``Sought``), if they are at most MOST_SOUGHT, else a table of their hashes (``Likely``)."""
     few = keys.select("key").distinct().limit(MOST_SOUGHT + 1).toArrow()
     known = Sought(few.column("key").to_numpy()) if few.num_rows <= MOST_SOUGHT else likely(keys, keys.count())
     return reference.sparkSession.sparkContext.broadcast(known)
 
 
-def match_reference(reads: DataFrame, reference: DataFrame, mask: Mask, options: MatchOptions = MatchOptions(), repeat_masker: bool = False) -> tuple[DataFrame, DataFrame]:
+def match_reference(reads: DataFrame, reference: DataFrame | Texts, mask: Mask, options: MatchOptions = MatchOptions(), repeat_masker: bool = False) -> tuple[DataFrame, DataFrame]:
     """As ``match``, for a reference (contig, seq) without a stored index: only seeds that the reads ask for are kept and counted.
 
     If the reads have over MOST_SOUGHT distinct keys, these and the seeds meet in blocks (``blocks.met``), and what is found is dealt once, by end.

@@ -193,7 +193,30 @@ def cut_contigs(reference: DataFrame, after: int, size: int = CHUNK, before: int
     return whole.repartition("contig", "start")
 
 
-def seeds(reference: DataFrame, mask: Mask, repeat_masker: bool = False, sought: Broadcast | None = None, space: str = "nt") -> DataFrame:
+@dataclass(frozen=True)
+class Texts:
+    """Contigs as texts (``rows``: contig, text) that the scan itself turns into bases, so that these don't go out of a task and in again. ``table``: the base of each
+    byte, 0 for what is left out."""
+
+    rows: DataFrame
+    table: np.ndarray
+    columns = ("contig", "text")
+
+    @property
+    def sparkSession(self):  # noqa: N802
+        return self.rows.sparkSession
+
+
+def turned_texts(text: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bases of texts end to end, and where each text's begin and end. A null text has none."""
+    filled = text.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    made = table[np.frombuffer(filled.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    kept = made != 0
+    return made[kept], np.concatenate([[0], np.cumsum(kept)])[ends - ends[0]]
+
+
+def seeds(reference: DataFrame | Texts, mask: Mask, repeat_masker: bool = False, sought: Broadcast | None = None, space: str = "nt") -> DataFrame:
     """reference (contig long, seq) -> contig, pos (from 1), key: each window whose key has no N (nor, with ``repeat_masker``, a lower-case base).
 
     ``reference`` may be cut by ``cut_contigs`` with at least a mask's width less one behind each chunk; the result is the same, by more tasks.
@@ -201,27 +224,36 @@ def seeds(reference: DataFrame, mask: Mask, repeat_masker: bool = False, sought:
     their colours; a colour is a repeat where either of its bases is.
     """
     chunked = "lead" in reference.columns
-    cut = _cutter(mask, repeat_masker, sought, space, chunked)
+    cut = _cutter(mask, repeat_masker, sought, space, chunked, table=_table_of(reference))
     return _scanned(reference).mapInArrow(cut, "contig long, pos int, key long")
 
 
-def _scanned(reference: DataFrame) -> DataFrame:
+def _table_of(reference: DataFrame | Texts) -> np.ndarray | None:
+    return reference.table if isinstance(reference, Texts) else None
+
+
+def _scanned(reference: DataFrame | Texts) -> DataFrame:
+    if isinstance(reference, Texts):
+        return reference.rows.select(F.col("contig").cast("long").alias("contig"), "text")
     columns = ["seq", "start", "lead", "own"] if "lead" in reference.columns else ["seq"]
     return reference.select(F.col("contig").cast("long").alias("contig"), *columns)
 
 
-def _cutter(mask: Mask, repeat_masker: bool, sought: Broadcast | None, space: str, chunked: bool, turned: bool = False):
+def _cutter(mask: Mask, repeat_masker: bool, sought: Broadcast | None, space: str, chunked: bool, turned: bool = False, table: np.ndarray | None = None):
     """Batches of contigs -> batches of seeds, as ``seeds`` tells them. A batch's contigs lie end to end and are cut together, BATCH windows at a time.
-    ``turned``: keys of the windows read from the other strand, by a ``mask`` that is turned round already."""
+    ``turned``: keys of the windows read from the other strand, by a ``mask`` that is turned round already. ``table``: what makes bases of texts (see ``Texts``), a thousand at a time."""
     width, places = mask.width, mask.places[::-1] if turned else mask.places
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = b.column("seq").cast(pa.large_binary()).fill_null(b"")
-            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            if not len(text) or ends[-1] == ends[0]:
+        for b in batches if table is None else (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            if table is not None:
+                whole, ends = turned_texts(b.column("text"), table)
+            else:
+                text = b.column("seq").cast(pa.large_binary()).fill_null(b"")
+                ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+                whole = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+            if not len(whole):
                 continue
-            whole = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]]
             starts, stops = ends[:-1] - ends[0], ends[1:] - ends[0]
             contigs = b.column("contig").to_numpy(zero_copy_only=False)
             first, last, shift = starts, stops - width + 1, 1 - starts  # windows that may begin, and what makes a place of theirs

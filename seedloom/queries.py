@@ -14,7 +14,7 @@ from .functions import bases, sam
 from .operators import align, select, simulate, stats
 from .operators import match as m
 from .operators.blocks import counted_keys
-from .operators.seeds import Mask, bin_of, build_index, cut_contigs, cut_exons, in_region, key_text, read_index, seeds, write_index
+from .operators.seeds import Mask, Texts, bin_of, build_index, cut_contigs, cut_exons, in_region, key_text, read_index, seeds, turned_texts, write_index
 from .oracles import ACCURATE, COLOR_MASK, CYCLE, K, LETTERS, MASK, ONE_WAY_MASK, SECOND_MASK
 from .plans.workflow import align_reads, scored_alignments
 from .plans.workflow import paired_alignments as pairs_of
@@ -63,20 +63,21 @@ def encoded_rows(rows: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                text = b.column("text").cast(pa.large_binary())
-                filled = text.fill_null(b"")
-                ends = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
-                made = BASES[np.frombuffer(filled.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
-                seq = made[made != 0]
-                before = np.concatenate([[0], np.cumsum(made != 0)])[ends - ends[0]]
-                out = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(before.astype(np.int64).tobytes()), pa.py_buffer(seq.tobytes()))
+                text = b.column("text")
+                seq, ends = turned_texts(text, BASES)
+                out = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(seq.tobytes()))
                 yield pa.RecordBatch.from_arrays([b.column("contig"), pc.if_else(text.is_null(), pa.scalar(None, pa.large_string()), out).cast(pa.string())], names=["contig", "seq"])
 
     return rows.select("contig", "text").mapInArrow(turned, rows.select("contig").schema.add("seq", "string"))
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig"), "text"))
+    return encoded_rows(texts(spark, sf_dir).rows)
+
+
+def texts(spark: SparkSession, sf_dir: str) -> Texts:
+    """``reference`` for what only scans it for seeds."""
+    return Texts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig"), "text"), BASES)
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,7 @@ def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matched(spark: SparkSession, sf_dir: str, mask: Mask = SEED, rows: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     rows = reads(spark, sf_dir) if rows is None else rows
-    return m.match_reference(rows, reference(spark, sf_dir), mask, m.MatchOptions(max_key_matches=options.pop("k", K), **options))
+    return m.match_reference(rows, texts(spark, sf_dir), mask, m.MatchOptions(max_key_matches=options.pop("k", K), **options))
 
 
 def scored(spark: SparkSession, sf_dir: str, mask: Mask = SEED, rows: DataFrame | None = None, **options) -> DataFrame:
@@ -175,7 +176,7 @@ def read_subrange(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.numbered(table(spark, sf_dir, "benchmark").select("item_id"), ["item_id"], 5, 25)
 
 
-def scan(reference: DataFrame, mask: Mask, space: str = "nt") -> DataFrame:
+def scan(reference: Texts, mask: Mask, space: str = "nt") -> DataFrame:
     """By the first three bases of keys: seeds, distinct keys, first and last place."""
     prefix = F.shiftright("key", 2 * (mask.size - 3))
     places = seeds(reference, mask, space=space).groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("seeds"), F.min("pos").alias("first"), F.max("pos").alias("last"))
@@ -185,7 +186,7 @@ def scan(reference: DataFrame, mask: Mask, space: str = "nt") -> DataFrame:
 
 @query
 def seed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(reference(spark, sf_dir), SEED)
+    return scan(texts(spark, sf_dir), SEED)
 
 
 @query
@@ -215,7 +216,7 @@ def repeat_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def seed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = Mask(MASK, depth=2)
-    return seeds(reference(spark, sf_dir), two).groupBy(bin_of(F.col("key"), two).alias("bin")).agg(F.count(F.lit(1)).alias("seeds"))
+    return seeds(texts(spark, sf_dir), two).groupBy(bin_of(F.col("key"), two).alias("bin")).agg(F.count(F.lit(1)).alias("seeds"))
 
 
 @query
@@ -227,19 +228,19 @@ def exon_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def region_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_region(seeds(reference(spark, sf_dir), SEED), SEED, (10, 100), (90, 500)).groupBy("contig").agg(F.count(F.lit(1)).alias("seeds"))
+    return in_region(seeds(texts(spark, sf_dir), SEED), SEED, (10, 100), (90, 500)).groupBy("contig").agg(F.count(F.lit(1)).alias("seeds"))
 
 
 @query
 def truncated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = SEED.truncated(9)
-    n = counted_keys(reference(spark, sf_dir), short)
+    n = counted_keys(texts(spark, sf_dir), short)
     return n.select(key_text(F.col("key"), short.size).alias("key"), F.col("n").alias("seeds"))
 
 
 @query
 def key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted_keys(reference(spark, sf_dir), SEED).groupBy(F.col("n").alias("times")).agg(F.count(F.lit(1)).alias("keys"))
+    return counted_keys(texts(spark, sf_dir), SEED).groupBy(F.col("n").alias("times")).agg(F.count(F.lit(1)).alias("keys"))
 
 
 @query
@@ -275,12 +276,12 @@ def stored_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def color_matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Reads as an adaptor's A and colours, against the colours of the reference."""
     rows = reads(spark, sf_dir).select("read_id", "end_no", F.concat(F.lit("A"), bases.colors(F.col("seq"))).alias("seq"))
-    return m.match_reference(rows, reference(spark, sf_dir), COLOR, m.MatchOptions(max_key_matches=K, space="color"))
+    return m.match_reference(rows, texts(spark, sf_dir), COLOR, m.MatchOptions(max_key_matches=K, space="color"))
 
 
 @query
 def color_seed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(reference(spark, sf_dir), COLOR, "color").withColumn("prefix", F.translate("prefix", "acgt", "0123"))
+    return scan(texts(spark, sf_dir), COLOR, "color").withColumn("prefix", F.translate("prefix", "acgt", "0123"))
 
 
 @query
@@ -322,7 +323,7 @@ def color_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def end_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = m.MatchOptions(max_key_matches=2, max_matches=4)
     keys = stored(m.read_keys(reads(spark, sf_dir), SEED), "read-keys")
-    index = stored(m.sought_seeds(keys, reference(spark, sf_dir), SEED), "sought")
+    index = stored(m.sought_seeds(keys, texts(spark, sf_dir), SEED), "sought")
     hits = stored(m.key_hits(keys, key_frequency(index)), "hits")
     flags = m.end_flags(hits, options)
     _, ends = m.capped(m.united(m.placed(hits, index, SEED, options)), flags, options.max_matches)
@@ -356,7 +357,7 @@ def merged_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places by the 16 bins of a stored index, merged with fewer hits allowed."""
     mask, path = Mask(MASK, depth=2), scratch(spark, "index")
     keys = stored(m.read_keys(reads(spark, sf_dir), mask), "read-keys")
-    write_index(m.sought_seeds(keys, reference(spark, sf_dir), mask), mask, path)
+    write_index(m.sought_seeds(keys, texts(spark, sf_dir), mask), mask, path)
     index, frequency, mask = read_index(spark, path)
     rows = m.merged_bins(m.placed_by_bin(keys, index, mask, m.MatchOptions(max_key_matches=K), frequency), 2)
     return rows.select(*m.PLACE, F.size("offsets").alias("seeds"))
@@ -367,7 +368,7 @@ def binned_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places by a binned index, merged with the hits that an index without bins allows: what that would find."""
     mask, path = Mask(MASK, depth=2), scratch(spark, "index")
     keys = stored(m.read_keys(reads(spark, sf_dir), mask), "read-keys")
-    write_index(m.sought_seeds(keys, reference(spark, sf_dir), mask), mask, path)
+    write_index(m.sought_seeds(keys, texts(spark, sf_dir), mask), mask, path)
     index, frequency, mask = read_index(spark, path)
     rows = m.merged_bins(m.placed_by_bin(keys, index, mask, m.MatchOptions(max_key_matches=K), frequency), K)
     return rows.select(*m.PLACE, F.size("offsets").alias("seeds"))

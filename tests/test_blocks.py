@@ -122,3 +122,16 @@ def test_likely_keys_hold_all_that_are_sought(spark):
     every = np.concatenate([np.array(keys), np.arange(10**12, 10**12 + 100_000)])
     at = table.among(every)
     assert set(range(len(keys))) <= set(at.tolist()) and len(at) < len(keys) + 30_000
+
+
+@pytest.mark.parametrize("space", ["nt", "color"])
+def test_texts_are_turned_in_the_scan(spark, space):
+    """Seeds of texts are those of their bases, and bases don't leave the task that makes them."""
+    rng = random.Random(3)
+    texts = [None, "", "A b-c", "ÄÖİxyz\n", "12", "word one, Word two. " * 9] + ["".join(rng.choices("abcXYZ é,1", k=rng.choice([0, 4, 60]))) for _ in range(2100)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "contig long, text string").coalesce(1)
+    own, ref, mask = seeds.Texts(rows, queries.BASES), queries.encoded_rows(rows), Mask("1101")
+    got = seeds.seeds(own, mask, space=space)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, seeds.seeds(ref, mask, space=space).collect())) != []
+    assert sorted(map(tuple, blocks.counted_keys(own, mask, space=space).collect())) == sorted(map(tuple, blocks.counted_keys(ref, mask, space=space).collect()))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
