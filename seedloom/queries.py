@@ -357,7 +357,7 @@ def merged_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places by the 16 bins of a stored index, merged with fewer hits allowed."""
     mask, path = Mask(MASK, depth=2), scratch(spark, "index")
     keys = stored(m.read_keys(reads(spark, sf_dir), mask), "read-keys")
-    write_index(m.sought_seeds(keys, texts(spark, sf_dir), mask), mask, path)
+    write_index(stored(m.sought_seeds(keys, texts(spark, sf_dir), mask), "sought"), mask, path)
     index, frequency, mask = read_index(spark, path)
     rows = m.merged_bins(m.placed_by_bin(keys, index, mask, m.MatchOptions(max_key_matches=K), frequency), 2)
     return rows.select(*m.PLACE, F.size("offsets").alias("seeds"))
@@ -368,7 +368,7 @@ def binned_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places by a binned index, merged with the hits that an index without bins allows: what that would find."""
     mask, path = Mask(MASK, depth=2), scratch(spark, "index")
     keys = stored(m.read_keys(reads(spark, sf_dir), mask), "read-keys")
-    write_index(m.sought_seeds(keys, texts(spark, sf_dir), mask), mask, path)
+    write_index(stored(m.sought_seeds(keys, texts(spark, sf_dir), mask), "sought"), mask, path)
     index, frequency, mask = read_index(spark, path)
     rows = m.merged_bins(m.placed_by_bin(keys, index, mask, m.MatchOptions(max_key_matches=K), frequency), K)
     return rows.select(*m.PLACE, F.size("offsets").alias("seeds"))

@@ -135,3 +135,13 @@ def test_texts_are_turned_in_the_scan(spark, space):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, seeds.seeds(ref, mask, space=space).collect())) != []
     assert sorted(map(tuple, blocks.counted_keys(own, mask, space=space).collect())) == sorted(map(tuple, blocks.counted_keys(ref, mask, space=space).collect()))
     assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("name", ["merged_bins", "binned_join"])
+def test_an_index_of_sought_seeds_scans_the_reference_once(spark, monkeypatch, name):
+    """What is written twice over is read from storage: no scan of the reference stands behind it."""
+    plans = []
+    real = queries.write_index
+    monkeypatch.setattr(queries, "write_index", lambda rows, *rest: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), real(rows, *rest)))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
