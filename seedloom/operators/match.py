@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import mask_of, within
 from ..storage import stored
 from .blocks import likely, met
-from .seeds import OUTSIDE, Mask, Sought, Texts, bin_of, key_frequency, read_keys, seeds
+from .seeds import OUTSIDE, Likely, Mask, Sought, Texts, bin_of, key_frequency, read_keys, seeds
 
 END = ["read_id", "end_no"]
 PLACE = [*END, "contig", "position", "strand"]
@@ -168,8 +168,14 @@ def sought_seeds(keys: DataFrame, reference: DataFrame | Texts, mask: Mask, repe
 
 def _shared(keys: DataFrame, reference: DataFrame | Texts) -> Broadcast:
     """The distinct keys for every task (``Sought``), if they are at most MOST_SOUGHT, else a table of their hashes (``Likely``)."""
-    few = keys.select("key").distinct().limit(MOST_SOUGHT + 1).toArrow()
-    known = Sought(few.column("key").to_numpy()) if few.num_rows <= MOST_SOUGHT else likely(keys, keys.count())
+    known: Sought | Likely | None = None
+    told = keys.agg(F.approx_count_distinct("key").alias("about"), F.count(F.lit(1)).alias("n")).first()
+    if told["about"] <= 2 * MOST_SOUGHT:  # an estimate far above it needs no shuffle of the keys to be believed: either way finds the same
+        few = keys.select("key").distinct().limit(MOST_SOUGHT + 1).toArrow()
+        if few.num_rows <= MOST_SOUGHT:
+            known = Sought(few.column("key").to_numpy())
+    if known is None:
+        known = likely(keys, told["n"])
     return reference.sparkSession.sparkContext.broadcast(known)
 
 
