@@ -14,7 +14,7 @@ from .functions import bases, sam
 from .operators import align, select, simulate, stats
 from .operators import match as m
 from .operators.blocks import counted_keys
-from .operators.seeds import Mask, Texts, bin_of, build_index, cut_contigs, cut_exons, in_region, key_text, read_index, seeds, turned_texts, write_index
+from .operators.seeds import Mask, Texts, bin_of, build_index, cut_contigs, cut_exons, in_region, key_frequency, key_text, read_index, seeds, turned_texts, write_index
 from .oracles import ACCURATE, COLOR_MASK, CYCLE, K, LETTERS, MASK, ONE_WAY_MASK, SECOND_MASK
 from .plans.workflow import align_reads, scored_alignments
 from .plans.workflow import paired_alignments as pairs_of
