@@ -577,6 +577,25 @@ def test_lm_trains_on_every_window(spark, monkeypatch):
         assert np.allclose(found[name], value, atol=1e-5)
 
 
+def test_lm_encodes_texts_once_and_shards_hold_what_they_say(spark, monkeypatch):
+    """However many subwords a word has; and training reads ids alone."""
+    rng = random.Random(3)
+    tokenizer = tokenizer_path("byte_bpe_50k.json")
+    rows = [(i, " ".join("".join(rng.choices("bcdfgzxq", k=20)) for _ in range(60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    seen = []
+    monkeypatch.setattr(attention, "SHARD", 40)
+    monkeypatch.setattr(attention, "trained", lambda m, sample: seen.append(sample.groupBy("part", "shard").count().collect()) or m.p)
+    ids = attention.coded(docs, tokenizer)
+    assert ids.columns == ["doc_id", "ids"]
+    attention.fitted(ids, attention.word_counts(docs), tokenizer, 61 * 40)
+    (shards,) = seen
+    coder = subwords.word_ids(tokenizer, lead=True)
+    windows = sum(-(-(len(coder.of_words(t.encode().split())) // 4 + 1) // attention.STEP) for _, t in rows)
+    assert sum(r["count"] for r in shards) == windows and {r.part for r in shards} == set(range(attention.ROUNDS))
+    assert 20 < windows / len(shards) < 60
+
+
 def small_model(seed=0):
     rng = np.random.default_rng(seed)
     slot = np.full(attention.VOCABULARY, attention.OTHER, np.int16)
