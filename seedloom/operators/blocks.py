@@ -42,6 +42,34 @@ def unpacked(block: bytes, columns: int) -> list[np.ndarray]:
     return out
 
 
+def packed_each(bounds: list[int], *columns: np.ndarray) -> list[bytes]:
+    """``packed`` of each stretch of the columns, from one of ``bounds`` to the next; of each number as many bytes as the whole column needs."""
+    columns = tuple(np.ascontiguousarray(c, np.int64) for c in columns)
+    widths = [8 if c.min() < 0 else (int(c.max()).bit_length() + 7) // 8 for c in columns]
+    every = np.empty((sum(widths), len(columns[0])), np.uint8)
+    for row, (c, k) in zip(every, [(c, k) for c, width in zip(columns, widths) for k in range(width)]):
+        row[:] = c.view(np.uint8)[k::8]
+    parts = ((b - a, np.ascontiguousarray(every[:, a:b]).reshape(-1)) for a, b in zip(bounds, bounds[1:]))
+    return [n.to_bytes(4, "little") + bytes(widths) + pa.compress(part, "zstd", asbytes=True) for n, part in parts]
+
+
+def planes(block, columns: int) -> list[np.ndarray]:
+    """Each column's bytes in a block, lowest ones first, for ``numbers``."""
+    block = memoryview(block)
+    n, widths = int.from_bytes(block[:4], "little"), list(block[4 : 4 + columns])
+    every = np.frombuffer(pa.decompress(block[4 + columns :], n * sum(widths), "zstd"), np.uint8).reshape(sum(widths), n)
+    return [every[sum(widths[:k]) : sum(widths[: k + 1])] for k in range(columns)]
+
+
+def numbers(column: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """The whole numbers of a column of ``planes``, or those at some places."""
+    some = column[:, at]
+    c = np.zeros(some.shape[1], np.int64)
+    for k, plane in enumerate(some):
+        c |= plane.astype(np.int64) << (8 * k)
+    return c
+
+
 def _turned(keys: np.ndarray, size: int, back: bool = False) -> np.ndarray:
     """Keys of ``size`` bases times an odd number, in as many bits; ``back``: what gave them."""
     by = pow(ODD, -1, 1 << 2 * size) if back else ODD % (1 << 2 * size)

@@ -13,6 +13,7 @@ from ..functions.bases import mask_of, within
 from ..storage import stored
 from .blocks import likely, met
 from .seeds import OUTSIDE, Likely, Mask, Sought, Texts, bin_of, key_frequency, read_keys, seeds
+from .segments import Segments, cells_of
 
 END = ["read_id", "end_no"]
 PLACE = [*END, "contig", "position", "strand"]
@@ -113,7 +114,7 @@ def capped(cals: DataFrame, flags: DataFrame, max_matches: int) -> tuple[DataFra
     return cals.join(ends.where("max_reached >= 0").select(*END), END, "left_semi"), ends
 
 
-def match(reads: DataFrame, index: DataFrame, frequency: DataFrame, mask: Mask, options: MatchOptions = MatchOptions()) -> tuple[DataFrame, DataFrame]:
+def match(reads: DataFrame, index: DataFrame | Segments, frequency: DataFrame | Segments, mask: Mask, options: MatchOptions = MatchOptions()) -> tuple[DataFrame, DataFrame]:
     """(candidates, ends): places of reads (read_id, end_no, seq) by one index, and the state of each end with a key.
 
     Of a stored index (``read_index``: its seeds have a ``bin``) only the bins of the reads' keys are read, and no seed is shuffled but those sought. Keys with
@@ -128,17 +129,19 @@ def match(reads: DataFrame, index: DataFrame, frequency: DataFrame, mask: Mask,
     return _found(hits, stored(of_keys(index, few, mask), "sought"), mask, options)
 
 
-def of_keys(stored_rows: DataFrame, keys: DataFrame, mask: Mask) -> DataFrame:
+def of_keys(stored_rows: DataFrame | Segments, keys: DataFrame, mask: Mask) -> DataFrame:
     """Rows of a stored index (with ``bin`` and ``key``) whose key is among ``keys``, found where they lie.
 
-    The bins of the keys, of which a mask has 4**depth at most, are told first: no other is read. Up to MOST_SOUGHT distinct keys are counted and sent to every
-    task; more are dealt to the index's buckets, and each is looked up in its own.
+    The bins of the keys, of which a mask has 4**depth at most, are told first: no other is read. Keys are brought to the index's blocks by cell: those of up to
+    MOST_SOUGHT distinct keys are sent to every task; more are dealt to the index's buckets, and each is looked up in its own.
     """
     sought = stored(keys.select("key").distinct(), "sought-keys")
     bins = [r["bin"] for r in sought.select(bin_of(F.col("key"), mask).alias("bin")).distinct().collect()]
     few = sought.count() <= MOST_SOUGHT
-    near = stored_rows.where(F.col("bin").isin(bins)).join(F.broadcast(sought) if few else sought.hint("shuffle_hash"), "key", "left_semi")
-    return near.unionByName(stored_rows.where(F.col("bin") == OUTSIDE).join(sought, "key", "left_semi"))
+    if isinstance(stored_rows, Segments):
+        cells = stored(cells_of(sought, mask), "sought-cells")
+        return stored_rows.of_keys(sought, F.broadcast(cells) if few else cells.hint("shuffle_hash"), bins)
+    return stored_rows.where(F.col("bin").isin([*bins, OUTSIDE])).join(F.broadcast(sought) if few else sought, "key", "left_semi")
 
 
 def _matched(keys: DataFrame, index: DataFrame, frequency: DataFrame, mask: Mask, options: MatchOptions) -> tuple[DataFrame, DataFrame]:

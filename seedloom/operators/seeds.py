@@ -417,19 +417,20 @@ def clamped(header: tuple[int, int], start: tuple[int, int], end: tuple[int, int
     return low, high
 
 
-META = "index_no int, mask string, depth int, hash_width int, space string, start_contig long, start_pos long, end_contig long, end_pos long, buckets int, id string"
-#: Seeds of a bucket on average, the least number of buckets, and how often a key may occur before its seeds lie outside the buckets.
-BUCKET_SEEDS, LEAST_BUCKETS, COMMON = 1 << 21, 8, 1 << 20
+META = "index_no int, mask string, depth int, hash_width int, space string, start_contig long, start_pos long, end_contig long, end_pos long, buckets int, id string, cells int"
+#: The least and the most buckets (files of a task and a bin), how often a key may occur in a segment before its seeds lie apart, and bases that a task is given at most.
+LEAST_BUCKETS, MOST_BUCKETS, COMMON, TASK_BASES = 8, 64, 1 << 20, 1 << 26
 OUTSIDE = -1
-SEED_COLUMNS = "contig BIGINT, pos INT, key BIGINT"
 
 
-def _table(spark, path: str, meta, part: str, columns: str) -> DataFrame:
-    """A part of a stored index as a table that Spark knows to be in bins and in buckets by key, sorted in them."""
-    name = f"seedloom_{part}_{meta['id']}"
+def _table(spark, path: str, meta) -> DataFrame:
+    """The blocks of a stored index as a table that Spark knows to be in bins and in buckets by cell."""
+    from .segments import BLOCKS
+
+    name = f"seedloom_seeds_{meta['id']}"
     if not spark.catalog.tableExists(name):
-        location = f"{path.rstrip('/')}/{part}/index_no={meta['index_no']}".replace("'", "\\'")
-        spark.sql(f"CREATE TABLE {name} ({columns}, bin INT) USING parquet PARTITIONED BY (bin) CLUSTERED BY (key) SORTED BY (key) INTO {meta['buckets']} BUCKETS LOCATION '{location}'")
+        location = f"{path.rstrip('/')}/seeds/index_no={meta['index_no']}".replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({BLOCKS}, bin INT) USING parquet PARTITIONED BY (bin) CLUSTERED BY (key_cell) SORTED BY (key_cell) INTO {meta['buckets']} BUCKETS LOCATION '{location}'")
         spark.sql(f"MSCK REPAIR TABLE {name}")
     return spark.table(name)
 
@@ -448,65 +449,88 @@ WHOLE: Region = ((0, 0), (0, 0))
 
 
 def write_index(index: DataFrame, mask: Mask, path: str, index_no: int = 1, space: str = "nt", buckets: int | None = None, common: int = COMMON, region: Region = WHOLE) -> None:
-    """The index as Parquet, in bins by the first bases of its keys and in buckets by key, sorted by key in each, with its frequencies and layout beside it.
+    """The index as Parquet, in segments (see ``segments``): each task writes blocks of its own seeds, in bins by the first bases of keys and in buckets by cells of
+    keys, with the layout beside them. No seed is shuffled.
 
-    Reads are matched where seeds lie: a join on the key shuffles the reads' keys alone, and reads only the bins that they ask for. Seeds of keys that occur more than
-    ``common`` times lie outside the buckets, dealt evenly, as one of them could make a bucket too large for a task. There are as many files as buckets times bins.
+    Reads are matched where seeds lie: a join on the cell shuffles the reads' keys alone, and reads only the bins that they ask for. Seeds of keys that occur more than
+    ``common`` times in a segment lie outside the bins, dealt evenly, as they could make a bucket too large. There are as many files as tasks times buckets times bins.
     ``region`` is what the seeds were cut from, for ``compatible``.
 
     A number that is there is refused. The layout is written last, so an index whose writing was cut off isn't there, and its number can be written anew.
     """
-    from .blocks import counted_rows, dealt
+    rows = index.select(F.col("contig").cast("long").alias("contig"), F.col("pos").cast("int").alias("pos"), F.col("key").cast("long").alias("key"))
+    _write_segments(rows, lambda batches: batches, mask, path, index_no, space, buckets, common, region)
+
+
+def _write_segments(rows: DataFrame, cut, mask: Mask, path: str, index_no: int, space: str, buckets: int | None = None, common: int = COMMON, region: Region = WHOLE) -> None:
+    """What ``cut`` makes of ``rows``, batches of seeds, as an index; both are done by one task."""
+    from .segments import BLOCKS, CELLS, segments
 
-    spark = index.sparkSession
+    spark = rows.sparkSession
     if index_no in stored_numbers(spark, path):
         raise FileExistsError(f"index {index_no} is at {path}")
-    rows = index.select(F.col("contig").cast("long").alias("contig"), F.col("pos").cast("int").alias("pos"), "key")
-    n = counted_rows(rows, mask).agg(F.sum("n").alias("total"), F.collect_list(F.when(F.col("n") > common, F.col("key"))).alias("many")).first()
     if buckets is None:
-        buckets = max(LEAST_BUCKETS, -(-(n["total"] or 0) // BUCKET_SEEDS))
-    many = spark.createDataFrame([(k,) for k in n["many"]], "key long")  # at most one for every ``common`` seeds
-    few = rows.join(F.broadcast(many), "key", "left_anti").select(*rows.columns) if n["many"] else rows
-
-    def write(part: DataFrame, name: str) -> None:
-        location, table = f"{path.rstrip('/')}/{name}/index_no={index_no}", f"seedloom_write_{uuid.uuid4().hex}"
-        options = {"path": location, "compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}  # sorted keys lie as differences
-        whole = part.withColumn("bin", bin_of(F.col("key"), mask))
-        whole.write.mode("overwrite").partitionBy("bin").bucketBy(buckets, "key").sortBy("key").options(**options).saveAsTable(table)
-        spark.sql(f"DROP TABLE {table}")  # the files stay
-
-    write(dealt(few, buckets), "seeds")
-    apart = (rows.join(F.broadcast(many), "key", "left_semi") if n["many"] else rows.limit(0)).select("contig", "pos", "key")
-    apart.write.mode("overwrite").parquet(f"{path}/common/index_no={index_no}")
-    # A bucket's keys are counted where they lie.
-    row = {"id": uuid.uuid4().hex, "index_no": index_no, "buckets": buckets}
-    found = key_frequency(_table(spark, path, row, "seeds", SEED_COLUMNS))
-    if n["many"]:
-        found = found.unionByName(key_frequency(spark.read.schema("contig long, pos int, key long").parquet(f"{path}/common/index_no={index_no}")).coalesce(1))
-    write(found, "frequency")
-    meta = (index_no, mask.text, mask.depth, mask.hash_width, space, *region[0], *region[1], buckets, row["id"])
+        buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, spark.sparkContext.defaultParallelism))
+    blocks = rows.mapInArrow(lambda batches: segments(cut(batches), mask, common), f"{BLOCKS}, bin INT")
+    location, table = f"{path.rstrip('/')}/seeds/index_no={index_no}", f"seedloom_write_{uuid.uuid4().hex}"
+    # Blocks are compressed already; small groups of rows keep what a reader holds small.
+    options = {"path": location, "compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 24)}
+    blocks.write.mode("overwrite").partitionBy("bin").bucketBy(buckets, "key_cell").sortBy("key_cell").options(**options).saveAsTable(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay
+    meta = (index_no, mask.text, mask.depth, mask.hash_width, space, *region[0], *region[1], buckets, uuid.uuid4().hex, CELLS)
     spark.createDataFrame([meta], META).coalesce(1).write.mode("append").parquet(f"{path}/meta")
 
 
-def build_index(reference: DataFrame, mask: Mask, path: str, index_no: int = 1, space: str = "nt", region: Region = WHOLE, repeat_masker: bool = False, **options) -> None:
-    """Cut ``reference`` (contig, seq) into seeds, those of ``region`` (zeros stand for the reference's ends), and write them as an index."""
-    ends = reference.agg(F.min("contig").alias("first"), F.max("contig").alias("last"), F.max_by(F.length("seq"), "contig").alias("length")).first()
-    rows = seeds(reference, mask, repeat_masker, space=space)
-    if ends["first"] is not None:
-        region = clamped((ends["first"], ends["last"]), *region, ends["length"] or 0)
-        rows = in_region(rows, mask, *region)
-    write_index(rows, mask, path, index_no, space, region=region, **options)
+def _measured(reference: DataFrame | Texts):
+    """first and last contig, length of the last, and an upper bound of bases: in all and in the largest partition."""
+    rows, text = (reference.rows, "text") if isinstance(reference, Texts) else (reference, "seq")
+    length = F.octet_length(text) if text == "text" else F.length(text)
+    parts = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.min("contig").alias("first"), F.max("contig").alias("last"), F.max_by(length, "contig").alias("length"), F.sum(length).alias("bases"))
+    told = parts.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max_by("length", "last").alias("length"), F.sum("bases").alias("total"), F.max("bases").alias("most")).first().asDict()
+    if isinstance(reference, Texts) and told["last"] is not None:
+        table = reference.table
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(turned_texts(b.column("text"), table)[1]))], names=["length"])
+
+        last = rows.where(F.col("contig") == told["last"]).select("text").mapInArrow(counted, "length long")
+        told["length"] = last.agg(F.max("length").alias("length")).first()["length"]
+    return told
+
+
+def build_index(reference: DataFrame | Texts, mask: Mask, path: str, index_no: int = 1, space: str = "nt", region: Region = WHOLE, repeat_masker: bool = False, **options) -> None:
+    """Cut ``reference`` (contig, seq) into seeds, those of ``region`` (zeros stand for the reference's ends), and write them as an index.
+
+    A task sorts what it writes, so a reference of partitions over TASK_BASES is dealt anew, by ranges of contigs: texts are shuffled then, as seeds are five times as many bytes.
+    """
+    told, cut_out = _measured(reference), region != WHOLE
+    if told["first"] is not None:
+        region = clamped((told["first"], told["last"]), *region, told["length"] or 0)
+    chunked = "lead" in reference.columns
+    if (told["most"] or 0) > TASK_BASES:
+        parts, by = -(-told["total"] // TASK_BASES), ["contig", "start"] if chunked else ["contig"]
+        reference = Texts(reference.rows.repartitionByRange(parts, *by), reference.table) if isinstance(reference, Texts) else reference.repartitionByRange(parts, *by)
+    if cut_out and told["first"] is not None:
+        write_index(in_region(seeds(reference, mask, repeat_masker, space=space), mask, *region), mask, path, index_no, space, region=region, **options)
+        return
+    cut = _cutter(mask, repeat_masker, None, space, chunked, table=_table_of(reference))
+    _write_segments(_scanned(reference), cut, mask, path, index_no, space, region=region, **options)
+
 
+def read_index(spark, path: str, index_no: int = 1):
+    """(seeds with their bin, key frequencies with theirs, mask) of an index as ``write_index`` leaves it: ``segments.Segments``, to be used as DataFrames. Seeds outside
+    the bins have bin OUTSIDE."""
+    from .segments import CELLS, Segments
 
-def read_index(spark, path: str, index_no: int = 1) -> tuple[DataFrame, DataFrame, Mask]:
-    """(seeds with their bin, key frequencies with theirs, mask) of an index as ``write_index`` leaves it. Seeds outside the buckets have bin OUTSIDE."""
     meta = spark.read.schema(META).parquet(f"{path}/meta").where(F.col("index_no") == index_no).first()
     if meta is None:
         raise ValueError(f"no index {index_no} at {path}")
-    kept = _table(spark, path, meta, "seeds", SEED_COLUMNS)
-    frequency = _table(spark, path, meta, "frequency", "key BIGINT, n BIGINT")
-    common = spark.read.schema("contig long, pos int, key long").parquet(f"{path}/common/index_no={index_no}")
-    return kept.unionByName(common.withColumn("bin", F.lit(OUTSIDE))), frequency, Mask(meta["mask"], meta["depth"], meta["hash_width"])
+    if meta["cells"] != CELLS:
+        raise ValueError(f"index {index_no} at {path} is of another layout: build it anew")
+    mask = Mask(meta["mask"], meta["depth"], meta["hash_width"])
+    kept = _table(spark, path, meta)
+    return Segments(kept, mask, True), Segments(kept, mask, False), mask
 
 
 def read_indexes(spark, path: str, numbers: Sequence[int] | None = None) -> list[tuple[DataFrame, DataFrame, Mask]]:

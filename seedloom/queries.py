@@ -267,7 +267,7 @@ def neighbour_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads against an index that is built, written and read again."""
     path = scratch(spark, "index")
-    build_index(reference(spark, sf_dir), Mask(MASK, depth=2), path)
+    build_index(texts(spark, sf_dir), Mask(MASK, depth=2), path)
     index, frequency, mask = read_index(spark, path)
     cals, _ = m.match(reads(spark, sf_dir), index, frequency, mask, m.MatchOptions(max_key_matches=K))
     return cals.select("read_id", "end_no", "contig", "position", "strand", F.size("offsets").alias("seeds"))
