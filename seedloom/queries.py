@@ -624,7 +624,7 @@ def paired_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "match")
     reads(spark, sf_dir).write.parquet(f"{folder}/reads")
-    write_index(seeds(reference(spark, sf_dir), SEED), SEED, f"{folder}/index")
+    build_index(texts(spark, sf_dir), SEED, f"{folder}/index")
     index, frequency, _ = read_index(spark, f"{folder}/index")
     stream = spark.readStream.schema("read_id long, end_no int, seq string").parquet(f"{folder}/reads")
     matching.match_stream(stream, index, frequency, SEED, f"{folder}/out", f"{folder}/state", m.MatchOptions(max_key_matches=K)).awaitTermination()

@@ -31,6 +31,16 @@ def test_building_an_index_shuffles_no_seed(spark, tmp_path, monkeypatch):
     assert read_index(spark, str(tmp_path / "i"))[0].count() == 2794
 
 
+@pytest.mark.parametrize("name", ["stored_index_join", "match_stream"])
+def test_an_index_of_documents_is_written_where_they_are_read(spark, monkeypatch, name):
+    """From texts to blocks is one task's work: a scan, one pass, and no exchange."""
+    plans, real = [], DataFrame.write.fget
+    monkeypatch.setattr(DataFrame, "write", property(lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1]))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    built = [p for p in plans if "key_cell" in p.splitlines()[0] or "alone" in p.splitlines()[0]]
+    assert len(built) == 1 and "Exchange" not in built[0] and built[0].count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("mask", [Mask("1110111"), Mask("1110111", depth=2), Mask("11", depth=2), Mask("1" * 31, depth=1), Mask("1" * 9, depth=7)], ids=str)
 def test_blocks_hold_every_seed(mask, monkeypatch):
     """Segments of any size, with keys alone in theirs and without: what is opened is what was put in, and what is picked is what is wanted."""
