@@ -57,13 +57,16 @@ def planes(block, columns: int) -> list[np.ndarray]:
     """Each column's bytes in a block, lowest ones first, for ``numbers``."""
     block = memoryview(block)
     n, widths = int.from_bytes(block[:4], "little"), list(block[4 : 4 + columns])
-    every = np.frombuffer(pa.decompress(block[4 + columns :], n * sum(widths), "zstd"), np.uint8).reshape(sum(widths), n)
+    every = np.frombuffer(pa.decompress(block[4 + columns :], n * sum(widths), "zstd", asbytes=True), np.uint8).reshape(sum(widths), n)
     return [every[sum(widths[:k]) : sum(widths[: k + 1])] for k in range(columns)]
 
 
 def numbers(column: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
     """The whole numbers of a column of ``planes``, or those at some places."""
     some = column[:, at]
+    if len(some) <= 2:
+        small = some[0].astype(np.uint16) if len(some) else np.zeros(some.shape[1], np.uint16)
+        return (small | some[1].astype(np.uint16) << 8 if len(some) == 2 else small).astype(np.int64)
     c = np.zeros(some.shape[1], np.int64)
     for k, plane in enumerate(some):
         c |= plane.astype(np.int64) << (8 * k)

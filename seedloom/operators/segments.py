@@ -152,12 +152,15 @@ class Segments:
         mask, placed = self.mask, self.placed
 
         def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, wanted = None, None  # blocks of a cell follow each other
             for b in batches:
                 sought, told, rows = "wanted" in b.schema.names, [], 0
                 for number, block in enumerate(b.column("keys")):
                     (key, n), at = _keys_of(block.as_buffer(), 2), None
                     if sought:
-                        wanted = _keys_of(b.column("wanted")[number].as_buffer())[0]
+                        now = b.column("wanted")[number].as_buffer()
+                        if last is None or not now.equals(last):
+                            last, wanted = now, _keys_of(now)[0]
                         at = np.searchsorted(key, wanted)
                         at = at[key[np.minimum(at, len(key) - 1)] == wanted]
                         if not len(at):
