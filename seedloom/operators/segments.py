@@ -18,7 +18,7 @@ from .blocks import _turned, numbers, packed_each, planes
 from .seeds import OUTSIDE, Mask, bin_of
 
 #: Seeds of a segment, bits that name a cell, and seeds of a block at most (but for a key's own), so that a few thousand blocks fit a task.
-SEGMENT, CELLS, PIECE = 1 << 23, 12, 1 << 17
+SEGMENT, CELLS, PIECE = 1 << 22, 11, 1 << 17
 BLOCKS = "key_cell INT, alone BIGINT, keys BINARY, places BINARY"
 
 
